@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import html, langid, quality, simhash, tokens, toxicity
+from . import decontaminate, html, langid, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -33,10 +33,14 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
 
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("text_hash")
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality.score_documents(docs, quality.fit(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op8_decontamination, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
