@@ -6,10 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, html, langid, quality, simhash, tokens, toxicity
+from . import decontaminate, fingerprint, html, langid, quality, simhash, tokens, toxicity
 from .common import table
 
 
+def op1_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprint.fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return toxicity.score_documents(docs, toxicity.fit(docs, labels))
@@ -42,5 +46,5 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op8_decontamination, op9_quality)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op8_decontamination, op9_quality)}
 ORACLE_SQL: dict[str, str] = {}
