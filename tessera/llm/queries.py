@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html, langid, quality, simhash, tokens, toxicity
+from . import decontaminate, fingerprint, html, langid, ngram, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -46,5 +46,9 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, quality.fit(docs, labels))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op8_decontamination, op9_quality)}
+def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.score_documents(table(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op8_decontamination, op9_quality, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
