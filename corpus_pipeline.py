@@ -5,9 +5,8 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from tessera.llm import quality, simhash, toxicity
+from tessera.llm import decontaminate, pieces, quality, simhash, toxicity
 from tessera.llm.common import table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
@@ -28,7 +27,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_first(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("toxicity", drop_toxic), ("quality classifier", drop_poor), ("SimHash near-dedup", drop_copies)]
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    return decontaminate.drop_leaks(docs, table(spark, sf_dir, "benchmark"))
+
+
+def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens and token_ids of every document left."""
+    return pieces.encode_documents(docs)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("quality classifier", drop_poor),
+    ("SimHash near-dedup", drop_copies),
+    ("benchmark decontamination", drop_leaks),
+    ("SentencePiece encoding and decoding", encode),
+]
 
 #: Two stages are fitted models, which SQL cannot express.
 ORACLE_SQL: str | None = None

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html, langid, ngram, quality, simhash, tokens, toxicity
+from . import decontaminate, fingerprint, html, langid, ngram, pieces, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -33,6 +33,10 @@ def op5_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict_documents(docs, langid.fit(docs))
 
 
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(table(spark, sf_dir, "documents"))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.count_tokens(table(spark, sf_dir, "documents"))
 
@@ -50,5 +54,5 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op7_token_counts, op8_decontamination, op9_quality, op10_lm_scoring)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op6_sentencepiece, op7_token_counts, op8_decontamination, op9_quality, op10_lm_scoring)}
 ORACLE_SQL: dict[str, str] = {}
