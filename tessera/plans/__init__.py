@@ -1,3 +1,3 @@
 """Queries over the tables, by theme; importing this package registers them."""
 
-from . import retrieval  # noqa: F401
+from . import evidence, retrieval  # noqa: F401
