@@ -1,3 +1,3 @@
 """Queries over the tables, by theme; importing this package registers them."""
 
-from . import evidence, history, retrieval  # noqa: F401
+from . import corpora, evidence, history, retrieval, rollups  # noqa: F401
