@@ -102,7 +102,7 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def components(pairs: DataFrame) -> DataFrame:
-    """(id, root) for every id in pairs (a, b): root is the smallest id of the connected component.
+    """(id, root) for every id in pairs (a, b) but the roots: root is the smallest id of the connected component.
 
     Large and small stars in turn (each node links its neighbours to the smallest id around it), until nothing changes;
     the number of rounds grows with the logarithm of a component's size.
