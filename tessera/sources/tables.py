@@ -53,7 +53,7 @@ def markdown_rows(spark: SparkSession, path: str, heading: str) -> DataFrame:
     order = Window.orderBy("n")
     at = F.last(F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "^#+", ""))), True).over(order)
     rows = lines.withColumn("under", at).where((F.col("under") == heading) & F.trim("line").startswith("|") & ~F.regexp_like("line", F.lit(r"^\s*\|[\s:|-]+\|\s*$")))
-    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), F.trim)
+    cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
     return rows.withColumn("_k", F.row_number().over(order)).where("_k > 1").select("n", cells.alias("cells"))
 
 
