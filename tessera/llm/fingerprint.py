@@ -7,7 +7,7 @@ is added to one cell of each, which holds the number of keys, their exclusive or
 Two sketches are subtracted cell by cell, which leaves the keys in one of them alone. Peeling takes the key of every cell
 that holds one, takes that key out of its other cells, and goes on until all cells are empty: the keys taken are the
 difference. If cells stay, the difference is too large for the sketch and a larger one is tried: the keys are dealt into
-about one bucket for eight of them, each with a sketch of its own (twice as wide where that fails again). A bucket that no
+about one bucket for LOAD of them, each with a small sketch of its own (four times as wide where that fails again). A bucket that no
 sketch resolves is compared key by key. Likeness is the keys in both over the keys in either; two texts without
 keys have likeness 1.
 
@@ -24,6 +24,9 @@ from pyspark.sql import functions as F
 LONG_LINE = 300
 CELLS = 8
 ROUNDS = 8
+#: Keys a bucket of a larger sketch is meant for, and cells in each part of its first try.
+LOAD = 3
+SMALL_CELLS = 4
 #: Most ranges of ids; each becomes a group that one task sorts.
 RANGES = 1024
 
@@ -37,9 +40,11 @@ def _check(key: str) -> str:
     return f"(xxhash64({key}) & 4294967295L)"
 
 
-def _in_cell(key: str, cell: str, size: int, shift: int) -> str:
+def _places(size: int, shift: int) -> str:
+    """SQL for the cells of a sketch in order: a key is in the cell if its bits under mask m are v."""
     bits = size.bit_length() - 1
-    return f"(shiftrightunsigned({key}, cast({shift} + {bits} * ({cell} div {size}) AS int)) & {size - 1}) = {cell} % {size}"
+    low = [shift + bits * part for part in range(3) for _ in range(size)]
+    return "array(" + ", ".join(f"named_struct('m', {(size - 1) << k}L, 'v', {(n % size) << k}L)" for n, k in enumerate(low)) + ")"
 
 
 def paragraph_keys(text: str) -> str:
@@ -51,9 +56,8 @@ def paragraph_keys(text: str) -> str:
 
 def sketch(keys: str, size: int = CELLS, shift: int = 0) -> str:
     """SQL for the cells of a sketch."""
-    member = _in_cell("x", "j", size, shift)
     cell = f"named_struct('n', size(m), 'k', aggregate(m, 0L, (a, x) -> a ^ x), 'c', aggregate(m, 0L, (a, x) -> a ^ {_check('x')}))"
-    return f"transform(sequence(0, {3 * size - 1}), j -> {_let(f'filter({keys}, x -> {member})', 'm', cell)})"
+    return f"transform({_places(size, shift)}, j -> {_let(f'filter({keys}, x -> (x & j.m) = j.v)', 'm', cell)})"
 
 
 def subtract(a: str, b: str) -> str:
@@ -63,10 +67,10 @@ def subtract(a: str, b: str) -> str:
 def peel(cells: str, size: int = CELLS, shift: int = 0, rounds: int = ROUNDS) -> str:
     """SQL for the keys in a difference of sketches, as structs of key k and sign n; NULL if cells stay."""
     pure = f"array_distinct(transform(filter(z.cells, c -> abs(c.n) = 1 AND c.c = {_check('c.k')}), c -> named_struct('k', c.k, 'n', c.n)))"
-    out = f"aggregate(filter(ks, x -> {_in_cell('x.k', 'j', size, shift)}), c, (a, x) -> named_struct('n', a.n - x.n, 'k', a.k ^ x.k, 'c', a.c ^ {_check('x.k')}))"
-    step = f"IF(size(ks) = 0, z, named_struct('cells', transform(z.cells, (c, j) -> {out}), 'keys', concat(z.keys, ks)))"
+    out = f"aggregate(filter(ks, x -> (x.k & j.m) = j.v), c, (a, x) -> named_struct('n', a.n - x.n, 'k', a.k ^ x.k, 'c', a.c ^ {_check('x.k')}))"
+    step = f"IF(size(ks) = 0, named_struct('cells', z.cells, 'keys', z.keys, 'live', false), named_struct('cells', zip_with(z.cells, {_places(size, shift)}, (c, j) -> {out}), 'keys', concat(z.keys, ks), 'live', true))"
     none = "cast(array() AS array<struct<k: bigint, n: int>>)"
-    return f"aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'keys', {none}), (z, r) -> {_let(pure, 'ks', step)}, z -> IF(forall(z.cells, c -> c.n = 0 AND c.k = 0 AND c.c = 0), z.keys, NULL))"
+    return f"aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'keys', {none}, 'live', true), (z, r) -> IF(z.live, {_let(pure, 'ks', step)}, z), z -> IF(forall(z.cells, c -> c.n = 0 AND c.k = 0 AND c.c = 0), z.keys, NULL))"
 
 
 def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
@@ -76,11 +80,11 @@ def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
         return f"size({peel(subtract(sketch('t.a', size, shift), sketch('t.b', size, shift)), size, shift)})"
 
     by_key = "size(array_except(t.a, t.b)) + size(array_except(t.b, t.a))"
-    tries = [attempt(CELLS, 0), attempt(2 * CELLS, 9)]
+    tries = [attempt(SMALL_CELLS, 0), attempt(4 * SMALL_CELLS, 9)]
     bucket = f"CASE WHEN size(t.a) = 0 OR size(t.b) = 0 THEN size(t.a) + size(t.b) ELSE coalesce({', '.join(f'nullif({x}, -1)' for x in tries)}, {by_key}) END"
     inner = _let("named_struct('a', filter(g.a, x -> pmod(shiftrightunsigned(x, 24), w) = i), 'b', filter(g.b, x -> pmod(shiftrightunsigned(x, 24), w) = i))", "t", bucket)
     outer = _let(f"named_struct('a', filter({a}, x -> pmod(shiftrightunsigned(x, 44), w) = o), 'b', filter({b}, x -> pmod(shiftrightunsigned(x, 44), w) = o))", "g", f"aggregate(transform(sequence(0, w - 1), i -> {inner}), 0, (s, x) -> s + x)")
-    larger = _let(f"cast(ceil(sqrt((size({a}) + size({b})) / 8.0)) AS int)", "w", f"aggregate(transform(sequence(0, w - 1), o -> {outer}), 0, (s, x) -> s + x)")
+    larger = _let(f"cast(ceil(sqrt((size({a}) + size({b})) / {LOAD}.0)) AS int)", "w", f"aggregate(transform(sequence(0, w - 1), o -> {outer}), 0, (s, x) -> s + x)")
     return f"coalesce(nullif(size({peel(subtract(cells_a, cells_b))}), -1), {larger})"
 
 
@@ -96,7 +100,7 @@ def text_of(cells: str) -> str:
 
 
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text and keys of each row, and text and keys of the next one, in order of doc_id, descending.
+    """doc_id, text, keys and cells of each row, and those of the next one, in order of doc_id, descending.
 
     Ids are cut into ranges at quantiles. A task sorts a range; the first row of the next range comes along as a guest, so that
     the last row finds its next one there.
@@ -115,20 +119,20 @@ def with_next(docs: DataFrame) -> DataFrame:
         host = F.create_map(*(F.lit(x) for (_, top), (above, _) in zip(heads, heads[1:] + heads[:1], strict=True) for x in (top, above)))
         # the least range takes null ids too, and the first of all rows as its guest
         places = F.when(F.col("doc_id").isin([top for _, top in heads]), F.array(own, F.struct(host[F.col("doc_id")].alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(own))
-    placed = ranged.withColumn("keys", F.expr(paragraph_keys("text"))).select("doc_id", "text", "keys", F.inline(places).alias("at", "guest"))
+    marked = ranged.withColumn("keys", F.expr(paragraph_keys("text"))).withColumn("cells", F.expr(sketch("keys")))
+    placed = marked.select("doc_id", "text", "keys", "cells", F.inline(places).alias("at", "guest"))
     order = Window.partitionBy("at").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
-    here = F.struct("text", "keys")
+    here = F.struct("text", "keys", "cells")
     following = F.coalesce(F.lead(here).over(order), F.first(here).over(order))
-    return placed.withColumn("next", following).where(~F.col("guest")).select("doc_id", "text", "keys", F.col("next.text").alias("next_text"), F.col("next.keys").alias("next_keys"))
+    return placed.withColumn("next", following).where(~F.col("guest")).select("doc_id", "text", "keys", "cells", *(F.col(f"next.{c}").alias(f"next_{c}") for c in ("text", "keys", "cells")))
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
     """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
     half = "cast(floor(length(text) / 2) AS int)"
     rows = with_next(docs).withColumn("edited", F.expr(f"concat(left(text, length(text) - {half}), left(next_text, {half}))"))
-    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "next_keys", F.expr(paragraph_keys("edited")).alias("edited_keys"))
-    for name in ("", "edited_", "next_"):
-        rows = rows.withColumn(f"{name}cells", F.expr(sketch(f"{name}keys")))
+    rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "cells", "next_keys", "next_cells", F.expr(paragraph_keys("edited")).alias("edited_keys"))
+    rows = rows.withColumn("edited_cells", F.expr(sketch("edited_keys")))
     return rows.select(
         "doc_id", "n_chars", "edited_sha256",
         F.expr(text_of("cells")).alias("fingerprint"),

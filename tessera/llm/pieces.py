@@ -30,10 +30,13 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-CACHE = 400_000
+#: Words whose tokens a worker keeps.
+CACHE = 1_200_000
 #: Characters of the words that advance together.
 BATCH = 400_000
 NONE, UNKNOWN = -1, -2
+FILTER_BITS = 20
+NEVER = np.iinfo(np.int64).max
 
 
 def load(model: str = MODEL) -> dict[str, np.ndarray]:
@@ -84,7 +87,7 @@ def load(model: str = MODEL) -> dict[str, np.ndarray]:
     return {
         "ids": np.array(order, np.int32), "left": left, "right": right, "pair_keys": pair_keys[by], "pair_to": np.array(list(pairs.values()), np.int64)[by],
         "keys": hashes[key_order], "of_key": key_order, "longest": np.array([max(map(len, text))]), "first_byte": np.array([first_byte]),
-        "bytes": np.array(table, dtype=object),
+        "bytes": np.array(table, dtype=object), "key_filter": _filter(hashes[key_order]), "pair_filter": _filter(_spread(pair_keys)),
     }
 
 
@@ -95,15 +98,33 @@ def _hash_of(piece: str) -> int:
     return h
 
 
+def _spread(pairs: np.ndarray) -> np.ndarray:
+    return pairs.view(np.uint64) * FACTOR
+
+
+def _filter(keys: np.ndarray) -> np.ndarray:
+    """Which values of the upper FILTER_BITS bits some key has: most probes end here and need no search."""
+    out = np.zeros(1 << FILTER_BITS, bool)
+    out[keys >> np.uint64(64 - FILTER_BITS)] = True
+    return out
+
+
+def _search(keys: np.ndarray, to: np.ndarray, wanted: np.ndarray, none: int) -> np.ndarray:
+    """Values of `wanted` in a sorted key table, `none` for the absent."""
+    pos = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[pos] == wanted, to[pos], none)
+
+
 def stay_apart(v: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Whether merging leaves pieces a and b side by side, for arrays of pairs."""
     result = np.ones(len(a), bool)
     at = np.flatnonzero((a >= 0) & (b >= 0))
-    a, b, limit = a[at].copy(), b[at].copy(), np.full(len(at), np.iinfo(np.int64).max)
+    a, b, limit = a[at].copy(), b[at].copy(), np.full(len(at), NEVER)
     while len(at):
         k = a << 20 | b
-        pos = np.minimum(np.searchsorted(v["pair_keys"], k), len(v["pair_keys"]) - 1)
-        merged = (v["pair_keys"][pos] == k) & (v["pair_to"][pos] < limit)
+        merged = v["pair_filter"][_spread(k) >> np.uint64(64 - FILTER_BITS)]
+        some = np.flatnonzero(merged)
+        merged[some] = _search(v["pair_keys"], v["pair_to"], k[some], NEVER) < limit[some]
         result[at[merged]] = False
         # undo the later of both merges; where that piece is a character, the other one
         inner_a, inner_b = v["right"][a], v["left"][b]
@@ -129,11 +150,14 @@ def viterbi(v: dict[str, np.ndarray], chars: np.ndarray) -> tuple[np.ndarray, np
     for j in range(1, length + 1):
         sizes = np.arange(1, min(j, longest) + 1)
         hashes = prefix[:, j, None] - prefix[:, j - sizes] * power[sizes]
-        pos = np.minimum(np.searchsorted(v["keys"], hashes), len(v["keys"]) - 1)
-        found = np.where(v["keys"][pos] == hashes, v["of_key"][pos], NONE)
-        found[:, 0] = np.where(found[:, 0] == NONE, UNKNOWN, found[:, 0])
         before = piece[:, j - sizes]
-        step = (found != NONE) & ((before != NONE) | (j - sizes == 0))
+        step = v["key_filter"][hashes >> np.uint64(64 - FILTER_BITS)] & ((before != NONE) | (j - sizes == 0))
+        row, col = np.nonzero(step)
+        found = np.full(hashes.shape, NONE, np.int64)
+        found[row, col] = _search(v["keys"], v["of_key"], hashes[row, col], NONE)
+        found[:, 0] = np.where(found[:, 0] == NONE, UNKNOWN, found[:, 0])
+        step[row, col] = found[row, col] != NONE
+        step[:, 0] = (before[:, 0] != NONE) | (j == 1)
         row, col = np.nonzero(step & (j - sizes > 0))
         step[row, col] = stay_apart(v, before[row, col], found[row, col])
         weight = np.where(step, 0.0, -np.inf)
