@@ -1,18 +1,19 @@
 """Main text of web pages, with boilerplate found by differencing each page against its nearest page by URL.
 
 Markup is cut into blocks of text. Blocks inside elements that name themselves as menus, headers, footers, sidebars,
-adverts, notices, forms, comments, scripts or styles are left out. The rest are lines of two kinds: those inside an
-`article` or `main` element, which the page itself declares to be its text, and open lines. Pages of one host are put in
-order of their URL path; each is paired with the nearest page in that order (the one that shares the longer beginning of
-the path; the earlier at a tie), their open lines are aligned by longest common subsequence, and a page loses the open
-lines that it shares with its neighbour: site furniture repeats from page to page while text does not. A pair of copies (all open lines
-of a page shared) says nothing about furniture; the page keeps its lines then, unless it has declared text.
+adverts, notices, forms, comments, scripts or styles are left out. The rest are the page's lines. Pages of one host are put
+in order of their URL path; each is paired with the nearest page in that order (the one that shares the longer beginning of
+the path; the earlier at a tie), the lines of both are aligned by longest common subsequence, and a page loses the lines
+that it shares with its neighbour, wherever they stand: site furniture repeats from page to page while text does not.
+
+Where the differences say nothing (no neighbour, no shared line, or copies: all lines of a page shared), `article` and
+`main` elements break the tie: if they hold most of the page's text, it is the lines inside them, else all lines.
 
 Neighbours are looked for within a folder of a host (the path up to its last slash); a folder of more than GROUP pages is
 split by a hash of path and page_id into runs of about GROUP, so no task holds a whole host, or all pages of one URL, however many.
 
 Null html gives an empty text. A page without a URL (null) belongs to the host "". Pages that repeat a URL are neighbours
-of each other. A page alone in its run keeps its open lines. Further columns are not read.
+of each other. A page alone in its run has no neighbour. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -147,26 +148,23 @@ def _neighbour(paths: list[str], i: int) -> int | None:
 
 
 def main_text(lines: list[str], declared: list[bool], other: list[str] | None) -> str:
-    """Text of a page given the open lines of its neighbour."""
-    own = [k for k, d in enumerate(declared) if not d]
-    lost: set[int] = set()
-    if other is not None and own:
-        lost = {own[k] for k in shared_lines([lines[k] for k in own], other)}
-        if len(lost) == len(own) and len(own) == len(lines):
-            lost = set()
-    if len(own) < len(lines):  # the page declares its text: open lines are furniture around it
-        lost = set(own)
+    """Text of a page given the lines of its neighbour."""
+    lost = set() if other is None else shared_lines(lines, other)
+    if not lost or len(lost) == len(lines):  # no neighbour, nothing shared or a copy: the differences say nothing
+        lost = set()
+        inside = sum(len(x) for x, d in zip(lines, declared, strict=True) if d)
+        if 2 * inside > sum(map(len, lines)):
+            lost = {k for k, d in enumerate(declared) if not d}
     return "\n".join(x for k, x in enumerate(lines) if k not in lost)
 
 
 def _compare(table: pa.Table) -> pa.Table:
     rows = sorted(table.to_pylist(), key=lambda r: (r["path"], r["page_id"] is None, r["page_id"] or 0, r["url"] or ""))
     paths = [r["path"] for r in rows]
-    opened = [[x for x, d in zip(r["lines"], r["declared"], strict=True) if not d] for r in rows]
     texts = []
     for i, r in enumerate(rows):
         k = _neighbour(paths, i)
-        texts.append(main_text(r["lines"], r["declared"], None if k is None else opened[k]))
+        texts.append(main_text(r["lines"], r["declared"], None if k is None else rows[k]["lines"]))
     return pa.table({"page_id": pa.array([r["page_id"] for r in rows], pa.int64()), "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
 
 

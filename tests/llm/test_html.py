@@ -62,3 +62,16 @@ def test_alignment_is_a_longest_common_subsequence(a, b):
     assert len(taken) == brute_lcs(a, b)
     rest = iter(b)
     assert all(any(c == a[k] for c in rest) for k in taken)
+
+
+def test_differences_decide_inside_articles_too(spark):
+    page = "<body><p>Site</p><article><p>Sign in to read on</p><p>Own text {0}.</p></article></body>".format
+    got = texts(spark, [(i, f"http://a.b/en/{i}", page(i)) for i in range(1, 4)])
+    assert [got[i].text for i in range(1, 4)] == [f"Own text {i}." for i in range(1, 4)]
+
+
+def test_body_beside_a_teaser_article_stays(spark):
+    page = "<body><p>Site</p><article><p>Teaser {0}</p></article><div>The long body of page {0} itself.</div></body>".format
+    got = texts(spark, [(i, f"http://a.b/en/{i}", page(i)) for i in range(1, 3)] + [(9, "http://alone.c/1", page(9))])
+    assert [got[i].text for i in (1, 2)] == [f"Teaser {i}\nThe long body of page {i} itself." for i in (1, 2)]
+    assert got[9].text == "Site\nTeaser 9\nThe long body of page 9 itself."  # nothing to compare with, and the article is not most of it
