@@ -9,28 +9,32 @@ that it shares with its neighbour, wherever they stand: site furniture repeats f
 Where the differences say nothing (no neighbour, no shared line, or copies: all lines of a page shared), `article` and
 `main` elements break the tie: if they hold most of the page's text, it is the lines inside them, else all lines.
 
-Neighbours are looked for within a folder of a host (the path up to its last slash); a folder of more than GROUP pages is
-split by a hash of path and page_id into runs of about GROUP, so no task holds a whole host, or all pages of one URL, however many.
+The pages of all hosts are ordered by host and path (without a slash at its end), then page_id, and cut into contiguous
+ranges; each range also gets the last page before it and the first one after it, so a page meets its neighbours wherever
+the cuts fall. Tasks read a range in order and hold three pages at a time, however many a host or a URL has.
 
 Null html gives an empty text. A page without a URL (null) belongs to the host "". Pages that repeat a URL are neighbours
-of each other. A page alone in its run has no neighbour. Further columns are not read.
+of each other. A page alone on its host has no neighbour. Further columns are not read.
 """
 
 from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import small_side
-
-#: Pages of a host that one task compares at a time; larger hosts are split.
+#: Pages of a range, about; there are at most RANGES ranges for each partition of a shuffle. Where the cuts fall changes no result.
 GROUP = 200
+RANGES = 4
+#: Pages drawn for each cut.
+DRAWN = 20
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|[^<]+|<", re.S)
 ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?", re.I)
@@ -47,6 +51,8 @@ MARKED = re.compile(
 )
 #: A heading element of the text may carry these, so they are dropped only outside declared text.
 LENIENT = {"header"}
+#: Order of pages: host and path, then page_id (null first) and the whole URL.
+KEY = ("host", "path", "seq", "address")
 
 
 def _marked(attributes: str) -> bool:
@@ -158,36 +164,78 @@ def main_text(lines: list[str], declared: list[bool], other: list[str] | None) -
     return "\n".join(x for k, x in enumerate(lines) if k not in lost)
 
 
-def _compare(table: pa.Table) -> pa.Table:
-    rows = sorted(table.to_pylist(), key=lambda r: (r["path"], r["page_id"] is None, r["page_id"] or 0, r["url"] or ""))
-    paths = [r["path"] for r in rows]
-    texts = []
-    for i, r in enumerate(rows):
-        k = _neighbour(paths, i)
-        texts.append(main_text(r["lines"], r["declared"], None if k is None else rows[k]["lines"]))
-    return pa.table({"page_id": pa.array([r["page_id"] for r in rows], pa.int64()), "url": pa.array([r["url"] for r in rows], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+def _compared(rows: Iterator[dict]) -> Iterator[dict]:
+    """Rows with their text, from rows in order; guests only serve as neighbours."""
+    before = now = None
+    for after in chain(rows, [None]):
+        if now is not None and not now["guest"]:
+            near = [r for r in (before, now, after) if r is not None and (r["part"], r["host"]) == (now["part"], now["host"])]
+            k = _neighbour([r["path"] for r in near], next(i for i, r in enumerate(near) if r is now))
+            yield now | {"text": main_text(now["lines"], now["declared"], None if k is None else near[k]["lines"])}
+        before, now = now, after
+
+
+def _compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    rows = _compared(r for b in batches for k in range(0, b.num_rows, GROUP) for r in b.slice(k, GROUP).to_pylist())
+    while some := list(islice(rows, GROUP)):
+        texts = [r["text"] for r in some]
+        yield pa.RecordBatch.from_pydict({"page_id": pa.array([r["page_id"] for r in some], pa.int64()), "url": pa.array([r["url"] for r in some], pa.string()), "text": pa.array(texts, pa.string()), "n_chars": pa.array(map(len, texts), pa.int64())})
+
+
+def _keys(batch: pa.RecordBatch) -> list[tuple]:
+    return list(zip(*(batch.column(n).to_pylist() for n in KEY), strict=True))
+
+
+def _ranges(keyed: DataFrame, group: int) -> tuple[list[tuple], dict[tuple, list[int]]]:
+    """First keys of the ranges but the first, and for each key at a border of a range the ranges where it is a guest."""
+    keys = keyed.select(*KEY)
+    n = keys.count()
+    parts = min(-(-n // group), RANGES * int(keyed.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if parts < 2:
+        return [], {}
+    share = int(1_000_000 * min(1, DRAWN * parts / n))
+    drawn = sorted({tuple(r) for r in keys.where(F.pmod(F.xxhash64(F.lit("cut"), *KEY), F.lit(1_000_000)) < share).collect()})
+    cuts = sorted({drawn[len(drawn) * k // parts] for k in range(1, parts)}) if drawn else []
+
+    def ends(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: dict[int, list[tuple]] = {}
+        for b in batches:
+            for key in _keys(b):
+                part = bisect_right(cuts, key)
+                low, high = found.get(part, (key, key))
+                found[part] = [min(low, key), max(high, key)]
+        for part, both in found.items():
+            yield pa.RecordBatch.from_pydict({"part": pa.array([part] * 2, pa.int32())} | {name: pa.array([key[i] for key in both], kind) for i, (name, kind) in enumerate(zip(KEY, (pa.string(), pa.string(), pa.int64(), pa.string()), strict=True))})
+
+    at = F.struct(*KEY)
+    seen = keys.mapInArrow(ends, "part int, host string, path string, seq bigint, address string").groupBy("part").agg(F.min(at).alias("low"), F.max(at).alias("high")).collect()
+    seen.sort(key=lambda r: r["part"])
+    guests: dict[tuple, list[int]] = {}
+    for a, b in zip(seen, seen[1:], strict=False):
+        guests.setdefault(tuple(a["high"]), []).append(b["part"])
+        guests.setdefault(tuple(b["low"]), []).append(a["part"])
+    return cuts, guests
 
 
 def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
     """page_id, url, text, n_chars for every row of pages."""
     url = F.coalesce(F.col("url"), F.lit(""))
     host = F.lower(F.regexp_extract(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//([^/?#]*)", 1))
-    path = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"[?#].*$", "")
-    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"))
-    # A folder of a host with more than `group` pages is split by a hash of the path; few folders are so large.
-    folder = F.regexp_extract("path", r"^(.*/)", 1)
-    large = (
-        keyed.groupBy("host", folder.alias("folder"))
-        .agg(F.ceil(F.count(F.lit(1)) / F.lit(group)).cast("int").alias("runs"))
-        .where(F.col("runs") > 1)
-    )
+    path = F.regexp_replace(F.regexp_replace(url, r"^(?:[A-Za-z][A-Za-z0-9+.-]*:)?//[^/?#]*", ""), r"/*(?:[?#].*)?$", "")
+    keyed = pages.select("page_id", "url", "html", host.alias("host"), path.alias("path"), F.coalesce("page_id", F.lit(-(1 << 63))).alias("seq"), url.alias("address"))
+    cuts, guests = _ranges(keyed, group)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = [blocks(x) for x in b.column("html").to_pylist()]
-            cols = {n: b.column(n) for n in ("page_id", "url", "host", "folder", "path")}
-            yield pa.RecordBatch.from_pydict(cols | {"lines": pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), "declared": pa.array([[d for _, d in g] for g in got], pa.list_(pa.bool_()))})
-
-    lines = keyed.withColumn("folder", folder).select("page_id", "url", "host", "folder", "path", "html").mapInArrow(read, "page_id bigint, url string, host string, folder string, path string, lines array<string>, declared array<boolean>")
-    placed = lines.join(small_side(large), ["host", "folder"], "left").withColumn("run", F.pmod(F.xxhash64("path", "page_id"), F.coalesce("runs", F.lit(1))))
-    return placed.groupBy("host", "folder", "run").applyInArrow(_compare, "page_id bigint, url string, text string, n_chars bigint")
+            cols = {n: b.column(n) for n in ("page_id", "url", *KEY)}
+            cols |= {"lines": pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), "declared": pa.array([[d for _, d in g] for g in got], pa.list_(pa.bool_()))}
+            keys = _keys(b)
+            places = [(k, bisect_right(cuts, key), False) for k, key in enumerate(keys)] + [(k, part, True) for k, key in enumerate(keys) for part in guests.get(key, ())]
+            rows, part, guest = zip(*places, strict=True) if places else ((), (), ())
+            out = pa.RecordBatch.from_pydict(cols).take(pa.array(rows, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*out.columns, pa.array(part, pa.int32()), pa.array(guest, pa.bool_())], [*out.schema.names, "part", "guest"])
+
+    lines = keyed.mapInArrow(read, "page_id bigint, url string, host string, path string, seq bigint, address string, lines array<string>, declared array<boolean>, part int, guest boolean")
+    placed = lines.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", *KEY, F.xxhash64("lines"))
+    return placed.mapInArrow(_compare, "page_id bigint, url string, text string, n_chars bigint")

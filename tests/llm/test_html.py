@@ -75,3 +75,20 @@ def test_body_beside_a_teaser_article_stays(spark):
     got = texts(spark, [(i, f"http://a.b/en/{i}", page(i)) for i in range(1, 3)] + [(9, "http://alone.c/1", page(9))])
     assert [got[i].text for i in (1, 2)] == [f"Teaser {i}\nThe long body of page {i} itself." for i in (1, 2)]
     assert got[9].text == "Site\nTeaser 9\nThe long body of page 9 itself."  # nothing to compare with, and the article is not most of it
+
+
+@pytest.mark.parametrize("group", [html.GROUP, 7])
+def test_pages_meet_their_nearest_page_of_the_whole_host(spark, group):
+    menu = "<body><p>Menu of {0}</p><p>Text {1}</p></body>".format
+    rows = [(i, f"http://a.b/en/{i}/", menu("a.b", i)) for i in range(100, 140)]  # each is a folder of its own
+    rows += [(i, f"http://{i}.c/en/", menu("c", i)) for i in range(200, 210)]  # alone on their hosts
+    got = texts(spark, rows, group=group)
+    assert all(got[i].text == f"Text {i}" for i in range(100, 140))
+    assert all(got[i].text == f"Menu of c\nText {i}" for i in range(200, 210))
+
+
+def test_cuts_change_nothing(spark):
+    rows = [(k, f"http://{'ab'[k % 2]}.x/{'/'.join(str(k * 7919 % 97))}{'/' * (k % 3 == 0)}", f"<body>{''.join(f'<p>line {k * j % 5}</p>' for j in range(4))}<article><p>t {k}</p></article></body>") for k in range(90)]
+    rows += [(None, "http://a.x/1", "<p>u</p>"), (None, None, "<p>v</p>"), (1, "http://a.x/1", "<p>w</p>")] + [(300 + k, "http://a.x/1", f"<p>same</p><p>{k}</p>") for k in range(20)]
+    got = [sorted(map(str, html.extract(spark.createDataFrame(rows, PAGES), group=g).collect())) for g in (10_000, 9, 2)]
+    assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
