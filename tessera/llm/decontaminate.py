@@ -4,7 +4,7 @@ Words are runs of letters and digits in lower case; shingles are SHINGLE words i
 shingle), counted with repeats. A window is as many words of a document as the item has (or the whole, shorter document).
 
 1. Windows. A window that shares no shingle with an item has similarity 0 with it, and one of similarity s shares at least
-   2 s / (1 + s) of the item's shingles. So the windows laid where a shared shingle would line up with its place in the item are
+   s / (1 + s) of the shingles of both together (a document shorter than the item has fewer). So the windows laid where a shared shingle would line up with its place in the item are
    all that can count, and only where document and item share that many shingles.
 2. SimHash of the window's shingles (64 bits, weighted by their counts) is cut into BLOCKS blocks. Fingerprints within RADIUS
    bits agree in one block but for at most RADIUS // BLOCKS bits: items are indexed under every such variant of each block,
@@ -78,8 +78,9 @@ def _windows(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: fl
     for more in found[1:]:
         hits = hits.unionByName(more)
     start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n")))
-    least = F.ceil(2 * similarity / (1 + similarity) * (F.col("n") - F.col("k") + 1) - 1e-9)
-    by_item = hits.groupBy("doc_id", "text_hash", "item_id", "n", "k").agg(F.count(F.lit(1)).alias("shared"), F.collect_set(start).alias("starts"))
+    own = F.col("n") - F.col("k") + 1  # shingles of the item, and those of a window of the document
+    least = F.ceil(similarity / (1 + similarity) * (own + F.least(own, F.col("len") - F.col("k") + 1)) - 1e-9)
+    by_item = hits.groupBy("doc_id", "text_hash", "item_id", "n", "k", "len").agg(F.count(F.lit(1)).alias("shared"), F.collect_set(start).alias("starts"))
     return by_item.where(F.col("shared") >= least).select("doc_id", "text_hash", "n", "k", F.explode("starts").alias("start")).distinct()
 
 

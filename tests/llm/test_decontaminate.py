@@ -58,6 +58,15 @@ def test_against_brute_force(spark):
     assert len(got) == len(mine) and mine == expected and len(expected) > 30
 
 
+def test_truncated_items_are_found(spark):
+    rng = random.Random(3)
+    items = [(n, data.sentence(rng, n)) for n in (18, 30, 58, 6, 4)]
+    rows = [(1000 * n + (at > 0) * 100 + cut, " ".join(words(text)[at : at + n - cut]), "en", "s", 0) for n, text in items for cut in range(min(n, 12)) for at in {0, cut}]
+    expected = brute(rows, items)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in dc.leaks(data.docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == expected and {(18002, 18), (30004, 30), (58008, 58)} <= set(got)
+
+
 def test_windows_start_where_they_say(spark):
     rows, items = cases()
     texts, by_item = {i: words(t) for i, t, *_ in rows}, dict(items)
