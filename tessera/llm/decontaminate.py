@@ -4,8 +4,9 @@ Words are runs of letters and digits in lower case; shingles are SHINGLE words i
 shingle), counted with repeats. A window is as many words of a document as the item has (or the whole, shorter document).
 
 1. Windows. A window that shares no shingle with an item has similarity 0 with it, and one of similarity s shares at least
-   s / (1 + s) of the shingles of both together (a document shorter than the item has fewer). So the windows laid where a shared shingle would line up with its place in the item are
-   all that can count, and only where document and item share that many shingles.
+   s / (1 + s) of the shingles of both together (a document shorter than the item has fewer). So only windows that hold so
+   many positions of shared shingles, in whatever order, can count; they are laid at all such starts, of which each run of
+   that many positions in a row gives a few, so the work is in proportion to the positions.
 2. SimHash of the window's shingles (64 bits, weighted by their counts) is cut into BLOCKS blocks. Fingerprints within RADIUS
    bits agree in one block but for at most RADIUS // BLOCKS bits: items are indexed under every such variant of each block,
    windows look up their blocks, and equality joins find all pairs within the radius.
@@ -65,7 +66,7 @@ def items_of(benchmark: DataFrame, shingle: int = SHINGLE) -> DataFrame:
 
 def _windows(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: float) -> DataFrame:
     """Where windows of documents can be like items: doc_id, text_hash, n, k, start (first word, from 0)."""
-    places = items.select("item_id", "n", "k", F.posexplode("item_hashes").alias("q", "h"))
+    places = items.select("item_id", "n", "k", F.explode(F.array_distinct("item_hashes")).alias("h"))
     known = docs.select("doc_id", F.xxhash64("text").alias("text_hash"), _words("text").alias("w"))
     found = []
     for k in sizes:
@@ -77,11 +78,14 @@ def _windows(docs: DataFrame, items: DataFrame, sizes: list[int], similarity: fl
     hits = found[0]
     for more in found[1:]:
         hits = hits.unionByName(more)
-    start = F.greatest(F.lit(0), F.least(F.col("p") - F.col("q"), F.col("len") - F.col("n")))
     own = F.col("n") - F.col("k") + 1  # shingles of the item, and those of a window of the document
-    least = F.ceil(similarity / (1 + similarity) * (own + F.least(own, F.col("len") - F.col("k") + 1)) - 1e-9)
-    by_item = hits.groupBy("doc_id", "text_hash", "item_id", "n", "k", "len").agg(F.count(F.lit(1)).alias("shared"), F.collect_set(start).alias("starts"))
-    return by_item.where(F.col("shared") >= least).select("doc_id", "text_hash", "n", "k", F.explode("starts").alias("start")).distinct()
+    least = F.ceil(similarity / (1 + similarity) * (own + F.least(own, F.col("len") - F.col("k") + 1)) - 1e-9).cast("int")
+    by_item = hits.groupBy("doc_id", "text_hash", "item_id", "n", "k", "len").agg(F.sort_array(F.collect_set("p")).alias("at")).withColumn("least", least)
+    # a window holds `least` positions or more if it begins at or before the first of so many in a row and reaches the last
+    low, high = "greatest(0, at[i + least - 1] - (n - k))", "least(at[i], greatest(0, len - n))"
+    starts = f"flatten(transform(sequence(0, size(at) - least), i -> IF({low} <= {high}, sequence({low}, {high}), array())))"
+    enough = by_item.where(F.size("at") >= F.col("least")).select("doc_id", "text_hash", "n", "k", F.explode(F.array_distinct(F.expr(starts))).alias("start"))
+    return enough.distinct()
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, similarity: float = SIMILARITY, shingle: int = SHINGLE, radius: int = RADIUS, blocks: int = BLOCKS) -> DataFrame:

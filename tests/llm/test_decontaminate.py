@@ -67,6 +67,21 @@ def test_truncated_items_are_found(spark):
     assert got == expected and {(18002, 18), (30004, 30), (58008, 58)} <= set(got)
 
 
+def test_moved_sentences_are_found(spark):
+    rng = random.Random(4)
+    items = [(n, data.sentence(rng, n)) for n in (58, 40)] + [(99, "la li " * 20 + data.sentence(rng, 20))]
+    rows = []
+    for n, text in items:
+        w = words(text)
+        for moved in range(1, 12):
+            for k, passage in enumerate((w[-moved:] + w[:-moved], w[moved:] + w[:moved], w[:10] + w[10 + moved :] + w[10 : 10 + moved])):
+                body = words(data.text(rng, 2))
+                rows.append((1000 * n + 10 * moved + k, " ".join(body[:9] + passage + body[9:]), "en", "s", 0))
+    expected = brute(rows, items)
+    got = {(r.doc_id, r.item_id): round(r.similarity, 9) for r in dc.leaks(data.docs(spark, rows), spark.createDataFrame(items, ITEMS)).collect()}
+    assert got == expected and (58080, 58) in got
+
+
 def test_windows_start_where_they_say(spark):
     rows, items = cases()
     texts, by_item = {i: words(t) for i, t, *_ in rows}, dict(items)
