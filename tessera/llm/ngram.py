@@ -5,9 +5,10 @@ The training texts' unigrams and bigrams (the end of the text before stands befo
 shuffle. A count c is held as its level 1 + floor(log_BASE c): the n-gram is put into a Bloom filter once for each level up
 to its own, and a reader probes level after level until one is missing.
 
-The filter has SEGMENTS segments of SEGMENT_BITS bits, so what is broadcast has a fixed size of 32 MB whatever the corpus. Each
-segment takes its unigrams first, then its bigrams from the most frequent down, until it is half full; bigrams that are
-rarer than that are left to the unigram estimate, as a count cut-off would do.
+The filter has SEGMENTS segments. Each is as many pages of SEGMENT_BITS bits as its levels need, so that no page is
+more than half full: every n-gram is entered, and the filter grows with the corpus. Up to BROADCAST pages it is sent
+to all tasks. A larger one stays dealt out by segment: the distinct words and word pairs of the texts are brought
+to their segment, looked up there, and joined back to the texts (see score_apart).
 
 score = sum of log10(WEIGHT c(v w) / c(v) + (1 - WEIGHT) (c(w) + 0.1) / (N + 0.1 (V + 1))), with counts as the filter has them.
 base_score uses exact counts: those of the HOT most frequent words are broadcast (a bounded table), the rarer words
@@ -35,6 +36,8 @@ BASE = 1.5
 SEGMENTS = 4096
 SEGMENT_BITS = 1 << 16
 PROBES = 5
+#: Most pages (of 8 KB) of a filter that is broadcast.
+BROADCAST = 3 << 12
 WEIGHT = 0.2
 PRIOR = 0.1
 #: Most words in the table of exact counts that is broadcast.
@@ -47,6 +50,10 @@ BLOCK = 1 << 14
 SINGLE = (1 << np.arange(8)).astype(np.uint8)
 
 
+#: Levels that fill half of a page.
+ROOM = int(SEGMENT_BITS * np.log(2) / PROBES)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     x = x ^ (x >> np.uint64(30))
     x = x * np.uint64(0xBF58476D1CE4E5B9)
@@ -98,6 +105,12 @@ def positions(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
     return (x[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(SEGMENT_BITS - 1)
 
 
+def page_of(keys: np.ndarray, pages: np.ndarray | int) -> np.ndarray:
+    """Page of each key within its segment of `pages` pages."""
+    spread = (keys.view(np.uint64) >> np.uint64(20)) & np.uint64(0xFFFFFFFF)
+    return (spread * np.asarray(pages).astype(np.uint64)) >> np.uint64(32)
+
+
 def levels(counts: np.ndarray) -> np.ndarray:
     return np.minimum(DEPTH, 1 + np.floor(np.log(counts) / np.log(BASE) + 1e-9)).astype(np.int64)
 
@@ -107,11 +120,10 @@ MEANING = np.array([0.0] + [max(1.0, (np.ceil(BASE ** (j - 1) - 1e-9) + max(np.c
 
 
 def fill_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Bits of one segment: unigrams first, then bigrams by falling count, until half of the bits would be set."""
+    """Bits of one page (fill_pages gives it what fits): unigrams first, then bigrams by falling count, until half of the bits would be set."""
     order = np.lexsort((keys, -counts, keys & 1))
     level = levels(counts[order])
-    room = int(SEGMENT_BITS * np.log(2) / PROBES)
-    take = np.searchsorted(np.cumsum(level), room, side="right")
+    take = np.searchsorted(np.cumsum(level), ROOM, side="right")
     keys, level = keys[order[:take]], level[:take]
     each = np.repeat(np.arange(len(keys)), level)
     rung = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
@@ -121,23 +133,38 @@ def fill_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def look_up(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
-    """Level of each key: as many levels as are found one after another. bits: the segments' bytes in a row.
+def fill_pages(keys: np.ndarray, counts: np.ndarray) -> list[bytes]:
+    """All n-grams of a segment, in pages enough to have room for every level."""
+    level = levels(counts)
+    pages = max(1, -(-int(level.sum()) // ROOM))
+    while np.bincount(page_of(keys, pages).astype(np.int64), weights=level, minlength=pages).max(initial=0) > ROOM:
+        pages += 1 + pages // 16
+    of = page_of(keys, pages)
+    order = np.argsort(of, kind="stable")
+    cuts = np.searchsorted(of[order], np.arange(1, pages, dtype=np.uint64))
+    return [fill_segment(keys[part], counts[part]) for part in np.split(order, cuts)]
+
+
+def look_up(bits: np.ndarray, keys: np.ndarray, pages: np.ndarray | None = None) -> np.ndarray:
+    """Level of each key: as many levels as are found one after another. bits: the segments' bytes in a row; pages: how many pages each segment has, one if not given.
 
     Keys are probed segment after segment, BLOCK at a time, so that the bytes and the arrays probed stay in the processor's cache.
     """
     level = np.zeros(len(keys), np.int64)
+    pages = np.ones(SEGMENTS, np.int64) if pages is None else pages
+    first = np.cumsum(pages) - pages
     order = np.argsort(segment_of(keys).astype(np.uint16), kind="stable")
     for start in range(0, len(order), BLOCK):
         some = order[start : start + BLOCK]
-        level[some] = _look_up(bits, keys[some])
+        seg = segment_of(keys[some]).astype(np.int64)
+        level[some] = _look_up(bits, keys[some], first[seg].astype(np.uint64) + page_of(keys[some], pages[seg]))
     return level
 
 
-def _look_up(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def _look_up(bits: np.ndarray, keys: np.ndarray, page: np.ndarray) -> np.ndarray:
     level = np.zeros(len(keys), np.int64)
     alive, own = np.arange(len(keys)), keys.view(np.uint64)
-    base = segment_of(keys) * np.uint64(SEGMENT_BITS)
+    base = page * np.uint64(SEGMENT_BITS)
 
     def found(base: np.ndarray, x: np.ndarray) -> np.ndarray:
         at = (base + (x & np.uint64(SEGMENT_BITS - 1))).view(np.int64)
@@ -189,7 +216,7 @@ def count_grams(docs: DataFrame) -> DataFrame:
             ids, starts = np.unique(seg[order], return_index=True)
             del seg
             for s, part in zip(ids, np.split(order, starts[1:]), strict=True):
-                yield pa.RecordBatch.from_pydict({"key": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "seg": pa.array([s], pa.int32()), "bits": pa.array([fill_segment(key[part], n[part])], pa.binary())})
+                yield pa.RecordBatch.from_pydict({"key": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "seg": pa.array([s], pa.int32()), "bits": pa.array([b"".join(fill_pages(key[part], n[part]))], pa.binary())})
 
     seg = F.shiftrightunsigned("key", 8).bitwiseAND(SEGMENTS - 1).cast("int")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
@@ -199,14 +226,21 @@ def count_grams(docs: DataFrame) -> DataFrame:
     return checkpointed(summed.mapInArrow(fill, "key bigint, n bigint, seg int, bits binary"))
 
 
-def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame]:
-    """The model (filter, totals, exact counts of frequent words), and the table (key, n) of all words' counts."""
+def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame, DataFrame]:
+    """The model (filter, totals, exact counts of frequent words), the table (key, n) of all words' counts and that of the segments (seg, bits). A filter too large to broadcast is None in the model."""
     built = count_grams(docs)
     counts = built.where(F.col("seg").isNull()).select("key", "n")
-    bits = np.zeros(SEGMENTS * SEGMENT_BITS // 8, np.uint8)
     width = SEGMENT_BITS // 8
-    for r in built.where(F.col("seg").isNotNull()).select("seg", "bits").toLocalIterator():
-        bits[r.seg * width : (r.seg + 1) * width] = np.frombuffer(r.bits, np.uint8)
+    segments = built.where(F.col("seg").isNotNull()).select("seg", "bits")
+    pages = np.ones(SEGMENTS, np.int64)
+    for r in segments.select("seg", (F.length("bits") / width).cast("int").alias("n")).collect():
+        pages[r.seg] = r.n
+    bits = None
+    if pages.sum() <= BROADCAST:
+        first = np.cumsum(pages) - pages
+        bits = np.zeros(int(pages.sum()) * width, np.uint8)
+        for r in segments.toLocalIterator():
+            bits[first[r.seg] * width : (first[r.seg] + pages[r.seg]) * width] = np.frombuffer(r.bits, np.uint8)
     # Words by eighths of powers of two of their counts: some hundred rows say how many words are as frequent.
     scale = F.floor(F.log2("n") * 8)
     by_scale = counts.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("w"), F.sum("n").alias("t")).collect()
@@ -219,25 +253,66 @@ def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame]:
         least = r.s
     hot = counts.where(scale >= least).toPandas()
     order = np.argsort(hot["key"].to_numpy())
-    model = {"bits": bits, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
-    return model, counts
+    model = {"bits": bits, "pages": pages, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
+    return model, counts, segments
 
 
 def log_probabilities(model: dict[str, np.ndarray], units: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 probability of each token, from probes of the filter. units: the distinct tokens; these and the distinct pairs are probed once each; at: which one a token is; starts: first token of each text."""
-    count = MEANING[look_up(model["bits"], units)]
+    count = MEANING[look_up(model["bits"], units, model["pages"])]
     before = np.concatenate([[0], at[:-1]])
     before[starts] = np.searchsorted(units, END)
     pairs, of = np.unique(pair_keys(units[before], units[at]), return_inverse=True)
-    both = MEANING[look_up(model["bits"], pairs)][of]
+    both = MEANING[look_up(model["bits"], pairs, model["pages"])][of]
     norm = max(1e-300, float(model["total"][0]) + PRIOR * (float(model["distinct"][0]) + 1))
     p = (1 - WEIGHT) * (count[at] + PRIOR) / norm + WEIGHT * both / np.maximum(np.maximum(count[before], both), 1)
     return np.log10(np.minimum(p, 1))
 
 
+def score_apart(texts: DataFrame, segments: DataFrame, norm: float) -> DataFrame:
+    """text_hash, score of every text, copies once, by a filter that stays dealt out by segment."""
+
+    def pieces(batches):
+        keys_of = hasher()
+        for batch in batches:
+            for some, texts in slices(batch, "text"):
+                tokens = [keys_of(t) for t in texts]
+                right = np.concatenate(tokens)
+                left = np.concatenate([before(t) for t in tokens])
+                row = np.repeat(some.column("text_hash").to_numpy(), [len(t) for t in tokens])
+                yield pa.RecordBatch.from_pydict({"text_hash": pa.array(row), "v": pa.array(left), "w": pa.array(right), "pair": pa.array(pair_keys(left, right))})
+
+    def read(keys: pa.Table, held: pa.Table) -> pa.Table:
+        key = keys.column("key").to_numpy()
+        bits = held.column("bits").to_pylist() if len(key) else []
+        level = np.zeros(len(key), np.int64)
+        if bits:
+            own = np.frombuffer(bits[0], np.uint8)
+            for start in range(0, len(key), BLOCK):
+                some = key[start : start + BLOCK]
+                level[start : start + BLOCK] = _look_up(own, some, page_of(some, len(own) * 8 // SEGMENT_BITS))
+        return pa.table({"key": pa.array(key, pa.int64()), "c": pa.array(MEANING[level])})
+
+    seg = F.shiftrightunsigned("key", 8).bitwiseAND(SEGMENTS - 1).cast("int")
+    # texts that repeat a pair list it once, with how often
+    hashed = texts.select("text", F.xxhash64("text").alias("text_hash"))
+    copies = hashed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
+    tokens = hashed.mapInArrow(pieces, "text_hash bigint, v bigint, w bigint, pair bigint").groupBy("text_hash", "v", "w", "pair").agg(F.count(F.lit(1)).alias("times"))
+    distinct = checkpointed(tokens.select("v", "w", "pair").distinct())
+    asked = distinct.select(F.col("pair").alias("key")).union(distinct.select("v")).union(distinct.select("w")).distinct().withColumn("seg", seg)
+    found = checkpointed(asked.groupBy("seg").cogroup(segments.groupBy("seg")).applyInArrow(read, "key bigint, c double"))
+    known = distinct
+    for name in ("v", "w", "pair"):
+        known = known.join(found.select(F.col("key").alias(name), F.col("c").alias(f"c_{name}")), name)
+    p = (1 - WEIGHT) * (F.col("c_w") + PRIOR) / max(1e-300, norm) + WEIGHT * F.col("c_pair") / F.greatest("c_v", "c_pair", F.lit(1.0))
+    logs = known.select("v", "w", F.log10(F.least(p, F.lit(1.0))).alias("log"))
+    total = tokens.join(logs, ["v", "w"]).groupBy("text_hash").agg(F.sum(F.col("times") * F.col("log")).alias("total"))
+    return total.join(copies, "text_hash").select("text_hash", (F.col("total") / F.col("copies")).alias("score"))
+
+
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    model, counts = fit(docs)
+    model, counts, segments = fit(docs)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     total, norm = int(model["total"][0]), float(model["total"][0]) + PRIOR * (float(model["distinct"][0]) + 1)
 
@@ -249,7 +324,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             n = np.array([len(t) for t in tokens], np.int64)
             starts = np.cumsum(n) - n
             units, at = np.unique(np.concatenate(tokens), return_inverse=True)
-            score = np.add.reduceat(log_probabilities(m, units, at, starts), starts)
+            score = np.zeros(len(n)) if m["bits"] is None else np.add.reduceat(log_probabilities(m, units, at, starts), starts)
             # exact counts of the words in the table; the others are listed once a text
             place = np.minimum(np.searchsorted(m["keys"], units), max(0, len(m["keys"]) - 1))
             hot = m["keys"][place] == units if len(m["keys"]) else np.zeros(len(units), bool)
@@ -261,18 +336,20 @@ def score_documents(docs: DataFrame) -> DataFrame:
             pair, times = np.unique(owner * len(units) + at[rare], return_counts=True)
             ends = np.searchsorted(pair, np.arange(len(n) + 1) * len(units)).astype(np.int32)
             cold = pa.StructArray.from_arrays([pa.array(units[pair % len(units)]), pa.array(times.astype(np.int32))], ["key", "times"])
-            return [batch.column("doc_id"), batch.column("held_out"), n, known, base, score, pa.ListArray.from_arrays(pa.array(ends), cold)]
+            return [batch.column("doc_id"), batch.column("held_out"), batch.column("text_hash"), n, known, base, score, pa.ListArray.from_arrays(pa.array(ends), cold)]
 
         return rows
 
-    base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
-    scored = map_texts(base, "text", "doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_base double, score double, cold array<struct<key: bigint, times: int>>", make)
+    base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), F.xxhash64("text").alias("text_hash"))
+    scored = map_texts(base, "text", "doc_id bigint, held_out boolean, text_hash bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, cold array<struct<key: bigint, times: int>>", make)
     scored = checkpointed(scored).withColumn("row", F.monotonically_increasing_id())  # the files of the checkpoint fix the order
 
     rare = scored.select("row", F.inline("cold")).join(counts, "key", "left")
     n = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(n + F.lit(PRIOR))).alias("part"))
     out = scored.drop("cold").join(rare, "row", "left")
+    if model["bits"] is None:
+        out = out.drop("score").join(score_apart(docs.select("text"), segments, norm), "text_hash")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),

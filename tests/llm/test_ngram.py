@@ -61,3 +61,27 @@ def test_no_training_text_and_no_rows(spark):
     (row,) = ngram.score_documents(data.docs(spark, [(only, "some words", "", "", 0)])).collect()
     assert row.held_out and row.train_tokens == 0 and row.n_known == 0 and row.base_score == 0
     assert ngram.score_documents(data.empty(spark)).count() == 0
+
+
+def test_every_gram_of_a_large_segment_is_held():
+    rng = np.random.default_rng(5)
+    keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 30_000) & ~np.int64(0xFFF00) | np.int64(0x300))  # all in segment 3
+    counts = np.where(np.arange(len(keys)) < 1000, 50, 1)
+    filled = ngram.fill_pages(keys, counts)
+    pages = np.ones(ngram.SEGMENTS, np.int64)
+    pages[3] = len(filled)
+    bits = np.zeros(int(pages.sum()) * ngram.SEGMENT_BITS // 8, np.uint8)
+    own = np.frombuffer(b"".join(filled), np.uint8)
+    bits[3 * ngram.SEGMENT_BITS // 8 :][: len(own)] = own
+    assert len(filled) > 1 and np.unpackbits(own).mean() < 0.55
+    level = ngram.look_up(bits, keys, pages)
+    assert (level >= ngram.levels(counts)).all() and (level == ngram.levels(counts)).mean() > 0.9
+
+
+def test_scores_do_not_depend_on_where_the_filter_is(spark, monkeypatch):
+    rows = data.corpus() + data.edge_rows() + [(9000 + i, "red fox jumps over red fox", "", "", 0) for i in range(30)]
+    docs = data.docs(spark, rows)
+    sent = sorted((str(r.doc_id), round(r.score, 6)) for r in ngram.score_documents(docs).collect())
+    monkeypatch.setattr(ngram, "BROADCAST", 0)
+    apart = sorted((str(r.doc_id), round(r.score, 6)) for r in ngram.score_documents(docs).collect())
+    assert sent == apart and len(sent) == len(rows)
