@@ -1,13 +1,16 @@
-"""Main text of web pages, with boilerplate found by differencing each page against its nearest page by URL.
+"""Main text of web pages, with boilerplate found by differencing each page against its nearest pages by URL.
 
-Markup is cut into blocks of text. Blocks inside elements that name themselves as menus, headers, footers, sidebars,
-adverts, notices, forms, comments, scripts or styles are left out. The rest are the page's lines. Pages of one host are put
-in order of their URL path; each is paired with the nearest page in that order (the one that shares the longer beginning of
-the path; the earlier at a tie), the lines of both are aligned by longest common subsequence, and a page loses the lines
-that it shares with its neighbour, wherever they stand: site furniture repeats from page to page while text does not.
+Markup is cut into blocks of text, the lines of the page; scripts, styles, forms and other elements without text to read give
+none. Pages of one host are put in order of their URL path. Each is compared with the nearest page in that order (the one
+that shares the longer beginning of the path; the earlier at a tie): the lines of both are aligned by longest common
+subsequence, and the page loses the lines that it shares, since site furniture repeats from page to page while text does not.
 
-Where the differences say nothing (no neighbour, no shared line, or copies: all lines of a page shared), `article` and
-`main` elements break the tie: if they hold most of the page's text, it is the lines inside them, else all lines.
+What `article` and `main` elements hold is the page's own claim to be its text, and texts repeat lines too. So a line in there goes only if
+the page on the other side in the order shares it as well. A page that shares half of its text or more with a neighbour is a
+copy of it, and that comparison says nothing. If all lines would go, all stay.
+
+Furniture that differs from page to page cannot be found so. Lines go by name as well: those in menus, headers, footers and asides, and in
+elements whose class, id or role names one of the things of NAMED (anywhere) or ALSO (outside article and main).
 
 The pages of all hosts are ordered by host and path (without a slash at its end), then page_id, and cut into contiguous
 ranges; each range also gets the last page before it and the first one after it, so a page meets its neighbours wherever
@@ -23,9 +26,9 @@ import html as entities
 import re
 from bisect import bisect_right
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 from itertools import chain, islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,43 +44,53 @@ ATTRIBUTE = re.compile(r"(?:^|\s)(class|id|role|hidden|aria-hidden|style)(?:\s*=
 SPACE = re.compile(r"\s+")
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes"}
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = RAW | set("nav header footer aside form noscript template svg math canvas select button dialog menu object audio video head label fieldset".split())
+#: Elements without lines.
+DROPPED = RAW | set("form noscript template svg math canvas select button dialog object audio video head label fieldset".split())
+#: Elements that are furniture by their name.
+FURNITURE = set("nav header footer aside menu".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img ins kbd mark q ruby rp rt s samp small span strike strong sub sup time tt u var wbr".split())
 DECLARED = {"article", "main"}
-#: Words in a class, id or role that mark an element as not part of the text.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|adverts?|advertisements?|advertising|banner|sponsor(?:ed)?|promo(?:tion)?s?|nav|navbar|navigation|menu|breadcrumbs?|header|masthead|footer|sidebar|aside|complementary|contentinfo|cookies?|consent|gdpr|notices?|alert|popup|modal|newsletter|subscribe|signup|share|sharing|social|related|recommended|comments?|reader-comments|disqus|replies|reply|search|login|pagination|pager|skip|toolbar|widget|hidden|visually-hidden|sr-only)(?=$|[\s_-])",
-    re.I,
-)
-#: A heading element of the text may carry these, so they are dropped only outside declared text.
-LENIENT = {"header"}
+
+
+def _names(words: str) -> re.Pattern:
+    return re.compile(rf"(?:^|[\s_-])(?:{words.replace(' ', '|')})(?=$|[\s_-])", re.I)
+
+
+#: Words in a class, id or role for menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+NAMED = _names("ads? adverts? advertisements? advertising banner sponsor(?:ed)? promo(?:tion)?s? nav navbar navigation menu breadcrumbs? masthead footer sidebar complementary contentinfo cookies? consent gdpr notices? newsletter comments? reader-comments disqus hidden visually-hidden sr-only")
+#: Words that name furniture only outside the text.
+ALSO = _names("header aside alert popup modal subscribe signup share sharing social related recommended replies reply search login pagination pager skip toolbar widget")
 #: Order of pages: host and path, then page_id (null first) and the whole URL.
 KEY = ("host", "path", "seq", "address")
 
 
-def _marked(attributes: str) -> bool:
+#: What decides about a line besides the differences.
+OPEN, INSIDE, OUT = 0, 1, 2
+
+
+def _marked(attributes: str, inside: bool) -> bool:
     for m in ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and MARKED.search(value):
+        if name in ("class", "id", "role") and (NAMED.search(value) or not inside and ALSO.search(value)):
             return True
     return False
 
 
-def blocks(page: str | None) -> list[tuple[str, bool]]:
-    """Blocks of text of a page in order, outside the elements that say they are something else, with whether an article or main element holds them."""
-    out: list[tuple[str, bool]] = []
+def blocks(page: str | None) -> list[tuple[str, int]]:
+    """Lines of a page in order, each INSIDE an article or main element, OUT (in an element that names itself as furniture) or OPEN."""
+    out: list[tuple[str, int]] = []
     parts: list[str] = []
-    stack: list[tuple[str, bool, bool]] = []  # element, dropped here, declared here
-    dropped = declared = 0
+    stack: list[tuple[str, bool, bool, bool]] = []  # element, without lines, furniture, declared
+    dropped = marked = declared = 0
     skip_to = ""
 
     def close_block() -> None:
         if parts:
             text = SPACE.sub(" ", entities.unescape("".join(parts))).strip()
             if text:
-                out.append((text, declared > 0))
+                out.append((text, OUT if marked else INSIDE if declared else OPEN))
             parts.clear()
 
     for m in TOKEN.finditer(page or ""):
@@ -99,8 +112,9 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         if m[1]:
             for k in range(len(stack) - 1, -1, -1):
                 if stack[k][0] == name:
-                    for _, d, a in stack[k:]:
+                    for _, d, f, a in stack[k:]:
                         dropped -= d
+                        marked -= f
                         declared -= a
                     del stack[k:]
                     break
@@ -110,36 +124,77 @@ def blocks(page: str | None) -> list[tuple[str, bool]]:
         elif name not in VOID and not m[3].endswith("/"):
             if name == "body" and any(s[0] == "head" for s in stack):  # an unclosed head
                 stack.clear()
-                dropped = declared = 0
-            drop = (name in DROPPED and not (name in LENIENT and declared)) or (name not in ("html", "body") and _marked(m[3]))
-            stack.append((name, drop, name in DECLARED))
+                dropped = marked = declared = 0
+            # a heading of the text may stand in a header element
+            named = (name in FURNITURE and not (name == "header" and declared)) or (name not in ("html", "body") and _marked(m[3], declared > 0))
+            drop = name in DROPPED or (named and name in INLINE)  # a line is not cut in two by what it leaves out
+            named = named and not drop
+            stack.append((name, drop, named, name in DECLARED))
             dropped += drop
+            marked += named
             declared += name in DECLARED
     close_block()
     return out
 
 
+#: Cells of an alignment whose bits are kept at once (16 MB); a larger one is halved first.
+CELLS = 1 << 27
+
+
+def _rows(a: list[int], masks: dict[int, int], width: int) -> Iterator[int]:
+    """For each beginning of a: bits over the other list, 0 where a longest common subsequence grows by one."""
+    full = (1 << width) - 1
+    v = full
+    for x in a:
+        u = v & masks.get(x, 0)
+        v = ((v + u) | (v - u)) & full
+        yield v
+
+
+def _masks(b: list[int]) -> dict[int, int]:
+    places: dict[int, list[int]] = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    return {x: int.from_bytes(np.packbits(np.bincount(at, minlength=len(b)).astype(bool), bitorder="little").tobytes(), "little") for x, at in places.items()}
+
+
+def _growth(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of a longest common subsequence of a and each beginning of b."""
+    v = (1 << len(b)) - 1
+    for v in _rows(a, _masks(b), len(b)):
+        pass
+    bits = np.unpackbits(np.frombuffer(v.to_bytes(len(b) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(b)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(a: list[int], b: list[int], at: int) -> list[int]:
+    """Positions (from `at` on) in a of a longest common subsequence of both lists, exact at any size in bounded memory."""
+    start = next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+    taken = list(range(at, at + start))
+    a, b, at = a[start:], b[start:], at + start
+    end = next((k for k, (x, y) in enumerate(zip(reversed(a), reversed(b), strict=False)) if x != y), min(len(a), len(b)))
+    taken += range(at + len(a) - end, at + len(a))
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if not a or not b:
+        return taken
+    if len(a) * len(b) > CELLS and len(a) > 1:
+        half = len(a) // 2
+        cut = int((_growth(a[:half], b) + _growth(a[half:][::-1], b[::-1])[::-1]).argmax())
+        return taken + _aligned(a[:half], b[:cut], at) + _aligned(a[half:], b[cut:], at + half)
+    rows = [(1 << len(b)) - 1, *_rows(a, _masks(b), len(b))]
+    grown = lambda v, j: j - (v & ((1 << j) - 1)).bit_count()
+    j = len(b)
+    for i in range(len(a), 0, -1):
+        if grown(rows[i], j) > grown(rows[i - 1], j):
+            j = (~rows[i] & ((1 << j) - 1)).bit_length() - 1  # the last place where it grows
+            taken.append(at + i - 1)
+    return taken
+
+
 def shared_lines(a: list[str], b: list[str]) -> set[int]:
     """Positions in a that a longest common subsequence of both lists takes."""
-    if len(a) * len(b) > 250_000:  # long pages: lines that occur once anchor the alignment
-        found = SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks()
-        return {m.a + k for m in found for k in range(m.size)}
-    size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
-    for i in range(len(a) - 1, -1, -1):
-        row, below = size[i], size[i + 1]
-        for j in range(len(b) - 1, -1, -1):
-            row[j] = below[j + 1] + 1 if a[i] == b[j] else max(below[j], row[j + 1])
-    i = j = 0
-    taken = set()
-    while i < len(a) and j < len(b):
-        if a[i] == b[j]:
-            taken.add(i)
-            i, j = i + 1, j + 1
-        elif size[i + 1][j] >= size[i][j + 1]:
-            i += 1
-        else:
-            j += 1
-    return taken
+    ids = {x: k for k, x in enumerate(dict.fromkeys(chain(a, b)))}
+    return set(_aligned([ids[x] for x in a], [ids[x] for x in b], 0))
 
 
 def _common_prefix(a: str, b: str) -> int:
@@ -153,15 +208,25 @@ def _neighbour(paths: list[str], i: int) -> int | None:
     return max(near, key=lambda k: (_common_prefix(paths[i], paths[k]), -k)) if near else None
 
 
-def main_text(lines: list[str], declared: list[bool], other: list[str] | None) -> str:
-    """Text of a page given the lines of its neighbour."""
-    lost = set() if other is None else shared_lines(lines, other)
-    if not lost or len(lost) == len(lines):  # no neighbour, nothing shared or a copy: the differences say nothing
-        lost = set()
-        inside = sum(len(x) for x, d in zip(lines, declared, strict=True) if d)
-        if 2 * inside > sum(map(len, lines)):
-            lost = {k for k, d in enumerate(declared) if not d}
-    return "\n".join(x for k, x in enumerate(lines) if k not in lost)
+def decided(lines: list[str], kinds: list[int], nearest: list[str] | None, other: list[str] | None) -> list[str]:
+    """What becomes of each line, given the lines of the nearest page and of the one on the other side: kept, shared (it goes by the differences) or named (by names)."""
+
+    def shared(b: list[str] | None) -> set[int]:
+        found = set() if b is None else shared_lines(lines, b)
+        said = [len(x) for x, kind in zip(lines, kinds, strict=True) if kind != OUT]
+        same = sum(len(lines[k]) for k in found if kinds[k] != OUT)
+        return found if 2 * same < sum(said) or not same else {k for k in found if kinds[k] == OUT}
+
+    near = shared(nearest)
+    both = near & shared(other)
+    fate = ["shared" if k in (both if kind == INSIDE else near) else "named" if kind == OUT else "kept" for k, kind in enumerate(kinds)]
+    if "kept" not in fate:
+        fate = ["kept" if kind != OUT else f for f, kind in zip(fate, kinds, strict=True)]
+    return fate
+
+
+def main_text(lines: list[str], kinds: list[int], nearest: list[str] | None, other: list[str] | None) -> str:
+    return "\n".join(x for x, f in zip(lines, decided(lines, kinds, nearest, other), strict=True) if f == "kept")
 
 
 def _compared(rows: Iterator[dict]) -> Iterator[dict]:
@@ -170,8 +235,10 @@ def _compared(rows: Iterator[dict]) -> Iterator[dict]:
     for after in chain(rows, [None]):
         if now is not None and not now["guest"]:
             near = [r for r in (before, now, after) if r is not None and (r["part"], r["host"]) == (now["part"], now["host"])]
-            k = _neighbour([r["path"] for r in near], next(i for i, r in enumerate(near) if r is now))
-            yield now | {"text": main_text(now["lines"], now["declared"], None if k is None else near[k]["lines"])}
+            at = next(i for i, r in enumerate(near) if r is now)
+            k = _neighbour([r["path"] for r in near], at)
+            rest = [r["lines"] for i, r in enumerate(near) if i not in (at, k)]
+            yield now | {"text": main_text(now["lines"], now["kinds"], None if k is None else near[k]["lines"], rest[0] if rest else None)}
         before, now = now, after
 
 
@@ -229,13 +296,13 @@ def extract(pages: DataFrame, group: int = GROUP) -> DataFrame:
         for b in batches:
             got = [blocks(x) for x in b.column("html").to_pylist()]
             cols = {n: b.column(n) for n in ("page_id", "url", *KEY)}
-            cols |= {"lines": pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), "declared": pa.array([[d for _, d in g] for g in got], pa.list_(pa.bool_()))}
+            cols |= {"lines": pa.array([[t for t, _ in g] for g in got], pa.list_(pa.string())), "kinds": pa.array([[k for _, k in g] for g in got], pa.list_(pa.int8()))}
             keys = _keys(b)
             places = [(k, bisect_right(cuts, key), False) for k, key in enumerate(keys)] + [(k, part, True) for k, key in enumerate(keys) for part in guests.get(key, ())]
             rows, part, guest = zip(*places, strict=True) if places else ((), (), ())
             out = pa.RecordBatch.from_pydict(cols).take(pa.array(rows, pa.int64()))
             yield pa.RecordBatch.from_arrays([*out.columns, pa.array(part, pa.int32()), pa.array(guest, pa.bool_())], [*out.schema.names, "part", "guest"])
 
-    lines = keyed.mapInArrow(read, "page_id bigint, url string, host string, path string, seq bigint, address string, lines array<string>, declared array<boolean>, part int, guest boolean")
+    lines = keyed.mapInArrow(read, "page_id bigint, url string, host string, path string, seq bigint, address string, lines array<string>, kinds array<tinyint>, part int, guest boolean")
     placed = lines.repartition(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), "part").sortWithinPartitions("part", *KEY, F.xxhash64("lines"))
     return placed.mapInArrow(_compare, "page_id bigint, url string, text string, n_chars bigint")
