@@ -44,7 +44,7 @@ def slices(batch: pa.RecordBatch, column: str, most_chars: int = SLICE_CHARS) ->
         yield batch.slice(start), texts[start:]
 
 
-def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch, list], Iterable]]) -> DataFrame:
+def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callable[[pa.RecordBatch, list], Iterable]], most_chars: int = SLICE_CHARS) -> DataFrame:
     """Runs a batch function over all rows. make() is called once a task and returns fn(rows, texts), which gives the columns' arrays in order, for any number of rows."""
     fields = df.sparkSession.createDataFrame([], schema).schema
     from pyspark.sql.pandas.types import to_arrow_schema
@@ -54,7 +54,7 @@ def map_texts(df: DataFrame, column: str, schema: str, make: Callable[[], Callab
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fn = make()
         for batch in batches:
-            for rows, texts in slices(batch, column):
+            for rows, texts in slices(batch, column, most_chars):
                 columns = fn(rows, texts)
                 yield pa.RecordBatch.from_arrays([x.cast(f.type) if isinstance(x, pa.Array) else pa.array(x, f.type) for x, f in zip(columns, arrow, strict=True)], schema=arrow)
 

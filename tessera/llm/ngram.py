@@ -5,8 +5,10 @@ The training texts' unigrams and bigrams (the end of the text before stands befo
 shuffle. A count c is held as its level 1 + floor(log_BASE c): the n-gram is put into a Bloom filter once for each level up
 to its own, and a reader probes level after level until one is missing.
 
-The filter has SEGMENTS segments. Each is as many pages of SEGMENT_BITS bits as its levels need, so that no page is
-more than half full: every n-gram is entered, and the filter grows with the corpus. Up to BROADCAST pages it is sent
+The filter is cut into segments by the upper bits of the keys, one for about SEGMENT_CHARS characters of training text. Each
+is as many pages of PAGE_BITS bits as its levels need, so that no page is more than half full: every n-gram is
+entered, and the filter grows with the corpus. Tasks count a slice of the texts and send one packed row for each segment; what is
+gathered for a segment is bounded by its share of the n-grams. A filter of up to BROADCAST bytes is sent
 to all tasks. A larger one stays dealt out by segment: the distinct words and word pairs of the texts are brought
 to their segment, looked up there, and joined back to the texts (see score_apart).
 
@@ -20,38 +22,39 @@ as they stand). Null ids count as the empty text for the hold-out. Further colum
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Callable
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, crc_mod, map_texts, slices, words
 
 HELD_OUT = (10, 0)
 BASE = 1.5
-SEGMENTS = 4096
-SEGMENT_BITS = 1 << 16
+PAGE_BITS = 1 << 16
 PROBES = 5
-#: Most pages (of 8 KB) of a filter that is broadcast.
-BROADCAST = 3 << 12
-WEIGHT = 0.2
+#: Characters of training text for a segment, and the least number of upper bits that name one.
+SEGMENT_CHARS = 1 << 21
+LEAST_BITS = 8
+#: Most bytes of a filter that is broadcast.
+BROADCAST = 96 << 20
+WEIGHT = 0.3
 PRIOR = 0.1
 #: Most words in the table of exact counts that is broadcast.
 HOT = 1 << 19
 END = np.int64(-2)
-CACHE = 500_000
+CACHE = 200_000
+#: Characters counted or scored at once.
+SLICE = 2_000_000
 DEPTH = 64
-#: Keys probed at a time.
-BLOCK = 1 << 14
 SINGLE = (1 << np.arange(8)).astype(np.uint8)
 
 
 #: Levels that fill half of a page.
-ROOM = int(SEGMENT_BITS * np.log(2) / PROBES)
+ROOM = int(PAGE_BITS * np.log(2) / PROBES)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,21 +97,17 @@ def before(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], tokens[:-1]])
 
 
-def segment_of(keys: np.ndarray) -> np.ndarray:
-    return (keys.view(np.uint64) >> np.uint64(8)) & np.uint64(SEGMENTS - 1)
+def page_of(keys: np.ndarray, pages: int) -> np.ndarray:
+    """Page of each key in a segment of `pages` pages."""
+    spread = mix(keys.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
+    return ((spread * np.uint64(pages)) >> np.uint64(32)).astype(np.int64)
 
 
 def positions(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
-    """Bits (within the segment) of a key at a level: PROBES columns."""
+    """Bits (within the page) of a key at a level: PROBES columns."""
     x = mix(keys.view(np.uint64) + np.asarray(level, np.uint64) * np.uint64(0xD6E8FEB86659FD93))
     step = (x >> np.uint64(32)) | np.uint64(1)
-    return (x[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(SEGMENT_BITS - 1)
-
-
-def page_of(keys: np.ndarray, pages: np.ndarray | int) -> np.ndarray:
-    """Page of each key within its segment of `pages` pages."""
-    spread = (keys.view(np.uint64) >> np.uint64(20)) & np.uint64(0xFFFFFFFF)
-    return (spread * np.asarray(pages).astype(np.uint64)) >> np.uint64(32)
+    return ((x[:, None] + np.arange(PROBES, dtype=np.uint64) * step[:, None]) & np.uint64(PAGE_BITS - 1)).astype(np.int64)
 
 
 def levels(counts: np.ndarray) -> np.ndarray:
@@ -119,128 +118,117 @@ def levels(counts: np.ndarray) -> np.ndarray:
 MEANING = np.array([0.0] + [max(1.0, (np.ceil(BASE ** (j - 1) - 1e-9) + max(np.ceil(BASE**j - 1e-9) - 1, np.ceil(BASE ** (j - 1) - 1e-9))) / 2) for j in range(1, DEPTH + 1)])
 
 
-def fill_segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
-    """Bits of one page (fill_pages gives it what fits): unigrams first, then bigrams by falling count, until half of the bits would be set."""
-    order = np.lexsort((keys, -counts, keys & 1))
-    level = levels(counts[order])
-    take = np.searchsorted(np.cumsum(level), ROOM, side="right")
-    keys, level = keys[order[:take]], level[:take]
-    each = np.repeat(np.arange(len(keys)), level)
-    rung = np.arange(len(each)) - np.repeat(np.cumsum(level) - level, level) + 1
-    bits = np.zeros(SEGMENT_BITS, np.uint8)
-    if len(each):
-        bits[positions(keys[each], rung).ravel().astype(np.int64)] = 1
-    return np.packbits(bits, bitorder="little").tobytes()
-
-
-def fill_pages(keys: np.ndarray, counts: np.ndarray) -> list[bytes]:
-    """All n-grams of a segment, in pages enough to have room for every level."""
+def fill(keys: np.ndarray, counts: np.ndarray) -> bytes:
+    """Bits of a segment: all its n-grams, in pages enough to have room for every level."""
     level = levels(counts)
     pages = max(1, -(-int(level.sum()) // ROOM))
-    while np.bincount(page_of(keys, pages).astype(np.int64), weights=level, minlength=pages).max(initial=0) > ROOM:
+    while np.bincount(page_of(keys, pages), weights=level, minlength=pages).max(initial=0) > ROOM:
         pages += 1 + pages // 16
-    of = page_of(keys, pages)
-    order = np.argsort(of, kind="stable")
-    cuts = np.searchsorted(of[order], np.arange(1, pages, dtype=np.uint64))
-    return [fill_segment(keys[part], counts[part]) for part in np.split(order, cuts)]
-
-
-def look_up(bits: np.ndarray, keys: np.ndarray, pages: np.ndarray | None = None) -> np.ndarray:
-    """Level of each key: as many levels as are found one after another. bits: the segments' bytes in a row; pages: how many pages each segment has, one if not given.
-
-    Keys are probed segment after segment, BLOCK at a time, so that the bytes and the arrays probed stay in the processor's cache.
-    """
-    level = np.zeros(len(keys), np.int64)
-    pages = np.ones(SEGMENTS, np.int64) if pages is None else pages
-    first = np.cumsum(pages) - pages
-    order = np.argsort(segment_of(keys).astype(np.uint16), kind="stable")
-    for start in range(0, len(order), BLOCK):
-        some = order[start : start + BLOCK]
-        seg = segment_of(keys[some]).astype(np.int64)
-        level[some] = _look_up(bits, keys[some], first[seg].astype(np.uint64) + page_of(keys[some], pages[seg]))
-    return level
+    bits = np.zeros(pages * PAGE_BITS, np.uint8)
+    base = page_of(keys, pages) * PAGE_BITS
+    for rung in range(1, int(level.max(initial=0)) + 1):
+        has = level >= rung
+        bits[(base[has][:, None] + positions(keys[has], rung)).ravel()] = 1
+    return np.packbits(bits, bitorder="little").tobytes()
 
 
-def _look_up(bits: np.ndarray, keys: np.ndarray, page: np.ndarray) -> np.ndarray:
+def look_up_in(bits: bytes, keys: np.ndarray) -> np.ndarray:
+    """Level of each key of one segment: as many levels as are found one after another."""
+    own = np.frombuffer(bits, np.uint8)
     level = np.zeros(len(keys), np.int64)
-    alive, own = np.arange(len(keys)), keys.view(np.uint64)
-    base = page * np.uint64(SEGMENT_BITS)
+    alive, keys = np.arange(len(keys)), keys.view(np.uint64)
+    base = page_of(keys, len(own) * 8 // PAGE_BITS) * PAGE_BITS
 
     def found(base: np.ndarray, x: np.ndarray) -> np.ndarray:
-        at = (base + (x & np.uint64(SEGMENT_BITS - 1))).view(np.int64)
-        return bits[at >> 3] & SINGLE[at & 7]
+        at = base + (x & np.uint64(PAGE_BITS - 1)).view(np.int64)
+        return (own[at >> 3] & SINGLE[at & 7]) > 0
 
     for rung in range(1, DEPTH + 1):
-        x = mix(own + np.uint64(rung * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
-        hit = found(base, x) > 0
-        if rung == 1:  # most absent keys end here
-            left = np.flatnonzero(hit)
-            alive, own, base, x, hit = alive[left], own[left], base[left], x[left], hit[left]
+        x = mix(keys + np.uint64(rung * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
         step = (x >> np.uint64(32)) | np.uint64(1)
-        for _ in range(PROBES - 1):
+        for _ in range(PROBES):  # most absent keys end at the first probe
+            left = np.flatnonzero(found(base, x))
+            if len(left) < len(alive):
+                alive, keys, base, x, step = alive[left], keys[left], base[left], x[left], step[left]
             x = x + step
-            hit &= found(base, x) > 0
-        left = np.flatnonzero(hit)
-        if len(left) < len(alive):
-            alive, own, base = alive[left], own[left], base[left]
         if not len(alive):
             break
         level[alive] = rung
     return level
 
 
-def count_grams(docs: DataFrame) -> DataFrame:
-    """Rows of two kinds: seg null: key and count n of a word; else: the bits of a segment of the filter. Checkpointed."""
+def look_up(segments: list[bytes | None], keys: np.ndarray) -> np.ndarray:
+    """Level of each key, segment after segment, so that the bytes probed stay in the processor's cache."""
+    level = np.zeros(len(keys), np.int64)
+    if not len(keys):
+        return level
+    order = np.argsort(keys.view(np.uint64), kind="stable")
+    bounds = np.searchsorted(segment_of(keys[order], len(segments)), np.arange(len(segments) + 1))
+    for bits, start, end in zip(segments, bounds, bounds[1:], strict=False):
+        if bits and end > start:
+            level[order[start:end]] = look_up_in(bits, keys[order[start:end]])
+    return level
+
+
+def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
+    return (keys.view(np.uint64) >> np.uint64(65 - segments.bit_length())).astype(np.int64)
+
+
+def segment_column(segments: int) -> Column:
+    return F.shiftrightunsigned("key", 65 - segments.bit_length())
+
+
+def count_grams(docs: DataFrame) -> tuple[DataFrame, int]:
+    """A row for each segment that has n-grams: seg, keys and counts of its words (packed 64-bit numbers) and the bits of the filter; and the number of segments. Checkpointed."""
     train = docs.where(crc_mod("doc_id", HELD_OUT[0]) != HELD_OUT[1]).select("text")
+    chars = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = 1 << max(LEAST_BITS, (chars // SEGMENT_CHARS).bit_length())
 
     def pieces(batches):
         keys_of = hasher()
         for batch in batches:
-            for _, texts in slices(batch, "text"):
+            for _, texts in slices(batch, "text", SLICE):
                 tokens = [keys_of(t) for t in texts]
                 one = np.concatenate(tokens)
                 two = pair_keys(np.concatenate([before(t) for t in tokens]), one)
-                key, n = np.unique(np.concatenate([one, two]), return_counts=True)
-                yield pa.RecordBatch.from_pydict({"key": pa.array(key), "n": pa.array(n.astype(np.int64))})
-
-    def fill(batches):
-        got = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches if b.num_rows]
-        if got:
-            key, n = (np.concatenate(x) for x in zip(*got, strict=True))
-            del got
-            single = (key & 1) == 0
-            yield pa.RecordBatch.from_pydict({"key": pa.array(key[single]), "n": pa.array(n[single]), "seg": pa.nulls(int(single.sum()), pa.int32()), "bits": pa.nulls(int(single.sum()), pa.binary())})
-            seg = segment_of(key).astype(np.int32)
-            del single
-            order = np.argsort(seg, kind="stable")
-            ids, starts = np.unique(seg[order], return_index=True)
-            del seg
-            for s, part in zip(ids, np.split(order, starts[1:]), strict=True):
-                yield pa.RecordBatch.from_pydict({"key": pa.nulls(1, pa.int64()), "n": pa.nulls(1, pa.int64()), "seg": pa.array([s], pa.int32()), "bits": pa.array([b"".join(fill_pages(key[part], n[part]))], pa.binary())})
-
-    seg = F.shiftrightunsigned("key", 8).bitwiseAND(SEGMENTS - 1).cast("int")
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    # Spread by segment, so that the counts of a segment are summed where its bits are set.
-    spread = train.mapInArrow(pieces, "key bigint, n bigint").withColumn("seg", seg).repartition(parts, "seg")
-    summed = spread.groupBy("seg", "key").agg(F.sum("n").alias("n")).select("key", "n")
-    return checkpointed(summed.mapInArrow(fill, "key bigint, n bigint, seg int, bits binary"))
-
-
-def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame, DataFrame]:
-    """The model (filter, totals, exact counts of frequent words), the table (key, n) of all words' counts and that of the segments (seg, bits). A filter too large to broadcast is None in the model."""
-    built = count_grams(docs)
-    counts = built.where(F.col("seg").isNull()).select("key", "n")
-    width = SEGMENT_BITS // 8
-    segments = built.where(F.col("seg").isNotNull()).select("seg", "bits")
-    pages = np.ones(SEGMENTS, np.int64)
-    for r in segments.select("seg", (F.length("bits") / width).cast("int").alias("n")).collect():
-        pages[r.seg] = r.n
+                key, n = np.unique(np.concatenate([one, two]).view(np.uint64), return_counts=True)
+                seg, first = np.unique(segment_of(key, segments), return_index=True)
+                packed = [[x.tobytes() for x in np.split(of, first[1:])] for of in (key, n.astype(np.uint32))]
+                yield pa.RecordBatch.from_pydict({"seg": pa.array(seg), "keys": pa.array(packed[0], pa.binary()), "counts": pa.array(packed[1], pa.binary())})
+
+    def summed(group: pa.Table) -> pa.Table:
+        keys = np.frombuffer(b"".join(group.column("keys").to_pylist()), np.uint64)
+        counts = np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32)
+        key, of = np.unique(keys, return_inverse=True)
+        n = np.bincount(of, weights=counts).astype(np.int64)
+        word = (key & np.uint64(1)) == 0
+        bits = fill(key.view(np.int64), n)
+        return pa.table({"seg": group.column("seg").slice(0, 1), "keys": pa.array([key[word].tobytes()], pa.binary()), "counts": pa.array([n[word].tobytes()], pa.binary()), "bits": pa.array([bits], pa.binary())})
+
+    spread = train.mapInArrow(pieces, "seg bigint, keys binary, counts binary")
+    return checkpointed(spread.groupBy("seg").applyInArrow(summed, "seg bigint, keys binary, counts binary, bits binary")), segments
+
+
+def unpacked(built: DataFrame) -> DataFrame:
+    """(key, n) of all words."""
+
+    def rows(batches):
+        for batch in batches:
+            for keys, counts in zip(batch.column("keys").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                yield pa.RecordBatch.from_pydict({"key": pa.array(np.frombuffer(keys, np.int64)), "n": pa.array(np.frombuffer(counts, np.int64))})
+
+    return built.select("keys", "counts").mapInArrow(rows, "key bigint, n bigint")
+
+
+def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
+    """The model (filter by segment, totals, exact counts of frequent words), the table (key, n) of all words' counts and that of the segments (seg, bits). A filter too large to broadcast is None in the model."""
+    built, n_segments = count_grams(docs)
+    counts, segments = checkpointed(unpacked(built)), built.select("seg", "bits")
     bits = None
-    if pages.sum() <= BROADCAST:
-        first = np.cumsum(pages) - pages
-        bits = np.zeros(int(pages.sum()) * width, np.uint8)
+    if (segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= BROADCAST:
+        bits = [None] * n_segments
         for r in segments.toLocalIterator():
-            bits[first[r.seg] * width : (first[r.seg] + pages[r.seg]) * width] = np.frombuffer(r.bits, np.uint8)
+            bits[r.seg] = bytes(r.bits)
     # Words by eighths of powers of two of their counts: some hundred rows say how many words are as frequent.
     scale = F.floor(F.log2("n") * 8)
     by_scale = counts.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("w"), F.sum("n").alias("t")).collect()
@@ -253,29 +241,29 @@ def fit(docs: DataFrame) -> tuple[dict[str, np.ndarray], DataFrame, DataFrame]:
         least = r.s
     hot = counts.where(scale >= least).toPandas()
     order = np.argsort(hot["key"].to_numpy())
-    model = {"bits": bits, "pages": pages, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
+    model = {"bits": bits, "segments": n_segments, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
     return model, counts, segments
 
 
-def log_probabilities(model: dict[str, np.ndarray], units: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
+def log_probabilities(model: dict, units: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 probability of each token, from probes of the filter. units: the distinct tokens; these and the distinct pairs are probed once each; at: which one a token is; starts: first token of each text."""
-    count = MEANING[look_up(model["bits"], units, model["pages"])]
+    count = MEANING[look_up(model["bits"], units)]
     before = np.concatenate([[0], at[:-1]])
     before[starts] = np.searchsorted(units, END)
     pairs, of = np.unique(pair_keys(units[before], units[at]), return_inverse=True)
-    both = MEANING[look_up(model["bits"], pairs, model["pages"])][of]
+    both = MEANING[look_up(model["bits"], pairs)][of]
     norm = max(1e-300, float(model["total"][0]) + PRIOR * (float(model["distinct"][0]) + 1))
     p = (1 - WEIGHT) * (count[at] + PRIOR) / norm + WEIGHT * both / np.maximum(np.maximum(count[before], both), 1)
     return np.log10(np.minimum(p, 1))
 
 
-def score_apart(texts: DataFrame, segments: DataFrame, norm: float) -> DataFrame:
+def score_apart(texts: DataFrame, segments: DataFrame, n_segments: int, norm: float) -> DataFrame:
     """text_hash, score of every text, copies once, by a filter that stays dealt out by segment."""
 
     def pieces(batches):
         keys_of = hasher()
         for batch in batches:
-            for some, texts in slices(batch, "text"):
+            for some, texts in slices(batch, "text", SLICE):
                 tokens = [keys_of(t) for t in texts]
                 right = np.concatenate(tokens)
                 left = np.concatenate([before(t) for t in tokens])
@@ -285,21 +273,15 @@ def score_apart(texts: DataFrame, segments: DataFrame, norm: float) -> DataFrame
     def read(keys: pa.Table, held: pa.Table) -> pa.Table:
         key = keys.column("key").to_numpy()
         bits = held.column("bits").to_pylist() if len(key) else []
-        level = np.zeros(len(key), np.int64)
-        if bits:
-            own = np.frombuffer(bits[0], np.uint8)
-            for start in range(0, len(key), BLOCK):
-                some = key[start : start + BLOCK]
-                level[start : start + BLOCK] = _look_up(own, some, page_of(some, len(own) * 8 // SEGMENT_BITS))
+        level = look_up_in(bits[0], key) if bits else np.zeros(len(key), np.int64)
         return pa.table({"key": pa.array(key, pa.int64()), "c": pa.array(MEANING[level])})
 
-    seg = F.shiftrightunsigned("key", 8).bitwiseAND(SEGMENTS - 1).cast("int")
     # texts that repeat a pair list it once, with how often
     hashed = texts.select("text", F.xxhash64("text").alias("text_hash"))
     copies = hashed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
     tokens = hashed.mapInArrow(pieces, "text_hash bigint, v bigint, w bigint, pair bigint").groupBy("text_hash", "v", "w", "pair").agg(F.count(F.lit(1)).alias("times"))
     distinct = checkpointed(tokens.select("v", "w", "pair").distinct())
-    asked = distinct.select(F.col("pair").alias("key")).union(distinct.select("v")).union(distinct.select("w")).distinct().withColumn("seg", seg)
+    asked = distinct.select(F.col("pair").alias("key")).union(distinct.select("v")).union(distinct.select("w")).distinct().withColumn("seg", segment_column(n_segments))
     found = checkpointed(asked.groupBy("seg").cogroup(segments.groupBy("seg")).applyInArrow(read, "key bigint, c double"))
     known = distinct
     for name in ("v", "w", "pair"):
@@ -341,7 +323,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
         return rows
 
     base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), F.xxhash64("text").alias("text_hash"))
-    scored = map_texts(base, "text", "doc_id bigint, held_out boolean, text_hash bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, cold array<struct<key: bigint, times: int>>", make)
+    scored = map_texts(base, "text", "doc_id bigint, held_out boolean, text_hash bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, cold array<struct<key: bigint, times: int>>", make, SLICE)
     scored = checkpointed(scored).withColumn("row", F.monotonically_increasing_id())  # the files of the checkpoint fix the order
 
     rare = scored.select("row", F.inline("cold")).join(counts, "key", "left")
@@ -349,7 +331,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(n + F.lit(PRIOR))).alias("part"))
     out = scored.drop("cold").join(rare, "row", "left")
     if model["bits"] is None:
-        out = out.drop("score").join(score_apart(docs.select("text"), segments, norm), "text_hash")
+        out = out.drop("score").join(score_apart(docs.select("text"), segments, model["segments"], norm), "text_hash")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
