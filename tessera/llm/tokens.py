@@ -1,24 +1,21 @@
 """Token counts of whole texts as the tokenizers library gives them, with huge texts encoded in overlapping chunks.
 
-A text of more than WHOLE characters is cut into chunks that overlap. Each chunk is encoded
-with offsets by the library itself; the encodings of two neighbouring chunks are spliced at a boundary that is proven
-stable: both encodings end a run of tokens at the same character, with the same tokens on both sides of it for as far as
-AGREE tokens, within the overlap, and the character there is white space, which this vocabulary's pre-tokenizer never
-crosses. Where no such boundary lies in the overlap, the overlap is doubled and the chunk encoded anew, up to the whole
-rest of the text, so the splice never guesses.
+Every text is cut into chunks of CHUNK characters that overlap; a text that is no longer than that is one chunk. The library encodes
+the chunks, and two neighbouring chunks are spliced at a boundary that is proven stable: after white space, both encodings
+begin a token at the same character, and on both sides of it they have the same tokens at the same characters, AGREE of them or as
+many as the overlap holds. Where no such boundary lies in the overlap, the right chunk begins earlier, twice as
+far each time, and is encoded anew; if that reaches the chunk's own beginning, both are encoded as one, so the splice never guesses.
 
-Texts repeated in a batch, and words between ASCII white space of the other texts, are encoded once a batch: for the same
-reason a word has the same tokens wherever it stands. The library encodes the distinct words as lines of one text. Special strings inside a text are handled as the library does by default.
+A pre-tokenizer that drops white space (as this vocabulary's does) sees the same on each side of it wherever a chunk begins. One that joins white space to words begins no
+token after white space, so that its texts are encoded as one. Special strings inside a text are handled as the library does by default.
 
-Null and empty texts have 0 tokens. Repeated rows get equal counts. Further columns are not read.
+Texts repeated in a batch are encoded once. Null and empty texts have 0 tokens. Repeated rows get equal counts. Further columns are not read.
 """
 
 from __future__ import annotations
 
-from collections import Counter
+import os
 from collections.abc import Callable
-from functools import lru_cache
-from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -28,123 +25,105 @@ from .common import map_texts
 
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
-#: Characters encoded at once, and the first overlap of two chunks.
-WHOLE = 60_000
-OVERLAP = 400
+#: Characters of a chunk, and the first overlap of two chunks.
+CHUNK = 4096
+OVERLAP = 256
 #: Tokens that must agree on each side of a splice (or up to the ends of the overlap).
 AGREE = 4
-#: Words whose counts a worker keeps.
-CACHE = 800_000
+#: Characters that the library encodes in one call: bounds the memory of its encodings.
+CALL = 400_000
 
 
 def load(vocabulary: str = VOCABULARY):
     import public_tokenizers
     from tokenizers import Tokenizer
 
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"  # a task has one core
     t = Tokenizer.from_file(public_tokenizers.path(vocabulary))
     t.no_truncation()
     t.no_padding()
     return t
 
 
-def splice(left: list[tuple[int, int, int]], right: list[tuple[int, int, int]], start: int, end: int, text: str, agree: int = AGREE) -> tuple[int, int] | None:
-    """Numbers of tokens to keep of `left` and to drop of `right`, which cover text up to `end` and from `start` on; None without a stable boundary.
+class Chunk:
+    """An encoded stretch of a text from character `start` to `end`."""
 
-    Tokens are (id, first character, end character) in positions of the whole text. A boundary is a white space between
-    both chunks' outer edges, before and after which both have the same tokens.
-    """
-    index = {t[1]: k for k, t in enumerate(right)}
-    for i in range(len(left) - 1, 0, -1):
-        at = left[i][1]
-        if at <= start:
-            return None
-        k = index.get(at)
-        if k is None or k == 0 or not text[at - 1].isspace():
-            continue
-        before, after = left[max(0, i - agree) : i], left[i : i + agree]
-        mine = right[max(0, k - agree) : k]
-        if not (mine and before[-len(mine) :] == mine and right[k : k + len(after)] == after):
+    def __init__(self, encoding, start: int, end: int):
+        self.ids, self.start, self.end = encoding.ids, start, end
+        self._at, self._span = encoding.char_to_token, encoding.token_to_chars
+
+    def token_at(self, p: int) -> int | None:
+        """Number of the token that begins at character p of the whole text."""
+        k = self._at(p - self.start)
+        return k if k is not None and self._span(k)[0] == p - self.start else None
+
+    def near(self, k: int, before: int, after: int) -> list[tuple[int, int, int]]:
+        """Tokens around token k, with their characters in the whole text."""
+        spans = ((self.ids[i], *self._span(i)) for i in range(k - before, k + after))
+        return [(t, a + self.start, b + self.start) for t, a, b in spans]
+
+
+def splice(left: Chunk, right: Chunk, text: str, agree: int = AGREE) -> tuple[int, int] | None:
+    """Numbers of tokens to keep of `left` and to drop of `right`; None without a stable boundary in their overlap."""
+    for p in range(left.end - 1, right.start, -1):
+        if not text[p - 1].isspace() or text[p].isspace():
             continue
-        if len(mine) < min(agree, i) or len(after) < min(agree, len(right) - k):
+        i, k = left.token_at(p), right.token_at(p)
+        if not i or not k:
             continue
-        return i, k
+        before, after = min(agree, i, k), min(agree, len(left.ids) - i, len(right.ids) - k)
+        whole = (before == agree or i == before) and (after == agree or len(right.ids) - k == after)
+        if whole and left.near(i, before, after) == right.near(k, before, after):
+            return i, k
     return None
 
 
-def encode_overlapping(text: str, encode: Callable[[str], tuple[list[int], list[tuple[int, int]]]], size: int = WHOLE, overlap: int = OVERLAP) -> list[int]:
-    """Token ids of a text from overlapping chunks."""
-
-    def chunk(a: int, b: int) -> list[tuple[int, int, int]]:
-        ids, spans = encode(text[a:b])
-        return [(t, a + s, a + e) for t, (s, e) in zip(ids, spans, strict=True)]
-
-    done: list[int] = []
-    current, end = chunk(0, min(size, len(text))), min(size, len(text))
-    while end < len(text):
-        width = min(overlap, end)
-        while True:
-            start = end - width
-            stop = min(len(text), end + size)
-            following = chunk(start, stop)
-            at = splice(current, following, start, end, text)
-            if at is not None:
-                break
-            if width >= end:  # no stable boundary since the start: the text up to `stop` as one
-                done, current, at = [], chunk(0, stop), None
-                break
-            width = min(2 * width, end)
-        if at is None:
-            end = stop
+def count_overlapping(text: str, encode: Callable, size: int = CHUNK, overlap: int = OVERLAP) -> tuple[int, int]:
+    """Tokens of a text from overlapping chunks, and how many splices joined them."""
+
+    def chunk(start: int, end: int) -> Chunk:
+        return Chunk(encode(text[start:end]), start, end)
+
+    current, total, dropped, splices = chunk(0, min(size, len(text))), 0, 0, 0
+    while current.end < len(text):
+        at, width = None, overlap
+        while at is None and (start := current.end - width) > current.start:
+            following = chunk(start, min(len(text), current.end + size))
+            at = splice(current, following, text)
+            at = None if at is None or at[0] < dropped else at
+            width *= 2
+        if at is not None:
+            total += at[0] - dropped
+            current, dropped, splices = following, at[1], splices + 1
             continue
-        done += [t for t, _, _ in current[: at[0]]]
-        current, end = following[at[1] :], stop
-    return done + [t for t, _, _ in current]
-
-
-def count_words(fresh: list[bytes], encode: Callable) -> dict[bytes, int]:
-    """Tokens of each word: the words, a line each, are encoded as overlapping chunks and each token belongs to the line it starts in."""
-    out = dict.fromkeys(fresh, 0)
-    for start in range(0, len(fresh), 5_000):
-        some = [w.decode("utf-8", "surrogatepass") for w in fresh[start : start + 5_000]]
-        starts = np.cumsum([0] + [len(w) + 1 for w in some])
-        _, spans = encode("\n".join(some))
-        at = np.searchsorted(starts, np.fromiter((s for s, _ in spans), np.int64, len(spans)), side="right") - 1
-        for w, n in zip(fresh[start : start + 5_000], np.bincount(at, minlength=len(some)).tolist(), strict=True):
-            out[w] = n
-    return out
-
-
-@lru_cache(2)
-def counter(vocabulary: str = VOCABULARY) -> Callable[[list], np.ndarray]:
-    """fn(texts) -> tokens of each. A worker process keeps it, with the counts of words, from task to task."""
+        # no stable boundary since the chunk's beginning: a chunk twice as long
+        longer = chunk(current.start, min(len(text), current.end + max(size, current.end - current.start)))
+        if dropped > len(longer.ids) or longer.near(0, 0, dropped) != current.near(0, 0, dropped):  # its beginning was not final
+            return len(encode(text).ids), 0
+        current = longer
+    return total + len(current.ids) - dropped, splices
+
+
+def counter(vocabulary: str = VOCABULARY, size: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list], np.ndarray]:
+    """fn(texts) -> tokens of each."""
     tokenizer = load(vocabulary)
-    cache: dict[bytes, int] = {}
 
     def encode(text: str):
-        e = tokenizer.encode(text, add_special_tokens=False)
-        return e.ids, e.offsets
+        return tokenizer.encode(text, add_special_tokens=False)
 
     def count(texts: list) -> np.ndarray:
-        whole: dict[str, int] = {}
-        parts: list[tuple[str, list[bytes]]] = []
-        for text in texts:
-            if text and text not in whole:
-                if len(text) > WHOLE:
-                    whole[text] = len(encode_overlapping(text, encode))
-                else:
-                    whole[text] = 0
-                    parts.append((text, text.encode("utf-8", "surrogatepass").split()))
-        seen = Counter(chain.from_iterable(p for _, p in parts))
-        fresh = count_words([w for w in seen if w not in cache], encode)
-        fresh.update((w, cache[w]) for w in seen if w not in fresh)
-        for text, p in parts:
-            whole[text] = sum(map(fresh.__getitem__, p))
-        if len(cache) + len(seen) > CACHE:
-            cache.clear()
-            cache.update((w, fresh[w]) for w, n in seen.items() if n > 1)
-        else:
-            cache.update(fresh)
-        return np.array([whole[t] if t else 0 for t in texts], np.int64)
+        known = {"": 0}
+        short: list[str] = []
+        for text in dict.fromkeys(t for t in texts if t):
+            if len(text) > size:
+                known[text] = count_overlapping(text, encode, size, overlap)[0]
+            else:
+                short.append(text)
+        step = max(1, CALL // size)
+        for start in range(0, len(short), step):  # one chunk each: nothing to splice, so no offsets
+            some = short[start : start + step]
+            known.update(zip(some, map(len, tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        return np.array([known[t or ""] for t in texts], np.int64)
 
     return count
 

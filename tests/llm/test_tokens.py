@@ -13,39 +13,59 @@ ODD = ["́", "\xa0", "　", "<|endoftext|>", "'s", "İ", "ẞ", "１", " ", "\
 @pytest.fixture(scope="module")
 def library():
     t = tokens.load()
+    return lambda text: t.encode(text, add_special_tokens=False)
 
-    def encode(text):
-        e = t.encode(text, add_special_tokens=False)
-        return e.ids, e.offsets
 
-    return encode
-
-
-def test_overlapping_chunks_give_the_ids_of_the_whole(library):
+def test_overlapping_chunks_count_as_the_whole(library):
     rng = random.Random(1)
+    splices = 0
     for _ in range(300):
         text = "".join(rng.choice(ODD) for _ in range(rng.randint(0, 150)))
-        assert tokens.encode_overlapping(text, library, rng.choice([8, 20, 40]), rng.choice([1, 4, 9])) == library(text)[0]
+        n, joined = tokens.count_overlapping(text, library, rng.choice([8, 20, 40]), rng.choice([1, 4, 9]))
+        assert n == len(library(text).ids)
+        splices += joined
+    assert splices > 300
+
+
+def test_documents_are_spliced(library):
+    """Every document by small chunks: nearly all chunks are joined by a splice, and counts are those of the whole."""
+    rows = data.corpus()
+    joined = chunks = 0
+    for _, text, *_ in rows:
+        n, splices = tokens.count_overlapping(text or "", library, 60, 20)
+        assert n == len(library(text or "").ids)
+        joined += splices
+        chunks += max(0, -(-len(text or "") // 60) - 1)
+    assert joined >= 0.8 * chunks > 100
 
 
 def test_no_boundary_widens_to_the_whole(library):
-    text = "abc" * 200
-    assert tokens.encode_overlapping(text, library, 50, 5) == library(text)[0]
+    for text in ("abc" * 200, "a" * 100_000, " " * 5000 + "a b " + " " * 5000):
+        assert tokens.count_overlapping(text, library, 50, 5)[0] == len(library(text).ids)
+
+
+def test_vocabulary_that_joins_blanks_to_words_counts_right(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    text = "Some words, and\n\n more of  them. " * 30
+    assert tokens.counter("byte_bpe_50k.json", 50, 8)([text, None]).tolist() == [len(t.encode(text, add_special_tokens=False).ids), 0]
 
 
 def test_counts_are_the_library_s(spark, library, monkeypatch):
     rows = data.corpus() + data.edge_rows()
     got = tokens.count_tokens(data.docs(spark, rows, clash=True), limit=20).collect()
-    expected = sorted(((i, len((t or "").encode()), len(library(t or "")[0])) for i, t, *_ in rows), key=str)
+    expected = sorted(((i, len((t or "").encode()), len(library(t or "").ids)) for i, t, *_ in rows), key=str)
     assert sorted(((r.doc_id, r.n_bytes, r.n_tokens) for r in got), key=str) == expected
     assert all(r.over_limit == (r.n_tokens > 20) for r in got)
     assert tokens.count_tokens(data.empty(spark)).count() == 0
 
 
-def test_words_and_chunks_agree(library):
+def test_odd_texts_count_as_the_library_s(library):
     rng = random.Random(2)
     texts = ["".join(rng.choice(ODD) for _ in range(rng.randint(0, 90))) for _ in range(300)] + [None, "", "x " * 40_000]
-    assert tokens.counter()(texts).tolist() == [len(library(t or "")[0]) for t in texts]
+    assert tokens.counter()(texts).tolist() == [len(library(t or "").ids) for t in texts]
 
 
 @pytest.fixture(scope="module")
