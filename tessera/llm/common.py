@@ -73,6 +73,11 @@ def filter_texts(df: DataFrame, column: str, make: Callable[[], Callable[[list],
     return df.mapInArrow(run, df.schema)
 
 
+def drawn(share: float, *columns: str) -> Column:
+    """Whether a row is in a sample of a share of all rows: by a hash of its columns, fine enough for any number of rows."""
+    return F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1 << 52)) < int((1 << 52) * min(1.0, share))
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int, held: int, most: int) -> DataFrame:
     """About `most` labelled training texts as (doc_id, text, y): those whose id has crc32 mod `modulus` other than `held`.
 
@@ -87,8 +92,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, modulus: int
     )
     n = known.count()
     if n > most:
-        share = F.pmod(F.xxhash64(F.lit("sample"), "known_id"), F.lit(1_000_000))
-        known = known.where(share < int(1_000_000 * most / n))
+        known = known.where(drawn(most / n, "known_id"))
     texts = docs.select("doc_id", "text")
     return texts.join(F.broadcast(known), texts["doc_id"] == known["known_id"]).select("doc_id", "text", "y")
 

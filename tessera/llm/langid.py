@@ -1,13 +1,13 @@
 """Language of a text by multinomial naive Bayes over hashed character n-grams.
 
-Texts are lower-cased, runs of non-letters become one blank, and runs of two and three characters are hashed into
-`buckets`. The matrix of log probabilities (bucket by language) is broadcast; its size is fixed by `buckets` and the
-number of languages, at most MAX_LANGUAGES. A batch of texts becomes one long array of buckets; gathered rows of the
-matrix are summed by text.
-
-score is the posterior probability of the language named. Null texts and texts without a letter, and all texts where
-nothing was learned, get `und` with score 0. Ties go to the language that sorts first. Repeated rows get equal results.
-Further columns are not read.
+Texts are lower-cased, runs without letters and marks become one blank, and runs of two and three characters are hashed into
+buckets. The matrix of log probabilities (bucket by language) is broadcast. It has BUCKETS rows, halved while it has
+more than CELLS cells (64 MB); of more than CELLS >> 10 languages those with most texts are learned. A batch of
+texts becomes one long array of buckets; gathered rows of the matrix are summed by text.
+
+score is the posterior probability of the language named. Null texts and texts without a letter (category L; marks alone
+are none), and all texts where nothing was learned, get `und` with score 0. Ties go to the language that sorts first.
+Repeated rows get equal results. Further columns are not read.
 """
 
 from __future__ import annotations
@@ -25,7 +25,8 @@ from .common import crc_mod, map_texts
 BUCKETS = 1 << 16
 #: Bound of the texts learned from, for each language.
 SAMPLE = 4000
-MAX_LANGUAGES = 256
+#: Most cells of the matrix.
+CELLS = 1 << 24
 HELD_OUT = (4, 2)
 UNKNOWN = "und"
 #: Grams gathered at once.
@@ -33,16 +34,17 @@ SPAN = 1 << 19
 
 
 def letter_table() -> np.ndarray:
-    """True at the code points that are letters or marks."""
-    return np.fromiter((unicodedata.category(chr(i))[0] in "LM" for i in range(0x110000)), bool, 0x110000)
+    """2 at the code points that are letters, 1 at marks, 0 elsewhere."""
+    return np.fromiter(("_ML".find(unicodedata.category(chr(i))[0]) for i in range(0x110000)), np.int8, 0x110000).clip(0)
 
 
 def grams(text: str, letters: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     """Buckets of the n-grams of a text; none if it has no letter."""
     c = np.frombuffer(text.lower().encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
-    is_letter = letters[c]
-    if not is_letter.any():
+    kinds = letters[c]
+    if not (kinds == 2).any():
         return np.zeros(0, np.int64)
+    is_letter = kinds > 0
     c = np.where(is_letter, c, 0)
     c = np.concatenate([[0], c[is_letter | np.concatenate([[False], is_letter[:-1]])], [0]]).astype(np.uint64)
     two = c[:-1] * np.uint64(0x9E3779B97F4A7C15) + c[1:] * np.uint64(0xC2B2AE3D27D4EB4F)
@@ -53,41 +55,44 @@ def grams(text: str, letters: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return (both >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
 
 
-def training_sample(docs: DataFrame, sample: int) -> DataFrame:
-    """About `sample` texts of each language from outside the held-out part, taken by the hash of the id."""
+def training_sample(docs: DataFrame, sample: int) -> tuple[DataFrame, int]:
+    """About `sample` texts of each language from outside the held-out part, taken by the hash of the id; and the number of languages."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", HELD_OUT[0]) != HELD_OUT[1]))
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGUAGES + 1).collect()
-    if len(counts) > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    share = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1_000_000))
-    kept = F.lit(False)
-    for lang, n in counts:
-        kept = F.when(F.col("lang") == lang, share < int(1_000_000 * sample / n) if n > sample else F.lit(True)).otherwise(kept)
-    return known.where(kept)
+    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "lang").limit(CELLS >> 10).toPandas()
+    # a table of a bounded number of rows
+    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in zip(counts["lang"], counts["texts"], strict=True)], "lang string, share double")
+    hashed = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 52))
+    kept = known.join(F.broadcast(shares), "lang").where(hashed < F.col("share") * float(1 << 52))
+    return kept.select("text", "lang"), len(counts)
 
 
 def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smooth: float = 0.5) -> dict[str, np.ndarray]:
     """Languages in order and their log probabilities (buckets by languages), priors included."""
+    texts, languages = training_sample(docs, sample)
+    while buckets > 1 << 10 and buckets * languages > CELLS:
+        buckets //= 2
 
     def run(batches):
-        letters, counts, seen = letter_table(), {}, {}
+        letters = letter_table()
         for b in batches:
-            for lang, text in zip(b.column("lang").to_pylist(), b.column("text").to_pylist(), strict=True):
-                counts.setdefault(lang, np.zeros(buckets, np.int64))
-                counts[lang] += np.bincount(grams(text, letters, buckets), minlength=buckets)
-                seen[lang] = seen.get(lang, 0) + 1
-        names = sorted(counts)
-        yield pa.RecordBatch.from_pydict({"lang": pa.array(names, pa.string()), "n": pa.array([seen[k] for k in names], pa.int64()), "counts": pa.array([counts[k].tobytes() for k in names], pa.binary())})
-
-    # The sample is bounded, so a few tasks count it: each sends one dense row a language to the driver.
-    rows = training_sample(docs, sample).repartition(6).mapInArrow(run, "lang string, n bigint, counts binary").collect()
-    langs = sorted({r.lang for r in rows})
+            names, of = np.unique(np.array(b.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+            for k, name in enumerate(names):
+                found = [grams(t, letters, buckets) for t in b.column("text").take(pa.array(np.flatnonzero(of == k))).to_pylist()]
+                bucket, n = np.unique(np.concatenate(found), return_counts=True)
+                # bucket -1: how many texts
+                yield pa.RecordBatch.from_pydict({"lang": pa.array([str(name)] * (len(n) + 1)), "bucket": pa.array([-1, *bucket.tolist()], pa.int64()), "n": pa.array([len(found), *n.tolist()], pa.int64())})
+
+    # dealt out anew, since few of the rows read are in the sample; summed, it has a row for a cell of the matrix at most
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    counted = texts.repartition(parts).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    langs, of = np.unique(np.array(counted.column("lang").to_pylist(), object).astype(str), return_inverse=True)
+    bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
     total, docs_of = np.zeros((buckets, len(langs))), np.zeros(len(langs))
-    for r in rows:
-        total[:, langs.index(r.lang)] += np.frombuffer(r.counts, np.int64)
-        docs_of[langs.index(r.lang)] += r.n
-    logp = np.log(total + smooth) - np.log((total + smooth).sum(0)) if langs else total
-    return {"langs": np.array(langs, dtype=str), "logp": logp.astype(np.float32), "prior": np.log(docs_of / max(1, docs_of.sum())) if langs else docs_of}
+    cells = bucket >= 0
+    total[bucket[cells], of[cells]] = n[cells]
+    docs_of[of[~cells]] = n[~cells]
+    logp = np.log(total + smooth) - np.log((total + smooth).sum(0)) if len(langs) else total
+    return {"langs": np.array(langs, dtype=str), "logp": logp.astype(np.float32), "prior": np.log(docs_of / max(1, docs_of.sum())) if len(langs) else docs_of}
 
 
 def predictor(model: dict[str, np.ndarray]) -> Callable[[list], tuple[list[str], np.ndarray]]:
