@@ -4,7 +4,8 @@ score = sigmoid(b + sum_i w_i x_i + sum_{i<j} <v_i, v_j> x_i x_j), x_i = 1 if th
 factors v let a pair of terms (an insult and a mention of a group) weigh more than the sum of both.
 
 Terms are words without the punctuation around them and the words' beginnings (inflected forms of one stem share these).
-They are hashed into `buckets`; a screen on the sample keeps at most `max_terms` whose presence goes with the label.
+They are hashed into `buckets`. A screen on the sample keeps the terms whose presence goes with the label, and those of pairs
+(of the PAIRED terms in most texts) that go with it as a pair, whatever each does alone; at most `max_terms` in all.
 
 Null and empty texts have no term and get the model's bias. With no labels, or labels of one kind, every text gets the
 smoothed share of positive labels. Repeated rows get equal scores. Further columns of the inputs are not read.
@@ -28,6 +29,9 @@ SAMPLE = 12_000
 MAX_TERMS = 1024
 FACTORS = 8
 MIN_RATIO = 1.0
+#: Terms whose pairs are screened, and the standard errors from zero that a pair's own effect must have (of two million pairs one passes by chance).
+PAIRED = 2048
+PAIR_ERRORS = 5.0
 THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 PREFIXES = (4, 5)
@@ -60,19 +64,54 @@ def text_terms(texts: list, buckets: int = BUCKETS) -> list[np.ndarray]:
 
 
 def screen(ids: list[np.ndarray], y: np.ndarray, buckets: int, max_terms: int) -> np.ndarray:
-    """Buckets whose log odds ratio is MIN_RATIO or more either way and four standard errors or more from zero; the clearest `max_terms`."""
+    """The terms to learn from: `max_terms` at most, three quarters of them by themselves and the rest as members of pairs."""
     pos = np.zeros(buckets)
     neg = np.zeros(buckets)
     for label, into in ((1, pos), (0, neg)):
         if got := [x for x, k in zip(ids, y, strict=True) if k == label]:
             into += np.bincount(np.concatenate(got), minlength=buckets)
-    n1, n0 = max(1, int((y == 1).sum())), max(1, int((y == 0).sum()))
+    paired = pair_terms(ids, y, pos + neg)
+    single = single_terms(pos, neg, max(1, int((y == 1).sum())), max(1, int((y == 0).sum())))
+    most = max_terms - min(len(paired), max_terms // 4)
+    return np.union1d(single[:most], paired[: max_terms - min(len(single), most)])
+
+
+def single_terms(pos: np.ndarray, neg: np.ndarray, n1: int, n0: int) -> np.ndarray:
+    """Buckets whose log odds ratio is MIN_RATIO or more either way and four standard errors or more from zero, the clearest first."""
     a, b, c, d = pos + 0.5, n1 - pos + 0.5, neg + 0.5, n0 - neg + 0.5
     ratio = np.log(a / b) - np.log(c / d)
     z = ratio / np.sqrt(1 / a + 1 / b + 1 / c + 1 / d)
     z[(pos + neg < 5) | (np.abs(ratio) < MIN_RATIO)] = 0
-    order = np.argsort(-np.abs(z), kind="stable")[:max_terms]
-    return np.sort(order[np.abs(z[order]) >= 4])
+    order = np.argsort(-np.abs(z), kind="stable")
+    return order[np.abs(z[order]) >= 4]
+
+
+def pair_terms(ids: list[np.ndarray], y: np.ndarray, df: np.ndarray) -> np.ndarray:
+    """Buckets of the pairs whose joint presence changes the log odds of the label by more than both terms do (MIN_RATIO, PAIR_ERRORS), the clearest first.
+
+    With a and b for the terms, the effect is logit(ab) - logit(a alone) - logit(b alone) + logit(neither).
+    """
+    common = np.argsort(-df, kind="stable")[:PAIRED]
+    common = np.sort(common[df[common] >= 5])
+    if len(common) < 2:
+        return common[:0]
+    x = np.zeros((len(y), len(common)), np.float32)
+    for i, row in enumerate(ids):
+        x[i, np.searchsorted(common, np.intersect1d(row, common, assume_unique=True))] = 1
+    effect, error = 0.0, 0.0
+    for label, sign in ((1, 1.0), (0, -1.0)):
+        part = x[y == label]
+        both = part.T @ part
+        one = part.sum(0)
+        for cell, s in ((both, 1.0), (one[:, None] - both, -1.0), (one[None, :] - both, -1.0), (len(part) - one[:, None] - one[None, :] + both, 1.0)):
+            effect = effect + sign * s * np.log(cell + 0.5)
+            error = error + 1 / (cell + 0.5)
+    z = np.abs(effect) / np.sqrt(error)
+    z[np.abs(effect) < MIN_RATIO] = 0
+    i, j = np.nonzero(np.triu(z >= PAIR_ERRORS, 1))
+    order = np.argsort(-z[i, j], kind="stable")
+    members = common[np.stack([i[order], j[order]], 1).ravel()]
+    return members[np.sort(np.unique(members, return_index=True)[1])]
 
 
 def machine(x: np.ndarray, b: np.ndarray, w: np.ndarray, v: np.ndarray) -> np.ndarray:

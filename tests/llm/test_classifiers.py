@@ -49,6 +49,45 @@ def test_toxicity_held_out(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in toxicity.score_documents(docs, model).where("predicted = 0").collect()}
 
 
+def test_toxic_pairs_of_harmless_words(spark):
+    """Either of two words alone is toxic, both or none are not: each by itself says nothing, so only pairs can."""
+
+    def make(rng, i):
+        a, b = rng.random() < 0.5, rng.random() < 0.5
+        return data.text(rng, 3) + " " + " ".join(["alphaword"] * a + ["betaterm"] * b), int(a != b)
+
+    docs, labels, truth = labelled(spark, make, 1500)
+    model = toxicity.fit(docs, labels)
+    assert {t for w in (b"alphaword", b"betaterm") for t in toxicity.term_ids(w)} & set(model["terms"].tolist())
+    got = [r for r in toxicity.score_documents(docs, model).collect() if r.held_out]
+    assert np.mean([(r.score > 0.5) == truth[r.doc_id] for r in got]) > 0.9
+
+
+def test_toxicity_is_the_plain_double_sum():
+    rng = np.random.default_rng(3)
+    texts = ["some bad words here", "other harmless words", None, "", "bad bad words " * 500]
+    terms = np.unique([t for w in b"some bad words here other harmless".split() for t in toxicity.term_ids(w)])
+    model = {"bias": np.array([-0.3]), "terms": terms, "w": rng.normal(0, 0.5, len(terms)), "v": rng.normal(0, 0.4, (len(terms), 4))}
+    for text, got in zip(texts, toxicity.scorer(model)(texts), strict=True):
+        have = sorted({t for w in (text or "").encode().split() for t in toxicity.term_ids(w)} & set(terms.tolist()))
+        at = [terms.tolist().index(t) for t in have]
+        z = model["bias"][0] + sum(model["w"][i] for i in at) + sum(model["v"][i] @ model["v"][j] for n, i in enumerate(at) for j in at[n + 1 :])
+        assert got == pytest.approx(1 / (1 + np.exp(-z)))
+
+
+def test_very_long_texts_are_scored_whole(spark):
+    """A word at the end of a text of two million characters counts."""
+    rng = random.Random(7)
+    long = " ".join(data.text(rng, 3) for _ in range(10)) + " filler" * 280_000
+    docs = data.docs(spark, [(0, long, "", "", 0), (1, long + " insultword", "", "", 0)])
+    terms = np.array(sorted(toxicity.term_ids(b"insultword")))
+    model = {"bias": np.array([-2.0]), "terms": terms, "w": np.ones(len(terms)) * 3, "v": np.zeros((len(terms), 2))}
+    assert [r.predicted for r in toxicity.score_documents(docs, model).orderBy("doc_id").collect()] == [0, 1]
+    assert (np.diff(quality.statistics([long, long + "!" * 100_000])[:, quality.FEATURES.index("!")]) > 0).all()
+    uni = {"langs": np.array(["x", "y"]), "logp": np.log(np.random.default_rng(1).random((1 << 16, 2))).astype(np.float32), "prior": np.log([0.5, 0.5])}
+    assert langid.predict_documents(docs, uni).count() == 2
+
+
 def test_quality_held_out(spark):
     def make(rng, i):
         good = rng.random() < 0.6
@@ -112,6 +151,17 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in langid.predict_documents(docs, langid.fit(data.empty(spark))).collect()} == {"und"}
 
 
+def test_marks_alone_are_no_letters_and_many_languages_fit(spark, monkeypatch):
+    monkeypatch.setattr(langid, "CELLS", 1 << 12)
+    rows = [(i, f"text of{'abcdefgh'[i % 8]} lang{'abcdefgh'[i % 8]}", f"l{i % 8}", "", 0) for i in range(80)]
+    rows += [(90, "\u0301", "l1", "", 0), (91, "123 \u0300", "l1", "", 0), (92, "e\u0301", "l1", "", 0)]
+    docs = data.docs(spark, rows)
+    model = langid.fit(docs)
+    assert model["logp"].shape == (1 << 10, 4)  # the most frequent languages, as many as the matrix may have
+    got = {r.doc_id: r for r in langid.predict_documents(docs, model).collect()}
+    assert [got[i].lang_pred == "und" for i in (90, 91, 92)] == [True, True, False]
+
+
 def test_language_scores_against_plain_sums():
     rng = np.random.default_rng(1)
     model = {"langs": np.array(["x", "y"]), "logp": np.log(rng.random((1 << 16, 2))).astype(np.float32), "prior": np.log([0.4, 0.6])}
