@@ -12,23 +12,28 @@ sketch resolves is compared key by key. Likeness is the keys in both over the ke
 keys have likeness 1.
 
 Null texts count as empty; they have no keys. Equal texts have equal fingerprints. Rows are ordered by doc_id, descending, then
-text; rows without a doc_id come last; the row after the last is the first, so a row alone is its own next. Repeated rows
-stay. Further columns are not read.
+by the XXH64 of their texts, descending (so that rows of one id, or without one, spread like others); rows without a doc_id come
+last; the row after the last is the first, so a row alone is its own next. Repeated rows stay. Further columns are not read.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import drawn
+
 LONG_LINE = 300
 CELLS = 8
 ROUNDS = 8
 #: Keys a bucket of a larger sketch is meant for, and cells in each part of its first try.
 LOAD = 3
 SMALL_CELLS = 4
-#: Most ranges of ids; each becomes a group that one task sorts.
-RANGES = 1024
+#: Ranges of rows for each partition of a shuffle; a task sorts some of them. Where the cuts fall changes no result.
+RANGES = 8
+#: Rows drawn for each cut, and cuts of a block: a row's range is found among the blocks, then in its block.
+DRAWN = 20
+BLOCK = 64
 
 
 def _let(value: str, name: str, body: str) -> str:
@@ -73,13 +78,13 @@ def peel(cells: str, size: int = CELLS, shift: int = 0, rounds: int = ROUNDS) ->
     return f"aggregate(sequence(1, {rounds}), named_struct('cells', {cells}, 'keys', {none}, 'live', true), (z, r) -> IF(z.live, {_let(pure, 'ks', step)}, z), z -> IF(forall(z.cells, c -> c.n = 0 AND c.k = 0 AND c.c = 0), z.keys, NULL))"
 
 
-def difference(a: str, b: str, cells_a: str, cells_b: str) -> str:
-    """SQL for the number of keys in one of two key arrays alone, whose first sketches are given."""
+def difference(a: str, b: str, cells_a: str, cells_b: str, compare: bool = True) -> str:
+    """SQL for the number of keys in one of two key arrays alone, whose first sketches are given. Without `compare`, NULL where a bucket is resolved by no sketch."""
 
     def attempt(size: int, shift: int) -> str:
         return f"size({peel(subtract(sketch('t.a', size, shift), sketch('t.b', size, shift)), size, shift)})"
 
-    by_key = "size(array_except(t.a, t.b)) + size(array_except(t.b, t.a))"
+    by_key = "size(array_except(t.a, t.b)) + size(array_except(t.b, t.a))" if compare else "NULL"
     tries = [attempt(SMALL_CELLS, 0), attempt(4 * SMALL_CELLS, 9)]
     bucket = f"CASE WHEN size(t.a) = 0 OR size(t.b) = 0 THEN size(t.a) + size(t.b) ELSE coalesce({', '.join(f'nullif({x}, -1)' for x in tries)}, {by_key}) END"
     inner = _let("named_struct('a', filter(g.a, x -> pmod(shiftrightunsigned(x, 24), w) = i), 'b', filter(g.b, x -> pmod(shiftrightunsigned(x, 24), w) = i))", "t", bucket)
@@ -99,44 +104,73 @@ def text_of(cells: str) -> str:
     return f"lower(concat_ws('', transform({cells}, c -> concat(lpad(hex(c.n), 6, '0'), lpad(hex(c.k), 16, '0'), lpad(hex(c.c), 8, '0')))))"
 
 
+def _sortable(number: Column) -> Column:
+    return F.lpad(F.hex(number.bitwiseXOR(F.lit(-(1 << 63)))), 16, "0")
+
+
+def _range_of(key: Column, cuts: list[str]) -> Column:
+    """How many of the sorted cuts are the key or less."""
+    if not cuts:
+        return F.lit(0)
+    block = F.size(F.filter(F.lit(cuts[::BLOCK]), lambda c: c <= key)) - 1
+    within = F.size(F.filter(F.slice(F.lit(cuts), block * BLOCK + 1, F.lit(BLOCK)), lambda c: c <= key))
+    return F.when(key < cuts[0], 0).otherwise(block * BLOCK + within)
+
+
 def with_next(docs: DataFrame) -> DataFrame:
-    """doc_id, text, keys and cells of each row, and those of the next one, in order of doc_id, descending.
+    """doc_id, text, keys and cells of each row, and those of the next one in order.
 
-    Ids are cut into ranges at quantiles. A task sorts a range; the first row of the next range comes along as a guest, so that
-    the last row finds its next one there.
+    Rows are cut into ranges at quantiles of a sample of their keys. A task sorts a range; the first row of the next range comes along as a guest, so that
+    the last row finds its next one there. Equal rows (id and text) share a range.
     """
     spark = docs.sparkSession
-    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    ranges = min(RANGES, 4 * int(spark.conf.get("spark.sql.shuffle.partitions")))
-    cuts = base.agg(F.percentile_approx("doc_id", [k / ranges for k in range(1, ranges)], 10 * ranges)).first()[0] if ranges > 1 else None
-    cuts = sorted(set(cuts or []))
-    place = F.size(F.filter(F.lit(cuts), lambda c: c <= F.col("doc_id"))) if cuts else F.lit(0)
-    ranged = base.withColumn("range", F.when(F.col("doc_id").isNull(), 0).otherwise(place))
-    heads = sorted((r[0], r[1]) for r in ranged.groupBy("range").agg(F.max("doc_id")).collect() if r[1] is not None)
+    base = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    n = base.count()
+    ranges = max(1, min(n, RANGES * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    key = F.concat(F.when(F.col("doc_id").isNull(), "0").otherwise("1"), _sortable(F.coalesce("doc_id", F.lit(0).cast("bigint"))), _sortable(F.col("h")))
+    keyed = base.select("doc_id", "text", key.alias("key"))
+    some = sorted({r[0] for r in keyed.where(drawn(DRAWN * ranges / max(1, n), "key")).select("key").collect()})
+    cuts = sorted({some[len(some) * k // ranges] for k in range(1, ranges)}) if some else []
+    ranged = keyed.withColumn("range", _range_of(F.col("key"), cuts))
+    heads = sorted((r[0], r[1]) for r in ranged.groupBy("range").agg(F.max("key")).collect())
+    tops, hosts = [""] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for (own, top), (above, _) in zip(heads, heads[1:] + heads[:1], strict=True):
+        tops[own], hosts[own] = top, above
     own = F.struct("range", F.lit(False).alias("guest"))
-    places = F.array(own)
-    if heads:
-        host = F.create_map(*(F.lit(x) for (_, top), (above, _) in zip(heads, heads[1:] + heads[:1], strict=True) for x in (top, above)))
-        # the least range takes null ids too, and the first of all rows as its guest
-        places = F.when(F.col("doc_id").isin([top for _, top in heads]), F.array(own, F.struct(host[F.col("doc_id")].alias("range"), F.lit(True).alias("guest")))).otherwise(F.array(own))
+    host = F.struct(F.element_at(F.lit(hosts), F.col("range") + 1).alias("range"), F.lit(True).alias("guest"))
+    places = F.when(F.col("key") == F.element_at(F.lit(tops), F.col("range") + 1), F.array(own, host)).otherwise(F.array(own))
     marked = ranged.withColumn("keys", F.expr(paragraph_keys("text"))).withColumn("cells", F.expr(sketch("keys")))
-    placed = marked.select("doc_id", "text", "keys", "cells", F.inline(places).alias("at", "guest"))
-    order = Window.partitionBy("at").orderBy("guest", F.desc_nulls_last("doc_id"), "text")
+    placed = marked.select("doc_id", "text", "key", "keys", "cells", F.inline(places).alias("at", "guest"))
+    order = Window.partitionBy("at").orderBy("guest", F.desc("key"), "text")
     here = F.struct("text", "keys", "cells")
-    following = F.coalesce(F.lead(here).over(order), F.first(here).over(order))
+    following = F.lead(here).over(order)
     return placed.withColumn("next", following).where(~F.col("guest")).select("doc_id", "text", "keys", "cells", *(F.col(f"next.{c}").alias(f"next_{c}") for c in ("text", "keys", "cells")))
 
 
-def fingerprint_documents(docs: DataFrame) -> DataFrame:
-    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
+def _pairs(docs: DataFrame) -> DataFrame:
+    """with_next, n_chars, and the edited text's digest, keys and cells."""
     half = "cast(floor(length(text) / 2) AS int)"
     rows = with_next(docs).withColumn("edited", F.expr(f"concat(left(text, length(text) - {half}), left(next_text, {half}))"))
     rows = rows.select("doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"), "keys", "cells", "next_keys", "next_cells", F.expr(paragraph_keys("edited")).alias("edited_keys"))
-    rows = rows.withColumn("edited_cells", F.expr(sketch("edited_keys")))
-    return rows.select(
+    return rows.withColumn("edited_cells", F.expr(sketch("edited_keys")))
+
+
+def fingerprint_documents(docs: DataFrame) -> DataFrame:
+    """doc_id, n_chars, edited_sha256, fingerprint, edited_fingerprint, near_edited, near_next for every row of docs."""
+    return _pairs(docs).select(
         "doc_id", "n_chars", "edited_sha256",
         F.expr(text_of("cells")).alias("fingerprint"),
         F.expr(text_of("edited_cells")).alias("edited_fingerprint"),
         F.expr(likeness("keys", "edited_keys", "cells", "edited_cells")).alias("near_edited"),
         F.expr(likeness("keys", "next_keys", "cells", "next_cells")).alias("near_next"),
     )
+
+
+def routes(docs: DataFrame) -> DataFrame:
+    """(pair, route, n): how many comparisons with the edited and with the next text were settled by the first sketch, by larger ones, or needed keys compared in some bucket."""
+    found = []
+    for pair, other in (("edited", "edited_"), ("next", "next_")):
+        first = F.expr(peel(subtract("cells", f"{other}cells"))).isNotNull()
+        larger = F.expr(difference("keys", f"{other}keys", "cells", f"{other}cells", compare=False)).isNotNull()
+        found.append(F.struct(F.lit(pair).alias("pair"), F.when(first, "first sketch").when(larger, "larger sketches").otherwise("keys compared").alias("route")))
+    return _pairs(docs).select(F.inline(F.array(*found))).groupBy("pair", "route").agg(F.count(F.lit(1)).alias("n"))

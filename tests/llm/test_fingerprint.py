@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tessera.llm import fingerprint as fp
@@ -21,12 +22,17 @@ def likeness(a, b):
     return sum((a & b).values()) / either if either else 1.0
 
 
-@pytest.mark.parametrize("clash", [False, True])
-def test_against_brute_force(spark, clash):
-    rows = data.corpus() + data.edge_rows()
+def signed(text):
+    h = xxhash.xxh64_intdigest(text.encode(), 42)
+    return h - (1 << 64) if h >> 63 else h
+
+
+@pytest.mark.parametrize("clash,crowd", [(False, 0), (True, 0), (False, 60)])
+def test_against_brute_force(spark, clash, crowd):
+    rows = data.corpus() + data.edge_rows() + [(None if k % 2 else 7, f"line {k}\nline {k // 3}\nlast", "", "", 0) for k in range(crowd)]
     got = fp.fingerprint_documents(data.docs(spark, rows, clash)).collect()
     assert len(got) == len(rows)
-    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), r[1]))
+    order = sorted(((i, t or "") for i, t, *_ in rows), key=lambda r: (r[0] is None, -(r[0] or 0), -signed(r[1]), r[1]))
     by_row = {}
     for k, (i, t) in enumerate(order):
         after = order[(k + 1) % len(order)][1]
@@ -55,6 +61,21 @@ def test_one_row_and_no_rows(spark):
     assert fp.fingerprint_documents(data.empty(spark)).count() == 0
 
 
+def test_place_among_many_cuts(spark):
+    cuts = [f"{k:05d}" for k in range(0, 1000, 5)]
+    rows = spark.range(0, 1010).select(F.lpad(F.col("id").cast("string"), 5, "0").alias("key"), "id")
+    got = rows.select("id", fp._range_of(F.col("key"), cuts).alias("r")).collect()
+    assert all(r.r == min(200, r.id // 5 + 1) for r in got)
+
+
+def test_routes_cover_all_comparisons(spark):
+    docs = data.docs(spark, data.corpus() + data.edge_rows())
+    n = docs.count()
+    got = fp.routes(docs).collect()
+    assert {p: sum(r.n for r in got if r.pair == p) for p in ("edited", "next")} == {"edited": n, "next": n}
+    assert {r.route for r in got} <= {"first sketch", "larger sketches", "keys compared"}
+
+
 def test_plan_has_no_python(spark):
     plan = fp.fingerprint_documents(data.docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
