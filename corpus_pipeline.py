@@ -1,4 +1,9 @@
-"""From documents to training tokens: each stage works on what the one before it kept."""
+"""From documents to training tokens: each stage works on what the one before it kept, and `run` writes that down between stages.
+
+Null and empty texts are judged like others: no term, all statistics 0, fingerprint 0, no window, no token. Texts are read whole at any
+length. Repeated rows are judged alike; of a near-duplicate class the rows of the smallest doc_id stay, and rows without an id are in no class. An empty
+table gives an empty one. Further columns, whatever their names, are carried by all stages but the last and change nothing.
+"""
 
 from __future__ import annotations
 
@@ -7,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tessera.llm import decontaminate, pieces, quality, simhash, toxicity
-from tessera.llm.common import table
+from tessera.llm.common import checkpointed, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -50,8 +55,8 @@ ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages on documents."""
+    """All stages on documents. What a stage keeps is checkpointed, so that later scans of it do not run the stage again."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = checkpointed(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
