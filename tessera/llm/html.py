@@ -6,8 +6,9 @@ that shares the longer beginning of the path; the earlier at a tie): the lines o
 subsequence, and the page loses the lines that it shares, since site furniture repeats from page to page while text does not.
 
 What `article` and `main` elements hold is the page's own claim to be its text, and texts repeat lines too. So a line in there goes only if
-the page on the other side in the order shares it as well. A page that shares half of its text or more with a neighbour is a
-copy of it, and that comparison says nothing. If all lines would go, all stay.
+the page on the other side in the order shares it as well (a first or last page keeps it). An article that shares half of its text or more with a
+neighbour's, or a page that shares all, is a copy, and that comparison says nothing about it. Where the differences say nothing about the whole page
+(no neighbour, no line shared), and article and main hold most of its text, it is the lines in these.
 
 Furniture that differs from page to page cannot be found so. Lines go by name as well: those in menus, headers, footers and asides, and in
 elements whose class, id or role names one of the things of NAMED (anywhere) or ALSO (outside article and main).
@@ -211,18 +212,22 @@ def _neighbour(paths: list[str], i: int) -> int | None:
 def decided(lines: list[str], kinds: list[int], nearest: list[str] | None, other: list[str] | None) -> list[str]:
     """What becomes of each line, given the lines of the nearest page and of the one on the other side: kept, shared (it goes by the differences) or named (by names)."""
 
+    text = sum(len(x) for x, kind in zip(lines, kinds, strict=True) if kind != OUT)
+    inside = sum(len(x) for x, kind in zip(lines, kinds, strict=True) if kind == INSIDE)
+
     def shared(b: list[str] | None) -> set[int]:
         found = set() if b is None else shared_lines(lines, b)
-        said = [len(x) for x, kind in zip(lines, kinds, strict=True) if kind != OUT]
-        same = sum(len(lines[k]) for k in found if kinds[k] != OUT)
-        return found if 2 * same < sum(said) or not same else {k for k in found if kinds[k] == OUT}
+        if 2 * sum(len(lines[k]) for k in found if kinds[k] == INSIDE) >= inside:  # a copy, as far as the article goes
+            found = {k for k in found if kinds[k] != INSIDE}
+        if sum(len(lines[k]) for k in found if kinds[k] != OUT) == text:  # a copy
+            found = {k for k in found if kinds[k] == OUT}
+        return found
 
     near = shared(nearest)
     both = near & shared(other)
-    fate = ["shared" if k in (both if kind == INSIDE else near) else "named" if kind == OUT else "kept" for k, kind in enumerate(kinds)]
-    if "kept" not in fate:
-        fate = ["kept" if kind != OUT else f for f, kind in zip(fate, kinds, strict=True)]
-    return fate
+    if all(kinds[k] == OUT for k in near) and 2 * inside > text:  # the differences say nothing about the text
+        return ["kept" if kind == INSIDE else "shared" if k in near else "named" for k, kind in enumerate(kinds)]
+    return ["shared" if k in (both if kind == INSIDE else near) else "named" if kind == OUT else "kept" for k, kind in enumerate(kinds)]
 
 
 def main_text(lines: list[str], kinds: list[int], nearest: list[str] | None, other: list[str] | None) -> str:

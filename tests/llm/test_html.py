@@ -1,3 +1,5 @@
+from functools import lru_cache
+
 import pytest
 
 from tessera.llm import html
@@ -50,6 +52,7 @@ def test_edge_rows_and_split_hosts(spark):
     assert html.extract(spark.createDataFrame([], PAGES)).count() == 0
 
 
+@lru_cache(None)
 def brute_lcs(a, b):
     if not a or not b:
         return 0
@@ -59,15 +62,86 @@ def brute_lcs(a, b):
 @pytest.mark.parametrize("a,b", [("abcbdab", "bdcaba"), ("", "a"), ("aaaa", "aa"), ("abc", "xyz"), ("xaxbx", "abab")])
 def test_alignment_is_a_longest_common_subsequence(a, b):
     taken = sorted(html.shared_lines(list(a), list(b)))
-    assert len(taken) == brute_lcs(a, b)
+    assert len(taken) == brute_lcs(tuple(a), tuple(b))
     rest = iter(b)
     assert all(any(c == a[k] for c in rest) for k in taken)
 
 
 def test_differences_decide_inside_articles_too(spark):
-    page = "<body><p>Site</p><article><p>Sign in to read on</p><p>Own text {0}.</p></article></body>".format
-    got = texts(spark, [(i, f"http://a.b/en/{i}", page(i)) for i in range(1, 4)])
-    assert [got[i].text for i in range(1, 4)] == [f"Own text {i}." for i in range(1, 4)]
+    page = "<body><p>Site</p><article><p>Sign in</p><p>Own text {0}.</p></article></body>".format
+    got = texts(spark, [(i, f"http://a.b/en/{i}", page(i)) for i in range(1, 6)])
+    assert [got[i].text for i in range(1, 6)] == [f"{'Sign in' + chr(10) if i in (1, 5) else ''}Own text {i}." for i in range(1, 6)]  # a first or last page has one neighbour only
+
+
+def test_near_copies_keep_their_article(spark):
+    page = "<body><p>Site</p><article><p>A first line that all have.</p><p>A second line that all have.</p><p>Own {0}</p></article></body>".format
+    got = texts(spark, [(i, f"http://a.b/en/{i}", page(i)) for i in range(1, 6)])
+    assert [got[i].text for i in range(1, 6)] == [f"A first line that all have.\nA second line that all have.\nOwn {i}" for i in range(1, 6)]
+
+
+def test_names_inside_an_article(spark):
+    page = '<body><article><p>Text.</p><div class="search results"><p>Found here.</p></div><p class="alert">Mind this.</p><p>So <span class="ad">buy</span> it goes.</p><div class="cookie-notice">Accept</div></article><div class="search"><p>Find</p></div></body>'
+    assert texts(spark, [(1, "http://a.b/1", page)])[1].text == "Text.\nFound here.\nMind this.\nSo it goes."
+
+
+def test_furniture_that_repeats_is_found_by_the_differences(spark):
+    """Of lines in menus and footers those that the neighbour has go as shared, the others by the elements' names."""
+    lines, kinds = zip(*html.blocks("<body><nav><p>Home</p><p>Own link</p></nav><article><p>Text one here.</p></article><footer>All rights</footer></body>"), strict=True)
+    assert html.decided(list(lines), list(kinds), ["Home", "Other link", "Text two.", "All rights"], None) == ["shared", "named", "kept", "shared"]
+
+
+def test_a_whole_host_against_plain_code(spark):
+    import random
+
+    rng = random.Random(3)
+    rows, parsed = [], {}
+    for i in range(60):
+        own = [f"line {rng.randrange(6)}" for _ in range(rng.randint(0, 3))] + [f"own {i} {j}" for j in range(rng.randint(0, 3))]
+        inside = [f"art {rng.randrange(5)}" for _ in range(rng.randint(0, 3))] + [f"text {i} {j}" for j in range(rng.randint(0, 4))]
+        rng.shuffle(own)
+        rows.append((i, f"http://a.b/{rng.randrange(400)}", f"<body>{''.join(f'<p>{x}</p>' for x in own)}<article>{''.join(f'<p>{x}</p>' for x in inside)}</article></body>"))
+        parsed[i] = [(x, False) for x in own] + [(x, True) for x in inside]
+    order = sorted(rows, key=lambda r: (r[1].removeprefix("http://a.b"), r[0]))
+    got = texts(spark, rows, group=8)
+
+    def common(x, y):
+        n = 0
+        while n < min(len(x), len(y)) and x[n] == y[n]:
+            n += 1
+        return n
+
+    for at, (i, url, _) in enumerate(order):
+        sides = sorted((k for k in (at - 1, at + 1) if 0 <= k < len(order)), key=lambda k: (-common(url, order[k][1]), k))
+        size, inside = sum(len(x) for x, _ in parsed[i]), sum(len(x) for x, d in parsed[i] if d)
+        said = []
+        for k in sides:
+            hit = html.shared_lines([x for x, _ in parsed[i]], [x for x, _ in parsed[order[k][0]]])
+            assert len(hit) == brute_lcs(tuple(x for x, _ in parsed[i]), tuple(x for x, _ in parsed[order[k][0]]))
+            if 2 * sum(len(parsed[i][j][0]) for j in hit if parsed[i][j][1]) >= inside:
+                hit = {j for j in hit if not parsed[i][j][1]}
+            said.append(set() if sum(len(parsed[i][j][0]) for j in hit) == size else hit)
+        near, both = said[0], said[0] & (said[1] if len(said) > 1 else set())
+        if not near and 2 * inside > size:
+            expected = [x for x, d in parsed[i] if d]
+        else:
+            expected = [x for j, (x, d) in enumerate(parsed[i]) if j not in (both if d else near)]
+        assert got[i].text == "\n".join(expected), (i, url)
+
+
+def test_long_pages_align_exactly(monkeypatch):
+    import random
+
+    rng = random.Random(2)
+    for cells in (html.CELLS, 50):
+        monkeypatch.setattr(html, "CELLS", cells)
+        for _ in range(200):
+            a, b = (["x" + rng.choice("abcd") for _ in range(rng.randrange(40))] for _ in range(2))
+            size = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+            for i, x in enumerate(a):
+                for j, y in enumerate(b):
+                    size[i + 1][j + 1] = size[i][j] + 1 if x == y else max(size[i][j + 1], size[i + 1][j])
+            taken, rest = sorted(html.shared_lines(a, b)), iter(b)
+            assert len(taken) == size[-1][-1] and all(any(c == a[k] for c in rest) for k in taken)
 
 
 def test_body_beside_a_teaser_article_stays(spark):
