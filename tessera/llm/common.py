@@ -126,9 +126,14 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def small_side(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
-    """Marks a join side for broadcast if it has at most `most_rows` rows; else Spark joins it by a shuffle."""
-    return F.broadcast(df) if df.limit(most_rows + 1).count() <= most_rows else df
+def small_side(df: DataFrame, most_rows: int = 200_000, most_bytes: int = 32 << 20) -> DataFrame:
+    """Marks a join side for broadcast if it has at most `most_rows` rows and `most_bytes` bytes; else Spark joins it by a shuffle."""
+    width = F.lit(0)
+    for name, kind in df.dtypes:
+        size = F.octet_length(F.col(name)) if kind in ("string", "binary") else 8 * F.size(name) if kind.startswith("array") else F.lit(8)
+        width = width + F.greatest(F.lit(8), F.coalesce(size, F.lit(0)))
+    rows, held = df.select(width.alias("width")).limit(most_rows + 1).agg(F.count(F.lit(1)), F.sum("width")).first()
+    return F.broadcast(df) if rows <= most_rows and (held or 0) <= most_bytes else df
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
