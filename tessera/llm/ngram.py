@@ -49,6 +49,8 @@ END = np.int64(-2)
 CACHE = 200_000
 #: Characters counted or scored at once.
 SLICE = 2_000_000
+#: Keys probed at a time.
+BLOCK = 1 << 15
 DEPTH = 64
 SINGLE = (1 << np.arange(8)).astype(np.uint8)
 
@@ -97,10 +99,10 @@ def before(tokens: np.ndarray) -> np.ndarray:
     return np.concatenate([[END], tokens[:-1]])
 
 
-def page_of(keys: np.ndarray, pages: int) -> np.ndarray:
-    """Page of each key in a segment of `pages` pages."""
+def page_of(keys: np.ndarray, pages: np.ndarray | int) -> np.ndarray:
+    """Page of each key in its segment of `pages` pages."""
     spread = mix(keys.view(np.uint64) ^ np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(32)
-    return ((spread * np.uint64(pages)) >> np.uint64(32)).astype(np.int64)
+    return ((spread * np.asarray(pages).astype(np.uint64)) >> np.uint64(32)).astype(np.int64)
 
 
 def positions(keys: np.ndarray, level: np.ndarray | int) -> np.ndarray:
@@ -132,12 +134,27 @@ def fill(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def look_up_in(bits: bytes, keys: np.ndarray) -> np.ndarray:
-    """Level of each key of one segment: as many levels as are found one after another."""
+def look_up(bits: bytes, pages: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Level of each key: as many levels as are found one after another. bits: those of the segments in a row; pages: of each segment.
+
+    Keys are probed in the order of segments, BLOCK at a time, so that the bytes and the arrays probed stay in the processor's cache.
+    """
     own = np.frombuffer(bits, np.uint8)
     level = np.zeros(len(keys), np.int64)
-    alive, keys = np.arange(len(keys)), keys.view(np.uint64)
-    base = page_of(keys, len(own) * 8 // PAGE_BITS) * PAGE_BITS
+    first = np.cumsum(pages) - pages
+    order = np.argsort(keys.view(np.uint64), kind="stable")
+    for start in range(0, len(order), BLOCK):
+        some = order[start : start + BLOCK]
+        seg = segment_of(keys[some], len(pages))
+        held = pages[seg] > 0
+        some, seg = some[held], seg[held]
+        level[some] = _look_up(own, keys[some].view(np.uint64), (first[seg] + page_of(keys[some], pages[seg])) * PAGE_BITS)
+    return level
+
+
+def _look_up(own: np.ndarray, keys: np.ndarray, base: np.ndarray) -> np.ndarray:
+    level = np.zeros(len(keys), np.int64)
+    alive = np.arange(len(keys))
 
     def found(base: np.ndarray, x: np.ndarray) -> np.ndarray:
         at = base + (x & np.uint64(PAGE_BITS - 1)).view(np.int64)
@@ -146,30 +163,22 @@ def look_up_in(bits: bytes, keys: np.ndarray) -> np.ndarray:
     for rung in range(1, DEPTH + 1):
         x = mix(keys + np.uint64(rung * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))
         step = (x >> np.uint64(32)) | np.uint64(1)
-        for _ in range(PROBES):  # most absent keys end at the first probe
-            left = np.flatnonzero(found(base, x))
-            if len(left) < len(alive):
-                alive, keys, base, x, step = alive[left], keys[left], base[left], x[left], step[left]
+        hit = found(base, x)
+        if rung == 1:  # most absent keys end here
+            left = np.flatnonzero(hit)
+            alive, keys, base, x, step, hit = alive[left], keys[left], base[left], x[left], step[left], hit[left]
+        for _ in range(PROBES - 1):
             x = x + step
+            hit &= found(base, x)
+        left = np.flatnonzero(hit)
+        if len(left) < len(alive):
+            alive, keys, base = alive[left], keys[left], base[left]
         if not len(alive):
             break
         level[alive] = rung
     return level
 
 
-def look_up(segments: list[bytes | None], keys: np.ndarray) -> np.ndarray:
-    """Level of each key, segment after segment, so that the bytes probed stay in the processor's cache."""
-    level = np.zeros(len(keys), np.int64)
-    if not len(keys):
-        return level
-    order = np.argsort(keys.view(np.uint64), kind="stable")
-    bounds = np.searchsorted(segment_of(keys[order], len(segments)), np.arange(len(segments) + 1))
-    for bits, start, end in zip(segments, bounds, bounds[1:], strict=False):
-        if bits and end > start:
-            level[order[start:end]] = look_up_in(bits, keys[order[start:end]])
-    return level
-
-
 def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(65 - segments.bit_length())).astype(np.int64)
 
@@ -224,11 +233,13 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     """The model (filter by segment, totals, exact counts of frequent words), the table (key, n) of all words' counts and that of the segments (seg, bits). A filter too large to broadcast is None in the model."""
     built, n_segments = count_grams(docs)
     counts, segments = checkpointed(unpacked(built)), built.select("seg", "bits")
-    bits = None
+    bits, pages = None, np.zeros(n_segments, np.int64)
     if (segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= BROADCAST:
-        bits = [None] * n_segments
-        for r in segments.toLocalIterator():
-            bits[r.seg] = bytes(r.bits)
+        held = {r.seg: bytes(r.bits) for r in segments.toLocalIterator()}
+        bits = b"".join(held[k] for k in sorted(held))
+        for k, of in held.items():
+            pages[k] = len(of) * 8 // PAGE_BITS
+        del held
     # Words by eighths of powers of two of their counts: some hundred rows say how many words are as frequent.
     scale = F.floor(F.log2("n") * 8)
     by_scale = counts.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("w"), F.sum("n").alias("t")).collect()
@@ -241,17 +252,17 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
         least = r.s
     hot = counts.where(scale >= least).toPandas()
     order = np.argsort(hot["key"].to_numpy())
-    model = {"bits": bits, "segments": n_segments, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
+    model = {"bits": bits, "pages": pages, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
     return model, counts, segments
 
 
 def log_probabilities(model: dict, units: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """log10 probability of each token, from probes of the filter. units: the distinct tokens; these and the distinct pairs are probed once each; at: which one a token is; starts: first token of each text."""
-    count = MEANING[look_up(model["bits"], units)]
+    count = MEANING[look_up(model["bits"], model["pages"], units)]
     before = np.concatenate([[0], at[:-1]])
     before[starts] = np.searchsorted(units, END)
     pairs, of = np.unique(pair_keys(units[before], units[at]), return_inverse=True)
-    both = MEANING[look_up(model["bits"], pairs)][of]
+    both = MEANING[look_up(model["bits"], model["pages"], pairs)][of]
     norm = max(1e-300, float(model["total"][0]) + PRIOR * (float(model["distinct"][0]) + 1))
     p = (1 - WEIGHT) * (count[at] + PRIOR) / norm + WEIGHT * both / np.maximum(np.maximum(count[before], both), 1)
     return np.log10(np.minimum(p, 1))
@@ -272,8 +283,8 @@ def score_apart(texts: DataFrame, segments: DataFrame, n_segments: int, norm: fl
 
     def read(keys: pa.Table, held: pa.Table) -> pa.Table:
         key = keys.column("key").to_numpy()
-        bits = held.column("bits").to_pylist() if len(key) else []
-        level = look_up_in(bits[0], key) if bits else np.zeros(len(key), np.int64)
+        bits = b"".join(held.column("bits").to_pylist()) if len(key) else b""
+        level = _look_up(np.frombuffer(bits, np.uint8), key.view(np.uint64), page_of(key, len(bits) * 8 // PAGE_BITS) * PAGE_BITS) if bits else np.zeros(len(key), np.int64)
         return pa.table({"key": pa.array(key, pa.int64()), "c": pa.array(MEANING[level])})
 
     # texts that repeat a pair list it once, with how often
@@ -331,7 +342,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(n + F.lit(PRIOR))).alias("part"))
     out = scored.drop("cold").join(rare, "row", "left")
     if model["bits"] is None:
-        out = out.drop("score").join(score_apart(docs.select("text"), segments, model["segments"], norm), "text_hash")
+        out = out.drop("score").join(score_apart(docs.select("text"), segments, len(model["pages"]), norm), "text_hash")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),

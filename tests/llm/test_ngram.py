@@ -32,15 +32,15 @@ def test_filter_gives_levels_back(many):
     keys = np.unique(rng.integers(-(1 << 62), 1 << 62, 2 * many))
     own, absent = keys[::2], keys[1::2]
     counts = rng.integers(1, 500, len(own))
-    segments = [None] * 256
-    at = ngram.segment_of(own, 256)
+    filled, at = [b""] * 256, ngram.segment_of(own, 256)
     for s in np.unique(at):
-        segments[s] = ngram.fill(own[at == s], counts[at == s])
-        assert np.unpackbits(np.frombuffer(segments[s], np.uint8)).mean() < 0.55
-    level = ngram.look_up(segments, own)
+        filled[s] = ngram.fill(own[at == s], counts[at == s])
+        assert np.unpackbits(np.frombuffer(filled[s], np.uint8)).mean() < 0.55
+    bits, pages = b"".join(filled), np.array([len(x) * 8 // ngram.PAGE_BITS for x in filled])
+    level = ngram.look_up(bits, pages, own)
     assert (level >= ngram.levels(counts)).all()  # a filter never loses what it holds
     assert (level == ngram.levels(counts)).mean() > 0.9
-    assert (ngram.look_up(segments, absent) == 0).mean() > 0.9
+    assert (ngram.look_up(bits, pages, absent) == 0).mean() > 0.9
 
 
 def test_large_segment_has_more_pages():
@@ -48,7 +48,7 @@ def test_large_segment_has_more_pages():
     counts = np.where(np.arange(len(keys)) < 1000, 50, 1)
     bits = ngram.fill(keys, counts)
     assert len(bits) > ngram.PAGE_BITS // 8 and np.unpackbits(np.frombuffer(bits, np.uint8)).mean() < 0.55
-    level = ngram.look_up_in(bits, keys)
+    level = ngram.look_up(bits, np.array([len(bits) * 8 // ngram.PAGE_BITS]), keys)
     assert (level >= ngram.levels(counts)).all() and (level == ngram.levels(counts)).mean() > 0.9
 
 
