@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.measures import cosine
+from ..functions.measures import dot
 from ..functions.text import tokens
-from .sizes import small_side
+from .sizes import checkpointed, small_side
 
 #: Fixed values of the scoring formulas.
 K1, B = 1.5, 0.75
@@ -32,33 +34,45 @@ def _query_terms(queries: DataFrame) -> DataFrame:
     return terms(queries, "query_id").select("query_id", "term", F.col("tf").alias("times"))
 
 
-def _matching_terms(docs: DataFrame, query_terms: DataFrame) -> DataFrame:
-    """Terms of documents that some query has: the rest never reaches a shuffle."""
-    listed = docs.select("doc_id", tokens("text").alias("w")).select("doc_id", F.size("w").alias("length"), F.explode("w").alias("term"))
-    kept = listed.join(small_side(query_terms.select("term").distinct()), "term", "left_semi")
-    return kept.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"), F.max("length").alias("length"))
+class Index(NamedTuple):
+    """Documents and queries by their terms, written down once, for any number of rankings."""
+
+    docs: DataFrame  # doc_id, length (tokens), distinct, norm, held: (term, tf) of the terms that some query has
+    asked: DataFrame  # query_id, term, times
+
+    def postings(self) -> DataFrame:
+        return self.docs.select("doc_id", "length", "distinct", "norm", F.inline("held"))
+
 
+def index(docs: DataFrame, queries: DataFrame) -> Index:
+    """The texts are dealt out by document and cut into tokens there, so counts need no further shuffle."""
+    asked = checkpointed(_query_terms(queries))
+    wanted = asked.select("term").distinct().withColumn("wanted", F.lit(True))
+    listed = docs.select("doc_id", "text").repartition("doc_id").select("doc_id", F.explode_outer(tokens("text")).alias("term"))
+    counted = listed.groupBy("doc_id", "term").agg(F.count("term").alias("tf")).join(small_side(wanted), "term", "left")
+    held = F.collect_list(F.when(F.col("wanted"), F.struct("term", "tf")))
+    by_doc = counted.groupBy("doc_id").agg(F.sum("tf").alias("length"), F.count("term").alias("distinct"), F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("norm"), held.alias("held"))
+    return Index(checkpointed(by_doc), asked)
 
-def bm25(docs: DataFrame, queries: DataFrame) -> DataFrame:
+
+def bm25(at: Index) -> DataFrame:
     """BM25 scores (query_id, doc_id, score) of the documents that share a term with a query; a term repeated in a query counts each time."""
-    asked = _query_terms(queries)
-    held = _matching_terms(docs, asked)
-    corpus = docs.select(F.size(tokens("text")).alias("length")).agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    held = at.postings()
+    corpus = at.docs.agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
     spread = held.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weights = asked.join(spread, "term").crossJoin(F.broadcast(corpus)).withColumn("idf", F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)))
-    scored = held.join(small_side(weights), "term")
-    saturated = F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("times") * F.col("idf") * saturated).alias("score")).where("score > 0")
+    idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    weights = at.asked.join(spread, "term").crossJoin(F.broadcast(corpus)).select("query_id", "term", (F.col("times") * idf * (K1 + 1)).alias("weight"), "mean")
+    scored = held.select("doc_id", "length", "term", "tf").join(small_side(weights), "term")
+    saturated = F.col("tf") / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
+    return scored.groupBy("query_id", "doc_id").agg(F.sum(F.col("weight") * saturated).alias("score")).where("score > 0")
 
 
-def tf_cosine(docs: DataFrame, queries: DataFrame) -> DataFrame:
+def tf_cosine(at: Index) -> DataFrame:
     """Cosine of raw term counts; the norm of a text without terms counts as 1."""
-    asked = _query_terms(queries)
-    held = _matching_terms(docs, asked)
-    doc_norm = terms(docs, "doc_id").groupBy("doc_id").agg(F.sqrt(F.sum(F.col("tf") * F.col("tf"))).alias("dn"))
-    query_norm = asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("times") * F.col("times"))).alias("qn"))
-    dots = held.join(small_side(asked), "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("tf") * F.col("times")).alias("dot"))
-    return dots.join(doc_norm, "doc_id").join(small_side(query_norm), "query_id").select("query_id", "doc_id", (F.col("dot") / (F.col("dn") * F.col("qn"))).alias("score"))
+    query_norm = at.asked.groupBy("query_id").agg(F.sqrt(F.sum(F.col("times") * F.col("times"))).alias("qn"))
+    asked = at.asked.join(query_norm, "query_id").select("query_id", "term", (F.col("times") / F.col("qn")).alias("share"))
+    rows = at.postings().select("doc_id", "term", (F.col("tf") / F.col("norm")).alias("part")).join(small_side(asked), "term")
+    return rows.groupBy("query_id", "doc_id").agg(F.sum(F.col("part") * F.col("share")).alias("score"))
 
 
 def fuse(*rankings: DataFrame) -> DataFrame:
@@ -70,25 +84,28 @@ def fuse(*rankings: DataFrame) -> DataFrame:
 
 
 def dense(vectors: DataFrame, queries: DataFrame) -> DataFrame:
-    """Cosines of (doc_id, v) with the vectors of a stated query set (query_id, q); a vector is not its own neighbour."""
-    pairs = vectors.crossJoin(small_side(queries)).where(F.col("doc_id") != F.col("query_id"))
-    return pairs.select("query_id", "doc_id", cosine(F.col("v"), F.col("q")).alias("score"))
+    """Cosines of (doc_id, v) with the vectors of a stated query set (query_id, q), clamped to [0, 1]; a vector is not its own neighbour. Norms are taken once a vector."""
+    unit = lambda df, key, v: df.select(key, F.transform(v, lambda x: x.cast("double")).alias(v)).withColumn(f"{v}_norm", F.sqrt(dot(F.col(v), F.col(v))))
+    pairs = unit(vectors, "doc_id", "v").crossJoin(small_side(unit(queries, "query_id", "q"))).where(F.col("doc_id") != F.col("query_id"))
+    norms = F.col("v_norm") * F.col("q_norm")
+    score = F.when(norms == 0, 0.0).otherwise(F.greatest(F.lit(0.0), F.least(F.lit(1.0), dot(F.col("v"), F.col("q")) / norms)))
+    return pairs.select("query_id", "doc_id", score.alias("score"))
 
 
-def alpha_blend(docs: DataFrame, queries: DataFrame, alphas: list[float]) -> DataFrame:
-    """(alpha, query_id, doc_id, score): alpha times Jaccard plus (1 - alpha) times the share of the query's terms held.
+def alpha_blend(at: Index, alphas: list[float]) -> DataFrame:
+    """(query_id, doc_id, scores): for each alpha, alpha times Jaccard plus (1 - alpha) times the share of the query's terms held.
 
-    Where the text holds the query's longest term (its exact string) the score is at least PRIOR, but for alpha 1.
+    Where the text holds the query's longest term (its exact string) a score is at least PRIOR, but for alpha 1.
     """
-    asked = _query_terms(queries)
-    sizes = terms(docs, "doc_id").groupBy("doc_id").agg(F.count(F.lit(1)).alias("ds"))
-    per_query = asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("qs"), F.max_by("term", F.struct(F.length("term"), "term")).alias("exact"))
-    shared = _matching_terms(docs, asked).join(small_side(asked.join(per_query, "query_id")), "term")
-    both = shared.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("both"), F.max("qs").alias("qs"), F.max(F.col("term") == F.col("exact")).alias("has_exact"))
-    sweep = both.join(sizes, "doc_id").withColumn("alpha", F.explode(F.lit(alphas)))
-    blend = F.col("alpha") * F.col("both") / (F.col("ds") + F.col("qs") - F.col("both")) + (1 - F.col("alpha")) * F.col("both") / F.col("qs")
-    score = F.when(F.col("has_exact") & (F.col("alpha") < 1), F.greatest(blend, F.lit(PRIOR))).otherwise(blend)
-    return sweep.select("alpha", "query_id", "doc_id", score.alias("score")).where("score > 0")
+    per_query = at.asked.groupBy("query_id").agg(F.count(F.lit(1)).alias("qs"), F.max_by("term", F.struct(F.length("term"), "term")).alias("exact"))
+    rows = at.postings().select("doc_id", "distinct", "term").join(small_side(at.asked.join(per_query, "query_id").drop("times")), "term")
+    both = rows.groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).alias("both"), F.max("qs").alias("qs"), F.max("distinct").alias("ds"), F.max(F.col("term") == F.col("exact")).alias("has_exact"))
+
+    def score(alpha: float) -> Column:
+        blend = alpha * F.col("both") / (F.col("ds") + F.col("qs") - F.col("both")) + (1 - alpha) * F.col("both") / F.col("qs")
+        return F.when(F.col("has_exact"), F.greatest(blend, F.lit(PRIOR))).otherwise(blend) if alpha < 1 else blend
+
+    return both.select("query_id", "doc_id", F.array(*map(score, alphas)).alias("scores"))
 
 
 def interleave(first: DataFrame, second: DataFrame) -> DataFrame:

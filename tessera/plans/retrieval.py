@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import tokens
 from ..operators import gates, metrics, ranking
-from ..operators.sizes import small_side
+from ..operators.sizes import checkpointed, small_side
 from ..sources.tables import table
 from .catalog import query
 
@@ -31,11 +31,19 @@ def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grams.join(small_side(lead), "gram").select("query_id", "doc_id").distinct()
 
 
+def indexed(spark: SparkSession, sf_dir: str) -> ranking.Index:
+    return ranking.index(*corpus(spark, sf_dir))
+
+
+def both_rankings(spark: SparkSession, sf_dir: str, k: int) -> tuple[DataFrame, DataFrame]:
+    """BM25 and count-cosine rankings from one index, written down since fusing reads them again."""
+    at = indexed(spark, sf_dir)
+    return tuple(checkpointed(ranking.ranked(f(at), k)) for f in (ranking.bm25, ranking.tf_cosine))
+
+
 def conditions(spark: SparkSession, sf_dir: str, k: int = 50) -> DataFrame:
     """(condition, query_id, doc_id, rank) of three rankings, `k` deep."""
-    docs, asked = corpus(spark, sf_dir)
-    lexical = ranking.ranked(ranking.bm25(docs, asked), k)
-    counts = ranking.ranked(ranking.tf_cosine(docs, asked), k)
+    lexical, counts = both_rankings(spark, sf_dir, k)
     both = ranking.ranked(ranking.fuse(lexical, counts), k)
     named = [r.select(F.lit(n).alias("condition"), "query_id", "doc_id", "rank") for n, r in (("bm25", lexical), ("cosine", counts), ("rrf", both))]
     return named[0].unionByName(named[1]).unionByName(named[2])
@@ -84,20 +92,17 @@ means AS (SELECT condition, count(*) AS n_queries, round(avg(recall), 6) AS reca
 
 @query(f"WITH {BM25} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM bmr WHERE rank <= 10")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ranked(ranking.bm25(*corpus(spark, sf_dir)), 10).withColumn("score", F.round("score", 6))
+    return ranking.ranked(ranking.bm25(indexed(spark, sf_dir)), 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {TERMS}{COSINE} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM cor WHERE rank <= 10")
 def tf_cosine_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.ranked(ranking.tf_cosine(*corpus(spark, sf_dir)), 10).withColumn("score", F.round("score", 6))
+    return ranking.ranked(ranking.tf_cosine(indexed(spark, sf_dir)), 10).withColumn("score", F.round("score", 6))
 
 
 @query(f"WITH {BM25}{COSINE}{FUSED} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM fur WHERE rank <= 10")
 def rrf_hybrid_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = corpus(spark, sf_dir)
-    lexical = ranking.ranked(ranking.bm25(docs, asked), 50)
-    counts = ranking.ranked(ranking.tf_cosine(docs, asked), 50)
-    return ranking.ranked(ranking.fuse(lexical, counts), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
+    return ranking.ranked(ranking.fuse(*both_rankings(spark, sf_dir, 50)), 10).select("query_id", "doc_id", F.round("score", 6).alias("score"), "rank")
 
 
 @query(f"WITH {PER_QUERY} SELECT * FROM means")
@@ -146,9 +151,12 @@ alr AS (SELECT *, row_number() OVER (PARTITION BY alpha, query_id ORDER BY round
 
 @query(f"WITH {ALPHA} SELECT alpha, query_id, doc_id, round(score, 6) AS score FROM alr WHERE rank = 1")
 def alpha_sweep_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ranking.alpha_blend(*corpus(spark, sf_dir), ALPHAS)
-    order = Window.partitionBy("alpha", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    return scored.withColumn("rank", F.row_number().over(order)).where("rank = 1").select("alpha", "query_id", "doc_id", F.round("score", 6).alias("score"))
+    """The best document of each query by alpha: a running best for each alpha, no sort."""
+    scored = ranking.alpha_blend(indexed(spark, sf_dir), ALPHAS)
+    best = [F.max(F.struct(F.round(F.col("scores")[k], 9).alias("r"), (-F.col("doc_id")).alias("d"), F.col("scores")[k].alias("score"))).alias(f"b{k}") for k in range(len(ALPHAS))]
+    tops = scored.groupBy("query_id").agg(*best)
+    rows = F.array(*(F.struct(F.lit(a).alias("alpha"), f"b{k}.d", f"b{k}.score") for k, a in enumerate(ALPHAS)))
+    return tops.select("query_id", F.inline(rows)).where("score > 0").select("alpha", "query_id", (-F.col("d")).alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query(
@@ -158,12 +166,16 @@ j AS (SELECT alpha, query_id, min(rank) FILTER (g.doc_id IS NOT NULL) AS first,
 SELECT alpha, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(hits / n), 6) AS recall_at_5 FROM j JOIN (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id) USING (query_id) GROUP BY alpha"""
 )
 def alpha_sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = ranking.alpha_blend(*corpus(spark, sf_dir), ALPHAS)
-    order = Window.partitionBy("alpha", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    """Only gold documents need a rank: one more than the number of documents that stand before them, counted by alpha."""
+    scored = checkpointed(ranking.alpha_blend(indexed(spark, sf_dir), ALPHAS).withColumn("scores", F.transform("scores", lambda s: F.round(s, 9))))
     answers = gold(spark, sf_dir)
     n = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    hits = scored.withColumn("rank", F.row_number().over(order)).join(answers, ["query_id", "doc_id"])
-    per = hits.groupBy("alpha", "query_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 5).alias("hits"))
+    marks = scored.join(answers, ["query_id", "doc_id"]).select("query_id", F.col("doc_id").alias("gold_id"), F.col("scores").alias("own"))
+    before = F.transform(F.arrays_zip("scores", "own"), lambda p: ((p["scores"] > p["own"]) | ((p["scores"] == p["own"]) & (F.col("doc_id") < F.col("gold_id")))).cast("int"))
+    pairs = scored.join(small_side(marks), "query_id").select("query_id", "gold_id", "own", before.alias("before"))
+    ranks = pairs.groupBy("query_id", "gold_id").agg(F.first("own").alias("own"), *(F.sum(F.col("before")[k]).alias(f"b{k}") for k in range(len(ALPHAS))))
+    rows = F.array(*(F.struct(F.lit(a).alias("alpha"), (F.col(f"b{k}") + 1).alias("rank"), F.col("own")[k].alias("score")) for k, a in enumerate(ALPHAS)))
+    per = ranks.select("query_id", F.inline(rows)).where("score > 0").groupBy("alpha", "query_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 5).alias("hits"))
     grid = n.crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in ALPHAS], "alpha double"))).join(per, ["alpha", "query_id"], "left")
     return grid.groupBy("alpha").agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")), 6).alias("recall_at_5"))
 
@@ -203,21 +215,20 @@ def vector_ndcg_by_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {BM25}{COSINE}, u AS (SELECT query_id, doc_id, 2 * rank AS pos FROM bmr WHERE rank <= 10 UNION ALL SELECT query_id, doc_id, 2 * rank + 1 FROM cor WHERE rank <= 10), m AS (SELECT query_id, doc_id, min(pos) AS pos FROM u GROUP BY ALL) SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY pos) AS rank FROM m")
 def interleaved_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = corpus(spark, sf_dir)
-    return ranking.interleave(ranking.ranked(ranking.bm25(docs, asked), 10), ranking.ranked(ranking.tf_cosine(docs, asked), 10))
+    return ranking.interleave(*both_rankings(spark, sf_dir, 10))
 
 
 @query(f"WITH {BM25}, u AS (SELECT query_id, b.doc_id, rank, sum(len(w)) OVER (PARTITION BY query_id ORDER BY rank) AS used FROM bmr b JOIN dl USING (doc_id) WHERE rank <= 50) SELECT query_id, doc_id, rank, used::BIGINT AS used FROM u WHERE used <= 1500")
 def budget_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents in BM25 order until 1500 tokens are used."""
-    docs, asked = corpus(spark, sf_dir)
-    sizes = docs.select("doc_id", F.size(tokens("text")).cast("bigint").alias("size"))
-    return ranking.within_budget(ranking.ranked(ranking.bm25(docs, asked), 50), sizes, 1500).select("query_id", "doc_id", "rank", "used")
+    at = indexed(spark, sf_dir)
+    sizes = at.docs.select("doc_id", F.col("length").alias("size"))
+    return ranking.within_budget(ranking.ranked(ranking.bm25(at), 50), sizes, 1500).select("query_id", "doc_id", "rank", "used")
 
 
 @query(f"WITH {BM25}, e AS (SELECT query_id, doc_id, exp(score - max(score) OVER (PARTITION BY query_id)) AS e FROM bmr WHERE rank <= 10) SELECT query_id, doc_id, round(e / sum(e) OVER (PARTITION BY query_id), 6) AS p FROM e")
 def softmax_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.softmax(ranking.ranked(ranking.bm25(*corpus(spark, sf_dir)), 10)).select("query_id", "doc_id", F.round("p", 6).alias("p"))
+    return ranking.softmax(ranking.ranked(ranking.bm25(indexed(spark, sf_dir)), 10)).select("query_id", "doc_id", F.round("p", 6).alias("p"))
 
 
 @query(f"WITH {CONDITIONS}, t AS (SELECT condition, query_id, list(doc_id) AS top FROM conditions WHERE rank <= 5 GROUP BY ALL), q AS (SELECT *, query_id % 10 AS grp FROM t) SELECT a.condition, count(*) AS pairs, round(avg(len(list_intersect(a.top, b.top)) / len(list_distinct(list_concat(a.top, b.top)))), 6) AS stability FROM q a JOIN q b ON a.condition = b.condition AND a.grp = b.grp AND a.query_id < b.query_id GROUP BY a.condition")
