@@ -6,8 +6,10 @@ begin a token at the same character, and on both sides of it they have the same
 many as the overlap holds. Where no such boundary lies in the overlap, the right chunk begins earlier, twice as
 far each time, and is encoded anew; if that reaches the chunk's own beginning, both are encoded as one, so the splice never guesses.
 
-A pre-tokenizer that drops white space (as this vocabulary's does) sees the same on each side of it wherever a chunk begins. One that joins white space to words begins no
-token after white space, so that its texts are encoded as one. Special strings inside a text are handled as the library does by default.
+Inside a text of one chunk, words between ASCII white space are encoded once and their counts kept, where the vocabulary is proven to
+count words alone (words_alone: its pre-tokenizer drops white space and never joins what stands on both sides of it); for another one the library encodes
+the text. A pre-tokenizer that joins white space to words begins no token after white space either, so that its long texts are encoded as one, still right.
+Special strings inside a text are handled as the library does by default.
 
 Texts repeated in a batch are encoded once. Null and empty texts have 0 tokens. Repeated rows get equal counts. Further columns are not read.
 """
@@ -15,7 +17,9 @@ Texts repeated in a batch are encoded once. Null and empty texts have 0 tokens.
 from __future__ import annotations
 
 import os
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -26,12 +30,15 @@ from .common import map_texts
 VOCABULARY = "word_bpe_49k.json"
 LIMIT = 2048
 #: Characters of a chunk, and the first overlap of two chunks.
-CHUNK = 4096
+CHUNK = 16_384
 OVERLAP = 256
 #: Tokens that must agree on each side of a splice (or up to the ends of the overlap).
 AGREE = 4
 #: Characters that the library encodes in one call: bounds the memory of its encodings.
 CALL = 400_000
+#: Words whose counts a worker keeps, of LONGEST bytes at most each.
+CACHE, LONGEST = 400_000, 64
+BLANKS = " \t\n\r\v\f"
 
 
 def load(vocabulary: str = VOCABULARY):
@@ -104,13 +111,54 @@ def count_overlapping(text: str, encode: Callable, size: int = CHUNK, overlap: i
     return total + len(current.ids) - dropped, splices
 
 
+def words_alone(tokenizer) -> bool:
+    """Whether a text has as many tokens as its words between ASCII white space have alone: no added token holds or eats white space, the normaliser keeps
+    words apart, and no pre-token covers white space, whatever stands around it."""
+    added = tokenizer.get_added_tokens_decoder().values()
+    if any(t.lstrip or t.rstrip or any(c.isspace() for c in t.content) for t in added) or tokenizer.pre_tokenizer is None:
+        return False
+    sides = ["a", "B", "1", "!", "'s", "'", "\u0301", "é", "中", "_", "<|", "\u200d", "\u1100", "\u1161"]
+    for blank in [*BLANKS, "  ", "\r\n"]:
+        for left in sides:
+            for right in sides:
+                text = tokenizer.normalizer.normalize_str(left + blank + right) if tokenizer.normalizer else left + blank + right
+                if not any(c.isspace() for c in text) or any(any(c.isspace() for c in text[a:b]) for _, (a, b) in tokenizer.pre_tokenizer.pre_tokenize_str(text)):
+                    return False
+                if tokenizer.encode(left + blank + right, add_special_tokens=False).ids != [t for x in (left, right) for t in tokenizer.encode(x, add_special_tokens=False).ids]:
+                    return False
+    return True
+
+
+@lru_cache(2)
+def _loaded(vocabulary: str) -> tuple:
+    """Tokenizer, whether its words count alone, and counts of words: kept by a worker from task to task."""
+    tokenizer = load(vocabulary)
+    return tokenizer, words_alone(tokenizer), {}
+
+
 def counter(vocabulary: str = VOCABULARY, size: int = CHUNK, overlap: int = OVERLAP) -> Callable[[list], np.ndarray]:
     """fn(texts) -> tokens of each."""
-    tokenizer = load(vocabulary)
+    tokenizer, alone, cache = _loaded(vocabulary)
 
     def encode(text: str):
         return tokenizer.encode(text, add_special_tokens=False)
 
+    def lengths(some: list[str], step: int) -> Iterator[int]:
+        for start in range(0, len(some), step):
+            yield from map(len, tokenizer.encode_batch_fast(some[start : start + step], add_special_tokens=False))
+
+    def by_words(texts: list[str]) -> Iterator[int]:
+        parts = [t.encode("utf-8", "surrogatepass").split() for t in texts]
+        seen = dict.fromkeys(chain.from_iterable(parts))
+        known = {w: cache[w] for w in seen if w in cache}
+        fresh = [w for w in seen if w not in known]
+        known.update(zip(fresh, lengths([w.decode("utf-8", "surrogatepass") for w in fresh], 20_000), strict=True))
+        if len(cache) + len(fresh) > CACHE:
+            cache.clear()
+        cache.update((w, n) for w, n in known.items() if len(w) <= LONGEST)
+        for p in parts:
+            yield sum(map(known.__getitem__, p))
+
     def count(texts: list) -> np.ndarray:
         known = {"": 0}
         short: list[str] = []
@@ -119,10 +167,7 @@ def counter(vocabulary: str = VOCABULARY, size: int = CHUNK, overlap: int = OVER
                 known[text] = count_overlapping(text, encode, size, overlap)[0]
             else:
                 short.append(text)
-        step = max(1, CALL // size)
-        for start in range(0, len(short), step):  # one chunk each: nothing to splice, so no offsets
-            some = short[start : start + step]
-            known.update(zip(some, map(len, tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
+        known.update(zip(short, by_words(short) if alone else lengths(short, max(1, CALL // size)), strict=True))
         return np.array([known[t or ""] for t in texts], np.int64)
 
     return count

@@ -39,6 +39,15 @@ def test_documents_are_spliced(library):
     assert joined >= 0.8 * chunks > 100
 
 
+def test_full_cache_counts_right(library, monkeypatch):
+    monkeypatch.setattr(tokens, "CACHE", 30)
+    rng = random.Random(6)
+    count = tokens.counter()
+    for _ in range(5):
+        texts = [data.sentence(rng, rng.randint(1, 40), "abcd") for _ in range(20)]
+        assert count(texts).tolist() == [len(library(t).ids) for t in texts]
+
+
 def test_no_boundary_widens_to_the_whole(library):
     for text in ("abc" * 200, "a" * 100_000, " " * 5000 + "a b " + " " * 5000):
         assert tokens.count_overlapping(text, library, 50, 5)[0] == len(library(text).ids)
@@ -49,6 +58,7 @@ def test_vocabulary_that_joins_blanks_to_words_counts_right(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert tokens.words_alone(tokens.load()) and not tokens.words_alone(t)
     text = "Some words, and\n\n more of  them. " * 30
     assert tokens.counter("byte_bpe_50k.json", 50, 8)([text, None]).tolist() == [len(t.encode(text, add_special_tokens=False).ids), 0]
 
