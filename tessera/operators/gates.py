@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 
 def against_baseline(wide: DataFrame, baseline: str, measures: list[str]) -> DataFrame:
-    """Rows of the other conditions with `<measure>_delta`."""
-    base = wide.where(F.col("condition") == baseline).select(*(F.col(m).alias(f"_{m}") for m in measures))
-    joined = wide.where(F.col("condition") != baseline).crossJoin(F.broadcast(base.limit(1)))
+    """Rows of the other conditions with `<measure>_delta`. A baseline with several rows, or without one, fails the query; so does a missing measure."""
+    each = wide.where(F.col("condition") == baseline).agg(F.count(F.lit(1)).alias("_n"), *(F.first(m).alias(f"_{m}") for m in measures))
+    told = F.when(F.col("_n") == 1, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("rows of the baseline: "), F.col("_n").cast("string"))).cast("boolean"))
+    joined = wide.where(F.col("condition") != baseline).crossJoin(F.broadcast(each.where(told).drop("_n")))
     return joined.select("*", *((F.col(m) - F.col(f"_{m}")).alias(f"{m}_delta") for m in measures))
 
 

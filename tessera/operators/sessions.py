@@ -2,25 +2,40 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Retrievals without progress after which an item is held back.
 THRESHOLD = 4
 
 
-def replay(turns: DataFrame, session: str, order: list[str], item: str, progress: str, threshold: int = THRESHOLD) -> DataFrame:
+def replay(turns: DataFrame, session: str, order: list[str], item: str, progress: str, threshold: int = THRESHOLD, exempt: Column | None = None) -> DataFrame:
     """Adds epoch, since_progress, total and suppressed to a session's retrievals.
 
-    Counters of all items start anew after a turn with progress; the turn itself still counts in the old epoch. A retrieval is
-    suppressed once the item was retrieved `threshold` times or more in its epoch.
+    Counters of all items start anew after a turn with progress; the turn itself still counts in the old epoch. A retrieval counts
+    first and is then suppressed if its item has been retrieved `threshold` times or more in the epoch, unless it is exempt.
     """
     by_session = Window.partitionBy(session).orderBy(*order)
     epoch = F.coalesce(F.sum(F.col(progress).cast("int")).over(by_session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     rows = turns.withColumn("epoch", epoch)
     since = F.row_number().over(Window.partitionBy(session, item, "epoch").orderBy(*order)).cast("bigint")
     total = F.row_number().over(Window.partitionBy(session, item).orderBy(*order)).cast("bigint")
-    return rows.withColumn("since_progress", since).withColumn("total", total).withColumn("suppressed", F.col("since_progress") > threshold)
+    over = F.col("since_progress") >= threshold
+    return rows.withColumn("since_progress", since).withColumn("total", total).withColumn("suppressed", over if exempt is None else over & ~exempt)
+
+
+def loop_measures(replayed: DataFrame, group: str, trap: Column, exempt: Column, threshold: int = THRESHOLD) -> DataFrame:
+    """(group, loop_rate, productive_kept, exempt_kept) of a replay: traps let through in a loop, and the shares of other and of exempt retrievals let through.
+
+    Without a trap the rate is 0; without others or exempt ones the shares are 1.
+    """
+    let = ~F.col("suppressed")
+    share = lambda hit, of, none: F.round(F.when(F.count_if(of) == 0, none).otherwise(F.count_if(hit & of) / F.count_if(of)), 6)
+    return replayed.groupBy(group).agg(
+        share(let & (F.col("since_progress") >= threshold), trap & ~exempt, 0.0).alias("loop_rate"),
+        share(let, ~trap & ~exempt, 1.0).alias("productive_kept"),
+        share(let, exempt, 1.0).alias("exempt_kept"),
+    )
 
 
 def streaks(rows: DataFrame, session: str, order: list[str], outcome: str, neutral: list[str]) -> DataFrame:
@@ -37,7 +52,10 @@ def occurrence(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("bigint")).withColumn("repeat", F.col("nth") > 1)
 
 
-def preceding(rows: DataFrame, session: str, order: str, text: str, keep, n: int) -> DataFrame:
-    """Adds before: the last n texts of the session's earlier rows for which `keep` holds."""
-    earlier = F.collect_list(F.when(keep, F.col(text))).over(Window.partitionBy(session).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    return rows.withColumn("before", F.slice(F.reverse(earlier), 1, n))
+def preceding(rows: DataFrame, session: str, order: str, text: str, keep: Column, n: int) -> DataFrame:
+    """Adds before (the last n texts of the session's earlier rows for which `keep` holds, the last first) and n_before (how many there are)."""
+    kept = F.when(keep, F.col(text))
+    by = Window.partitionBy(session).orderBy(order)
+    marked = rows.withColumn("_k", kept).withColumn("n_before", F.count("_k").over(by.rowsBetween(Window.unboundedPreceding, -1)))
+    last = F.array_compact(F.array(*(F.expr(f"lag(_k, {k}) IGNORE NULLS OVER (PARTITION BY {session} ORDER BY {order})") for k in range(1, n + 1))))
+    return marked.withColumn("before", last).drop("_k")

@@ -203,7 +203,7 @@ def intent_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("event_id", "primary", "confidence", "lens", F.when(F.col("confidence") == "low", 0).otherwise(F.size("intents")).cast("bigint").alias("n_hits"))
 
 
-FIT_ROWS = ", ".join(f"('{i}', '{r}', {intent.WEIGHT[f]}::DOUBLE)" for i, line in intent.FIT.items() for r, f in zip(intent.ROLES, line, strict=True))
+FIT_ROWS = ", ".join(f"('{i}', '{r}', {intent.WEIGHT[f]}::DOUBLE)" for i, fits in intent.FIT.items() for f, roles in fits.items() for r in roles)
 
 
 @query(

@@ -64,26 +64,32 @@ def asof_last_purchase(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 REPLAY = """
-t AS (SELECT event_id, user_id, ts, json_extract_string(props, '$.k') AS item, event_type = 'purchase' AS progress FROM events),
+t AS (SELECT event_id, user_id, ts, event_type AS item, event_type = 'purchase' AS progress, event_type = 'signup' AS exempt, event_type IN ('click', 'error') AS trap FROM events),
 e AS (SELECT *, coalesce(sum(progress::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS epoch FROM t),
-r AS (SELECT *, row_number() OVER (PARTITION BY user_id, item, epoch ORDER BY ts, event_id) AS since_progress, row_number() OVER (PARTITION BY user_id, item ORDER BY ts, event_id) AS total FROM e)"""
+r0 AS (SELECT *, row_number() OVER (PARTITION BY user_id, item, epoch ORDER BY ts, event_id) AS since_progress, row_number() OVER (PARTITION BY user_id, item ORDER BY ts, event_id) AS total FROM e),
+r AS (SELECT *, since_progress >= 4 AND NOT exempt AS suppressed FROM r0)"""
 
 
 def _turns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = table(spark, sf_dir, "events")
-    return e.select("event_id", "user_id", "ts", F.get_json_object("props", "$.k").alias("item"), (F.col("event_type") == "purchase").alias("progress"))
+    """Events as retrievals of their type: a purchase is progress, signups are exempt, clicks and errors are traps."""
+    t = F.col("event_type")
+    return table(spark, sf_dir, "events").select("event_id", "user_id", "ts", t.alias("item"), (t == "purchase").alias("progress"), (t == "signup").alias("exempt"), t.isin("click", "error").alias("trap"))
+
+
+def _replayed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sessions.replay(_turns(spark, sf_dir), "user_id", ["ts", "event_id"], "item", "progress", exempt=F.col("exempt"))
 
 
-@query(f"WITH {REPLAY} SELECT event_id, since_progress, total, since_progress > 1 AS suppressed FROM r")
+@query(f"WITH {REPLAY} SELECT event_id, since_progress, total, suppressed FROM r")
 def exhaustion_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as retrievals of the item in their props; a purchase is progress. Two in a row exhaust an item here."""
-    return sessions.replay(_turns(spark, sf_dir), "user_id", ["ts", "event_id"], "item", "progress", 1).select("event_id", "since_progress", "total", "suppressed")
+    return _replayed(spark, sf_dir).select("event_id", "since_progress", "total", "suppressed")
 
 
-@query(f"WITH {REPLAY} SELECT user_id, round(count(*) FILTER (since_progress > 1) / count(*), 6) AS loop_rate, count(*) FILTER (progress) AS progress_turns FROM r GROUP BY user_id")
+@query(f"""WITH {REPLAY} SELECT user_id, round(CASE WHEN count(*) FILTER (trap) = 0 THEN 0 ELSE count(*) FILTER (trap AND NOT suppressed AND since_progress >= 4) / count(*) FILTER (trap) END, 6)::DOUBLE AS loop_rate,
+round(CASE WHEN count(*) FILTER (NOT trap AND NOT exempt) = 0 THEN 1 ELSE count(*) FILTER (NOT trap AND NOT exempt AND NOT suppressed) / count(*) FILTER (NOT trap AND NOT exempt) END, 6)::DOUBLE AS productive_kept,
+round(CASE WHEN count(*) FILTER (exempt) = 0 THEN 1 ELSE count(*) FILTER (exempt AND NOT suppressed) / count(*) FILTER (exempt) END, 6)::DOUBLE AS exempt_kept FROM r GROUP BY user_id""")
 def loop_rate_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
-    r = sessions.replay(_turns(spark, sf_dir), "user_id", ["ts", "event_id"], "item", "progress", 1)
-    return r.groupBy("user_id").agg(F.round(F.count_if("suppressed") / F.count(F.lit(1)), 6).alias("loop_rate"), F.count_if("progress").alias("progress_turns"))
+    return sessions.loop_measures(_replayed(spark, sf_dir), "user_id", F.col("trap"), F.col("exempt"))
 
 
 @query("WITH t AS (SELECT * FROM events WHERE event_type NOT IN ('view')), c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS c FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS streak FROM c) SELECT user_id, streak::BIGINT AS streak, event_type, count(*) AS length FROM s GROUP BY ALL HAVING count(*) >= 2")
@@ -101,9 +107,8 @@ def first_seen_repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preceding_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Up to four user turns before each answer, the last first, by their lengths."""
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", F.length("text").cast("string").alias("size"))
-    all_before = sessions.preceding(c, "conv_id", "turn", "size", F.col("role") == "user", 1_000_000)
-    rows = all_before.where("role = 'assistant'")
-    return rows.select("conv_id", "turn", F.size("before").cast("bigint").alias("n_before"), F.concat_ws(",", F.slice("before", 1, 4)).alias("lengths"))
+    rows = sessions.preceding(c, "conv_id", "turn", "size", F.col("role") == "user", 4).where("role = 'assistant'")
+    return rows.select("conv_id", "turn", "n_before", F.concat_ws(",", "before").alias("lengths"))
 
 
 @query("WITH r AS (SELECT user_id, event_id, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spent FROM events) SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_breach FROM r WHERE round(spent, 6) > 1000 GROUP BY user_id")

@@ -6,8 +6,17 @@ from pyspark.sql import DataFrame
 
 
 def json_artifact(df: DataFrame, path: str) -> None:
-    """Replaces the folder at path; readers see the old files or the new ones."""
-    df.write.mode("overwrite").json(path)
+    """Replaces the folder at path: the rows are written beside it first, so that a failed write leaves the old files, and then take its place by two renames."""
+    spark = df.sparkSession
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    new, old, own = hadoop(f"{path}.new"), hadoop(f"{path}.old"), hadoop(path)
+    fs = own.getFileSystem(spark._jsc.hadoopConfiguration())
+    df.write.mode("overwrite").json(f"{path}.new")
+    fs.delete(old, True)
+    if fs.exists(own):
+        fs.rename(own, old)
+    fs.rename(new, own)
+    fs.delete(old, True)
 
 
 def append_log(df: DataFrame, path: str) -> None:

@@ -48,13 +48,14 @@ def corpus(spark: SparkSession, glob: str) -> DataFrame:
 
 
 def markdown_rows(spark: SparkSession, path: str, heading: str) -> DataFrame:
-    """Cells of the table rows under a heading, header and rule left out."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.split("value", "\n")).alias("n", "line"))
-    order = Window.orderBy("n")
+    """file, n (line) and cells of the table rows under a heading, header and rule left out, file by file."""
+    read = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    lines = read.select("file", F.posexplode(F.split("value", "\n")).alias("n", "line"))
+    order = Window.partitionBy("file").orderBy("n")
     at = F.last(F.when(F.col("line").startswith("#"), F.trim(F.regexp_replace("line", "^#+", ""))), True).over(order)
     rows = lines.withColumn("under", at).where((F.col("under") == heading) & F.trim("line").startswith("|") & ~F.regexp_like("line", F.lit(r"^\s*\|[\s:|-]+\|\s*$")))
     cells = F.transform(F.split(F.regexp_replace(F.trim("line"), r"^\||\|$", ""), r"\|"), lambda c: F.trim(c))
-    return rows.withColumn("_k", F.row_number().over(order)).where("_k > 1").select("n", cells.alias("cells"))
+    return rows.withColumn("_k", F.row_number().over(order)).where("_k > 1").select("file", "n", cells.alias("cells"))
 
 
 def database(spark: SparkSession, url: str, query: str) -> DataFrame:

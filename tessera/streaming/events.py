@@ -2,14 +2,14 @@
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+
+from ..operators.sessions import THRESHOLD
 
 
 def tail_log(spark: SparkSession, folder: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
@@ -44,27 +44,39 @@ def running_totals(stream: DataFrame, key: str, amount: str, cap: float) -> Data
 REPLAY_SCHEMA = "session string, turn bigint, item string, since_progress bigint, suppressed boolean"
 
 
-def replay(stream: DataFrame, threshold: int) -> DataFrame:
-    """Retrievals of a session with their count since the last turn with progress.
+def replay(stream: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """Retrievals of a session with their count since the last turn with progress, suppressed from the `threshold`-th on unless exempt.
 
-    stream: session, turn, item, progress. State is the session's counts by item; they start anew after a turn with progress.
-    Turns of a session must arrive in order from batch to batch; within a batch they are sorted. A turn must not span batches.
+    stream: session, turn, item, progress, exempt. State is a map from item to count and epoch, one entry an item, and the session's epoch; a turn
+    with progress begins the next epoch. Turns of a session must arrive in order from batch to batch; within a batch they are sorted. A turn must not
+    span batches.
     """
 
-    def advance(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        counts: dict[str, int] = json.loads(state.get[0]) if state.exists else {}
-        rows = pd.concat(list(frames)).sort_values(["turn", "item"], kind="stable")
-        out = []
-        for turn, part in rows.groupby("turn", sort=True):
-            for item in part["item"]:
-                counts[item] = counts.get(item, 0) + 1
-                out.append((key[0], int(turn), item, counts[item], counts[item] > threshold))
-            if part["progress"].any():
-                counts = {}
-        state.update((json.dumps(counts),))
-        yield pd.DataFrame(out, columns=["session", "turn", "item", "since_progress", "suppressed"])
-
-    return stream.groupBy("session").applyInPandasWithState(advance, REPLAY_SCHEMA, "counts string", "append", GroupStateTimeout.NoTimeout)
+    class Replay(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.counts = handle.getMapState("counts", "item string", "epoch bigint, n bigint")
+            self.epoch = handle.getValueState("epoch", "epoch bigint")
+
+        def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timers: object) -> Iterator[pd.DataFrame]:
+            got = pd.concat(list(rows)).sort_values(["turn", "item"], kind="stable").reset_index(drop=True)
+            first = self.epoch.get()[0] if self.epoch.exists() else 0
+            progress = got.groupby("turn")["progress"].any()
+            epoch = got["turn"].map(first + progress.cumsum() - progress)
+            before = {}
+            for item in got["item"].unique():
+                held = self.counts.getValue((item,)) if self.counts.containsKey((item,)) else None
+                before[item] = held[1] if held and held[0] == first else 0
+            n = got.groupby(["item", epoch.rename("epoch")]).cumcount() + 1 + got["item"].map(before).where(epoch == first, 0)
+            last = pd.DataFrame({"item": got["item"], "epoch": epoch, "n": n}).groupby("item").last()
+            for item, e, k in last.itertuples():
+                self.counts.updateValue((item,), (int(e), int(k)))
+            self.epoch.update((int(first + progress.sum()),))
+            yield pd.DataFrame({"session": key[0], "turn": got["turn"], "item": got["item"], "since_progress": n.astype("int64"), "suppressed": (n >= threshold) & ~got["exempt"].fillna(False).astype(bool)})
+
+        def close(self) -> None:
+            pass
+
+    return stream.groupBy("session").transformWithStateInPandas(Replay(), REPLAY_SCHEMA, "Append", "None")
 
 
 def append_files(stream: DataFrame, folder: str, checkpoint: str) -> StreamingQuery:
