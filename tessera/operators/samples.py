@@ -16,12 +16,23 @@ def quotas(counts: DataFrame, stratum: str, size: int) -> DataFrame:
     return rows.withColumn("place", place).crossJoin(F.broadcast(left)).select(stratum, (F.col("base") + (F.col("place") <= F.col("left")).cast("int")).cast("bigint").alias("quota"))
 
 
+#: Cells of the digest's range; a stratum's rows are ranked cell by cell.
+CELLS = 256
+
+
 def stratified(df: DataFrame, key: str, stratum: str, size: int, seed: str = "s1") -> DataFrame:
-    """Rows of a stratified sample of `size`."""
-    counts = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy(stratum).orderBy(F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string"))), key)
-    placed = df.withColumn("_n", F.row_number().over(order))
-    return placed.join(F.broadcast(quotas(counts, stratum, size)), stratum).where(F.col("_n") <= F.col("quota")).drop("_n", "quota")
+    """Rows of a stratified sample of `size`: in each stratum those with the least digests of seed and key.
+
+    Strata are cut by the first byte of the digest, so that no task sorts a whole stratum: counts of cells give each cell's place.
+    """
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(key).cast("string")).cast("binary"))
+    marked = df.withColumn("_d", digest).withColumn("_c", F.conv(F.substring("_d", 1, 2), 16, 10).cast("int"))
+    cells = marked.groupBy(stratum, "_c").agg(F.count(F.lit(1)).alias("_in"))
+    before = F.sum("_in").over(Window.partitionBy(stratum).orderBy("_c")) - F.col("_in")
+    wanted = quotas(cells.groupBy(stratum).agg(F.sum("_in").alias("n")), stratum, size)
+    open_cells = cells.withColumn("_before", before).join(wanted, stratum).where(F.col("_before") < F.col("quota")).select(stratum, "_c", "_before", "quota")
+    place = F.row_number().over(Window.partitionBy(stratum, "_c").orderBy("_d", key)) + F.col("_before")
+    return marked.join(open_cells, [stratum, "_c"]).withColumn("_n", place).where(F.col("_n") <= F.col("quota")).drop("_n", "_d", "_c", "_before", "quota")
 
 
 def first_of_each(df: DataFrame, group: str, order: str, n: int) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,3 +20,8 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
         return fn
 
     return register
+
+
+def many() -> Column:
+    """How many rows."""
+    return F.count(F.lit(1))

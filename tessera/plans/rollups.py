@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import measures
-from ..operators import costs, gates
+from ..operators import costs, gates, summaries
 from ..sources.tables import table
 from .catalog import query
 
@@ -82,13 +82,11 @@ def wilson_precision(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH r AS (SELECT event_type, value, row_number() OVER (PARTITION BY event_type ORDER BY value) - 1 AS i, count(*) OVER (PARTITION BY event_type) AS n FROM events WHERE value IS NOT NULL) SELECT event_type, max(value) FILTER (i = round_even((n - 1) * 0.5, 0)) AS p50, max(value) FILTER (i = round_even((n - 1) * 0.95, 0)) AS p95, max(value) FILTER (i = least(n - 1, floor(n * 0.9))) AS floor_p90, round(max(m), 6) AS median FROM r JOIN (SELECT event_type, median(value) AS m FROM events GROUP BY 1) USING (event_type) GROUP BY event_type")
 def nearest_rank_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Percentiles by three definitions. Values are ranked in place of being gathered: a rank is a count of rows before."""
-    order = Window.partitionBy("event_type").orderBy("value")
-    rows = table(spark, sf_dir, "events").where(F.col("value").isNotNull()).select("event_type", "value", (F.row_number().over(order) - 1).alias("i"), F.count(F.lit(1)).over(Window.partitionBy("event_type")).alias("n"))
-    at = lambda place: F.max(F.when(F.col("i") == place, F.col("value")))
-    return rows.groupBy("event_type").agg(
-        at(F.bround((F.col("n") - 1) * F.lit(0.5))).alias("p50"), at(F.bround((F.col("n") - 1) * F.lit(0.95))).alias("p95"), at(F.least(F.col("n") - 1, F.floor(F.col("n") * F.lit(0.9)))).alias("floor_p90"), F.round(F.median("value"), 6).alias("median")
-    )
+    """Percentiles by three definitions, from counts of values, range by range."""
+    e = table(spark, sf_dir, "events")
+    n = F.col("n")
+    at = summaries.percentiles(e, "event_type", "value", {"p50": F.bround((n - 1) * F.lit(0.5)), "p95": F.bround((n - 1) * F.lit(0.95)), "floor_p90": F.least(n - 1, F.floor(n * F.lit(0.9))), "low": F.floor((n - 1) / 2), "high": F.ceil((n - 1) / 2)})
+    return at.select("event_type", "p50", "p95", "floor_p90", F.round((F.col("low") + F.col("high")) / 2, 6).alias("median"))
 
 
 @query("WITH b AS (SELECT o_custkey, sum(CASE WHEN o_orderdate < DATE '1998-01-01' THEN o_totalprice END) > 1000000 AS before_, sum(CASE WHEN o_orderdate >= DATE '1998-01-01' THEN o_totalprice END) > 1000000 AS after_ FROM orders GROUP BY 1), t AS (SELECT CASE WHEN before_ AND after_ THEN 'stayed_pass' WHEN before_ THEN 'regressed' WHEN after_ THEN 'recovered' ELSE 'stayed_fail' END AS class, o_custkey FROM (SELECT o_custkey, coalesce(before_, false) AS before_, coalesce(after_, false) AS after_ FROM b)) SELECT class, count(*) AS n, min(o_custkey) AS first FROM t GROUP BY class")
