@@ -1,3 +1,3 @@
 """Queries over the tables, by theme; importing this package registers them."""
 
-from . import corpora, evidence, history, joins, measures, retrieval, rollups, summaries  # noqa: F401
+from . import corpora, evidence, history, joins, measures, retrieval, rollups, summaries, values  # noqa: F401
