@@ -54,3 +54,13 @@ def as_of(left: DataFrame, right: DataFrame, key: str, left_at: str, right_at: s
     )
     order = Window.partitionBy(key).orderBy("_t", "_l").rowsBetween(Window.unboundedPreceding, 0)
     return both.withColumn(value, F.last(value, True).over(order)).where("_l = 1").drop("_l", "_t")
+
+
+def believed(expired: Column) -> Column:
+    """What is believed now: not expired."""
+    return expired.isNull()
+
+
+def folded(events: DataFrame, key: list[str], value: str) -> DataFrame:
+    """One row for each key, with the least value of its repeats."""
+    return events.groupBy(*key).agg(F.min(value).alias(value))
