@@ -150,3 +150,9 @@ def wardens(rows: DataFrame, guards: dict[str, Column], conditions: dict[str, li
     flat = rows.select(should_refuse.alias("bad"), each.alias("_c")).select("bad", "_c.*")
     share = lambda hit, of: F.round(ratio(F.count_if(hit & of), F.count_if(of), 1.0), 6)
     return flat.groupBy("condition").agg(share(F.col("refused"), F.col("bad")).alias("refuse_recall"), share(~F.col("refused"), ~F.col("bad")).alias("admit_retention"))
+
+
+def narrowed(rows: DataFrame, group: list[str], key: str, matches: Column, least: int) -> DataFrame:
+    """The rows whose key matches, in groups where `least` distinct keys do; all rows of the others."""
+    support = rows.groupBy(*group).agg(F.count_distinct(F.when(matches, F.col(key))).alias("_s"))
+    return rows.join(support, group).where((F.col("_s") < least) | matches).drop("_s")

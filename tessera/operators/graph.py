@@ -32,9 +32,47 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 5,
 
 
 def fingerprint(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(n_rows, digest): a digest that does not depend on the order of rows; null differs from every text."""
-    row = F.xxhash64(*(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns))
-    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.bit_xor(row).alias("digest"))
+    """(n_rows, digest): a digest that does not depend on the order of rows, the sum of the first 60 bits of each row's MD5 (a decimal, as text); null differs from every text."""
+    row = F.md5(F.concat_ws("\x1f", *(F.coalesce(F.col(c).cast("string"), F.lit("\x00")) for c in columns)).cast("binary"))
+    bits = F.conv(F.substring(row, 1, 15), 16, 10).cast("decimal(20,0)")
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), F.sum(bits).cast("decimal(38,0)").cast("string").alias("digest"))
+
+
+def chain(links: DataFrame, depth: int) -> DataFrame:
+    """(id, root, steps): follows each id's predecessor (id, before) until there is none, doubling the reach each round; links that come back to themselves end at `depth`.
+
+    Each round joins every pointer to its pointer's pointer, so a chain of n links takes log2 n rounds.
+    """
+    at = links.select("id", F.col("before").alias("to"), F.when(F.col("before").isNull(), 0).otherwise(1).cast("bigint").alias("steps"))
+    for _ in range(max(1, (depth - 1).bit_length())):
+        nxt = at.select(F.col("id").alias("to"), F.col("to").alias("_to"), F.col("steps").alias("_steps"))
+        at = at.join(nxt, "to", "left").select("id", F.coalesce("_to", "to").alias("to"), (F.col("steps") + F.when(F.col("_to").isNotNull(), F.coalesce("_steps", F.lit(0))).otherwise(0)).alias("steps"))
+    return at.select("id", F.coalesce("to", "id").alias("root"), "steps")
+
+
+def tree_faults(tokens: DataFrame, group: str, depth: int = 64) -> DataFrame:
+    """(group, roots, loose, cyclic): roots of each group's tokens (id, head), heads that are no token of it, and tokens that reach no root."""
+    key = [group, "id"]
+    heads = tokens.select(group, F.col("id").alias("head"), F.lit(True).alias("_known"))
+    known = tokens.join(heads, [group, "head"], "left").select(*key, "head", F.coalesce("_known", F.lit(False)).alias("known"))
+    ids = known.select(F.struct(group, "id").alias("id"), F.when(F.col("head").isNotNull() & F.col("known"), F.struct(group, F.col("head").alias("id"))).alias("before"))
+    ends = chain(ids, depth).select(F.col("id.*"), F.col("root.id").alias("root"))
+    rootless = ends.join(known.where("head IS NULL OR NOT known").select(group, F.col("id").alias("root"), F.lit(True).alias("_end")), [group, "root"], "left")
+    faults = known.groupBy(group).agg(F.count_if(F.col("head").isNull()).alias("roots"), F.count_if(F.col("head").isNotNull() & ~F.col("known")).alias("loose"))
+    return faults.join(rootless.groupBy(group).agg(F.count_if(F.col("_end").isNull()).alias("cyclic")), group)
+
+
+def triples(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(src, src_name, relation, dst, dst_name): edges between known nodes (id, name)."""
+    left = nodes.select(F.col("id").alias("src"), F.col("name").alias("src_name"))
+    right = nodes.select(F.col("id").alias("dst"), F.col("name").alias("dst_name"))
+    return edges.join(left, "src").join(right, "dst").select("src", "src_name", "relation", "dst", "dst_name")
+
+
+def census(edges: DataFrame) -> DataFrame:
+    """(node, links, neighbours): edges at either end, and distinct nodes at the other."""
+    both = edges.select(F.col("src").alias("node"), F.col("dst").alias("other")).unionAll(edges.select(F.col("dst").alias("node"), F.col("src").alias("other")))
+    return both.groupBy("node").agg(F.count(F.lit(1)).alias("links"), F.count_distinct("other").alias("neighbours"))
 
 
 def in_exactly(names: DataFrame, name: str, group: str, groups: int = 1) -> DataFrame:

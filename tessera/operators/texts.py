@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small_side
+from .sizes import checkpointed, small_side
 
 
 def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
@@ -29,6 +29,15 @@ def similar_sets(sets: DataFrame, threshold: float) -> DataFrame:
     return full.where(F.col("similarity") >= threshold).select("a", "b", "similarity")
 
 
+def similar_classes(sets: DataFrame, threshold: float) -> DataFrame:
+    """(id, class, members, links): each row's class of equal sets (named by its smallest id), the rows of it, and how many other classes are alike."""
+    c = checkpointed(classes(sets))
+    reps = c.groupBy("items").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members"))
+    pairs = similar_sets(reps.select(F.col("class").alias("id"), "items"), threshold)
+    links = pairs.select(F.explode(F.array("a", "b")).alias("class")).groupBy("class").agg(F.count(F.lit(1)).alias("links"))
+    return c.join(reps, "items").join(links, "class", "left").select("id", "class", "members", F.coalesce("links", F.lit(0)).alias("links"))
+
+
 def classes(sets: DataFrame) -> DataFrame:
     """(id, items) with items distinct and sorted."""
     return sets.select("id", F.array_sort(F.array_distinct("items")).alias("items"))

@@ -42,11 +42,6 @@ def test_same_rows_as_sql(spark, duck, name):
     assert rows(got) == rows(expected)
 
 
-def test_fingerprint_does_not_depend_on_order(spark):
-    a = catalog.QUERIES["graph_fingerprint"](spark, str(DATA)).first()
-    assert a.n_rows > 0 and a == catalog.QUERIES["graph_fingerprint"](spark, str(DATA)).first()
-
-
 def test_entry_imports_and_lists_queries():
     import __spark_entry__ as entry
 
