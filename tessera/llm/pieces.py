@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -30,10 +31,10 @@ MODEL = "piece_bpe_32k.model"
 BLANK = "▁"
 WORD = re.compile(f"{BLANK}*[^{BLANK}]+|{BLANK}+")
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
-#: Words whose tokens a worker keeps.
-CACHE = 1_200_000
+#: Words whose tokens a worker keeps, of LONGEST characters at most each.
+CACHE, LONGEST = 250_000, 64
 #: Characters of the words that advance together.
-BATCH = 400_000
+BATCH = 200_000
 NONE, UNKNOWN = -1, -2
 FILTER_BITS = 20
 NEVER = np.iinfo(np.int64).max
@@ -212,11 +213,14 @@ def encoder(v: dict[str, np.ndarray], model: str = MODEL) -> Callable[[list], li
 
     def encode(texts: list) -> list[np.ndarray]:
         parts = [WORD.findall((BLANK + t).replace(" ", BLANK)) if t else [] for t in texts]
-        if len(cache) > CACHE:
+        seen = {w for p in parts for w in p}
+        known = {w: cache[w] for w in seen if w in cache}
+        new = [w for w in seen if w not in known]
+        known.update(zip(new, encode_words(v, new), strict=True))
+        if len(cache) + len(new) > CACHE:
             cache.clear()
-        new = list({w for p in parts for w in p if w not in cache})
-        cache.update(zip(new, encode_words(v, new), strict=True))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, p)), np.int32) for p in parts]
+        cache.update((w, known[w]) for w in islice(known, CACHE) if len(w) <= LONGEST)
+        return [np.frombuffer(b"".join(map(known.__getitem__, p)), np.int32) for p in parts]
 
     return encode
 

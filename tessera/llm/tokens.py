@@ -19,7 +19,7 @@ from __future__ import annotations
 import os
 from collections.abc import Callable, Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -37,7 +37,7 @@ AGREE = 4
 #: Characters that the library encodes in one call: bounds the memory of its encodings.
 CALL = 400_000
 #: Words whose counts a worker keeps, of LONGEST bytes at most each.
-CACHE, LONGEST = 400_000, 64
+CACHE, LONGEST = 250_000, 64
 BLANKS = " \t\n\r\v\f"
 
 
@@ -155,7 +155,7 @@ def counter(vocabulary: str = VOCABULARY, size: int = CHUNK, overlap: int = OVER
         known.update(zip(fresh, lengths([w.decode("utf-8", "surrogatepass") for w in fresh], 20_000), strict=True))
         if len(cache) + len(fresh) > CACHE:
             cache.clear()
-        cache.update((w, n) for w, n in known.items() if len(w) <= LONGEST)
+        cache.update((w, known[w]) for w in islice(known, CACHE) if len(w) <= LONGEST)
         for p in parts:
             yield sum(map(known.__getitem__, p))
 

@@ -36,7 +36,7 @@ THRESHOLD = 0.7
 HELD_OUT = (3, 1)
 PREFIXES = (4, 5)
 STRIP = b".,;:!?\"'()[]{}<>*#%&$|-_"
-CACHE = 400_000
+CACHE = 150_000
 
 
 def term_ids(word: bytes, buckets: int = BUCKETS) -> list[int]:
@@ -98,14 +98,14 @@ def pair_terms(ids: list[np.ndarray], y: np.ndarray, df: np.ndarray) -> np.ndarr
     x = np.zeros((len(y), len(common)), np.float32)
     for i, row in enumerate(ids):
         x[i, np.searchsorted(common, np.intersect1d(row, common, assume_unique=True))] = 1
-    effect, error = 0.0, 0.0
-    for label, sign in ((1, 1.0), (0, -1.0)):
-        part = x[y == label]
-        both = part.T @ part
-        one = part.sum(0)
-        for cell, s in ((both, 1.0), (one[:, None] - both, -1.0), (one[None, :] - both, -1.0), (len(part) - one[:, None] - one[None, :] + both, 1.0)):
-            effect = effect + sign * s * np.log(cell + 0.5)
-            error = error + 1 / (cell + 0.5)
+    marked = x[y == 1]
+    pos, every = (marked.T @ marked, marked.sum(0), len(marked)), (x.T @ x, x.sum(0), len(x))
+    del x, marked
+    effect = error = np.float32(0)
+    for sign, (both, one, n) in ((1, pos), (-1, tuple(a - b for a, b in zip(every, pos, strict=True)))):
+        for cell, s in ((both, 1), (one[:, None] - both, -1), (one[None, :] - both, -1), (n - one[:, None] - one[None, :] + both, 1)):
+            effect = effect + np.float32(sign * s) * np.log(cell + np.float32(0.5))
+            error = error + 1 / (cell + np.float32(0.5))
     z = np.abs(effect) / np.sqrt(error)
     z[np.abs(effect) < MIN_RATIO] = 0
     i, j = np.nonzero(np.triu(z >= PAIR_ERRORS, 1))
