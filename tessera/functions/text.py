@@ -198,3 +198,20 @@ def number_word(x: str | Column) -> Column:
     values = F.transform(parts, lambda p: table[p])
     spelled = F.when(F.forall(values, lambda v: v.isNotNull()), F.aggregate(values, F.lit(0), lambda a, v: a + v))
     return F.coalesce(F.regexp_replace(_c(x), ",", "").try_cast("bigint"), spelled.cast("bigint"))
+
+
+def pascal_suffix(name: str | Column) -> Column:
+    """The last part of a name in Pascal case, null for others."""
+    return F.nullif(F.regexp_extract(_c(name), r"^(?:[A-Z][a-z0-9]+)+([A-Z][a-z0-9]+)$", 1), F.lit(""))
+
+
+#: Ways to say that one does not know, and words that deny what follows within three words.
+ABSTAINS = r"\b(?:i (?:do not|dont) know|not sure|cannot (?:say|tell|answer)|no (?:information|idea)|unknown)\b"
+DENIES = r"\b(?:not|no|never|isnt|wasnt|didnt|doesnt)\b(?: \w+){0,3} "
+
+
+def answer_outcome(said: Column, truth: Column) -> Column:
+    """right if the normal answer holds the truth's, negated if it denies it, abstained, or wrong."""
+    a, t = normal_answer(said), normal_answer(truth)
+    denied = F.regexp_like(a, F.concat(F.lit(DENIES), F.lit(r"\Q"), t, F.lit(r"\E")))
+    return F.when(F.regexp_like(a, F.lit(ABSTAINS)), "abstained").when((t == "") | ~F.contains(a, t), "wrong").when(denied, "negated").otherwise("right")

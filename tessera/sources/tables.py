@@ -67,3 +67,52 @@ def schema_gaps(df: DataFrame, expected: dict[str, str]) -> list[str]:
     """Columns of the expected schema that are missing or of another type."""
     have = dict(df.dtypes)
     return [f"{c}: expected {t}, found {have.get(c, 'nothing')}" for c, t in expected.items() if have.get(c) != t]
+
+
+def dataset(spark: SparkSession, path: str, subset: list[str] | None = None, key: str = "question_type") -> DataFrame:
+    """A benchmark's items from a JSON array or JSON lines, all or those of a subset."""
+    rows = spark.read.option("multiLine", True).json(path)
+    return rows.where(F.col(key).isin(subset)) if subset else rows
+
+
+def harness_summary(spark: SparkSession, path: str, totals: list[str], passed: list[str]) -> DataFrame:
+    """file, total, passed and score of harness summaries whose fields have several names (the first that is there); 0 without a total."""
+    rows = spark.read.option("multiLine", True).json(path).select("*", F.col("_metadata.file_name").alias("file"))
+    first = lambda names: F.coalesce(*(F.col(n).cast("double") for n in names if n in rows.columns), F.lit(0.0))
+    return rows.select("file", first(totals).alias("total"), first(passed).alias("passed")).withColumn("score", F.when(F.col("total") > 0, F.col("passed") / F.col("total")).otherwise(0.0))
+
+
+def scenarios(spark: SparkSession, path: str) -> DataFrame:
+    """scenario, n, turn and probes of scenario files; a turn is its text, or the JSON text of a tool-loop turn."""
+    schema = "name string, system string, turns array<string>, probes array<struct<question: string, keywords: array<string>>>"
+    rows = spark.read.schema(schema).option("multiLine", True).json(path)
+    return rows.select(F.col("name").alias("scenario"), "system", "probes", F.posexplode("turns").alias("n", "turn"))
+
+
+def prices(spark: SparkSession, path: str) -> DataFrame:
+    """model, rate and output_rate from a JSON file of an object by model."""
+    rows = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string, struct<input: double, output: double>>").alias("m"))
+    return rows.select(F.explode("m").alias("model", "p")).select("model", F.col("p.input").alias("rate"), F.col("p.output").alias("output_rate"))
+
+
+def source_tree(spark: SparkSession, folder: str, extensions: list[str]) -> DataFrame:
+    """path (below the folder), folder, stem, extension, length of the files of some extensions at any depth. Contents are not read."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder).select(F.col("path").alias("_p"), "length")
+    path = F.substring_index("_p", folder.rstrip("/") + "/", -1)
+    name = F.element_at(F.split(path, "/"), -1)
+    rows = files.select(path.alias("path"), F.regexp_replace(path, "/?[^/]*$", "").alias("folder"), F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("extension"), "length")
+    return rows.where(F.col("extension").isin(extensions))
+
+
+def session_turns(items: DataFrame, key: str, sessions: str, dates: str | None = None) -> DataFrame:
+    """(key, session, date, turn, role, content): the turns of an item's sessions (array of arrays of role and content), sessions in order of date, then place."""
+    rows = items.select(key, *([dates] if dates else []), F.posexplode(sessions).alias("_s", "_t"))
+    rows = rows.withColumn("date", F.get(dates, F.col("_s")) if dates else F.lit(None).cast("string"))
+    order = Window.partitionBy(key).orderBy(F.coalesce("date", F.lit("")), "_s")
+    placed = rows.withColumn("session", F.row_number().over(order).cast("bigint"))
+    return placed.select(key, "session", "date", F.posexplode("_t").alias("turn", "_x")).select(key, "session", "date", "turn", "_x.role", "_x.content")
+
+
+def flattened(items: DataFrame, key: str, sessions: str) -> DataFrame:
+    """(key, n, role, content): all sessions' turns as one conversation."""
+    return items.select(key, F.posexplode(F.flatten(sessions)).alias("n", "_x")).select(key, "n", "_x.role", "_x.content")

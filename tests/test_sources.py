@@ -44,3 +44,41 @@ def test_sinks(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).count() == 2
     assert sinks.markdown(df) == "| a | b |\n| --- | --- |\n| 1 | x |"
     assert tables.schema_gaps(df, {"a": "int", "b": "bigint", "c": "int"}) == ["b: expected bigint, found string", "c: expected int, found nothing"]
+
+
+def test_datasets_summaries_scenarios_and_prices(spark, tmp_path):
+    (tmp_path / "d.json").write_text(json.dumps([{"id": 1, "question_type": "a"}, {"id": 2, "question_type": "b"}]))
+    assert tables.dataset(spark, str(tmp_path / "d.json"), ["b"]).first().id == 2 and tables.dataset(spark, str(tmp_path / "d.json")).count() == 2
+    (tmp_path / "s.json").write_text(json.dumps({"total_instances": 4, "resolved": 3}))
+    row = tables.harness_summary(spark, str(tmp_path / "s.json"), ["total_instances", "total"], ["resolved", "passed"]).first()
+    assert (row.total, row.passed, row.score) == (4.0, 3.0, 0.75)
+    (tmp_path / "c.json").write_text(json.dumps({"name": "x", "system": "s", "turns": ["hi", {"tool": "t"}], "probes": [{"question": "q", "keywords": ["k"]}]}))
+    got = tables.scenarios(spark, str(tmp_path / "c.json")).orderBy("n").collect()
+    assert got[0].turn == "hi" and json.loads(got[1].turn) == {"tool": "t"}
+    (tmp_path / "p.json").write_text(json.dumps({"m": {"input": 1.0, "output": 2.0}}))
+    assert tuple(tables.prices(spark, str(tmp_path / "p.json")).first()) == ("m", 1.0, 2.0)
+
+
+def test_source_tree(spark, tmp_path):
+    (tmp_path / "t" / "a").mkdir(parents=True)
+    (tmp_path / "t" / "a" / "UserService.ts").write_text("x")
+    (tmp_path / "t" / "a" / "notes.md").write_text("x")
+    row = tables.source_tree(spark, str(tmp_path / "t"), ["ts"]).collect()
+    assert [(r.path, r.folder, r.stem, r.extension, r.length) for r in row] == [("a/UserService.ts", "a", "UserService", "ts", 1)]
+
+
+def test_session_turns(spark):
+    turn = lambda r, c: {"role": r, "content": c}
+    items = spark.createDataFrame([(1, [[turn("user", "b")], [turn("user", "a1"), turn("assistant", "a2")]], ["2024-02", "2024-01"])], "id int, sessions array<array<struct<role: string, content: string>>>, dates array<string>")
+    got = tables.session_turns(items, "id", "sessions", "dates").orderBy("session", "turn").collect()
+    assert [(r.session, r.turn, r.content) for r in got] == [(1, 0, "a1"), (1, 1, "a2"), (2, 0, "b")]
+    assert [r.content for r in tables.flattened(items, "id", "sessions").orderBy("n").collect()] == ["b", "a1", "a2"]
+
+
+def test_failed_artifact_keeps_the_old_one(spark, tmp_path):
+    sinks.json_artifact(spark.range(3), str(tmp_path / "o"))
+    with pytest.raises(Exception):
+        sinks.json_artifact(spark.range(3).selectExpr("raise_error('no') AS x"), str(tmp_path / "o"))
+    assert spark.read.json(str(tmp_path / "o")).count() == 3
+    sinks.json_artifact(spark.range(5), str(tmp_path / "o"))
+    assert spark.read.json(str(tmp_path / "o")).count() == 5 and not (tmp_path / "o.new").exists()
