@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import overlap
 from .facets import STALE_BUCKETS
 
 #: Fixed values of the combiners.
@@ -29,6 +30,11 @@ def _row(source: str, polarity: Column | str, target: Column | str, prob: Column
     return F.struct(F.lit(source).alias("source"), lit(polarity).alias("polarity"), lit(target).alias("target"), lit(prob).cast("double").alias("prob"), lit(conf).cast("double").alias("conf"), lit(direct).cast("double").alias("direct"))
 
 
+def similarity(given: Column, words: Column, asked: Column) -> Column:
+    """The given similarity, clamped to [0, 1]; without one, the overlap of the words."""
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(given.cast("double"), overlap(words, asked))))
+
+
 def time_status(created: Column, valid: Column, invalid: Column, superseded: Column, bucket: Column, as_of: Column) -> Column:
     """First rule that holds; comparisons with unset times are false. Times are ISO texts."""
     no = lambda c: F.coalesce(c, F.lit(False))
