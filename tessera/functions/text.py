@@ -215,3 +215,23 @@ def answer_outcome(said: Column, truth: Column) -> Column:
     a, t = normal_answer(said), normal_answer(truth)
     denied = F.regexp_like(a, F.concat(F.lit(DENIES), F.lit(r"\Q"), t, F.lit(r"\E")))
     return F.when(F.regexp_like(a, F.lit(ABSTAINS)), "abstained").when((t == "") | ~F.contains(a, t), "wrong").when(denied, "negated").otherwise("right")
+
+
+#: Signs that a question asks for the latest, forms that name what it asks for, and nouns that say too little.
+RECENT = r"most recently|most recent|latest"
+ASKED_FOR = (r"^what\s+(?:type|kind)\s+of\s+(.+?)\s+did\b", r"^which\s+(.+?)\s+did\b")
+GENERIC = "thing things item items object objects gadget gadgets equipment device devices stuff tool tools product products accessory accessories supply supplies gear".split()
+ARTICLES = ["of", "one", "a", "an", "the"]
+
+
+def latest_scope(question: Column, goal: Column) -> Column:
+    """(token, phrase, reason) of a question: the noun that it asks for, or why none is taken."""
+    q = F.lower(F.regexp_replace(F.trim(question), r"\s+", " "))
+    phrase = F.coalesce(*(F.nullif(F.trim(F.regexp_extract(q, p, 1)), F.lit("")) for p in ASKED_FOR))
+    phrase = F.when(~F.get(F.split(phrase, " "), F.lit(0)).isin(ARTICLES), phrase)
+    head = F.element_at(F.split(phrase, " "), -1)
+    reason = (
+        F.when(F.coalesce(q, F.lit("")) == "", "no_question").when(goal != "latest", "not_latest_intent").when(~F.regexp_like(q, F.lit(RECENT)), "missing_recency_cue")
+        .when(phrase.isNull(), "no_noun_phrase").when(head.isin(GENERIC), "generic_noun")
+    )
+    return F.struct(F.when(reason.isNull(), head).alias("token"), F.when(reason.isNull() | (reason == "generic_noun"), phrase).alias("phrase"), reason.alias("reason"))

@@ -5,10 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small_side
-
-__all__ = ["covered_at", "interleaved", "last_of", "merged", "missed", "small_side"]
-
 
 def last_of(rows: DataFrame, group: str, order: str, value: str, preferred: Column) -> DataFrame:
     """(group, value): that of the last preferred row, else of the last row."""

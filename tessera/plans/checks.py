@@ -152,3 +152,19 @@ def lane_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     name = F.concat(F.lit("Item"), F.col("event_id").cast("string"), F.lit("Service."), F.when(F.col("event_id") % 2 == 0, "ts").otherwise("md"))
     rows = e.select("event_id", F.regexp_replace(name, r"\.[^.]*$", "").alias("stem"), F.regexp_extract(name, r"\.([^.]*)$", 1).alias("extension"))
     return rows.select("event_id", "stem", "extension", tx.pascal_suffix("stem").alias("suffix"), (F.col("extension") == "ts").alias("code"))
+
+
+#: Questions by event type: text, token and reason.
+QUESTIONS = {
+    "signup": ("Which mountain bike did I buy most recently?", "bike", ""), "view": ("What kind of gadget did I get in the latest sale?", "", "generic_noun"), "click": ("Which film did I see?", "", "missing_recency_cue"),
+    "error": ("  ", "", "no_question"), "purchase": ("Which of the books did I read most recently?", "", "no_noun_phrase"),
+}
+
+
+@query("SELECT event_id, CASE event_type " + " ".join(f"WHEN '{t}' THEN '{q[1]}'" for t, q in QUESTIONS.items()) + " END AS token, CASE event_type " + " ".join(f"WHEN '{t}' THEN '{q[2]}'" for t, q in QUESTIONS.items()) + " END AS reason FROM events WHERE event_id % 7 <> 0 UNION ALL SELECT event_id, '', CASE WHEN event_type = 'error' THEN 'no_question' ELSE 'not_latest_intent' END FROM events WHERE event_id % 7 = 0")
+def scope_router(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The noun that a question about the latest of something asks for, or why none is taken."""
+    asked = F.coalesce(*(F.when(F.col("event_type") == t, F.lit(q[0])) for t, q in QUESTIONS.items()))
+    goal = F.when(F.col("event_id") % 7 == 0, "predecessor").otherwise("latest")
+    s = table(spark, sf_dir, "events").select("event_id", tx.latest_scope(asked, goal).alias("s"))
+    return s.select("event_id", F.coalesce("s.token", F.lit("")).alias("token"), F.coalesce("s.reason", F.lit("")).alias("reason"))

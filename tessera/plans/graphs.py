@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import gates, graph, noise
+from ..operators import gates, graph, noise, ranking
 from ..sources.tables import table
 from .catalog import many, query
 
@@ -15,8 +15,6 @@ PREV = "l AS (SELECT o_orderkey AS id, lag(o_orderkey) OVER (PARTITION BY o_cust
 @query(f"WITH {PREV} SELECT id, first_value(id) OVER (PARTITION BY o_custkey ORDER BY steps) AS root, steps FROM l")
 def supersedes_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each order's first predecessor of its customer and the links to it."""
-    from pyspark.sql import Window
-
     by = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
     links = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("id"), F.lag("o_orderkey").over(by).alias("before"))
     return graph.chain(links, 64)
@@ -76,11 +74,9 @@ def assertion_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM embeddings), n AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS norm FROM v), s AS (SELECT q.vec_id AS q, greatest(0, least(1, list_dot_product(q.e, d.e) / (q.norm * d.norm))) AS c FROM n q JOIN n d ON d.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0) SELECT q AS query_id, count(*) FILTER (round(c, 9) >= 0.3) AS near, round(max(c), 6) AS top FROM s GROUP BY q")
 def cosine_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vectors lie within a cosine of 0.3 of each of the query set, and the best one."""
-    from ..operators.ranking import dense
-
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     asked = v.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    return dense(v, asked).groupBy("query_id").agg(F.count_if(F.round("score", 9) >= 0.3).alias("near"), F.round(F.max("score"), 6).alias("top"))
+    return ranking.dense(v, asked).groupBy("query_id").agg(F.count_if(F.round("score", 9) >= 0.3).alias("near"), F.round(F.max("score"), 6).alias("top"))
 
 
 @query("SELECT source, count(*) FILTER (contains(lower(text), 'casino')) = 0 AS absent FROM documents GROUP BY source")

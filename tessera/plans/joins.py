@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import joins
+from ..operators.sizes import small_side
 from ..sources.tables import table
 from .catalog import many, query
 
@@ -69,7 +70,7 @@ def claims_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Views as claims: approved by entries of the same value whose word stands within five events around them."""
     lines = joins.around(table(spark, sf_dir, "events"), ["user_id"], "event_id", "event_type", 5).where("event_type = 'view'").select("event_id", "context", F.floor("value").alias("p_size"))
     approved = table(spark, sf_dir, "part").where("p_partkey < 50").select("p_partkey", F.col("p_size").cast("bigint").alias("p_size"), F.when(F.col("p_partkey") % 2 == 0, "purchase").otherwise("error").alias("word"))
-    met = lines.join(joins.small_side(approved), "p_size").where(F.contains("context", F.col("word"))).groupBy("event_id").agg(many().alias("approvals"))
+    met = lines.join(small_side(approved), "p_size").where(F.contains("context", F.col("word"))).groupBy("event_id").agg(many().alias("approvals"))
     return lines.select("event_id").join(met, "event_id", "left").select("event_id", F.coalesce("approvals", F.lit(0)).alias("approvals"))
 
 

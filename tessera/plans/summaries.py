@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import measures
 from ..operators import lists, summaries
+from ..operators.sizes import small_side
 from ..sources.tables import table
 from .catalog import many, query
 
@@ -158,7 +159,7 @@ def file_context_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     li = table(spark, sf_dir, "lineitem")
     asked = table(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("l_orderkey")).join(li, "l_orderkey").select("q", "l_suppkey").distinct()
     held = li.select(F.col("l_partkey").alias("m"), "l_suppkey").distinct()
-    met = held.join(lists.small_side(asked), "l_suppkey").groupBy("q", "m").agg(many().alias("score"))
+    met = held.join(small_side(asked), "l_suppkey").groupBy("q", "m").agg(many().alias("score"))
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "m")).cast("bigint")).where("rank <= 3")
 
 
