@@ -37,15 +37,17 @@ def candidates(doc_facets: DataFrame, query_facets: DataFrame) -> DataFrame:
     return shared(doc_facets, query_facets).groupBy("query_id", "doc_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
 
 
-def conflicts(doc_facets: DataFrame, query_facets: DataFrame) -> DataFrame:
-    """(query_id, doc_id, conflicts, compared): scope keys set on both sides, and those that differ. Scopes have few values, so documents meet queries by value pairs."""
-    q = query_facets.where(F.col("facet").isin(*SCOPE)).select("query_id", "facet", F.col("value").alias("asked"))
-    d = doc_facets.where(F.col("facet").isin(*SCOPE))
-    return d.join(small_side(q), "facet").groupBy("query_id", "doc_id").agg(F.count_if(F.col("value") != F.col("asked")).alias("conflicts"), F.count(F.lit(1)).alias("compared"))
+def conflicts(pairs: DataFrame, doc_facets: DataFrame, query_facets: DataFrame) -> DataFrame:
+    """Adds conflicts and compared to (query_id, doc_id) pairs: scope keys that differ, and those set on both sides. Only the pairs' own scopes meet."""
+    scopes = lambda d, key, name: d.where(F.col("facet").isin(*SCOPE)).groupBy(key).agg(F.collect_list(F.struct("facet", "value")).alias(name))
+    rows = pairs.join(scopes(doc_facets, "doc_id", "_d"), "doc_id", "left").join(small_side(scopes(query_facets, "query_id", "_q")), "query_id", "left")
+    met = F.filter(F.flatten(F.transform("_q", lambda q: F.transform("_d", lambda d: F.struct((q["facet"] == d["facet"]).alias("same"), (q["value"] != d["value"]).alias("differ"))))), lambda x: x["same"])
+    rows = rows.withColumn("_m", F.coalesce(met, F.array().cast("array<struct<same: boolean, differ: boolean>>")))
+    return rows.select(*pairs.columns, F.size(F.filter("_m", lambda x: x["differ"])).alias("conflicts"), F.size("_m").alias("compared"))
 
 
-def meeting_point(pairs: DataFrame, doc_facets: DataFrame, query_facets: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
-    """(query_id, doc_id, score) of candidate pairs.
+def meeting_point(doc_facets: DataFrame, query_facets: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
+    """(query_id, doc_id, score) of the pairs that share a facet value.
 
     Each identity facet met once adds REQUIRED, each structural value SHARED_VALUE, each evidence kind EVIDENCE, a time not after the
     query's TIME; a stale document under current intent and each scope conflict cost. docs: doc_id, bucket, valid_time; queries:
@@ -56,12 +58,12 @@ def meeting_point(pairs: DataFrame, doc_facets: DataFrame, query_facets: DataFra
         F.count_if(F.col("facet").isin(*STRUCTURAL)).alias("values"),
         F.count_if(F.col("facet") == "evidence_type").alias("kinds"),
     )
-    rows = pairs.select("query_id", "doc_id").join(met, ["query_id", "doc_id"]).join(conflicts(doc_facets, query_facets), ["query_id", "doc_id"], "left")
+    rows = conflicts(met, doc_facets, query_facets)
     rows = rows.join(docs.select("doc_id", "bucket", F.col("valid_time").alias("own_time")), "doc_id").join(small_side(queries), "query_id")
     stale = (F.col("intent") == "current") & F.col("bucket").isin(*STALE_BUCKETS)
     score = (
         REQUIRED * F.col("required") + SHARED_VALUE * F.col("values") + EVIDENCE * F.col("kinds")
         + F.when(F.col("own_time") <= F.col("valid_time"), TIME).otherwise(0.0)
-        - F.when(stale, STALE).otherwise(0.0) - CONFLICT * F.coalesce("conflicts", F.lit(0))
+        - F.when(stale, STALE).otherwise(0.0) - CONFLICT * F.col("conflicts")
     )
     return rows.select("query_id", "doc_id", score.alias("score"))

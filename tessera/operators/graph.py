@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sizes import checkpointed
+
 
 def degrees(edges: DataFrame) -> DataFrame:
     """(node, degree): edges at either end."""
@@ -17,9 +19,10 @@ def reach(edges: DataFrame, seeds: DataFrame, depth: int = 2, per_node: int = 5,
     A node with `hub` neighbours or more is not gone through or reached; a node passes to its `per_node` smallest neighbours; a
     seed keeps the `most` nearest (then smallest) nodes. One join a level.
     """
-    out_degree = edges.groupBy("src").agg(F.count_distinct("dst").alias("d"))
+    edges = checkpointed(edges.distinct())  # read for degrees, for both ends of hubs and for each level
+    out_degree = edges.groupBy("src").agg(F.count(F.lit(1)).alias("d"))
     hubs = out_degree.where(F.col("d") >= hub).select(F.col("src").alias("node"))
-    kept = edges.distinct().join(hubs.withColumnRenamed("node", "dst"), "dst", "left_anti").join(hubs.withColumnRenamed("node", "src"), "src", "left_anti")
+    kept = edges.join(hubs.withColumnRenamed("node", "dst"), "dst", "left_anti").join(hubs.withColumnRenamed("node", "src"), "src", "left_anti")
     narrow = kept.withColumn("n", F.row_number().over(Window.partitionBy("src").orderBy("dst"))).where(F.col("n") <= per_node).select("src", "dst")
     front = seeds.select("seed", "node", F.lit(0).cast("bigint").alias("distance"))
     found = front

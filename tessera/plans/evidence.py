@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import evidence as ev
 from ..operators import facets, intent, ranking
+from ..operators.sizes import checkpointed
 from ..sources.tables import table
 from .catalog import query
 
@@ -44,6 +45,7 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _facets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     m, q = memories(spark, sf_dir), questions(spark, sf_dir)
+    m, q = checkpointed(m), checkpointed(q)
     return m, q, facets.unpivot(m, "doc_id", ["repo", "project", "operation", "symbol", "evidence_type"]), facets.unpivot(q, "query_id", ["project", "operation", "symbol", "evidence_type"])
 
 
@@ -101,7 +103,7 @@ def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, q, df, qf = _facets(spark, sf_dir)
     top = ranking.ranked(facets.candidates(df, qf), 20)
     pairs = top.join(q.select("query_id", "intent", F.col("symbol").alias("asked")), "query_id").join(m.select("doc_id", "symbol", "bucket", F.col("valid_time").alias("valid"), F.col("evidence_type").alias("kinds")), "doc_id")
-    pairs = pairs.join(facets.conflicts(df, qf), ["query_id", "doc_id"], "left")
+    pairs = facets.conflicts(pairs, df, qf)
     least = F.least(F.size("asked"), F.size("symbol"))
     structure = F.when(least == 0, 0.0).otherwise(F.size(F.array_intersect("asked", "symbol")) / F.greatest(least, F.lit(1)))
     no_text = F.lit(None).cast("string")
@@ -120,7 +122,7 @@ def facet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {MEETING} SELECT query_id, doc_id, score, rank FROM mpr WHERE rank <= 10")
 def meetpoint_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
     m, q, df, qf = _facets(spark, sf_dir)
-    scored = facets.meeting_point(facets.candidates(df, qf), df, qf, m, q.select("query_id", "intent", "valid_time"))
+    scored = facets.meeting_point(df, qf, m, q.select("query_id", "intent", "valid_time"))
     return ranking.ranked(scored, 10)
 
 
@@ -128,11 +130,10 @@ def meetpoint_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
 def facet_ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the first five candidates are stale or out of scope, by facet index and by meeting point."""
     m, q, df, qf = _facets(spark, sf_dir)
-    found = facets.candidates(df, qf)
-    by_index = ranking.ranked(found, 5)
-    by_point = ranking.ranked(facets.meeting_point(found, df, qf, m, q.select("query_id", "intent", "valid_time")), 5)
+    by_index = ranking.ranked(facets.candidates(df, qf), 5)
+    by_point = ranking.ranked(facets.meeting_point(df, qf, m, q.select("query_id", "intent", "valid_time")), 5)
     rows = by_index.select(F.lit("index").alias("condition"), "query_id", "doc_id").unionByName(by_point.select(F.lit("meeting_point").alias("condition"), "query_id", "doc_id"))
-    rows = rows.join(m.select("doc_id", "bucket"), "doc_id").join(facets.conflicts(df, qf), ["query_id", "doc_id"], "left")
+    rows = facets.conflicts(rows.join(m.select("doc_id", "bucket"), "doc_id"), df, qf)
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return rows.groupBy("condition").agg(F.count_distinct("query_id").alias("n_queries"), share(F.col("bucket").isin("historical", "blocked")).alias("stale_share"), share(F.coalesce("conflicts", F.lit(0)) > 0).alias("conflict_share"))
 

@@ -34,17 +34,17 @@ all_{mode} AS (SELECT '{mode}' AS mode, * FROM (SELECT 'bm25' AS condition, quer
 @query(f"WITH {FIVE},{evidence.MEETING},\n{_mode_sql()}, u AS ({' UNION ALL '.join(f'SELECT * FROM all_{m}' for m in MODES)}) SELECT mode, condition, count(*) AS shown, round(avg(CASE WHEN bucket IN ('historical', 'blocked') THEN 1.0 ELSE 0.0 END), 6) AS stale_share FROM u JOIN m USING (doc_id) WHERE rank <= 5 GROUP BY ALL")
 def facet_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six conditions in three views of the facets: how often the first five are stale."""
-    m, q, df, qf = (checkpointed(x) for x in evidence._facets(spark, sf_dir))
+    m, q, df, qf = evidence._facets(spark, sf_dir)
+    df, qf = checkpointed(df), checkpointed(qf)
     lexical, counts = retrieval.both_rankings(spark, sf_dir, 50)
     fused = checkpointed(ranking.ranked(ranking.fuse(lexical, counts), 5))
 
     def run(view: DataFrame, mode: str) -> DataFrame:
         asked = qf.where(F.col("facet").isin(*MODES[mode]))
-        found = facets.candidates(view, asked)
         return ladders.ladder({
             "bm25": lambda: lexical.where("rank <= 5"), "cosine": lambda: counts.where("rank <= 5"), "rrf": lambda: fused,
-            "file_context": lambda: ranking.ranked(facets.candidates(view.where("facet = 'symbol'"), asked), 5), "index": lambda: ranking.ranked(found, 5),
-            "meeting_point": lambda: ranking.ranked(facets.meeting_point(found, view, asked, m, q.select("query_id", "intent", "valid_time")), 5),
+            "file_context": lambda: ranking.ranked(facets.candidates(view.where("facet = 'symbol'"), asked), 5), "index": lambda: ranking.ranked(facets.candidates(view, asked), 5),
+            "meeting_point": lambda: ranking.ranked(facets.meeting_point(view, asked, m, q.select("query_id", "intent", "valid_time")), 5),
         }, mode)
 
     only = lambda names: lambda d: d.where(F.col("facet").isin(*names))
