@@ -114,3 +114,18 @@ def test_plan_has_no_python(spark):
     rows, items = cases()
     plan = dc.leaks(data.docs(spark, rows), spark.createDataFrame(items, ITEMS))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
+
+
+def test_radius_holds_windows_at_the_least_similarity():
+    """Random shingle hashes, as many shared as a similarity of 0.8 needs: nearly all fingerprints lie within the radius."""
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    outside = total = 0
+    for n in range(9, 61, 3):
+        m = n - dc.SHINGLE + 1
+        c = int(np.ceil(0.8 * 2 * m / 1.8 - 1e-9))
+        common, a, b = (rng.integers(0, 2, (400, k, 64), dtype=np.int16).sum(1) for k in (c, m - c, m - c))
+        distance = ((2 * (common + a) > m) != (2 * (common + b) > m)).sum(1)
+        outside, total = outside + (distance > dc.RADIUS).sum(), total + 400
+    assert outside <= 0.001 * total

@@ -68,3 +68,16 @@ def test_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
     assert decontaminate.SHINGLE == 5 and quality.THRESHOLD == toxicity.THRESHOLD == 0.7
+
+
+def test_clashing_columns_pass_through(spark, folder, tmp_path):
+    """Columns that are named like those the stages make are carried and change nothing."""
+    path, rows, items = folder
+    data.docs(spark, rows, clash=True).write.parquet(f"{tmp_path}/documents.parquet")
+    for name in ("labels", "benchmark"):
+        spark.read.parquet(f"{path}/{name}.parquet").write.parquet(f"{tmp_path}/{name}.parquet")
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    first = corpus_pipeline.STAGES[0][1](spark, docs, str(tmp_path))
+    assert first.columns == docs.columns and {r.score for r in first.select("score").distinct().collect()} == {"clash"}
+    keyed = lambda d: sorted(((r.doc_id, r.n_tokens) for r in d.collect()), key=str)
+    assert keyed(corpus_pipeline.run(spark, str(tmp_path))) == keyed(corpus_pipeline.run(spark, path))

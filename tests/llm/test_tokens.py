@@ -104,3 +104,10 @@ def test_encode_decode_round_trip(spark):
     digests = {r.doc_id: r for r in pieces.digests(data.docs(spark, rows)).collect()}
     assert not digests[7].round_trip and all(r.round_trip for i, r in digests.items() if i != 7)
     assert digests[1].n_tokens == 0 and pieces.encode_documents(data.empty(spark)).count() == 0
+
+
+def test_long_text_without_blanks(sentencepiece):
+    """Ten thousand characters in one word, and in a word of one repeated character."""
+    rng = random.Random(9)
+    for text in ("".join(rng.choice("abcdefgh") for _ in range(10_000)), "a" * 5_000):
+        assert pieces.encoder(pieces.load())([text])[0].tolist() == sentencepiece.encode(text)
