@@ -134,7 +134,7 @@ def fill(keys: np.ndarray, counts: np.ndarray) -> bytes:
     return np.packbits(bits, bitorder="little").tobytes()
 
 
-def look_up(bits: bytes, pages: np.ndarray, keys: np.ndarray) -> np.ndarray:
+def look_up(bits: bytes | bytearray, pages: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Level of each key: as many levels as are found one after another. bits: those of the segments in a row; pages: of each segment.
 
     Keys are probed in the order of segments, BLOCK at a time, so that the bytes and the arrays probed stay in the processor's cache.
@@ -234,12 +234,13 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     built, n_segments = count_grams(docs)
     counts, segments = checkpointed(unpacked(built)), built.select("seg", "bits")
     bits, pages = None, np.zeros(n_segments, np.int64)
-    if (segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) <= BROADCAST:
-        held = {r.seg: bytes(r.bits) for r in segments.toLocalIterator()}
-        bits = b"".join(held[k] for k in sorted(held))
-        for k, of in held.items():
-            pages[k] = len(of) * 8 // PAGE_BITS
-        del held
+    for r in segments.select("seg", F.octet_length("bits").alias("n")).collect():  # a number for each segment
+        pages[r.seg] = r.n * 8 // PAGE_BITS
+    if pages.sum() * (PAGE_BITS // 8) <= BROADCAST:
+        ends = np.cumsum(pages) * (PAGE_BITS // 8)
+        bits = bytearray(int(ends[-1]))
+        for r in segments.toLocalIterator():
+            bits[ends[r.seg] - len(r.bits) : ends[r.seg]] = r.bits
     # Words by eighths of powers of two of their counts: some hundred rows say how many words are as frequent.
     scale = F.floor(F.log2("n") * 8)
     by_scale = counts.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("w"), F.sum("n").alias("t")).collect()
