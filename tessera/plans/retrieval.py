@@ -171,9 +171,9 @@ def alpha_sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     answers = gold(spark, sf_dir)
     n = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
     marks = scored.join(answers, ["query_id", "doc_id"]).select("query_id", F.col("doc_id").alias("gold_id"), F.col("scores").alias("own"))
-    before = F.transform(F.arrays_zip("scores", "own"), lambda p: ((p["scores"] > p["own"]) | ((p["scores"] == p["own"]) & (F.col("doc_id") < F.col("gold_id")))).cast("int"))
-    pairs = scored.join(small_side(marks), "query_id").select("query_id", "gold_id", "own", before.alias("before"))
-    ranks = pairs.groupBy("query_id", "gold_id").agg(F.first("own").alias("own"), *(F.sum(F.col("before")[k]).alias(f"b{k}") for k in range(len(ALPHAS))))
+    s, own = F.col("scores"), F.col("own")
+    before = lambda k: F.count_if((s[k] > own[k]) | ((s[k] == own[k]) & (F.col("doc_id") < F.col("gold_id"))))
+    ranks = scored.join(small_side(marks), "query_id").groupBy("query_id", "gold_id").agg(F.first("own").alias("own"), *(before(k).alias(f"b{k}") for k in range(len(ALPHAS))))
     rows = F.array(*(F.struct(F.lit(a).alias("alpha"), (F.col(f"b{k}") + 1).alias("rank"), F.col("own")[k].alias("score")) for k, a in enumerate(ALPHAS)))
     per = ranks.select("query_id", F.inline(rows)).where("score > 0").groupBy("alpha", "query_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 5).alias("hits"))
     grid = n.crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in ALPHAS], "alpha double"))).join(per, ["alpha", "query_id"], "left")
