@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontaminate, fingerprint, html, langid, ngram, pieces, quality, simhash, tokens, toxicity
+from . import decontaminate, fingerprint, html, langid, negatives, neighbours, ngram, phrases, pieces, quality, simhash, tokens, toxicity
 from .common import table
 
 
@@ -54,5 +54,73 @@ def op10_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.score_documents(table(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_document_fingerprints, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op6_sentencepiece, op7_token_counts, op8_decontamination, op9_quality, op10_lm_scoring)}
-ORACLE_SQL: dict[str, str] = {}
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return negatives.mine(table(spark, sf_dir, "embeddings"))
+
+
+def op12_phrase_mining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.mine(table(spark, sf_dir, "documents"))
+
+
+def op13_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.search(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (
+        op1_document_fingerprints, op2_toxicity, op3_html_extraction, op4_simhash_near_dedup, op5_language_id, op6_sentencepiece, op7_token_counts,
+        op8_decontamination, op9_quality, op10_lm_scoring, op11_hard_negatives, op12_phrase_mining, op13_nearest_neighbours,
+    )
+}
+
+#: The others hash with XXH64, fit models, call tokenizers' vocabularies or search a tree.
+ORACLE_SQL: dict[str, str] = {
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+        ),
+        s AS (
+            SELECT a.vec_id AS anchor_id, a.label = b.label AS alike, b.vec_id AS id, CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+            FROM v a JOIN v b ON a.vec_id % 100 = 0
+        ),
+        p AS (
+            SELECT anchor_id, id AS positive_id, score AS positive_score FROM s WHERE alike AND id <> anchor_id
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) <= 5
+        )
+        SELECT anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY anchor_id, positive_id ORDER BY s.score DESC, s.id) AS INTEGER) AS rank,
+               s.id AS negative_id, positive_score, s.score AS negative_score
+        FROM p JOIN s USING (anchor_id)
+        WHERE NOT s.alike AND 30 * positive_score <= 100 * s.score AND 100 * s.score <= 90 * positive_score
+        QUALIFY rank <= 10
+    """,
+    "op12_phrase_mining": """
+        WITH pieces AS (
+            SELECT lang, [x FOR x IN string_split_regex(piece, '[ \\t]+') IF x <> ''] AS w
+            FROM (
+                SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+                FROM documents
+            )
+        ),
+        n AS (SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM pieces GROUP BY lang),
+        f AS (
+            SELECT lang, k, phrase, count(*) AS f
+            FROM (SELECT lang, k, unnest([array_to_string(w[i:i + k - 1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS phrase FROM pieces, range(1, 6) t(k) WHERE len(w) >= k)
+            GROUP BY ALL HAVING count(*) >= 100
+        ),
+        c AS (
+            SELECT c.lang, c.k, c.phrase, c.f AS a, l.f AS l, r.f AS r, n, CAST((CAST(1000 AS HUGEINT) * c.f * n) // (CAST(l.f AS HUGEINT) * r.f) AS BIGINT) AS score
+            FROM f c JOIN range(1, 5) t(cut) ON cut < c.k
+            JOIN f l ON l.lang = c.lang AND l.phrase = array_to_string(string_split(c.phrase, ' ')[1:cut], ' ')
+            JOIN f r ON r.lang = c.lang AND r.phrase = array_to_string(string_split(c.phrase, ' ')[cut + 1:], ' ')
+            JOIN n ON n.lang = c.lang
+            QUALIFY row_number() OVER (PARTITION BY c.lang, c.phrase ORDER BY score, cut) = 1
+        )
+        SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+        FROM c
+        WHERE NOT EXISTS (SELECT 1 FROM f b WHERE b.lang = c.lang AND b.k > c.k AND 100 * b.f >= 100 * c.a AND contains(' ' || b.phrase || ' ', ' ' || c.phrase || ' '))
+        QUALIFY rank <= 2000
+    """,
+}
