@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.measures import ratio
+from .scans import MOST, Running, running
 
 EXACT = "decimal(38,18)"
 
@@ -76,21 +77,22 @@ def progress(rows: DataFrame, group: list[str], at: str, expected: int) -> DataF
     return g.select(*group, "done", F.round(rate, 6).alias("rate"), F.round(F.greatest(F.lit(0), F.lit(expected) - F.col("done")) / rate, 6).alias("left"))
 
 
-def one_in_flight(rows: DataFrame, namespace: str, start: str, seconds: Column) -> DataFrame:
+def one_in_flight(rows: DataFrame, namespace: str, start: str, seconds: Column, most: int = MOST) -> DataFrame:
     """Adds begins and ends (seconds since the epoch): rows of a namespace run one after another, none before its own start.
 
     end_k = max over j <= k of (start_j + sum of the lengths from j to k): a running maximum of start less the lengths before it, plus the lengths so far.
     """
-    by = Window.partitionBy(namespace).orderBy(start, "seq").rowsBetween(Window.unboundedPreceding, 0)
-    at = F.unix_timestamp(start).cast("double")
-    timed = rows.withColumn("_run", F.sum(seconds).over(by)).withColumn("_len", seconds)
-    timed = timed.withColumn("_free", at - (F.col("_run") - F.col("_len")))
-    return timed.withColumn("ends", F.max("_free").over(by) + F.col("_run")).withColumn("begins", F.col("ends") - F.col("_len")).drop("_run", "_len", "_free")
+    order = [start, "seq"]
+    timed = running(rows.withColumn("_len", seconds), [namespace], order, Running("_run", "sum", F.col("_len")), most=most)
+    timed = timed.withColumn("_free", F.unix_timestamp(start).cast("double") - (F.col("_run") - F.col("_len")))
+    timed = running(timed, [namespace], order, Running("_most", "max", F.col("_free")), most=most)
+    return timed.withColumn("ends", F.col("_most") + F.col("_run")).withColumn("begins", F.col("ends") - F.col("_len")).drop("_run", "_len", "_free", "_most")
 
 
-def debounced(rows: DataFrame, namespace: str, at: str, quiet: str) -> DataFrame:
+def debounced(rows: DataFrame, namespace: str, at: str, quiet: str, most: int = MOST) -> DataFrame:
     """(namespace, burst, n, ready): bursts of evidence, ready to be folded once nothing came for a quiet time."""
-    by = Window.partitionBy(namespace).orderBy(at, "seq")
-    new = F.coalesce((F.col(at) - F.lag(at).over(by)) > F.expr(f"interval {quiet}"), F.lit(True)).cast("int")
-    marked = rows.withColumn("_new", new).withColumn("burst", F.sum("_new").over(by))
+    order = [at, "seq"]
+    timed = running(rows, [namespace], order, Running("_last", "lasts", F.col(at), inclusive=False), most=most)
+    new = F.coalesce((F.col(at) - F.try_element_at("_last", F.lit(1))) > F.expr(f"interval {quiet}"), F.lit(True)).cast("int")
+    marked = running(timed.withColumn("_new", new), [namespace], order, Running("burst", "sum", F.col("_new")), most=most)
     return marked.groupBy(namespace, "burst").agg(F.count(F.lit(1)).alias("n"), (F.max(at) + F.expr(f"interval {quiet}")).alias("ready"))

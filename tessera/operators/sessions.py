@@ -2,26 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .scans import MOST, Running, running
+
 #: Retrievals without progress after which an item is held back.
 THRESHOLD = 4
 
 
-def replay(turns: DataFrame, session: str, order: list[str], item: str, progress: str, threshold: int = THRESHOLD, exempt: Column | None = None) -> DataFrame:
+def replay(turns: DataFrame, session: str, order: list[str], item: str, progress: str, threshold: int = THRESHOLD, exempt: Column | None = None, most: int = MOST) -> DataFrame:
     """Adds epoch, since_progress, total and suppressed to a session's retrievals.
 
     Counters of all items start anew after a turn with progress; the turn itself still counts in the old epoch. A retrieval counts
     first and is then suppressed if its item has been retrieved `threshold` times or more in the epoch, unless it is exempt.
     """
-    by_session = Window.partitionBy(session).orderBy(*order)
-    epoch = F.coalesce(F.sum(F.col(progress).cast("int")).over(by_session.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    rows = turns.withColumn("epoch", epoch)
-    since = F.row_number().over(Window.partitionBy(session, item, "epoch").orderBy(*order)).cast("bigint")
-    total = F.row_number().over(Window.partitionBy(session, item).orderBy(*order)).cast("bigint")
+    one = F.lit(1)
+    rows = running(turns, [session], order, Running("epoch", "sum", F.col(progress).cast("int"), inclusive=False), most=most)
+    rows = rows.withColumn("epoch", F.coalesce("epoch", F.lit(0)))
+    rows = running(rows, [session, item, "epoch"], order, Running("since_progress", "count", one), most=most)
+    rows = running(rows, [session, item], order, Running("total", "count", one), most=most)
     over = F.col("since_progress") >= threshold
-    return rows.withColumn("since_progress", since).withColumn("total", total).withColumn("suppressed", over if exempt is None else over & ~exempt)
+    return rows.withColumn("suppressed", over if exempt is None else over & ~exempt)
 
 
 def loop_measures(replayed: DataFrame, group: str, trap: Column, exempt: Column, threshold: int = THRESHOLD) -> DataFrame:
@@ -38,24 +40,25 @@ def loop_measures(replayed: DataFrame, group: str, trap: Column, exempt: Column,
     )
 
 
-def streaks(rows: DataFrame, session: str, order: list[str], outcome: str, neutral: list[str]) -> DataFrame:
+def streaks(rows: DataFrame, session: str, order: list[str], outcome: str, neutral: list[str], most: int = MOST) -> DataFrame:
     """(session, streak, outcome, length): runs of equal outcomes in order; neutral rows neither lengthen nor end a run."""
-    told = rows.where(~F.col(outcome).isin(neutral))
-    by_session = Window.partitionBy(session).orderBy(*order)
-    change = F.coalesce((F.col(outcome) != F.lag(outcome).over(by_session)).cast("int"), F.lit(1))
-    marked = told.withColumn("_c", change).withColumn("streak", F.sum("_c").over(by_session).cast("bigint"))
+    told = running(rows.where(~F.col(outcome).isin(neutral)), [session], order, Running("_last", "lasts", F.col(outcome), inclusive=False), most=most)
+    change = F.coalesce((F.col(outcome) != F.try_element_at("_last", F.lit(1))).cast("int"), F.lit(1))
+    marked = running(told.withColumn("_c", change), [session], order, Running("streak", "sum", F.col("_c")), most=most)
     return marked.groupBy(session, "streak", outcome).agg(F.count(F.lit(1)).alias("length"))
 
 
-def occurrence(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def occurrence(rows: DataFrame, key: list[str], order: list[str], most: int = MOST) -> DataFrame:
     """Adds nth (from 1) and repeat."""
-    return rows.withColumn("nth", F.row_number().over(Window.partitionBy(*key).orderBy(*order)).cast("bigint")).withColumn("repeat", F.col("nth") > 1)
+    return running(rows, key, order, Running("nth", "count", F.lit(1)), most=most).withColumn("repeat", F.col("nth") > 1)
 
 
-def preceding(rows: DataFrame, session: str, order: str, text: str, keep: Column, n: int) -> DataFrame:
+def preceding(rows: DataFrame, session: str, order: str, text: str, keep: Column, n: int, most: int = MOST) -> DataFrame:
     """Adds before (the last n texts of the session's earlier rows for which `keep` holds, the last first) and n_before (how many there are)."""
     kept = F.when(keep, F.col(text))
-    by = Window.partitionBy(session).orderBy(order)
-    marked = rows.withColumn("_k", kept).withColumn("n_before", F.count("_k").over(by.rowsBetween(Window.unboundedPreceding, -1)))
-    last = F.array_compact(F.array(*(F.expr(f"lag(_k, {k}) IGNORE NULLS OVER (PARTITION BY {session} ORDER BY {order})") for k in range(1, n + 1))))
-    return marked.withColumn("before", last).drop("_k")
+    return running(rows, [session], [order], Running("n_before", "count", kept, inclusive=False), Running("before", "lasts", kept, inclusive=False, n=n), most=most)
+
+
+def breaches(rows: DataFrame, key: str, order: list[str], amount: str, cap: float, most: int = MOST) -> DataFrame:
+    """Rows at which, and after which, a key's running total is over a cap, with the total as spent."""
+    return running(rows, [key], order, Running("spent", "sum", F.col(amount)), most=most).where(F.round("spent", 6) > cap)

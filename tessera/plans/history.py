@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import sessions, temporal
+from ..operators import ledgers, sessions, temporal
 from ..sources.tables import table
 from .catalog import query
 
@@ -114,15 +114,12 @@ def preceding_user_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("WITH r AS (SELECT user_id, event_id, ts, sum(value) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS spent FROM events) SELECT user_id, arg_min(event_id, (ts, event_id)) AS first_breach FROM r WHERE round(spent, 6) > 1000 GROUP BY user_id")
 def budget_first_breach(spark: SparkSession, sf_dir: str) -> DataFrame:
     """First event at which a user's running total passes a cap."""
-    running = F.sum("value").over(Window.partitionBy("user_id").orderBy("ts", "event_id").rowsBetween(Window.unboundedPreceding, 0))
-    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", running.alias("spent"))
-    return e.where(F.round("spent", 6) > 1000).groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_breach"))
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", "value")
+    return sessions.breaches(e, "user_id", ["ts", "event_id"], "value", 1000).groupBy("user_id").agg(F.min_by("event_id", F.struct("ts", "event_id")).alias("first_breach"))
 
 
 @query("WITH o AS (SELECT event_id, user_id, ts, ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) > INTERVAL 6 HOUR AS gap FROM events), s AS (SELECT user_id, sum(coalesce(gap, true)::INT) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS session FROM o) SELECT user_id, session::BIGINT AS session, count(*) AS n FROM s GROUP BY ALL")
 def gap_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sessions of a user's events: a pause of more than six hours starts a new one."""
-    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
-    new = F.coalesce(F.col("ts") - F.lag("ts").over(w) > F.expr("interval 6 hours"), F.lit(True)).cast("int")
-    rows = table(spark, sf_dir, "events").select("user_id", "event_id", "ts", new.alias("new"))
-    return rows.select("user_id", F.sum("new").over(w).alias("session")).groupBy("user_id", "session").agg(F.count(F.lit(1)).alias("n"))
+    e = table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("seq"))
+    return ledgers.debounced(e, "user_id", "ts", "6 hours").select("user_id", F.col("burst").alias("session"), "n")
