@@ -6,7 +6,7 @@ Passes: the first counts words, the k-th counts phrases of k words. Phrases that
 phrases of the last one are broadcast as a bitmap of their hashes; a phrase of k words is emitted only where both phrases of k - 1 words in it are in
 the bitmap. It has some SPARSE bits for a phrase and at most 2 ** FILTER bits (32 MB) whatever the corpus: where there are more frequent phrases than that suits, more
 phrases pass that are not frequent, and are counted in vain. A pass counts hashes: a task counts each slice of its texts and sends, packed, what falls to each segment of the hashes.
-What passes is thus a superset of the frequent phrases; a last pass over the texts emits these as text, with counts by slice, and sums them exactly by lang and phrase.
+What passes is thus a superset of the frequent phrases; a last pass over the texts emits these as text, with counts added up in each task, and sums them exactly by lang and phrase.
 A phrase that is frequent has frequent parts only, so the counts of all parts of a cut stand in the same table.
 
 Score: a candidate with count a, cut after its first k words into parts with counts l and r, scores floor(1000 a n / (l r)), n words in all, in decimals of 38 digits;
@@ -42,6 +42,8 @@ SLICE = 6_000_000
 CACHE = 400_000
 #: Groups in which a bitmap is put together, and those in which the first of a lang are sought.
 GROUPS = 256
+#: Rows of counts that a task keeps before it adds them up.
+PENDING = 1 << 20
 BREAK = 1
 LETTERS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 10 + b" ")
 
@@ -169,13 +171,13 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
     shared = spark.sparkContext.broadcast(bitmaps)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary = Vocabulary()
+        vocabulary, found = Vocabulary(), []
         for tokens in token_slices(batches, vocabulary):
             own, ids = len(vocabulary.words), tokens.ids
             langs = pa.array(tokens.langs, pa.string())
             texts = pa.array(vocabulary.words, pa.binary()).cast(pa.string())
             total = np.bincount(tokens.lang[ids != BREAK], minlength=len(langs))
-            yield pa.RecordBatch.from_pydict({"lang": langs, "words": pa.array([0] * len(langs), pa.int32()), "phrase": pa.array([""] * len(langs)), "n": pa.array(total, pa.int64())})
+            found.append(pa.table({"lang": langs, "words": pa.array([0] * len(langs), pa.int32()), "phrase": pa.array([""] * len(langs)), "n": pa.array(total, pa.int64())}))
             code = np.zeros(len(ids), np.int64)
             for words, (places, hashes) in enumerate(tokens.levels(shared.value, longest), 1):
                 known = within(shared.value[words - 1], hashes)
@@ -186,12 +188,24 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
                 at = places[first]
                 parts = [texts.take(pa.array(ids[at + i])) for i in range(words)]
                 phrase = pc.binary_join_element_wise(*parts, " ") if words > 1 else parts[0]
-                yield pa.RecordBatch.from_pydict({"lang": langs.take(pa.array(tokens.lang[at])), "words": pa.array(np.full(len(at), words, np.int32)), "phrase": phrase, "n": pa.array(n, pa.int64())})
+                found.append(pa.table({"lang": langs.take(pa.array(tokens.lang[at])), "words": pa.array(np.full(len(at), words, np.int32)), "phrase": phrase, "n": pa.array(n, pa.int64())}))
+            if sum(t.num_rows for t in found) > PENDING:
+                found = [summed(found)]
+                if found[0].num_rows > PENDING // 2:
+                    yield from found.pop().to_batches()
+        if found:
+            yield from summed(found).to_batches()
 
     rows = base.mapInArrow(emit, "lang string, words int, phrase string, n bigint")
     return checkpointed(rows.groupBy("lang", "words", "phrase").agg(F.sum("n").alias("f")).where((F.col("words") == 0) | (F.col("f") >= least)))
 
 
+def summed(tables: list[pa.Table]) -> pa.Table:
+    """Counts of slices of one task as one table."""
+    out = pa.concat_tables(tables).group_by(["lang", "words", "phrase"]).aggregate([("n", "sum")])
+    return out.rename_columns([c.removesuffix("_sum") for c in out.column_names]).select(["lang", "words", "phrase", "n"])
+
+
 def scored(table: DataFrame) -> DataFrame:
     """lang, phrase, words, a, l, r, n, score of all phrases of two words or more, by their lowest cut."""
     many = table.where(F.col("words") > 1).select("lang", "phrase", "words", F.col("f").alias("a"))

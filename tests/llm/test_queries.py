@@ -1,4 +1,4 @@
-"""The ten queries give the columns and rows of their contracts."""
+"""The queries give the columns and rows of their contracts."""
 
 import hashlib
 import random
@@ -22,6 +22,9 @@ COLUMNS = {
     "op8_decontamination": {"doc_id": "bigint", "item_id": "bigint"},
     "op9_quality": {"doc_id": "bigint", "held_out": "boolean", "score": "double", "predicted": "int"},
     "op10_lm_scoring": {"doc_id": "bigint", "held_out": "boolean", "n_tokens": "bigint", "n_known": "bigint", "train_tokens": "bigint", "base_score": "double", "score": "double"},
+    "op11_hard_negatives": {"anchor_id": "bigint", "positive_id": "bigint", "rank": "int", "negative_id": "bigint", "positive_score": "bigint", "negative_score": "bigint"},
+    "op12_phrase_mining": {"lang": "string", "rank": "bigint", "phrase": "string", "a": "bigint", "l": "bigint", "r": "bigint", "n": "bigint", "score": "bigint"},
+    "op13_nearest_neighbours": {"query_id": "bigint", "rank": "int", "vec_id": "bigint", "score": "double"},
 }
 HELD = {"op2_toxicity": (3, 1), "op5_language_id": (4, 2), "op9_quality": (4, 2), "op10_lm_scoring": (10, 0)}
 
@@ -38,6 +41,8 @@ def folder(spark, tmp_path_factory):
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(f"{path}/benchmark.parquet")
     pages = [(k, f"http://a.b/{k}", f"<body><article><p>Page {k}</p></article></body>", "clash") for k in range(5)] + [(None, None, None, None)]
     spark.createDataFrame(pages, "page_id bigint, url string, html string, text string").write.parquet(f"{path}/pages.parquet")
+    vectors = [(i, [rng.random() for _ in range(4)], rng.randrange(3), "clash") for i in range(130)]
+    spark.createDataFrame(vectors, "vec_id bigint, embedding array<float>, label int, score string").write.parquet(f"{path}/embeddings.parquet")
     return str(path), rows
 
 
@@ -52,6 +57,12 @@ def test_contract(spark, folder, name):
         assert sorted((str(r.page_id), r.text, r.n_chars) for r in got) == sorted([(str(k), f"Page {k}", 6) for k in range(5)] + [("None", "", 0)])
     elif name == "op8_decontamination":
         assert {(r.doc_id, r.item_id) for r in got} >= {(2000 + i, i) for i in range(4)}
+    elif name == "op11_hard_negatives":
+        assert {r.anchor_id for r in got} == {0, 100}
+    elif name == "op13_nearest_neighbours":
+        assert len(got) == 7 * 20
+    elif name == "op12_phrase_mining":
+        assert got == []
     else:
         assert sorted(str(r.doc_id) for r in got) == sorted(str(r[0]) for r in rows)
     if name in HELD:
