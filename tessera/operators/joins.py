@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizes import small_side
-
 
 def by_arm(rows: DataFrame, key: list[str], arm: str, columns: list[str]) -> DataFrame:
     """One row for each key with arms: a map from arm to the struct of its columns."""
@@ -18,11 +16,6 @@ def within(changes: DataFrame, windows: DataFrame, key: list[str], at: str, star
     return changes.join(windows, key).where(F.col(at).between(F.col(start), F.col(end)))
 
 
-def containing(contents: DataFrame, content: str, parts: DataFrame, part: str) -> DataFrame:
-    """Rows of a stated set of parts joined to the contents that hold them as they stand."""
-    return contents.join(small_side(parts), F.contains(F.col(content), F.col(part)))
-
-
 def first_sharing(failures: DataFrame, artifacts: DataFrame, keys: list[str], anchor: str, order: str) -> DataFrame:
     """(keys, failure, match): the first artifact in order that shares any anchor. failures and artifacts: keys, id, anchor; artifacts: order."""
     left = failures.select(*keys, F.col("id").alias("failure"), anchor)

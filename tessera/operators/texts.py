@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import tokens
 from .sizes import checkpointed, small_side
 
 
@@ -43,6 +44,65 @@ def classes(sets: DataFrame) -> DataFrame:
     return sets.select("id", F.array_sort(F.array_distinct("items")).alias("items"))
 
 
+#: Runs of letters and digits with another character on either side: where a part holds one, a text that holds the part has the same run.
+INNER = r"(?<=[^\p{L}\p{N}])[\p{L}\p{N}]+(?=[^\p{L}\p{N}])"
+GRAM = 3
+
+
+def containing(contents: DataFrame, key: str, text: str, parts: DataFrame, part: str) -> DataFrame:
+    """Rows of `parts` joined to the keys of the contents whose text holds the part as it stands, once each.
+
+    Contents are indexed by their words, of which only those that stand inside some part are kept; parts without an inner word go by their
+    first characters, up to GRAM of them. Of a part's words the one in fewest contents is looked up by an equality join, and what it brings is verified. Null and empty parts are in
+    no text; repeated parts give as many rows. `key` must tell the contents apart.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.col(part), F.lit(INNER), F.lit(0)))
+    stated = parts.where(F.coalesce(F.length(part), F.lit(0)) > 0).select(F.col(part).alias("_part")).distinct().withColumnRenamed("_part", part)
+    marked = checkpointed(stated.select(F.col(part).alias("_part"), words.alias("_words"), F.least(F.length(part), F.lit(GRAM)).alias("_q")))
+    sizes = sorted(r[0] for r in marked.where(F.size("_words") == 0).select("_q").distinct().collect())  # GRAM of them at most
+    wanted = marked.where(F.size("_words") > 0).select("_part", F.lit(0).alias("_kind"), F.explode("_words").alias("_word"))
+    held = contents.select(F.col(key).alias("_key"), F.lit(0).alias("_kind"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(r"[\p{L}\p{N}]+"), F.lit(0)))).alias("_word"))
+    for q in sizes:
+        wanted = wanted.unionByName(marked.where((F.size("_words") == 0) & (F.col("_q") == q)).select("_part", F.lit(q).alias("_kind"), F.substring("_part", 1, q).alias("_word")))
+        held = held.unionByName(contents.select(F.col(key).alias("_key"), F.lit(q).alias("_kind"), F.explode(F.array_distinct(F.regexp_extract_all(F.col(text), F.lit(f"(?s)(?=(.{{{q}}}))"), F.lit(1)))).alias("_word")))
+    postings = checkpointed(held.join(small_side(wanted.select("_kind", "_word").distinct()), ["_kind", "_word"], "left_semi"))
+    spread = postings.groupBy("_kind", "_word").agg(F.count(F.lit(1)).alias("_df"))
+    rarest = wanted.join(spread, ["_kind", "_word"]).groupBy("_part", "_kind").agg(F.min_by("_word", F.struct("_df", "_word")).alias("_word"))
+    near = postings.join(small_side(rarest), ["_kind", "_word"]).select("_key", "_part").distinct()
+    found = near.join(contents.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").where(F.contains("_text", F.col("_part"))).select(F.col("_key").alias(key), "_part")
+    return found.join(parts, F.col("_part") == parts[part]).drop("_part")
+
+
+def shingles(words: Column, size: int) -> Column:
+    """Runs of `size` words, joined by blanks."""
+    row = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(F.size(words) - (size - 1), F.lit(0))).alias(f"w{k}") for k in range(size)))
+    return F.transform(row, lambda g: F.concat_ws(" ", *(g[f"w{k}"] for k in range(size))))
+
+
+def holding(contents: DataFrame, key: str, parts: DataFrame, part_key: str, text: str = "text", size: int = 5, share: float = 0.8) -> DataFrame:
+    """(part_key, key, held): contents that hold `share` or more of a part's distinct shingles of `size` tokens, and the share they hold.
+
+    A part of fewer tokens is one shingle of its own length; parts without a token are held by none. The parts' shingles meet those of the contents by an equality join.
+    """
+    w = parts.select(F.col(part_key).alias("_p"), tokens(text).alias("_w")).where(F.size("_w") > 0).withColumn("_k", F.least(F.size("_w"), F.lit(size)))
+    listed = checkpointed(w)
+    lengths = sorted(r[0] for r in listed.select("_k").distinct().collect())  # `size` of them at most
+    of_parts, of_contents = [], []
+    docs = contents.select(F.col(key).alias("_c"), tokens(text).alias("_w"))
+    for k in lengths:
+        of_parts.append(listed.where(F.col("_k") == k).select("_p", "_k", F.explode(F.array_distinct(shingles(F.col("_w"), k))).alias("_g")))
+        of_contents.append(docs.where(F.size("_w") >= k).select("_c", F.lit(k).alias("_k"), F.explode(shingles(F.col("_w"), k)).alias("_g")))
+    if not lengths:
+        return contents.join(parts.select(part_key).limit(0), F.lit(True)).select(part_key, key, F.lit(0.0).alias("held"))
+    wanted, held = of_parts[0], of_contents[0]
+    for a, b in zip(of_parts[1:], of_contents[1:], strict=True):
+        wanted, held = wanted.unionByName(a), held.unionByName(b)
+    total = wanted.groupBy("_p").agg(F.count(F.lit(1)).alias("_n"))
+    met = held.join(small_side(wanted), ["_k", "_g"]).select("_p", "_c", "_k", "_g").distinct().groupBy("_p", "_c").agg(F.count(F.lit(1)).alias("_m"))
+    out = met.join(small_side(total), "_p").withColumn("held", F.col("_m") / F.col("_n")).where(F.col("held") >= share - 1e-9)
+    return out.select(F.col("_p").alias(part_key), F.col("_c").alias(key), "held")
+
+
 def located(cases: DataFrame, spans: DataFrame, keys: list[str]) -> DataFrame:
     """Adds found (rows of `spans` with the case's locator) and outcome: unjoinable, joined or ambiguous."""
     n = spans.groupBy(*keys).agg(F.count(F.lit(1)).alias("found"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import joins
+from ..operators import joins, texts
 from ..operators.sizes import small_side
 from ..sources.tables import table
 from .catalog import many, query
@@ -32,7 +32,7 @@ def changes_in_window(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prefix_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that hold the first forty characters of a benchmark text."""
     parts = table(spark, sf_dir, "benchmark").select("item_id", F.substring("text", 1, 40).alias("part"))
-    return joins.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "text", parts, "part").groupBy("item_id").agg(many().alias("n"), F.min("doc_id").alias("first"))
+    return texts.containing(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id", "text", parts, "part").groupBy("item_id").agg(many().alias("n"), F.min("doc_id").alias("first"))
 
 
 @query("""WITH i AS (SELECT DISTINCT o_custkey, o_orderkey, o_orderstatus, o_orderdate, l_suppkey FROM orders JOIN lineitem ON l_orderkey = o_orderkey)
@@ -78,8 +78,8 @@ def claims_approved(spark: SparkSession, sf_dir: str) -> DataFrame:
 def headline_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """English documents that name the second word of each benchmark text; those without any are warned about."""
     heads = table(spark, sf_dir, "benchmark").select("item_id", F.lower(F.split_part("text", F.lit(" "), F.lit(2))).alias("word"))
-    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select(F.lower("text").alias("t"))
-    named = joins.containing(docs, "t", heads.select("item_id", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w")), "w").groupBy("item_id").agg(many().alias("evidence"))
+    docs = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id", F.lower("text").alias("t"))
+    named = texts.containing(docs, "doc_id", "t", heads.select("item_id", F.concat(F.lit(" "), "word", F.lit(" ")).alias("w")), "w").groupBy("item_id").agg(many().alias("evidence"))
     out = heads.select("item_id").join(named, "item_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(0)))
     return out.withColumn("status", F.when(F.col("evidence") == 0, "warning").otherwise("ok"))
 

@@ -5,14 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import tokens
-from ..operators import gates, metrics, ranking
+from ..operators import gates, metrics, ranking, texts
 from ..operators.sizes import checkpointed, small_side
 from ..sources.tables import table
 from .catalog import query
 
 ALPHAS = [0.0, 0.25, 0.5, 0.75, 1.0]
-LEAD = 8
 
 
 def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -22,13 +20,9 @@ def corpus(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
 
 
 def gold(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents that hold the first eight tokens of a benchmark text in a row."""
+    """Documents that hold a benchmark text: four fifths or more of its distinct runs of five tokens (of all its tokens, if fewer)."""
     docs, asked = corpus(spark, sf_dir)
-    lead = asked.select("query_id", tokens("text").alias("w")).where(F.size("w") >= LEAD).select("query_id", F.concat_ws(" ", F.slice("w", 1, LEAD)).alias("gram"))
-    listed = docs.select("doc_id", tokens("text").alias("w"))
-    row = F.arrays_zip(*(F.slice("w", k + 1, F.greatest(F.size("w") - (LEAD - 1), F.lit(0))).alias(f"w{k}") for k in range(LEAD)))
-    grams = listed.select("doc_id", F.explode(row).alias("g")).select("doc_id", F.concat_ws(" ", *(f"g.w{k}" for k in range(LEAD))).alias("gram"))
-    return grams.join(small_side(lead), "gram").select("query_id", "doc_id").distinct()
+    return texts.holding(docs, "doc_id", asked, "query_id").select("query_id", "doc_id")
 
 
 def indexed(spark: SparkSession, sf_dir: str) -> ranking.Index:
@@ -69,15 +63,21 @@ cor AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score,
 FUSED = """,
 fu AS (SELECT query_id, doc_id, sum(1.0::DOUBLE / (60 + rank)) AS score FROM (SELECT query_id, doc_id, rank FROM bmr WHERE rank <= 50 UNION ALL SELECT query_id, doc_id, rank FROM cor WHERE rank <= 50) GROUP BY query_id, doc_id),
 fur AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM fu)"""
+GOLD = """
+iw AS (SELECT item_id AS query_id, w, least(5, len(w)) AS k FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark) WHERE len(w) > 0),
+ig AS (SELECT DISTINCT query_id, k, unnest([array_to_string(w[i:i+k-1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS g FROM iw),
+dg AS (SELECT DISTINCT doc_id, k, unnest([array_to_string(w[i:i+k-1], ' ') FOR i IN range(1, len(w) - k + 2)]) AS g FROM dl, (SELECT DISTINCT k FROM iw) WHERE len(w) >= k),
+gold AS (SELECT query_id, doc_id FROM ig JOIN dg USING (k, g) JOIN (SELECT query_id, count(*) AS n FROM ig GROUP BY 1) USING (query_id) GROUP BY query_id, doc_id, n HAVING count(*) / n >= 0.8 - 1e-9),
+"""
 CONDITIONS = (
     BM25
     + COSINE
     + FUSED
     + """,
 conditions AS (SELECT 'bm25' AS condition, query_id, doc_id, rank FROM bmr WHERE rank <= 50 UNION ALL SELECT 'cosine', query_id, doc_id, rank FROM cor WHERE rank <= 50 UNION ALL SELECT 'rrf', query_id, doc_id, rank FROM fur WHERE rank <= 50),
-lead8 AS (SELECT item_id AS query_id, array_to_string(w[1:8], ' ') AS gram FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark) WHERE len(w) >= 8),
-gold AS (SELECT DISTINCT query_id, doc_id FROM (SELECT doc_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM dl WHERE len(w) >= 8)) JOIN lead8 USING (gram)),
-ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY query_id),
+"""
+    + GOLD
+    + """ng AS (SELECT query_id, count(*) AS n_gold FROM gold GROUP BY query_id),
 judged AS (SELECT c.*, g.doc_id IS NOT NULL AS hit, coalesce(n_gold, 0) AS n_gold FROM conditions c LEFT JOIN gold g USING (query_id, doc_id) LEFT JOIN ng USING (query_id))"""
 )
 PER_QUERY = (
@@ -160,9 +160,7 @@ def alpha_sweep_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""WITH {ALPHA}, lead8 AS (SELECT item_id AS query_id, array_to_string(w[1:8], ' ') AS gram FROM (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark) WHERE len(w) >= 8),
-gold AS (SELECT DISTINCT query_id, doc_id FROM (SELECT doc_id, array_to_string(w[i:i+7], ' ') AS gram FROM (SELECT doc_id, w, unnest(generate_series(1, len(w) - 7)) AS i FROM dl WHERE len(w) >= 8)) JOIN lead8 USING (gram)),
-j AS (SELECT alpha, query_id, min(rank) FILTER (g.doc_id IS NOT NULL) AS first, count(g.doc_id) FILTER (rank <= 5) AS hits FROM alr LEFT JOIN gold g USING (query_id, doc_id) GROUP BY ALL)
+    f"""WITH {ALPHA},{GOLD}j AS (SELECT alpha, query_id, min(rank) FILTER (g.doc_id IS NOT NULL) AS first, count(g.doc_id) FILTER (rank <= 5) AS hits FROM alr LEFT JOIN gold g USING (query_id, doc_id) GROUP BY ALL)
 SELECT alpha, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(hits / n), 6) AS recall_at_5 FROM j JOIN (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id) USING (query_id) GROUP BY alpha"""
 )
 def alpha_sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
