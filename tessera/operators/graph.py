@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .sizes import checkpointed
@@ -81,3 +81,71 @@ def census(edges: DataFrame) -> DataFrame:
 def in_exactly(names: DataFrame, name: str, group: str, groups: int = 1) -> DataFrame:
     """Names that occur once in each of exactly `groups` groups."""
     return names.groupBy(name).agg(F.count(F.lit(1)).alias("n"), F.count_distinct(group).alias("g")).where((F.col("n") == groups) & (F.col("g") == groups)).select(name)
+
+
+def components(links: DataFrame) -> DataFrame:
+    """(node, component) of all nodes of links (src, dst); a component is named by its smallest node.
+
+    Each round every node takes its neighbours to the smallest node around it, first those above it, then those below; the number of rounds grows with the
+    logarithm of a component's size, and no step brings a component together in one task.
+    """
+    edges = checkpointed(links.where("src <> dst").select(F.greatest("src", "dst").alias("u"), F.least("src", "dst").alias("v")).distinct())
+
+    def towards(pairs: DataFrame, keep: bool) -> DataFrame:
+        least = pairs.groupBy("u").agg(F.min("v").alias("_m")).select("u", F.least("_m", "u").alias("_m"))
+        met = pairs.join(least, "u")
+        if keep:
+            return least.select("u", F.col("_m").alias("v")).union(met.where(F.col("v") != F.col("_m")).select(F.col("v").alias("u"), F.col("_m").alias("v"))).distinct()
+        return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("_m").alias("v")).distinct()
+
+    seen = None
+    while True:
+        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = checkpointed(towards(towards(both, False), True))
+        now = edges.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
+        if now == seen:
+            break
+        seen = now
+    named = edges.groupBy("u").agg(F.min("v").alias("component"))
+    roots = named.select(F.col("component").alias("node"), "component").distinct()
+    return named.select(F.col("u").alias("node"), "component").union(roots)
+
+
+def along_heads(tokens: DataFrame, group: str, low: Column, high: Column, flag: Column, depth: int = 1 << 16) -> DataFrame:
+    """(group, id, low, high, flag): least `low` and greatest `high` over the tokens below each token (itself included), and whether `flag` holds for it or one above it.
+
+    Tokens have an id and a head (null, their own id or unknown: a root). Pointers are doubled: after k rounds a token has what stands less than 2 ** k steps below and
+    above it, so a tree of depth n takes log2 n rounds; heads in a loop end at `depth`.
+    """
+    key = [group, "id"]
+    heads = tokens.select(group, F.col("id").alias("head"), F.lit(True).alias("_known")).distinct()
+    at = tokens.join(heads, [group, "head"], "left").select(*key, F.when(F.col("_known") & (F.col("head") != F.col("id")), F.col("head")).alias("_up"), low.alias("low"), high.alias("high"), flag.alias("flag"))
+    at = checkpointed(at)
+    for _ in range(max(1, depth.bit_length())):
+        if not at.where(F.col("_up").isNotNull()).take(1):
+            break
+        below = at.where(F.col("_up").isNotNull()).groupBy(group, F.col("_up").alias("id")).agg(F.min("low").alias("_l"), F.max("high").alias("_h"))
+        above = at.select(group, F.col("id").alias("_up"), F.col("_up").alias("_next"), F.col("flag").alias("_f"))
+        rows = at.join(above, [group, "_up"], "left").join(below, key, "left")
+        at = checkpointed(rows.select(*key, F.col("_next").alias("_up"), F.least("low", "_l").alias("low"), F.greatest("high", "_h").alias("high"), (F.col("flag") | F.coalesce("_f", F.lit(False))).alias("flag")))
+    return at.drop("_up")
+
+
+#: Relations of clauses within clauses, and of tokens that a clause does not begin with.
+EMBEDDED = ("ccomp", "xcomp", "advcl", "acl", "relcl")
+LEADING = ("cc", "punct")
+
+
+def clause_spans(tokens: DataFrame, group: str) -> DataFrame:
+    """(group, id, start, stop, embedded): the clause of each token taken as a predicate, and whether it stands within another clause.
+
+    tokens: group, id (in order), head, dep, start, stop. A conjunct's clause is its subtree without leading conjunctions and marks (no clause if nothing is left), any other's is the sentence.
+    A predicate is embedded if it or a token above it has one of the relations EMBEDDED.
+    """
+    begins = F.when(~F.col("dep").isin(*LEADING), F.struct("id", F.col("start").alias("at")))
+    seen = along_heads(tokens, group, begins, F.struct("id", F.col("stop").alias("at")), F.col("dep").isin(*EMBEDDED))
+    whole = tokens.groupBy(group).agg(F.min("start").alias("_s"), F.max("stop").alias("_e"))
+    rows = tokens.select(group, "id", "dep").join(seen, [group, "id"]).join(whole, group)
+    own = F.col("dep") == "conj"
+    start, stop = F.when(own, F.col("low.at")).otherwise(F.col("_s")), F.when(own & F.col("low").isNull(), F.lit(None)).when(own, F.col("high.at")).otherwise(F.col("_e"))
+    return rows.select(group, "id", start.alias("start"), stop.alias("stop"), F.col("flag").alias("embedded"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import graph, noise, texts
+from .sizes import checkpointed
+
 
 def quotas(counts: DataFrame, stratum: str, size: int) -> DataFrame:
     """(stratum, quota): shares of `size` by largest remainder; equal remainders by name."""
@@ -37,3 +40,20 @@ def stratified(df: DataFrame, key: str, stratum: str, size: int, seed: str = "s1
 
 def first_of_each(df: DataFrame, group: str, order: str, n: int) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(group).orderBy(order))).where(F.col("_n") <= n).drop("_n")
+
+
+def without_leaks(rows: DataFrame, threshold: float, test: float, seed: str = "split") -> DataFrame:
+    """(id, cluster, size, split) of rows (id, items) that have items: whole clusters of near-duplicates go to test or to train.
+
+    Rows whose distinct items have Jaccard `threshold` or more are linked, and the components of the links are the clusters, named by their smallest id, so no link crosses a
+    split. A cluster is in test if the draw of its name is below `test`.
+    """
+    kept = rows.where(F.size("items") > 0)
+    placed = checkpointed(texts.classes(kept))
+    reps = checkpointed(placed.groupBy("items").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")))
+    links = texts.similar_sets(reps.select(F.col("class").alias("id"), "items"), threshold)
+    of = graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
+    named = reps.join(of, reps["class"] == of["node"], "left").select("items", "n", F.coalesce("component", "class").alias("cluster"))
+    sizes = named.groupBy("cluster").agg(F.sum("n").alias("size"))
+    out = placed.join(named.select("items", "cluster"), "items").join(sizes, "cluster")
+    return out.select("id", "cluster", "size", F.when(noise.draw(seed, F.col("cluster")) < test, "test").otherwise("train").alias("split"))

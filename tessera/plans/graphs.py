@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators import gates, graph, noise, ranking
+from ..functions.text import tokens
+from ..operators import counters, gates, graph, noise, ranking, samples
 from ..sources.tables import table
 from .catalog import many, query
 
@@ -183,3 +184,45 @@ def failed_projections(spark: SparkSession, sf_dir: str) -> DataFrame:
 def presentation_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = F.col("text")
     return table(spark, sf_dir, "documents").select("doc_id", F.regexp_like(t, F.lit(r"\*\*")).alias("bold"), F.regexp_like(t, F.lit(r"(?m)^- ")).alias("bullets"), F.contains(t, F.lit("```")).alias("fence"))
+
+
+LINKED = """s AS (SELECT doc_id AS id, list_sort(list_distinct(regexp_extract_all(lower(text), '[a-z0-9_]+'))) AS items FROM documents), r AS (SELECT items, min(id) AS id FROM s WHERE len(items) > 0 GROUP BY items), t AS (SELECT id, len(items) AS n, unnest(items) AS item FROM r),
+i AS (SELECT a.id AS a, b.id AS b FROM t a JOIN t b ON a.item = b.item AND a.id < b.id AND b.n >= 0.9 * a.n AND a.n >= 0.9 * b.n GROUP BY ALL HAVING count(*) / (max(a.n) + max(b.n) - count(*)) >= 0.9),
+e AS (SELECT a AS u, b AS v FROM i UNION SELECT b, a FROM i), reach(id, other) AS (SELECT id, id FROM r UNION SELECT reach.id, e.v FROM reach JOIN e ON e.u = reach.other), root AS (SELECT id AS class, min(other) AS cluster FROM reach GROUP BY id)"""
+
+
+@query(f"WITH RECURSIVE {LINKED}, m AS (SELECT s.id AS doc_id, cluster FROM s JOIN r USING (items) JOIN root ON class = r.id) SELECT doc_id, cluster, count(*) OVER (PARTITION BY cluster) AS size, CASE WHEN ('0x' || substr(md5('split|' || cluster), 1, 8))::BIGINT / 4294967296.0 < 0.2 THEN 'test' ELSE 'train' END AS split FROM m")
+def leak_free_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with words by near-duplicate cluster (Jaccard 0.9 or more); a fifth of the clusters is for tests."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), tokens("text").alias("items"))
+    return samples.without_leaks(d, 0.9, 0.2).withColumnRenamed("id", "doc_id")
+
+
+WORDS = """w AS (SELECT item_id, regexp_extract_all(lower(text), '[a-z0-9_]+') AS w FROM benchmark),
+tk AS (SELECT item_id AS sentence, i - 1 AS id, CASE WHEN i > 1 THEN i // 2 - 1 END AS head, CASE WHEN len(w[i]) <= 2 THEN 'cc' WHEN w[i] LIKE '%e' THEN 'conj' WHEN w[i] LIKE '%n' THEN 'relcl' ELSE 'obj' END AS dep, len(array_to_string(w[1:i - 1], ' ')) + (i > 1)::INT AS start, len(array_to_string(w[1:i], ' ')) AS stop FROM w, range(1, 400) r(i) WHERE i <= len(w))"""
+
+
+@query(f"""WITH RECURSIVE {WORDS}, up(sentence, id, above) AS (SELECT sentence, id, id FROM tk UNION ALL SELECT up.sentence, up.id, tk.head FROM up JOIN tk ON tk.sentence = up.sentence AND tk.id = up.above WHERE tk.head IS NOT NULL),
+b AS (SELECT up.sentence, up.above AS id, min(t.start) FILTER (dep <> 'cc') AS low, max(t.stop) AS high FROM up JOIN tk t ON t.sentence = up.sentence AND t.id = up.id GROUP BY ALL), a AS (SELECT up.sentence, up.id, bool_or(dep = 'relcl') AS embedded FROM up JOIN tk t ON t.sentence = up.sentence AND t.id = up.above GROUP BY ALL), s AS (SELECT sentence, min(start) AS s, max(stop) AS e FROM tk GROUP BY 1)
+SELECT tk.sentence, tk.id, CASE WHEN dep = 'conj' THEN low ELSE s END AS start, CASE WHEN dep = 'conj' THEN CASE WHEN low IS NOT NULL THEN high END ELSE e END AS stop, embedded FROM tk JOIN b USING (sentence, id) JOIN a USING (sentence, id) JOIN s USING (sentence)""")
+def clause_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses of the benchmark's words; each word hangs on the one at half its place, and its ending tells its relation (there is no parser)."""
+    w = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("sentence"), tokens("text").alias("w")).select("sentence", "w", F.posexplode("w").alias("id", "t"))
+    dep = F.when(F.length("t") <= 2, "cc").when(F.col("t").endswith("e"), "conj").when(F.col("t").endswith("n"), "relcl").otherwise("obj")
+    start = F.length(F.concat_ws(" ", F.slice("w", F.lit(1), F.col("id")))) + (F.col("id") > 0).cast("int")
+    head = F.when(F.col("id") > 0, F.floor((F.col("id") + 1) / 2).cast("int") - 1)
+    t = w.select("sentence", "id", head.alias("head"), dep.alias("dep"), start.alias("start"), (start + F.length("t")).alias("stop"))
+    out = graph.clause_spans(t, "sentence")
+    return out.select("sentence", *(F.col(c).cast("bigint").alias(c) for c in ("id", "start", "stop")), "embedded")
+
+
+@query("""WITH RECURSIVE v AS (SELECT user_id, event_id % 7 AS counter, arg_max(json_extract_string(props, '$.k')::BIGINT % 6, event_id) AS value FROM events WHERE event_type = 'view' GROUP BY ALL), l AS (SELECT user_id, list(counter ORDER BY counter) AS counters, list(value ORDER BY counter) AS vals FROM v GROUP BY 1),
+c AS (SELECT user_id, json_extract_string(props, '$.k')::BIGINT % 6 AS old, (json_extract_string(props, '$.k')::BIGINT + event_id % 4 + 1) % 6 AS new, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS step FROM events WHERE event_type = 'error'),
+f(user_id, counters, vals, step, applied) AS (SELECT user_id, counters, vals, 0::BIGINT, 0::BIGINT FROM l UNION ALL SELECT f.user_id, counters, CASE WHEN len([x FOR x IN vals IF x = old]) = 1 THEN [CASE WHEN x = old THEN new ELSE x END FOR x IN vals] ELSE vals END, c.step, applied + (len([x FOR x IN vals IF x = old]) = 1)::INT FROM f JOIN c ON c.user_id = f.user_id AND c.step = f.step + 1),
+e AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY step DESC) AS last FROM f) SELECT user_id, unnest(counters) AS counter, unnest(vals) AS value FROM e WHERE last = 1""")
+def corrected_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counters of a user after all corrections, each of which changes what later ones meet."""
+    e = table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.get_json_object("props", "$.k").cast("bigint").alias("k"))
+    views = e.where("event_type = 'view'").select(F.col("user_id").alias("namespace"), (F.col("event_id") % 7).alias("counter"), (F.col("k") % 6).alias("value"), F.col("event_id").alias("seq"))
+    fixes = e.where("event_type = 'error'").select(F.col("user_id").alias("namespace"), F.col("event_id").alias("seq"), (F.col("k") % 6).alias("old"), ((F.col("k") + F.col("event_id") % 4 + 1) % 6).alias("new"))
+    return counters.corrected(views, fixes)[0].select(F.col("namespace").alias("user_id"), "counter", "value")

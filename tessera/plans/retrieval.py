@@ -164,16 +164,15 @@ def alpha_sweep_top1(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT alpha, round(avg(coalesce(1.0::DOUBLE / first, 0)), 6) AS mrr, round(avg(hits / n), 6) AS recall_at_5 FROM j JOIN (SELECT query_id, count(*) AS n FROM gold GROUP BY query_id) USING (query_id) GROUP BY alpha"""
 )
 def alpha_sweep_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Only gold documents need a rank: one more than the number of documents that stand before them, counted by alpha."""
-    scored = checkpointed(ranking.alpha_blend(indexed(spark, sf_dir), ALPHAS).withColumn("scores", F.transform("scores", lambda s: F.round(s, 9))))
+    """Only gold documents need a rank, which a histogram of the scores of a query and alpha gives."""
     answers = gold(spark, sf_dir)
     n = answers.groupBy("query_id").agg(F.count(F.lit(1)).alias("n"))
-    marks = scored.join(answers, ["query_id", "doc_id"]).select("query_id", F.col("doc_id").alias("gold_id"), F.col("scores").alias("own"))
-    s, own = F.col("scores"), F.col("own")
-    before = lambda k: F.count_if((s[k] > own[k]) | ((s[k] == own[k]) & (F.col("doc_id") < F.col("gold_id"))))
-    ranks = scored.join(small_side(marks), "query_id").groupBy("query_id", "gold_id").agg(F.first("own").alias("own"), *(before(k).alias(f"b{k}") for k in range(len(ALPHAS))))
-    rows = F.array(*(F.struct(F.lit(a).alias("alpha"), (F.col(f"b{k}") + 1).alias("rank"), F.col("own")[k].alias("score")) for k, a in enumerate(ALPHAS)))
-    per = ranks.select("query_id", F.inline(rows)).where("score > 0").groupBy("alpha", "query_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 5).alias("hits"))
+    blended = checkpointed(ranking.alpha_blend(indexed(spark, sf_dir), ALPHAS))
+    rows = F.array(*(F.struct(F.lit(a).alias("alpha"), F.round(F.col("scores")[k], 9).alias("score")) for k, a in enumerate(ALPHAS)))
+    scored = blended.select("query_id", "doc_id", F.inline(rows)).where("score > 0")
+    wanted = answers.crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in ALPHAS], "alpha double")))
+    ranks = ranking.ranks_of(scored, wanted, ["query_id", "alpha"], "score")
+    per = ranks.groupBy("alpha", "query_id").agg(F.min("rank").alias("first"), F.count_if(F.col("rank") <= 5).alias("hits"))
     grid = n.crossJoin(F.broadcast(spark.createDataFrame([(a,) for a in ALPHAS], "alpha double"))).join(per, ["alpha", "query_id"], "left")
     return grid.groupBy("alpha").agg(F.round(F.avg(F.coalesce(1 / F.col("first"), F.lit(0.0))), 6).alias("mrr"), F.round(F.avg(F.coalesce("hits", F.lit(0)) / F.col("n")), 6).alias("recall_at_5"))
 

@@ -126,3 +126,20 @@ def test_relevance_and_ladders(spark):
 @pytest.mark.parametrize("answer,expected", [("It was the blue car.", "right"), ("It wasn't a blue car", "negated"), ("I don't know, a blue car?", "abstained"), ("red", "wrong"), ("", "wrong")])
 def test_answer_outcomes(spark, answer, expected):
     assert said(spark, answer).select(tx.answer_outcome(F.col("t"), F.lit("Blue car")).alias("o")).first().o == expected
+
+
+def test_ranks_of_as_by_full_ranking(spark):
+    import random
+
+    from pyspark.sql import Window
+    from pyspark.sql import functions as F
+
+    from tessera.operators import ranking
+
+    rng = random.Random(1)
+    rows = [(q, a, d, rng.randrange(6) / 5) for q in range(4) for a in (0.0, 0.5) for d in range(40)]
+    scored = spark.createDataFrame(rows, "query_id int, alpha double, doc_id int, score double")
+    wanted = scored.where("doc_id % 7 = 0").select("query_id", "alpha", "doc_id").union(scored.limit(1).select("query_id", "alpha", F.lit(999)))
+    full = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id", "alpha").orderBy(F.desc("score"), "doc_id")).cast("bigint")).where("doc_id % 7 = 0")
+    found = ranking.ranks_of(scored, wanted, ["query_id", "alpha"], "score")
+    assert sorted(map(tuple, found.collect())) == sorted(map(tuple, full.select("query_id", "alpha", "doc_id", "score", "rank").collect()))
