@@ -36,58 +36,40 @@ MOST = 2000
 UNKNOWN = "und"
 #: Bits of the bitmap for a phrase, and the binary logarithm of its most bits.
 SPARSE, FILTER = 16, 28
-#: Characters for a segment, characters counted at once, words kept in a task's table.
+#: Characters for a segment, characters counted at once.
 SEGMENT_CHARS = 1 << 22
 SLICE = 6_000_000
-CACHE = 400_000
+POWER = np.uint64(0x9E3779B97F4A7C15)
 #: Groups in which a bitmap is put together, and those in which the first of a lang are sought.
 GROUPS = 256
 #: Rows of counts that a task keeps before it adds them up.
 PENDING = 1 << 20
-BREAK = 1
-LETTERS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 10 + b" ")
-
-
-class Vocabulary(dict):
-    """Numbers of words, given when first asked for; 0 is the empty word, 1 ends a piece."""
-
-    def __init__(self):
-        super().__init__({b"": 0, b"\n": BREAK})
-        self.words, self.hashes = [b"", b"\n"], np.zeros(2, np.uint64)
-
-    def __missing__(self, word: bytes) -> int:
-        n = self[word] = len(self.words)
-        self.words.append(word)
-        return n
-
-    def hashed(self) -> np.ndarray:
-        new = [xxhash.xxh64_intdigest(w) for w in self.words[len(self.hashes) :]]
-        self.hashes = np.concatenate([self.hashes, np.array(new, np.uint64)])
-        return self.hashes
+LETTERS = bytes.maketrans(bytes(range(65, 91)) + b".,;:!?\n\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 10 + b" ")  # fixed values: what ends a piece, and a word
 
 
 class Tokens:
-    """The words of a slice of texts in a row, a break after each piece."""
+    """The words of a slice of texts in a row, each with its number (and text) in the slice, its hash with its lang, and its piece."""
 
-    def __init__(self, texts: list, langs: list, vocabulary: Vocabulary):
+    def __init__(self, texts: list, langs: list):
         self.langs = sorted({UNKNOWN if x is None else x for x in langs})
         number = {x: i for i, x in enumerate(self.langs)}
-        ids, sizes = [], []
-        for t in texts:
-            ws = t.encode("utf-8", "surrogatepass").translate(LETTERS).replace(b"\n", b" \n ").split(b" ") if t else []
-            ids.append(np.fromiter(map(vocabulary.__getitem__, ws), np.int64, len(ws)))
-            ids.append(np.array([BREAK]))
-            sizes.append(len(ws) + 1)
-        self.ids = np.concatenate(ids)
-        lang = np.repeat(np.array([number[UNKNOWN if x is None else x] for x in langs]), sizes)
-        self.ids, self.lang = self.ids[self.ids > 0], lang[self.ids > 0]
+        encoded = [t.encode("utf-8", "surrogatepass") if t else b"" for t in texts]
+        data = np.frombuffer(b"\n".join(encoded).translate(LETTERS), np.uint8)
+        gap = (data == 32) | (data == 10)
+        starts = np.flatnonzero(~gap & np.r_[True, gap[:-1]])
+        sizes = np.flatnonzero(~gap & np.r_[gap[1:], True]) + 1 - starts
+        self.piece = np.cumsum(data == 10, dtype=np.int32)[starts]
+        firsts = np.cumsum([0] + [len(e) + 1 for e in encoded[:-1]])
+        self.lang = np.array([number[UNKNOWN if x is None else x] for x in langs])[np.searchsorted(firsts, starts, "right") - 1]
+        ends = np.cumsum(np.r_[0, sizes]).astype(np.int32)
+        words = pa.Array.from_buffers(pa.binary(), len(starts), [None, pa.py_buffer(ends), pa.py_buffer(data[~gap])]).dictionary_encode()
+        self.ids, self.words = words.indices.to_numpy().astype(np.int64), words.dictionary
         seeds = np.array([xxhash.xxh64_intdigest(x.encode("utf-8", "surrogatepass"), 7) for x in self.langs], np.uint64)
-        self.hashes = mix(vocabulary.hashed()[self.ids] + seeds[self.lang])
+        self.hashes = mix(word_hashes(self.words)[self.ids] + seeds[self.lang])
 
     def levels(self, bitmaps: list[np.ndarray], last: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(places, hashes) of the phrases of 1, 2, ... `last` words whose parts, shorter by one, are all in the bitmaps."""
-        places = np.flatnonzero(self.ids != BREAK)
-        hashes = self.hashes[places]
+        places, hashes = np.arange(len(self.ids)), self.hashes
         for words in range(1, last + 1):
             yield places, hashes
             if words == last:
@@ -97,6 +79,7 @@ class Tokens:
             stands = np.zeros(len(self.ids) + 1, bool)
             stands[places] = True
             goes_on = stands[places + 1]
+            goes_on[goes_on] = self.piece[places[goes_on] + words] == self.piece[places[goes_on]]
             places = places[goes_on]
             hashes = mix(hashes[goes_on] * np.uint64(0x9E3779B97F4A7C15) + self.hashes[places + words])
 
@@ -106,20 +89,29 @@ def within(bitmap: np.ndarray, hashes: np.ndarray) -> np.ndarray:
     return ((bitmap[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1) > 0
 
 
-def token_slices(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[Tokens]:
+def word_hashes(words: pa.Array) -> np.ndarray:
+    """64-bit hashes of non-empty words: polynomials of their bytes."""
+    if not len(words):
+        return np.zeros(0, np.uint64)
+    ends = np.frombuffer(words.buffers()[1], np.int32)[words.offset : words.offset + len(words) + 1].astype(np.int64)
+    data = np.frombuffer(words.buffers()[2], np.uint8)[ends[0] : ends[-1]]
+    starts, sizes = ends[:-1] - ends[0], np.diff(ends)
+    powers = np.multiply.accumulate(np.r_[np.uint64(1), np.full(sizes.max() - 1, POWER)])
+    terms = (data.astype(np.uint64) + np.uint64(1)) * powers[np.arange(len(data)) - np.repeat(starts, sizes)]
+    return mix(np.add.reduceat(terms, starts) + sizes.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
+
+
+def token_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[Tokens]:
     for batch in batches:
         for rows, texts in slices(batch, "text", SLICE):
-            if len(vocabulary) > CACHE:
-                vocabulary.clear()
-                vocabulary.__init__()
-            yield Tokens(texts, rows.column("lang").to_pylist(), vocabulary)
+            yield Tokens(texts, rows.column("lang").to_pylist())
 
 
 def frequent_hashes(docs: DataFrame, bitmaps, words: int, bits: int, least: int) -> DataFrame:
     """(seg, keys): packed hashes of the phrases of `words` words that stand `least` times or more. Checkpointed."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for tokens in token_slices(batches, Vocabulary()):
+        for tokens in token_slices(batches):
             for _, hashes in tokens.levels(bitmaps.value, words):
                 found = hashes
             key, n = np.unique(found, return_counts=True)
@@ -171,12 +163,12 @@ def counted(docs: DataFrame, least: int = LEAST, longest: int = LONGEST) -> Data
     shared = spark.sparkContext.broadcast(bitmaps)
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, found = Vocabulary(), []
-        for tokens in token_slices(batches, vocabulary):
-            own, ids = len(vocabulary.words), tokens.ids
+        found = []
+        for tokens in token_slices(batches):
+            own, ids = max(1, len(tokens.words)), tokens.ids
             langs = pa.array(tokens.langs, pa.string())
-            texts = pa.array(vocabulary.words, pa.binary()).cast(pa.string())
-            total = np.bincount(tokens.lang[ids != BREAK], minlength=len(langs))
+            texts = tokens.words.cast(pa.string())
+            total = np.bincount(tokens.lang, minlength=len(langs))
             found.append(pa.table({"lang": langs, "words": pa.array([0] * len(langs), pa.int32()), "phrase": pa.array([""] * len(langs)), "n": pa.array(total, pa.int64())}))
             code = np.zeros(len(ids), np.int64)
             for words, (places, hashes) in enumerate(tokens.levels(shared.value, longest), 1):

@@ -69,7 +69,7 @@ def test_one_leaf_is_exact(spark):
 def test_copies_ties_and_repeats(spark):
     rng = random.Random(3)
     rows = [(i, [1.0, 2.0, 0.0] if i % 3 == 0 else [float(rng.randrange(1, 3)) for _ in range(3)]) for i in range(600)]
-    rows += [rows[40], rows[41], (60, [5.0, 0.0, 0.0])]
+    rows += [rows[43], rows[41], (60, [5.0, 0.0, 0.0])]
     unique = [r for r in rows if r[0] != 60]
     close(searched(spark, unique, leaf=1000), plain(unique))
     found = searched(spark, rows, leaf=1000)  # 60 has two vectors: two queries, none of which finds 60

@@ -68,7 +68,7 @@ def test_first_of_each_lang_and_shorter_phrases(spark):
 def test_crowded_bitmap_and_slices_change_nothing(spark, monkeypatch):
     rows = corpus(seed=3)
     want = plain(rows, 3)
-    for name, value in (("FILTER", 11), ("SLICE", 200), ("CACHE", 5), ("SEGMENT_CHARS", 4)):
+    for name, value in (("FILTER", 11), ("SLICE", 200), ("PENDING", 50), ("SEGMENT_CHARS", 4)):
         monkeypatch.setattr(phrases, name, value)
     assert mined(data.docs(spark, rows), 3) == want
 
