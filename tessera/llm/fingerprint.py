@@ -1,12 +1,12 @@
 """Document fingerprints: invertible Bloom lookup sketches of paragraph digests. DataFrame functions only.
 
-Paragraphs are lines; lines of more than LONG_LINE characters are cut after sentences. A paragraph's key is the XXH64 of its
-digest and of how often the digest stood before, so the keys of a text are a set. A sketch has three parts of `size` cells; a key
+Paragraphs end with a line or with a sentence (CUT), in texts of any length. A paragraph's key is the XXH64 of its
+digest and of how often the digest stood before, so the keys of a text are a set; they are found by sorting and binary search, so the cost of a text grows with n log n of its paragraphs. A sketch has three parts of `size` cells; a key
 is added to one cell of each, which holds the number of keys, their exclusive or, and that of their check sums.
 
 Two sketches are subtracted cell by cell, which leaves the keys in one of them alone. Peeling takes the key of every cell
 that holds one, takes that key out of its other cells, and goes on until all cells are empty: the keys taken are the
-difference. If cells stay, the difference is too large for the sketch and a larger one is tried: the keys are dealt into
+difference. If cells stay, the difference is too large for the sketch and a larger one is tried: the keys are dealt, by their upper bits, into
 about one bucket for LOAD of them, each with a small sketch of its own (four times as wide where that fails again). A bucket that no
 sketch resolves is compared key by key. Likeness is the keys in both over the keys in either; two texts without
 keys have likeness 1.
@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import drawn
 
-LONG_LINE = 300
+#: Fixed value: what stands between paragraphs.
+CUT = r"\n|(?<=[.!?])\s+"
 CELLS = 8
 ROUNDS = 8
 #: Keys a bucket of a larger sketch is meant for, and cells in each part of its first try.
@@ -52,11 +53,23 @@ def _places(size: int, shift: int) -> str:
     return "array(" + ", ".join(f"named_struct('m', {(size - 1) << k}L, 'v', {(n % size) << k}L)" for n, k in enumerate(low)) + ")"
 
 
+def _steps(array: str) -> str:
+    """SQL for the powers of two up to an array's size, falling."""
+    return f"IF(size({array}) = 0, array(), transform(sequence(cast(floor(log2(size({array}))) AS int), 0), e -> shiftleft(1, e)))"
+
+
+def _below(array: str, value: str, steps: str) -> str:
+    """SQL for how many elements of a sorted array are less than a value: a binary search."""
+    return f"aggregate({steps}, 0, (p, s) -> IF(get({array}, p + s - 1) < {value}, p + s, p))"
+
+
 def paragraph_keys(text: str) -> str:
     """SQL for the sorted keys of a text column."""
-    lines = f"flatten(transform(split({text}, '\\n'), l -> IF(length(l) > {LONG_LINE}, split(l, '(?<=[.!?])\\\\s+'), array(l))))"
-    digests = f"array_sort(transform({lines}, l -> xxhash64(l)))"
-    return f"IF({text} = '', array(), {_let(digests, 'ds', 'transform(ds, (d, i) -> xxhash64(d, i + 1 - cast(array_position(ds, d) AS int)))')})"
+    cut = CUT.replace("\\", "\\\\")
+    digests = f"sort_array(transform(split({text}, '{cut}'), l -> xxhash64(l)))"
+    repeated = _let(_steps("ds"), "st", f"transform(ds, (d, i) -> xxhash64(d, i - {_below('ds', 'd', 'st')}))")
+    keys = _let(digests, "ds", f"IF(size(array_distinct(ds)) = size(ds), transform(ds, d -> xxhash64(d, 0)), {repeated})")
+    return f"IF({text} = '', array(), sort_array({keys}))"
 
 
 def sketch(keys: str, size: int = CELLS, shift: int = 0) -> str:
@@ -87,9 +100,12 @@ def difference(a: str, b: str, cells_a: str, cells_b: str, compare: bool = True)
     by_key = "size(array_except(t.a, t.b)) + size(array_except(t.b, t.a))" if compare else "NULL"
     tries = [attempt(SMALL_CELLS, 0), attempt(4 * SMALL_CELLS, 9)]
     bucket = f"CASE WHEN size(t.a) = 0 OR size(t.b) = 0 THEN size(t.a) + size(t.b) ELSE coalesce({', '.join(f'nullif({x}, -1)' for x in tries)}, {by_key}) END"
-    inner = _let("named_struct('a', filter(g.a, x -> pmod(shiftrightunsigned(x, 24), w) = i), 'b', filter(g.b, x -> pmod(shiftrightunsigned(x, 24), w) = i))", "t", bucket)
-    outer = _let(f"named_struct('a', filter({a}, x -> pmod(shiftrightunsigned(x, 44), w) = o), 'b', filter({b}, x -> pmod(shiftrightunsigned(x, 44), w) = o))", "g", f"aggregate(transform(sequence(0, w - 1), i -> {inner}), 0, (s, x) -> s + x)")
-    larger = _let(f"cast(ceil(sqrt((size({a}) + size({b})) / {LOAD}.0)) AS int)", "w", f"aggregate(transform(sequence(0, w - 1), o -> {outer}), 0, (s, x) -> s + x)")
+    # w buckets of equal ranges of keys; the first places of all, and the size, say where each stands in the sorted keys
+    cuts = lambda keys: _let(_steps(keys), "st", f"concat(transform(sequence(0, w - 1), i -> {_below(keys, 'shiftleft(cast(i AS bigint) - (w div 2), 64 - bits)', 'st')}), array(size({keys})))")
+    part = lambda keys, at: f"slice({keys}, get({at}, i) + 1, get({at}, i + 1) - get({at}, i))"
+    summed = f"aggregate(sequence(0, w - 1), 0, (s, i) -> s + {_let(f"named_struct('a', {part(a, 'at.a')}, 'b', {part(b, 'at.b')})", 't', bucket)})"
+    dealt = _let(f"named_struct('a', {cuts(a)}, 'b', {cuts(b)})", "at", summed)
+    larger = _let(f"greatest(1, cast(ceil(log2((size({a}) + size({b})) / {LOAD}.0)) AS int))", "bits", _let("shiftleft(1, bits)", "w", dealt))
     return f"coalesce(nullif(size({peel(subtract(cells_a, cells_b))}), -1), {larger})"
 
 

@@ -11,10 +11,7 @@ from tests.llm import data
 
 
 def paragraphs(text):
-    out = []
-    for line in text.split("\n") if text else []:
-        out += re.split(r"(?<=[.!?])\s+", line) if len(line) > fp.LONG_LINE else [line]
-    return Counter(out)
+    return Counter(re.split(fp.CUT, text, flags=re.ASCII) if text else [])
 
 
 def likeness(a, b):
@@ -79,3 +76,18 @@ def test_routes_cover_all_comparisons(spark):
 def test_plan_has_no_python(spark):
     plan = fp.fingerprint_documents(data.docs(spark))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|MapInArrow|ArrowEval", plan)
+
+
+def test_a_million_lines(spark):
+    import time
+
+    n = 1_000_000
+    rows = spark.range(1, numPartitions=1).select(F.lit(1).cast("bigint").alias("doc_id"), F.expr(f"array_join(transform(sequence(1, {n}), i -> concat('line ', i % {n - 7})), '\n')").alias("text"))
+    began = time.time()
+    (row,) = fp.fingerprint_documents(rows).collect()
+    assert row.near_next == 1.0 and 0.3 < row.near_edited < 0.7 and time.time() - began < 240
+
+
+def test_places_by_binary_search(spark):
+    rows = spark.createDataFrame([([], 3), ([5], 5), ([1, 2, 2, 2, 9], 2), ([1, 2, 2, 2, 9], 10), (list(range(100)), 64)], "a array<bigint>, v bigint")
+    assert [r[0] for r in rows.select(F.expr(fp._below("a", "v", fp._steps("a")))).collect()] == [0, 0, 1, 5, 64]
