@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .sizes import small_side
@@ -46,6 +48,48 @@ def conflicts(pairs: DataFrame, doc_facets: DataFrame, query_facets: DataFrame)
     return rows.select(*pairs.columns, F.size(F.filter("_m", lambda x: x["differ"])).alias("conflicts"), F.size("_m").alias("compared"))
 
 
+def _counted() -> list[Column]:
+    """Aggregates of the met values of a pair: distinct identity facets, structural values, kinds of evidence."""
+    return [
+        F.count_distinct(F.when(F.col("facet").isin(*IDENTITY), F.col("facet"))).alias("required"),
+        F.count_if(F.col("facet").isin(*STRUCTURAL)).alias("values"),
+        F.count_if(F.col("facet") == "evidence_type").alias("kinds"),
+    ]
+
+
+def _score(required: Column, values: Column, kinds: Column, conflicts: Column) -> Column:
+    stale = (F.col("intent") == "current") & F.col("bucket").isin(*STALE_BUCKETS)
+    return (
+        REQUIRED * required + SHARED_VALUE * values + EVIDENCE * kinds
+        + F.when(F.col("own_time") <= F.col("valid_time"), TIME).otherwise(0.0)
+        - F.when(stale, STALE).otherwise(0.0) - CONFLICT * conflicts
+    )
+
+
+def scores_by_view(doc_facets: DataFrame, query_facets: DataFrame, docs: DataFrame, queries: DataFrame, views: dict[str, tuple[str, ...]]) -> DataFrame:
+    """(mode, condition, query_id, doc_id, score) of `index` (shared values), `file_context` (shared symbols) and `meeting_point` for each view, which shows some of the facets.
+
+    Facets meet once for all views: shared values are counted by facet, and each view adds up its own. Values are distinct, so in a scope with q values of the query and d of
+    the document, n of them shared, q d - n pairs conflict.
+    """
+    names = sorted({n for view in views.values() for n in view})
+    scopes = [n for n in names if n in SCOPE]
+    counts = lambda d, key, prefix: d.where(F.col("facet").isin(*scopes)).groupBy(key).agg(*(F.count_if(F.col("facet") == n).alias(f"{prefix}_{n}") for n in scopes))
+    rows = shared(doc_facets.where(F.col("facet").isin(*names)), query_facets).groupBy("query_id", "doc_id").agg(*(F.count_if(F.col("facet") == n).alias(f"n_{n}") for n in names))
+    if scopes:
+        rows = rows.join(counts(doc_facets, "doc_id", "d"), "doc_id", "left").join(small_side(counts(query_facets, "query_id", "q")), "query_id", "left")
+    rows = rows.join(docs.select("doc_id", "bucket", F.col("valid_time").alias("own_time")), "doc_id").join(small_side(queries), "query_id")
+    add = lambda columns: reduce(lambda a, c: a + c, columns, F.lit(0))
+    some = []
+    for mode, view in views.items():
+        n = {f: F.col(f"n_{f}") for f in view}
+        differ = add(F.coalesce(F.col(f"d_{f}") * F.col(f"q_{f}"), F.lit(0)) - n[f] for f in view if f in SCOPE)
+        meeting = _score(add((n[f] > 0).cast("int") for f in view if f in IDENTITY), add(n[f] for f in view if f in STRUCTURAL), add(n[f] for f in view if f == "evidence_type"), differ)
+        every, symbols = add(n.values()).cast("double"), add(n[f] for f in view if f == "symbol").cast("double")
+        some += [F.struct(F.lit(mode).alias("mode"), F.lit(c).alias("condition"), F.when(at > 0, score).alias("score")) for c, at, score in (("index", every, every), ("file_context", symbols, symbols), ("meeting_point", every, meeting))]
+    return rows.select("query_id", "doc_id", F.inline(F.array(*some))).where("score IS NOT NULL").select("mode", "condition", "query_id", "doc_id", "score")
+
+
 def meeting_point(doc_facets: DataFrame, query_facets: DataFrame, docs: DataFrame, queries: DataFrame) -> DataFrame:
     """(query_id, doc_id, score) of the pairs that share a facet value.
 
@@ -53,17 +97,8 @@ def meeting_point(doc_facets: DataFrame, query_facets: DataFrame, docs: DataFram
     query's TIME; a stale document under current intent and each scope conflict cost. docs: doc_id, bucket, valid_time; queries:
     query_id, intent, valid_time.
     """
-    met = shared(doc_facets, query_facets).groupBy("query_id", "doc_id").agg(
-        F.count_distinct(F.when(F.col("facet").isin(*IDENTITY), F.col("facet"))).alias("required"),
-        F.count_if(F.col("facet").isin(*STRUCTURAL)).alias("values"),
-        F.count_if(F.col("facet") == "evidence_type").alias("kinds"),
-    )
+    met = shared(doc_facets, query_facets).groupBy("query_id", "doc_id").agg(*_counted())
     rows = conflicts(met, doc_facets, query_facets)
     rows = rows.join(docs.select("doc_id", "bucket", F.col("valid_time").alias("own_time")), "doc_id").join(small_side(queries), "query_id")
-    stale = (F.col("intent") == "current") & F.col("bucket").isin(*STALE_BUCKETS)
-    score = (
-        REQUIRED * F.col("required") + SHARED_VALUE * F.col("values") + EVIDENCE * F.col("kinds")
-        + F.when(F.col("own_time") <= F.col("valid_time"), TIME).otherwise(0.0)
-        - F.when(stale, STALE).otherwise(0.0) - CONFLICT * F.col("conflicts")
-    )
+    score = _score(F.col("required"), F.col("values"), F.col("kinds"), F.col("conflicts"))
     return rows.select("query_id", "doc_id", score.alias("score"))

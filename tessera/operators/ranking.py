@@ -114,17 +114,14 @@ def alpha_blend(at: Index, alphas: list[float]) -> DataFrame:
 def ranks_of(scored: DataFrame, wanted: DataFrame, group: list[str], score: str, doc: str = "doc_id", most: int = MOST) -> DataFrame:
     """(group, doc, score, rank): ranks of the `wanted` (group, doc) among all scored rows of their group, by falling score, then by doc.
 
-    Rows below the last wanted one of their group are left out. A histogram of the scores tells how many rows stand in higher cells; only the rows of cells that hold a
-    wanted one are numbered. No scored row is paired with a wanted one.
+    A histogram of the scores tells how many rows stand in higher cells; only the rows of cells that hold a wanted one are numbered. No scored row is paired with a wanted one.
     """
-    marks = checkpointed(scored.join(small_side(wanted.select(*group, doc).distinct()), [*group, doc]).select(*group, doc, score))
-    least = marks.groupBy(*group).agg(F.min(score).alias("_least"))
-    celled = checkpointed(scored.join(small_side(least), group).where(F.col(score) >= F.col("_least")).select(*group, doc, score, F.floor(F.col(score) * CELLS).alias("_cell")))
-    marks = marks.select(*group, doc, F.floor(F.col(score) * CELLS).alias("_cell"))
+    celled = scored.withColumn("_cell", F.floor(F.col(score) * CELLS))
+    marks = checkpointed(celled.join(small_side(wanted.select(*group, doc).distinct()), [*group, doc]).select(*group, "_cell", doc))
     cell = small_side(marks.select(*group, "_cell").distinct())
     above = F.sum("_n").over(Window.partitionBy(*group).orderBy(F.desc("_cell")).rowsBetween(Window.unboundedPreceding, -1))
     heights = celled.groupBy(*group, "_cell").agg(F.count(F.lit(1)).alias("_n")).withColumn("_above", F.coalesce(above, F.lit(0))).drop("_n")
-    near = celled.join(cell, [*group, "_cell"]).select(*group, "_cell", doc, score).withColumn("_falling", -F.col(score))
+    near = checkpointed(celled.join(cell, [*group, "_cell"]).select(*group, "_cell", doc, score, (-F.col(score)).alias("_falling")))
     placed = running(near, [*group, "_cell"], ["_falling", doc], Running("_place", "count", F.lit(1)), most=most)
     found = placed.join(marks, [*group, "_cell", doc], "left_semi").join(heights, [*group, "_cell"])
     return found.select(*group, doc, score, (F.col("_above") + F.col("_place")).cast("bigint").alias("rank"))

@@ -74,15 +74,15 @@ def containing(contents: DataFrame, key: str, text: str, parts: DataFrame, part:
 
 
 def shingles(words: Column, size: int) -> Column:
-    """Runs of `size` words, joined by blanks."""
-    row = F.arrays_zip(*(F.slice(words, k + 1, F.greatest(F.size(words) - (size - 1), F.lit(0))).alias(f"w{k}") for k in range(size)))
-    return F.transform(row, lambda g: F.concat_ws(" ", *(g[f"w{k}"] for k in range(size))))
+    """64-bit hashes of the runs of `size` words."""
+    return F.transform(F.sequence(F.lit(0), F.size(words) - size), lambda i: F.xxhash64(*(F.get(words, i + k) for k in range(size))))
 
 
 def holding(contents: DataFrame, key: str, parts: DataFrame, part_key: str, text: str = "text", size: int = 5, share: float = 0.8) -> DataFrame:
     """(part_key, key, held): contents that hold `share` or more of a part's distinct shingles of `size` tokens, and the share they hold.
 
-    A part of fewer tokens is one shingle of its own length; parts without a token are held by none. The parts' shingles meet those of the contents by an equality join.
+    A part of fewer tokens is one shingle of its own length; parts without a token are held by none. The parts' shingles meet those of the contents by an equality join of
+    their 64-bit hashes.
     """
     w = parts.select(F.col(part_key).alias("_p"), tokens(text).alias("_w")).where(F.size("_w") > 0).withColumn("_k", F.least(F.size("_w"), F.lit(size)))
     listed = checkpointed(w)
@@ -91,7 +91,8 @@ def holding(contents: DataFrame, key: str, parts: DataFrame, part_key: str, text
     docs = contents.select(F.col(key).alias("_c"), tokens(text).alias("_w"))
     for k in lengths:
         of_parts.append(listed.where(F.col("_k") == k).select("_p", "_k", F.explode(F.array_distinct(shingles(F.col("_w"), k))).alias("_g")))
-        of_contents.append(docs.where(F.size("_w") >= k).select("_c", F.lit(k).alias("_k"), F.explode(shingles(F.col("_w"), k)).alias("_g")))
+        # outer, and without a filter by size: either would have the texts cut into tokens once more
+        of_contents.append(docs.select("_c", F.lit(k).alias("_k"), F.explode_outer(F.when(F.size("_w") >= k, shingles(F.col("_w"), k))).alias("_g")))
     if not lengths:
         return contents.join(parts.select(part_key).limit(0), F.lit(True)).select(part_key, key, F.lit(0.0).alias("held"))
     wanted, held = of_parts[0], of_contents[0]

@@ -35,20 +35,13 @@ all_{mode} AS (SELECT '{mode}' AS mode, * FROM (SELECT 'bm25' AS condition, quer
 def facet_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six conditions in three views of the facets: how often the first five are stale."""
     m, q, df, qf = evidence._facets(spark, sf_dir)
-    df, qf = checkpointed(df), checkpointed(qf)
     lexical, counts = retrieval.both_rankings(spark, sf_dir, 50)
-    fused = checkpointed(ranking.ranked(ranking.fuse(lexical, counts), 5))
-
-    def run(view: DataFrame, mode: str) -> DataFrame:
-        asked = qf.where(F.col("facet").isin(*MODES[mode]))
-        return ladders.ladder({
-            "bm25": lambda: lexical.where("rank <= 5"), "cosine": lambda: counts.where("rank <= 5"), "rrf": lambda: fused,
-            "file_context": lambda: ranking.ranked(facets.candidates(view.where("facet = 'symbol'"), asked), 5), "index": lambda: ranking.ranked(facets.candidates(view, asked), 5),
-            "meeting_point": lambda: ranking.ranked(facets.meeting_point(view, asked, m, q.select("query_id", "intent", "valid_time")), 5),
-        }, mode)
-
-    only = lambda names: lambda d: d.where(F.col("facet").isin(*names))
-    rows = ladders.over_modes({k: only(v) for k, v in MODES.items()}, df, run).join(m.select("doc_id", "bucket"), "doc_id")
+    plain = ladders.ladder({"bm25": lambda: lexical.where("rank <= 5"), "cosine": lambda: counts.where("rank <= 5"), "rrf": lambda: ranking.ranked(ranking.fuse(lexical, counts), 5)})
+    plain = plain.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in MODES], "mode string")))  # no view of the facets changes them
+    scored = facets.scores_by_view(checkpointed(df), checkpointed(qf), m, q.select("query_id", "intent", "valid_time"), MODES)
+    order = Window.partitionBy("mode", "condition", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
+    ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5").drop("score")
+    rows = plain.unionByName(ranked).join(m.select("doc_id", "bucket"), "doc_id")
     return rows.groupBy("mode", "condition").agg(many().alias("shown"), F.round(F.avg(F.when(F.col("bucket").isin("historical", "blocked"), 1.0).otherwise(0.0)), 6).alias("stale_share"))
 
 
