@@ -124,10 +124,15 @@ def mode(role: Column, text: Column) -> Column:
 
 
 def claims(df: DataFrame, key: list[str], text: str) -> DataFrame:
-    """(key, n, claim, start, stop): the sentences that are not phatic, with their places (from 0) in the text."""
-    rows = df.select(*key, F.col(text).alias("_t"), F.posexplode(_real(F.col(text))).alias("n", "claim")).where(~phatic(F.col("claim")))
+    """(key, n, claim, kind, subject, start, stop): the sentences that have a mark of correction (kind state_update) or a change of state (new_fact).
+
+    n is the sentence's place among all, blank ones included; subject the capitalised word that it begins with, if any; places are those of the claim's first occurrence in the text.
+    """
+    rows = df.select(*key, F.col(text).alias("_t"), F.posexplode(sentences(text)).alias("n", "claim")).withColumn("claim", F.regexp_replace("claim", r"^\s+|\s+$", ""))
+    corrected = _like(F.col("claim"), CORRECTION)
+    rows = rows.where((F.col("claim") != "") & (corrected | _like(F.col("claim"), STATE)))
     at = F.instr("_t", F.col("claim")) - 1
-    return rows.select(*key, "n", "claim", at.alias("start"), (at + F.length("claim")).alias("stop"))
+    return rows.select(*key, "n", "claim", F.when(corrected, "state_update").otherwise("new_fact").alias("kind"), F.regexp_extract("claim", SUBJECTS, 1).alias("subject"), at.alias("start"), (at + F.length("claim")).alias("stop"))
 
 
 def arm(df: DataFrame, name: str, role: str, text: str) -> DataFrame:

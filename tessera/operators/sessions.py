@@ -26,12 +26,12 @@ def replay(turns: DataFrame, session: str, order: list[str], item: str, progress
     return rows.withColumn("suppressed", over if exempt is None else over & ~exempt)
 
 
-def loop_measures(replayed: DataFrame, group: str, trap: Column, exempt: Column, threshold: int = THRESHOLD) -> DataFrame:
+def loop_measures(replayed: DataFrame, group: str, trap: Column, exempt: Column, threshold: int = THRESHOLD, penalty: bool = True) -> DataFrame:
     """(group, loop_rate, productive_kept, exempt_kept) of a replay: traps let through in a loop, and the shares of other and of exempt retrievals let through.
 
-    Without a trap the rate is 0; without others or exempt ones the shares are 1.
+    Without penalty all are let through. Without a trap the rate is 0; without others or exempt ones the shares are 1.
     """
-    let = ~F.col("suppressed")
+    let = ~F.col("suppressed") if penalty else F.lit(True)
     share = lambda hit, of, none: F.round(F.when(F.count_if(of) == 0, none).otherwise(F.count_if(hit & of) / F.count_if(of)), 6)
     return replayed.groupBy(group).agg(
         share(let & (F.col("since_progress") >= threshold), trap & ~exempt, 0.0).alias("loop_rate"),
@@ -40,6 +40,16 @@ def loop_measures(replayed: DataFrame, group: str, trap: Column, exempt: Column,
     )
 
 
+def exhaustion_gate(replayed: DataFrame, group: str, trap: Column, exempt: Column, threshold: int = THRESHOLD) -> DataFrame:
+    """(group, base_loop_rate, loop_rate, cut, productive_kept, exempt_kept, graduates): the replay with the penalty against the one without.
+
+    The penalty graduates if it cuts the rate of loops and keeps all productive and all exempt retrievals.
+    """
+    base = loop_measures(replayed, group, trap, exempt, threshold, penalty=False).select(group, F.col("loop_rate").alias("base_loop_rate"))
+    both = base.join(loop_measures(replayed, group, trap, exempt, threshold), group).withColumn("cut", F.round(F.col("base_loop_rate") - F.col("loop_rate"), 6))
+    return both.withColumn("graduates", (F.col("cut") > 0) & (F.col("productive_kept") >= 1) & (F.col("exempt_kept") >= 1))
+
+
 def streaks(rows: DataFrame, session: str, order: list[str], outcome: str, neutral: list[str], most: int = MOST) -> DataFrame:
     """(session, streak, outcome, length): runs of equal outcomes in order; neutral rows neither lengthen nor end a run."""
     told = running(rows.where(~F.col(outcome).isin(neutral)), [session], order, Running("_last", "lasts", F.col(outcome), inclusive=False), most=most)

@@ -111,14 +111,36 @@ def _taken(sentence: str, patterns: list) -> Iterator[tuple[object, re.Match]]:
                 yield tag, m
 
 
+def _patterns() -> list:
+    return [(k, re.compile(p, re.I), re.compile(ASKING, re.I) if k == "boolean" else None) for k, p in KINDS]
+
+
+def _change_patterns() -> list:
+    return [((s, "(?P<n>" in p), re.compile(p, re.I), None) for s, p in CHANGES]
+
+
+def values_in(text: str | None, patterns: list) -> list[tuple]:
+    """(kind, start, stop, display, value, low, high, unit) of a sentence's values."""
+    return [(k, m.start(), m.end(), m[0], *normal(k, m)) for k, m in _taken(text or "", patterns)]
+
+
+def changes_in(text: str | None, patterns: list) -> list[tuple]:
+    """(amount, noun, phrase) of the changes of counts that a sentence tells."""
+    out = []
+    for (sign, counted), m in _taken(text or "", patterns):
+        n = (1 if m["n"].lower() in ("a", "an") else int(number(m["n"]))) if counted else 1
+        if n:
+            out.append((sign * n, m["noun"].lower(), m[0]))
+    return out
+
+
 def spans(sentence: Column) -> Column:
     """Array of the values of a sentence: kind, place, as it stands, normal text, numbers, unit."""
 
     @F.pandas_udf(SPANS)
     def found(texts: pd.Series) -> pd.Series:
-        patterns = [(k, re.compile(p, re.I), re.compile(ASKING, re.I) if k == "boolean" else None) for k, p in KINDS]
-        rows = lambda t: [(k, m.start(), m.end(), m[0], *normal(k, m)) for k, m in _taken(t or "", patterns)]
-        return texts.map(rows, na_action=None)
+        patterns = _patterns()
+        return texts.map(lambda t: values_in(t, patterns), na_action=None)
 
     return found(sentence)
 
@@ -128,19 +150,21 @@ def deltas(sentence: Column) -> Column:
 
     @F.pandas_udf(DELTAS)
     def found(texts: pd.Series) -> pd.Series:
-        patterns = [((s, "(?P<n>" in p), re.compile(p, re.I), None) for s, p in CHANGES]
+        patterns = _change_patterns()
+        return texts.map(lambda t: changes_in(t, patterns), na_action=None)
+
+    return found(sentence)
 
-        def rows(t: str | None) -> list[tuple]:
-            out = []
-            for (sign, counted), m in _taken(t or "", patterns):
-                n = (1 if m["n"].lower() in ("a", "an") else int(number(m["n"]))) if counted else 1
-                if n:
-                    out.append((sign * n, m["noun"].lower(), m[0]))
-            return out
 
-        return texts.map(rows, na_action=None)
+#: A sentence without any of these states no value: digits, words of numbers, and the words that the patterns of other kinds begin with.
+MAY_STATE = r"(?i)\d|\b(?:have|own|finished|completed|put down|once|twice|every other|daily|weekly|monthly|yearly|\w+day|" + "|".join(NUMBER_WORDS) + r")\b|(?:" + "|".join(w for w, n in NUMBER_WORDS.items() if n >= 20) + ")-"
 
-    return found(sentence)
+
+def stated(rows: DataFrame, sentence: str) -> DataFrame:
+    """Adds, for each value that a row's sentence states, found (its number) and v (the value): sentences that may state one are read once each, and joined back."""
+    some = rows.where(F.regexp_like(sentence, F.lit(MAY_STATE))).select(F.col(sentence).alias("_s")).distinct()
+    read = some.select("_s", F.posexplode(spans(F.col("_s"))).alias("found", "v"))
+    return rows.join(read, F.col(sentence) == F.col("_s")).drop("_s")
 
 
 def singular(t: Column) -> Column:
@@ -157,7 +181,7 @@ def assertions(turns: DataFrame, namespace: str, session: str, turn: str, text:
     """A row for each value of each sentence of a namespace's turns: sentence, span, ids, slot, and ordinal in order of session, turn, sentence and place."""
     cut = turns.select(F.col(namespace).alias("namespace"), F.col(session).alias("session"), F.col(turn).alias("turn"), F.posexplode(F.split(text, r"(?<=[.!?])\s+|\n+")).alias("n", "sentence"))
     cut = cut.withColumn("sentence", F.trim("sentence")).where("sentence <> ''")
-    rows = cut.select("*", F.posexplode(spans(F.col("sentence"))).alias("found", "v")).select("namespace", "session", "turn", "n", "found", "sentence", "v.*")
+    rows = stated(cut, "sentence").select("namespace", "session", "turn", "n", "found", "sentence", "v.*")
     marker = F.concat(F.coalesce("unit", F.lit("value")), F.lit(" <"), "kind", F.lit(">"))
     subject = F.trim(F.regexp_replace(F.concat(F.substring("sentence", F.lit(1), F.col("start")), marker, F.substring(F.col("sentence"), F.col("stop") + 1, F.lit(1 << 30))), r"\s+", " "))
     rows = rows.withColumn("subject", subject).withColumn("subject_id", stable_id("namespace", F.lit("subject"), F.lower("subject")))

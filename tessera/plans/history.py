@@ -92,6 +92,14 @@ def loop_rate_by_session(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sessions.loop_measures(_replayed(spark, sf_dir), "user_id", F.col("trap"), F.col("exempt"))
 
 
+@query(f"""WITH {REPLAY}, g AS (SELECT user_id, round(CASE WHEN count(*) FILTER (trap) = 0 THEN 0 ELSE count(*) FILTER (trap AND since_progress >= 4) / count(*) FILTER (trap) END, 6)::DOUBLE AS base_loop_rate, round(CASE WHEN count(*) FILTER (trap) = 0 THEN 0 ELSE count(*) FILTER (trap AND since_progress >= 4 AND NOT suppressed) / count(*) FILTER (trap) END, 6)::DOUBLE AS loop_rate,
+round(CASE WHEN count(*) FILTER (NOT trap AND NOT exempt) = 0 THEN 1 ELSE count(*) FILTER (NOT trap AND NOT exempt AND NOT suppressed) / count(*) FILTER (NOT trap AND NOT exempt) END, 6)::DOUBLE AS productive_kept, round(CASE WHEN count(*) FILTER (exempt) = 0 THEN 1 ELSE count(*) FILTER (exempt AND NOT suppressed) / count(*) FILTER (exempt) END, 6)::DOUBLE AS exempt_kept FROM r GROUP BY user_id)
+SELECT *, round(base_loop_rate - loop_rate, 6) AS cut, base_loop_rate - loop_rate > 0 AND productive_kept >= 1 AND exempt_kept >= 1 AS graduates FROM g""")
+def exhaustion_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Users' replays with the penalty against those without, and whether it graduates."""
+    return sessions.exhaustion_gate(_replayed(spark, sf_dir), "user_id", F.col("trap"), F.col("exempt"))
+
+
 @query("WITH t AS (SELECT * FROM events WHERE event_type NOT IN ('view')), c AS (SELECT *, CASE WHEN event_type = lag(event_type) OVER w THEN 0 ELSE 1 END AS c FROM t WINDOW w AS (PARTITION BY user_id ORDER BY ts, event_id)), s AS (SELECT *, sum(c) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS streak FROM c) SELECT user_id, streak::BIGINT AS streak, event_type, count(*) AS length FROM s GROUP BY ALL HAVING count(*) >= 2")
 def loop_streaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = table(spark, sf_dir, "events")

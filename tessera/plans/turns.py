@@ -43,11 +43,25 @@ def claim_risk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.groupBy("event_type", *(F.col(f"s.{c}").alias(c) for c in ("corrections", "changes", "several", "shift", "buried"))).agg(many().alias("n"))
 
 
-@query("SELECT event_id, 0::BIGINT AS n, 0::BIGINT AS start, 25::BIGINT AS stop FROM events WHERE event_type = 'signup' AND event_id % 10 <> 0")
+#: What a document's author goes on to say, by its id.
+TOLD = ["Anna moved to Porto in May. It was warm there.", "My sister Carla joined us. Actually, she left early!", "Nothing new here. Thanks again for all.", "we stopped. Bruno no longer sings? He Quit", "It turns out that Dora retired.\\n\\nShe was glad. Dora retired.", "No one knows."]
+
+
+def tales(spark: SparkSession, sf_dir: str) -> DataFrame:
+    said = F.element_at(F.lit(TOLD), (F.col("doc_id") % len(TOLD) + 1).cast("int"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.coalesce("text", F.lit("")), F.lit(" "), said).alias("text"))
+
+
+@query(
+    f"""WITH t AS (SELECT doc_id, coalesce(text, '') || ' ' || ([{", ".join("'" + x.replace(chr(10), "' || chr(10) || '") + "'" for x in TOLD)}])[doc_id % {len(TOLD)} + 1] AS text FROM documents),
+l AS (SELECT doc_id, text, string_split(regexp_replace(text, '([.!?])[ \\t\\n\\x0B\\f\\r]+([A-Z])', '\\1' || chr(31) || '\\2', 'g'), chr(31)) AS parts FROM t), s AS (SELECT doc_id, text, i - 1 AS n, regexp_replace(parts[i], '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') AS claim FROM l, range(1, 100000) r(i) WHERE i <= len(parts))
+SELECT doc_id, n, claim, CASE WHEN regexp_matches(claim, '{segments.CORRECTION}') THEN 'state_update' ELSE 'new_fact' END AS kind, regexp_extract(claim, '{segments.SUBJECTS}', 1) AS subject, instr(text, claim) - 1 AS start, instr(text, claim) - 1 + length(claim) AS stop
+FROM s WHERE claim <> '' AND (regexp_matches(claim, '{segments.CORRECTION}') OR regexp_matches(claim, '{segments.STATE}'))"""
+)
 def claim_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Claims of short messages with their places."""
-    m = messages(spark, sf_dir).where("event_type IN ('signup', 'click')")
-    return segments.claims(m, ["event_id"], "text").select("event_id", *(F.col(c).cast("bigint").alias(c) for c in ("n", "start", "stop")))
+    """Claims of the documents and of what their authors go on to say, with their kinds, subjects and places."""
+    c = segments.claims(tales(spark, sf_dir), ["doc_id"], "text")
+    return c.select("doc_id", "claim", "kind", "subject", *(F.col(x).cast("bigint").alias(x) for x in ("n", "start", "stop")))
 
 
 @query("SELECT 'adaptive' AS arm, count(*) * 1 AS turns, sum(CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_type = 'purchase' THEN 8 ELSE 1 END)::BIGINT AS pieces FROM events UNION ALL SELECT 'none', count(*), count(*) FROM events UNION ALL SELECT 'sentence', count(*), sum(CASE WHEN event_id % 10 = 0 THEN 0 WHEN event_type = 'purchase' THEN 8 ELSE 1 END)::BIGINT FROM events UNION ALL SELECT 'user_sentence', count(*), sum(CASE WHEN event_type <> 'error' AND event_id % 10 = 0 THEN 0 WHEN event_type = 'purchase' THEN 8 ELSE 1 END)::BIGINT FROM events")
