@@ -11,7 +11,8 @@ neighbour's, or a page that shares all, is a copy, and that comparison says noth
 (no neighbour, no line shared), and article and main hold most of its text, it is the lines in these.
 
 Furniture that differs from page to page cannot be found so. Lines go by name as well: those in menus, headers, footers and asides, and in
-elements whose class, id or role names one of the things of NAMED (anywhere) or ALSO (outside article and main).
+elements whose class, id or role has a whole name (a part between white space) made of words of NAMED (anywhere) or ALSO (outside article and main), and of words like "left" or "box"
+beside them. A name with any other word in it ("menu-of-the-day") is the text's own.
 
 The pages of all hosts are ordered by host and path (without a slash at its end), then page_id, and cut into contiguous
 ranges; each range also gets the last page before it and the first one after it, so a page meets its neighbours wherever
@@ -53,14 +54,23 @@ INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i img
 DECLARED = {"article", "main"}
 
 
-def _names(words: str) -> re.Pattern:
-    return re.compile(rf"(?:^|[\s_-])(?:{words.replace(' ', '|')})(?=$|[\s_-])", re.I)
+#: Words in a class, id or role for menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
+NAMED = set("ad ads adslot advert adverts advertisement advertisements advertising banner sponsor sponsored promo promos promotion promotions nav navbar navigation menu breadcrumb breadcrumbs masthead footer sidebar complementary contentinfo cookie cookies consent gdpr notice notices newsletter comment comments disqus discussion respond hidden visually sr".split())
+#: Words that name furniture only outside the text.
+ALSO = set("header aside alert popup modal subscribe signup share sharing social related recommended reply replies search login pagination pager skip toolbar widget".split())
+#: Words that may stand beside these in a name and say where or what part, not what for.
+BESIDE = set("site page main global top bottom left right inner outer upper lower wrap wrapper container box bar area block section list item items link links panel slot unit banner content body text primary secondary sub mobile desktop sticky fixed reader user only is js no form thread row col column group header footer nav".split())
+
+
+def _names_furniture(value: str, words: set[str]) -> bool:
+    """Whether a name in a class, id or role is that of furniture: a word of `words`, alone or joined (by - or _) with words like it or BESIDE."""
+    for token in value.lower().split():
+        parts = [p for p in re.split("[-_]+", token) if p]
+        if any(p in words for p in parts) and all(p in words or p in BESIDE or p.isdigit() for p in parts):
+            return True
+    return False
 
 
-#: Words in a class, id or role for menus, headers, footers, sidebars, notices, adverts, forms and reader comments.
-NAMED = _names("ads? adverts? advertisements? advertising banner sponsor(?:ed)? promo(?:tion)?s? nav navbar navigation menu breadcrumbs? masthead footer sidebar complementary contentinfo cookies? consent gdpr notices? newsletter comments? reader-comments disqus hidden visually-hidden sr-only")
-#: Words that name furniture only outside the text.
-ALSO = _names("header aside alert popup modal subscribe signup share sharing social related recommended replies reply search login pagination pager skip toolbar widget")
 #: Order of pages: host and path, then page_id (null first) and the whole URL.
 KEY = ("host", "path", "seq", "address")
 
@@ -74,7 +84,7 @@ def _marked(attributes: str, inside: bool) -> bool:
         name, value = m[1].lower(), (m[2] or "").strip("\"'")
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none", value, re.I):
             return True
-        if name in ("class", "id", "role") and (NAMED.search(value) or not inside and ALSO.search(value)):
+        if name in ("class", "id", "role") and (_names_furniture(value, NAMED) or not inside and _names_furniture(value, NAMED | ALSO)):
             return True
     return False
 

@@ -166,3 +166,19 @@ def test_cuts_change_nothing(spark):
     rows += [(None, "http://a.x/1", "<p>u</p>"), (None, None, "<p>v</p>"), (1, "http://a.x/1", "<p>w</p>")] + [(300 + k, "http://a.x/1", f"<p>same</p><p>{k}</p>") for k in range(20)]
     got = [sorted(map(str, html.extract(spark.createDataFrame(rows, PAGES), group=g).collect())) for g in (10_000, 9, 2)]
     assert len(got[0]) == len(rows) and got[0] == got[1] == got[2]
+
+
+@pytest.mark.parametrize(
+    "name,gone",
+    [("menu-of-the-day", False), ("hidden-gems", False), ("adslot", True), ("discussion", True), ("respond", True), ("ad", True), ("site-nav", True), ("ad_slot_2", True), ("comments-list", True), ("cookie-notice left", True), ("advice", False), ("story navigation-systems", False), ("Main-Menu", True)],
+)
+def test_whole_names_decide(name, gone):
+    found = html.blocks(f'<article><p>Before</p><div class="x" id="{name}">Inside</div><p>After</p></article>')
+    assert [t for t, kind in found if kind != html.OUT] == (["Before", "After"] if gone else ["Before", "Inside", "After"])
+
+
+def test_repeated_furniture_of_a_host_goes_by_differences(spark):
+    site = "<div>Home | News | About us</div>{}<div>Imprint of the house</div>"
+    rows = [(k, f"http://h.org/a/{k}", "<body>" + site.format(f"<p>Story number {k} begins.</p><p>It goes on with {k * 7}.</p>") + "</body>") for k in range(8)]
+    got = {r.page_id: r.text for r in html.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert got == {k: f"Story number {k} begins.\nIt goes on with {k * 7}." for k in range(8)}
