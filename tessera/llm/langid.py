@@ -1,8 +1,8 @@
 """Language of a text by multinomial naive Bayes over hashed character n-grams.
 
 Texts are lower-cased, runs without letters and marks become one blank, and runs of two and three characters are hashed into
-buckets. The matrix of log probabilities (bucket by language) is broadcast. It has BUCKETS rows, halved while it has
-more than CELLS cells (64 MB); of more than CELLS >> 10 languages those with most texts are learned. A batch of
+BUCKETS buckets. The matrix of log probabilities (bucket by language) is broadcast, LANGUAGES languages at a time (64 MB): with more languages than that, each further slice of them is
+broadcast in turn and scores all texts, and the slices' best and sums are joined by text. So the model does not change with the number of languages, and none is left out. A batch of
 texts becomes one long array of buckets; gathered rows of the matrix are summed by text.
 
 score is the posterior probability of the language named. Null texts and texts without a letter (category L; marks alone
@@ -14,19 +14,20 @@ from __future__ import annotations
 
 import unicodedata
 from collections.abc import Callable
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, map_texts
+from .common import checkpointed, crc_mod, map_texts, small_side
 
 BUCKETS = 1 << 16
 #: Bound of the texts learned from, for each language.
 SAMPLE = 4000
-#: Most cells of the matrix.
-CELLS = 1 << 24
+#: Languages of a slice of the matrix.
+LANGUAGES = 256
 HELD_OUT = (4, 2)
 UNKNOWN = "und"
 #: Grams gathered at once.
@@ -55,22 +56,16 @@ def grams(text: str, letters: np.ndarray, buckets: int = BUCKETS) -> np.ndarray:
     return (both >> np.uint64(64 - (buckets - 1).bit_length())).astype(np.int64)
 
 
-def training_sample(docs: DataFrame, sample: int) -> tuple[DataFrame, int]:
-    """About `sample` texts of each language from outside the held-out part, taken by the hash of the id; and the number of languages."""
+def training_sample(docs: DataFrame, sample: int) -> DataFrame:
+    """About `sample` texts of each language from outside the held-out part, taken by the hash of the id."""
     known = docs.select("doc_id", "text", "lang").where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (crc_mod("doc_id", HELD_OUT[0]) != HELD_OUT[1]))
-    counts = known.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).orderBy(F.desc("texts"), "lang").limit(CELLS >> 10).toPandas()
-    # a table of a bounded number of rows
-    shares = docs.sparkSession.createDataFrame([(lang, min(1.0, sample / n)) for lang, n in zip(counts["lang"], counts["texts"], strict=True)], "lang string, share double")
+    shares = known.groupBy("lang").agg(F.least(F.lit(1.0), sample / F.count(F.lit(1))).alias("share"))
     hashed = F.pmod(F.xxhash64(F.lit("sample"), "doc_id"), F.lit(1 << 52))
-    kept = known.join(F.broadcast(shares), "lang").where(hashed < F.col("share") * float(1 << 52))
-    return kept.select("text", "lang"), len(counts)
+    return known.join(small_side(shares), "lang").where(hashed < F.col("share") * float(1 << 52)).select("text", "lang")
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smooth: float = 0.5) -> dict[str, np.ndarray]:
-    """Languages in order and their log probabilities (buckets by languages), priors included."""
-    texts, languages = training_sample(docs, sample)
-    while buckets > 1 << 10 and buckets * languages > CELLS:
-        buckets //= 2
+def counted(texts: DataFrame, buckets: int) -> DataFrame:
+    """(lang, bucket, n): how often the n-grams of a language's texts fall into each bucket; bucket -1 counts its texts."""
 
     def run(batches):
         letters = letter_table()
@@ -79,34 +74,45 @@ def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smooth: f
             for k, name in enumerate(names):
                 found = [grams(t, letters, buckets) for t in b.column("text").take(pa.array(np.flatnonzero(of == k))).to_pylist()]
                 bucket, n = np.unique(np.concatenate(found), return_counts=True)
-                # bucket -1: how many texts
                 yield pa.RecordBatch.from_pydict({"lang": pa.array([str(name)] * (len(n) + 1)), "bucket": pa.array([-1, *bucket.tolist()], pa.int64()), "n": pa.array([len(found), *n.tolist()], pa.int64())})
 
     # dealt out anew, since few of the rows read are in the sample; summed, it has a row for a cell of the matrix at most
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    counted = texts.repartition(parts).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
-    langs, of = np.unique(np.array(counted.column("lang").to_pylist(), object).astype(str), return_inverse=True)
-    bucket, n = counted.column("bucket").to_numpy(), counted.column("n").to_numpy()
-    total, docs_of = np.zeros((buckets, len(langs))), np.zeros(len(langs))
-    cells = bucket >= 0
-    total[bucket[cells], of[cells]] = n[cells]
-    docs_of[of[~cells]] = n[~cells]
-    logp = np.log(total + smooth) - np.log((total + smooth).sum(0)) if len(langs) else total
-    return {"langs": np.array(langs, dtype=str), "logp": logp.astype(np.float32), "prior": np.log(docs_of / max(1, docs_of.sum())) if len(langs) else docs_of}
-
-
-def predictor(model: dict[str, np.ndarray]) -> Callable[[list], tuple[list[str], np.ndarray]]:
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return texts.repartition(parts).mapInArrow(run, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE, buckets: int = BUCKETS, smooth: float = 0.5) -> list[dict[str, np.ndarray]]:
+    """For each slice of languages in order: their names and their log probabilities (buckets by languages), and their priors. One slice without languages, if there are none."""
+    cells = checkpointed(counted(training_sample(docs, sample), buckets))
+    sizes = cells.where("bucket = -1").select("lang", "n").toPandas().sort_values("lang")  # a number for each language
+    langs, docs_of = sizes["lang"].to_numpy(str), sizes["n"].to_numpy(np.float64)
+    order = np.argsort(langs, kind="stable")
+    langs, docs_of = langs[order], docs_of[order]
+    out = []
+    for low in range(0, max(1, len(langs)), LANGUAGES):
+        some = langs[low : low + LANGUAGES]
+        total = np.zeros((buckets, len(some)))
+        if len(some):
+            held = cells.where("bucket >= 0").where(F.col("lang").isin(*some.tolist())).toArrow()
+            total[held.column("bucket").to_numpy(), np.searchsorted(some, np.array(held.column("lang").to_pylist(), str))] = held.column("n").to_numpy()
+        logp = np.log(total + smooth) - np.log((total + smooth).sum(0)) if len(some) else total
+        out.append({"langs": some, "logp": logp.astype(np.float32), "prior": np.log(docs_of[low : low + LANGUAGES] / max(1, docs_of.sum()))})
+    return out
+
+
+def scorer(model: dict[str, np.ndarray]) -> Callable[[list], tuple[list, np.ndarray, np.ndarray]]:
+    """fn(texts) -> the best language of a slice (None: no letter, or no language), its log probability with the text, and the logarithm of the sum over the slice."""
     langs, logp, prior = [str(x) for x in model["langs"]], model["logp"], model["prior"]
     letters, buckets = letter_table(), len(logp)
 
-    def predict(texts: list) -> tuple[list[str], np.ndarray]:
-        names, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
+    def score(texts: list) -> tuple[list, np.ndarray, np.ndarray]:
+        names, best, total = [None] * len(texts), np.full(len(texts), -np.inf), np.full(len(texts), -np.inf)
         if not langs:
-            return names, scores
+            return names, best, total
         found = [grams(t, letters, buckets) if t else np.zeros(0, np.int64) for t in texts]
         rows = np.array([i for i, g in enumerate(found) if len(g)], np.int64)
         if not len(rows):
-            return names, scores
+            return names, best, total
         z = np.zeros((len(rows), len(langs)))
         held, at, size = [], [], 0
 
@@ -126,29 +132,67 @@ def predictor(model: dict[str, np.ndarray]) -> Callable[[list], tuple[list[str],
         if held:
             settle()
         z += prior
-        p = np.exp(z - z.max(1, keepdims=True))
-        p /= p.sum(1, keepdims=True)
-        best = p.argmax(1)
-        scores[rows] = np.clip(p[np.arange(len(rows)), best], 0, 1)
-        for i, b in zip(rows, best, strict=True):
+        top = z.argmax(1)
+        best[rows] = z[np.arange(len(rows)), top]
+        total[rows] = best[rows] + np.log(np.exp(z - best[rows][:, None]).sum(1))
+        for i, b in zip(rows, top, strict=True):
             names[i] = langs[b]
-        return names, scores
+        return names, best, total
+
+    return score
+
+
+def predictor(model: dict[str, np.ndarray]) -> Callable[[list], tuple[list[str], np.ndarray]]:
+    """fn(texts) -> languages and their posterior probabilities, by a slice that has all languages."""
+    score = scorer(model)
+
+    def predict(texts: list) -> tuple[list[str], np.ndarray]:
+        names, best, total = score(texts)
+        known = np.isfinite(best)
+        p = np.zeros(len(texts))
+        p[known] = np.clip(np.exp(best[known] - total[known]), 0, 1)
+        return [UNKNOWN if n is None else n for n in names], p
 
     return predict
 
 
-def predict_documents(docs: DataFrame, model: dict[str, np.ndarray]) -> DataFrame:
+def predict_documents(docs: DataFrame, model: list[dict[str, np.ndarray]]) -> DataFrame:
     """doc_id, held_out, lang_pred, score for every row of docs."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
+    sc = docs.sparkSession.sparkContext
+    if len(model) == 1:
+        shared = sc.broadcast(model[0])
+
+        def make():
+            predict = predictor(shared.value)
+
+            def rows(batch, texts):
+                names, scores = predict(texts)
+                return [batch.column("doc_id"), batch.column("held_out"), names, scores]
+
+            return rows
+
+        return map_texts(base, "text", "doc_id bigint, held_out boolean, lang_pred string, score double", make)
+    base = checkpointed(base).withColumn("row", F.monotonically_increasing_id())  # the files of the checkpoint fix the order
+    found = reduce(DataFrame.union, (_scored(base, sc.broadcast(part)) for part in model))
+    top = F.min_by(F.struct("lang", "best"), F.struct((-F.col("best")).alias("below"), "lang"))
+    most = found.groupBy("row").agg(F.max("total").alias("most"))
+    summed = found.join(most, "row").groupBy("row").agg(top.alias("top"), F.sum(F.exp(F.col("total") - F.col("most"))).alias("sum"), F.max("most").alias("most"))
+    p = F.least(F.lit(1.0), F.exp(F.col("top.best") - F.col("most")) / F.col("sum"))
+    return base.join(summed, "row", "left").select("doc_id", "held_out", F.coalesce("top.lang", F.lit(UNKNOWN)).alias("lang_pred"), F.when(F.col("top").isNotNull(), p).otherwise(0.0).alias("score"))
+
+
+def _scored(base: DataFrame, shared) -> DataFrame:
+    """row, lang, best, total of the texts with a letter, by one slice of languages."""
 
     def make():
-        predict = predictor(shared.value)
+        score = scorer(shared.value)
 
         def rows(batch, texts):
-            names, scores = predict(texts)
-            return [batch.column("doc_id"), batch.column("held_out"), names, scores]
+            names, best, total = score(texts)
+            at = np.array([n is not None for n in names], bool)
+            return [batch.column("row").filter(pa.array(at)), [n for n in names if n is not None], best[at], total[at]]
 
         return rows
 
-    base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
-    return map_texts(base, "text", "doc_id bigint, held_out boolean, lang_pred string, score double", make)
+    return map_texts(base.select("row", "text"), "text", "row bigint, lang string, best double, total double", make)

@@ -151,15 +151,19 @@ def test_language_edge_rows(spark):
     assert {r.lang_pred for r in langid.predict_documents(docs, langid.fit(data.empty(spark))).collect()} == {"und"}
 
 
-def test_marks_alone_are_no_letters_and_many_languages_fit(spark, monkeypatch):
-    monkeypatch.setattr(langid, "CELLS", 1 << 12)
+def test_marks_alone_are_no_letters_and_slices_of_languages_change_nothing(spark, monkeypatch):
     rows = [(i, f"text of{'abcdefgh'[i % 8]} lang{'abcdefgh'[i % 8]}", f"l{i % 8}", "", 0) for i in range(80)]
-    rows += [(90, "\u0301", "l1", "", 0), (91, "123 \u0300", "l1", "", 0), (92, "e\u0301", "l1", "", 0)]
-    docs = data.docs(spark, rows)
-    model = langid.fit(docs)
-    assert model["logp"].shape == (1 << 10, 4)  # the most frequent languages, as many as the matrix may have
-    got = {r.doc_id: r for r in langid.predict_documents(docs, model).collect()}
-    assert [got[i].lang_pred == "und" for i in (90, 91, 92)] == [True, True, False]
+    rows += [(90, "\u0301", "l1", "", 0), (91, "123 \u0300", "l1", "", 0), (92, "e\u0301", "l1", "", 0), (93, None, "l2", "", 0), (92, "e\u0301", "l1", "", 0)]
+    docs = data.docs(spark, rows, clash=True)
+    whole = langid.fit(docs)
+    assert len(whole) == 1 and whole[0]["logp"].shape == (langid.BUCKETS, 8)
+    want = sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.predict_documents(docs, whole).collect())
+    monkeypatch.setattr(langid, "LANGUAGES", 3)
+    parts = langid.fit(docs)
+    assert [m["logp"].shape[1] for m in parts] == [3, 3, 2]
+    got = sorted((r.doc_id, r.held_out, r.lang_pred, round(r.score, 9)) for r in langid.predict_documents(docs, parts).collect())
+    assert got == want
+    assert [x[2] == "und" for x in got if x[0] >= 90] == [True, True, False, False, True]
 
 
 def test_language_scores_against_plain_sums():
