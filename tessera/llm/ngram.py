@@ -233,10 +233,12 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
     """The model (filter by segment, totals, exact counts of frequent words), the table (key, n) of all words' counts and that of the segments (seg, bits). A filter too large to broadcast is None in the model."""
     built, n_segments = count_grams(docs)
     counts, segments = checkpointed(unpacked(built)), built.select("seg", "bits")
-    bits, pages = None, np.zeros(n_segments, np.int64)
-    for r in segments.select("seg", F.octet_length("bits").alias("n")).collect():  # a number for each segment
-        pages[r.seg] = r.n * 8 // PAGE_BITS
-    if pages.sum() * (PAGE_BITS // 8) <= BROADCAST:
+    bits, pages = None, np.zeros(0, np.int64)
+    held_bytes = segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
+    if held_bytes <= BROADCAST:
+        pages = np.zeros(n_segments, np.int64)
+        for r in segments.select("seg", F.octet_length("bits").alias("n")).collect():  # a number for each segment: at most one for a page of BROADCAST
+            pages[r.seg] = r.n * 8 // PAGE_BITS
         ends = np.cumsum(pages) * (PAGE_BITS // 8)
         bits = bytearray(int(ends[-1]))
         for r in segments.toLocalIterator():
@@ -253,7 +255,7 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
         least = r.s
     hot = counts.where(scale >= least).toPandas()
     order = np.argsort(hot["key"].to_numpy())
-    model = {"bits": bits, "pages": pages, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
+    model = {"bits": bits, "pages": pages, "segments": np.array([n_segments]), "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
     return model, counts, segments
 
 
@@ -343,7 +345,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(n + F.lit(PRIOR))).alias("part"))
     out = scored.drop("cold").join(rare, "row", "left")
     if model["bits"] is None:
-        out = out.drop("score").join(score_apart(docs.select("text"), segments, len(model["pages"]), norm), "text_hash")
+        out = out.drop("score").join(score_apart(docs.select("text"), segments, int(model["segments"][0]), norm), "text_hash")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),
