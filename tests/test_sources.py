@@ -82,3 +82,21 @@ def test_failed_artifact_keeps_the_old_one(spark, tmp_path):
     assert spark.read.json(str(tmp_path / "o")).count() == 3
     sinks.json_artifact(spark.range(5), str(tmp_path / "o"))
     assert spark.read.json(str(tmp_path / "o")).count() == 5 and not (tmp_path / "o.new").exists()
+
+
+def test_published_rows_are_swapped_at_once(spark, tmp_path):
+    path = str(tmp_path / "p")
+    first = sinks.publish(spark.range(3), path)
+    before = sinks.published(spark, path)
+    second = sinks.publish(spark.range(5), path)
+    assert sinks.published(spark, path).count() == 5 and before.count() == 3 and first != second  # a reader that has begun ends on the old rows
+    with pytest.raises(Exception, match="no"):
+        sinks.publish(spark.range(3).selectExpr("raise_error('no') AS x"), path)
+    assert sinks.published(spark, path).count() == 5
+    sinks.publish(spark.range(7), path)
+    assert sinks.published(spark, path).count() == 7 and len([x for x in (tmp_path / "p").iterdir() if x.name.startswith("rows-")]) == 2
+
+
+def test_database(spark):
+    got = tables.database(spark, "jdbc:derby:memory:t;create=true", "SELECT 7 AS a, 'x' AS b FROM SYSIBM.SYSDUMMY1")
+    assert [tuple(r) for r in got.collect()] == [(7, "x")]

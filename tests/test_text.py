@@ -71,3 +71,18 @@ def test_measures(spark):
 def test_set_likeness(spark, a, b, jaccard, overlap):
     assert value(spark, tx.jaccard(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(jaccard)
     assert value(spark, tx.overlap(F.col("a"), F.col("b")), a=a, b=b) == pytest.approx(overlap)
+
+
+def test_tokens_of_other_kinds(spark):
+    assert value(spark, tx.tokens_any_case("t"), t="It's A_1 né B2") == ["it", "s", "a_1", "n", "b2"]
+    assert value(spark, tx.letter_tokens("t"), t="Ça va, ça 東京 a 12 x") == ["ça", "va", "東京", "12"]
+    assert value(spark, tx.letter_tokens("t", 2), t="ab abc ABC") == ["abc"]
+    assert value(spark, tx.variants(F.col("w")), w=["run", "runs"]) == ["run", "runs", "runed", "runing", "runss", "runsed", "runsing"]
+    assert value(spark, F.coalesce(tx.tokens_any_case("t"), F.array(F.lit("none"))), t=None) == ["none"]
+
+
+def test_first_of_each(spark):
+    from tessera.operators import samples
+
+    rows = spark.createDataFrame([("a", 3), ("a", 1), ("a", 2), ("b", 9), (None, 5)], "g string, o int")
+    assert sorted((str(r.g), r.o) for r in samples.first_of_each(rows, "g", "o", 2).collect()) == [("None", 5), ("a", 1), ("a", 2), ("b", 9)]
