@@ -18,15 +18,18 @@ QUANTITY = r"(?i)(?:\$\s*\d|\b\d[\d,]*(?:\.\d+)?\s*(?:%|percent|dollars?|k\b|hou
 NUMBERS = r"\$?\d[\d,]*(?:\.\d+)?(?:\s*(?:hours?|minutes?|times?|days?|weeks?|months?|years?))?"
 PLACES = r"\b(?:in|to|from|at|near|around)\s+([A-Z][a-z]+(?:\s+[A-Z][a-z]+)*)"
 SUBJECTS = r"(?:^|[.!?]\s+)(?:My\s+(?:friend|sister|brother|mom|dad|wife|husband|partner)\s+)?([A-Z][a-z]{2,})"
-STARTERS = (
-    "The This That These Those What Where When How Why Which Who Here There Some Many Most Any Each Every Both All One Two Can Could Would Should Will May Might For And But Also Yes Yeah Sure Thanks Great Good Got Nice Sounds Let "
-    "Did Does Was Were Are Has Have Had Shall Must Okay Well Just Please Actually Maybe Perhaps Right"
-).split()
-PHATIC = (
-    "a about absolutely again agreed alright all also am amazing and any anyway appreciate are as awesome be been brilliant but cheers cool definitely do does enough exactly excellent fair fantastic fine for get glad good got great haha have "
-    "hear hello help helpful hey hi hmm how i idea if in indeed interesting is it just know let like lol lot love makes many me much my neat nice no noted of ofcourse oh ok okay one perfect please point really right same see sense so sorry "
-    "sound sounds sure team thank thanks that the then there these think this those thx to too true try understood very well what when will wonderful work works wow yeah yep yes you your yup that's"
-).split()
+STARTERS = [
+    "The", "This", "That", "These", "Those", "What", "Where", "When", "How", "Why", "Which", "Who", "Here", "There", "Some", "Many", "Most", "Any", "Each", "Every", "Both", "All", "One", "Two", "Can", "Could", "Would",
+    "Should", "Will", "May", "Might", "For", "And", "But", "Also", "Yes", "Yeah", "Sure", "Thanks", "Great", "Good", "Got", "Nice", "Sounds", "Let", "Did", "Does", "Was", "Were", "Are", "Has", "Have", "Had", "Shall", "Must",
+    "Okay", "Well", "Just", "Please", "Actually", "Maybe", "Perhaps", "Right",
+]
+PHATIC = [
+    "a", "about", "absolutely", "again", "agreed", "alright", "all", "also", "am", "amazing", "and", "any", "anyway", "appreciate", "are", "as", "awesome", "be", "been", "brilliant", "but", "cheers", "cool", "definitely",
+    "do", "does", "enough", "exactly", "excellent", "fair", "fantastic", "fine", "for", "get", "glad", "good", "got", "great", "haha", "have", "hear", "hello", "help", "helpful", "hey", "hi", "hmm", "how", "i", "idea", "if",
+    "in", "indeed", "interesting", "is", "it", "just", "know", "let", "like", "lol", "lot", "love", "makes", "many", "me", "much", "my", "neat", "nice", "no", "noted", "of", "ofcourse", "oh", "ok", "okay", "one", "perfect",
+    "please", "point", "really", "right", "same", "see", "sense", "so", "sorry", "sound", "sounds", "sure", "team", "thank", "thanks", "that", "the", "then", "there", "these", "think", "this", "those", "thx", "to", "too",
+    "true", "try", "understood", "very", "well", "what", "when", "will", "wonderful", "work", "works", "wow", "yeah", "yep", "yes", "you", "your", "yup", "that's",
+]
 MOST_PHATIC_WORDS = 8
 CLAUSES = r"\s*(?:[,;:]|--|—)\s*|\s+(?:and|but|so|then|though|although)\s+"
 ASKS = r"(?i)^(?:and|but|so|or|also)?\s*(?:what|when|where|why|how|which|who|whom|whose|can|could|would|should|will|shall|may|might|must|do|does|did|is|are|was|were|have|has|had|any|anyone|anybody)\b"

@@ -42,20 +42,28 @@ PRESENT = r"(?i)\b(now|currently|nowadays|these days|so far|to date|as of now|at
 PAST = r"(?i)\b(used to|previously|originally|back then|at first|earlier|formerly|no longer|last year|last month|to begin with)\b"
 NOT_BEFORE = r"(?i)\bnot\b[\s\w]{0,12}$"
 BEFORE, AFTER = 40, 24
-#: Verbs by the state that they report; those of owning only where no other verb stands.
+#: The state that a verb reports; those of owning only where no other verb stands.
 VERBS = {
-    "watched": "watched watch watching", "read": "read reading", "completed": "completed complete finished", "owned": "own owned have has had got added collect collecting", "sold": "sold sell selling", "lost": "lost lose losing",
-    "spent": "spent spend spending", "tried": "tried try trying making made", "worn": "worn wore wear wearing", "attended": "attended attend attending", "played": "played play playing", "earned": "earned earn earning",
-    "wake": "woke wake waking", "dedicated": "dedicate dedicated dedicating", "sticking": "sticking stick",
+    "watched": "watched", "watch": "watched", "watching": "watched", "read": "read", "reading": "read", "completed": "completed", "complete": "completed", "finished": "completed", "own": "owned", "owned": "owned", "have":
+    "owned", "has": "owned", "had": "owned", "got": "owned", "added": "owned", "collect": "owned", "collecting": "owned", "sold": "sold", "sell": "sold", "selling": "sold", "lost": "lost", "lose": "lost", "losing": "lost",
+    "spent": "spent", "spend": "spent", "spending": "spent", "tried": "tried", "try": "tried", "trying": "tried", "making": "tried", "made": "tried", "worn": "worn", "wore": "worn", "wear": "worn", "wearing": "worn",
+    "attended": "attended", "attend": "attended", "attending": "attended", "played": "played", "play": "played", "playing": "played", "earned": "earned", "earn": "earned", "earning": "earned", "woke": "wake", "wake": "wake",
+    "waking": "wake", "dedicate": "dedicated", "dedicated": "dedicated", "dedicating": "dedicated", "sticking": "sticking", "stick": "sticking",
 }
 #: Words that say nothing about which series a value belongs to.
-STOP = "a an and are did do does for have how i in is it me my of on or our that the their them they this to was we were what when where which who with you your".split()
-NOISE = (
-    "hundred thousand million dozen couple am pm at now currently current recently already just still again actually really pretty lately nowadays today yesterday tomorrow far new also these those this ever since ago around about roughly "
-    "approximately only even quite very much many some few more less most least then here while per each every average usually often sometimes always local been being up out down over back get go going gone day week month year used "
-    "previously originally formerly longer once first last next recent anymore updated changed so by way"
-).split()
-HOLDERS = "collection list game routine series app tracker total one ones thing things time times piece pieces".split()
+STOP = [
+    "a", "an", "and", "are", "did", "do", "does", "for", "have", "how", "i", "in", "is", "it", "me", "my", "of", "on", "or", "our", "that", "the", "their", "them", "they", "this", "to", "was", "we", "were", "what", "when",
+    "where", "which", "who", "with", "you", "your",
+]
+NOISE = [
+    "hundred", "thousand", "million", "dozen", "couple", "am", "pm", "at", "now", "currently", "current", "recently", "already", "just", "still", "again", "actually", "really", "pretty", "lately", "nowadays", "today",
+    "yesterday", "tomorrow", "far", "new", "also", "these", "those", "this", "ever", "since", "ago", "around", "about", "roughly", "approximately", "only", "even", "quite", "very", "much", "many", "some", "few", "more",
+    "less", "most", "least", "then", "here", "while", "per", "each", "every", "average", "usually", "often", "sometimes", "always", "local", "been", "being", "up", "out", "down", "over", "back", "get", "go", "going", "gone",
+    "day", "week", "month", "year", "used", "previously", "originally", "formerly", "longer", "once", "first", "last", "next", "recent", "anymore", "updated", "changed", "so", "by", "way",
+]
+HOLDERS = [
+    "collection", "list", "game", "routine", "series", "app", "tracker", "total", "one", "ones", "thing", "things", "time", "times", "piece", "pieces",
+]
 ALIAS = {"movie": "film"}
 #: Phrases that add to or take from a count; the first that fits a place.
 FEW = r"\d+|one|two|three|four|five|six|seven|eight|nine|ten|eleven|twelve"
@@ -205,7 +213,7 @@ def marked(rows: DataFrame) -> DataFrame:
 
 def attribute(words: Column) -> Column:
     """The state that the words report: on_list for lists, else that of the first verb other than owning, else of the first verb."""
-    family = F.create_map(*(F.lit(x) for state, verbs in VERBS.items() for v in verbs.split() for x in (v, state)))
+    family = F.create_map(*(F.lit(x) for pair in VERBS.items() for x in pair))
     states = F.array_compact(F.transform(words, lambda w: F.try_element_at(family, w)))
     special = F.filter(states, lambda s: s != "owned")
     return F.when(F.array_contains(words, "list"), "on_list").otherwise(F.coalesce(F.try_element_at(special, F.lit(1)), F.try_element_at(states, F.lit(1)), F.lit("")))
@@ -217,8 +225,7 @@ def clustered(rows: DataFrame, coarse: bool = False) -> DataFrame:
     unit = singular(F.lower(F.coalesce("unit", F.lit(""))))
     noun = alias(F.when(F.lower(F.coalesce("unit", F.lit(""))).isin("usd", "local_time", "weekday"), "").otherwise(unit))
     bucket = F.when(F.col("kind").isin("duration", "measurement", "frequency"), F.lower(F.coalesce("unit", F.lit("")))).otherwise("")
-    verbs = [v for vs in VERBS.values() for v in vs.split()]
-    drop = sorted({*STOP, *NOISE, *HOLDERS, *verbs, *NUMBER_WORDS})
+    drop = sorted({*STOP, *NOISE, *HOLDERS, *VERBS, *NUMBER_WORDS})
     content = F.filter(F.transform(F.array_except(words, F.lit(STOP)), singular), lambda t: ~t.isin(drop))
     content = F.filter(content, lambda t: ~F.regexp_like(t, F.lit("^[0-9]+$")))
     scope = F.array_sort(F.array_distinct(F.filter(F.array_append(F.transform(content, alias), noun), lambda t: t != "")))

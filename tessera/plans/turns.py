@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import claims
-from ..operators import segments
+from ..operators import claim_scan, segments
 from ..sources.tables import table
 from .catalog import many, query
 
@@ -118,3 +118,38 @@ def question_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Questions that give away the identifier they ask for."""
     q = F.when(F.col("event_type").isin("click", "view"), "where is loadAll_items defined?").otherwise("where are items loaded?")
     return table(spark, sf_dir, "events").select("event_id", claims.leaks(q, F.array(F.lit("loadAll_items"), F.lit("items"))).alias("leaks"))
+
+
+#: Lines that stand after a document's own, by its id, and the headlines that may back them.
+CLAIMED = [
+    ["Widget beats 40% of others", "and about 12% more"], ["<!-- claim-scan: ignore-start -->", "accuracy of 0.82", "<!-- claim-scan: ignore-end -->", "cuts 5 here"], ["<!-- claim-scan: ignore-next-line -->", "a gain 7% over all", "mmlu: 61.5"],
+    ["nothing"], ["The indexer has", "accuracy 0.82", "on gsm8k 70%"], ["score of 3"],
+]
+HEADLINES = [("Widget-Pro", "beats 40%", "40%"), ("Indexer", "best accuracy", "0.82 accuracy"), ("_none_", "any", "12%")]
+
+
+def claimed_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    extra = F.element_at(F.lit(CLAIMED), (F.col("doc_id") % len(CLAIMED) + 1).cast("int"))
+    rows = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.concat(F.split(F.coalesce("text", F.lit("")), "\n"), extra)).alias("n", "line"))
+    return rows.select("doc_id", (F.col("n") + 1).alias("n"), "line")
+
+
+def _patterns() -> str:
+    return ", ".join(f"regexp_extract_all(line, '{p}')" for p in (claims.PERCENT, claims.SCORE, claims.COMPARED, claims.NAMED))
+
+
+@query(
+    f"""WITH x AS (SELECT doc_id, list_concat(string_split(coalesce(text, ''), chr(10)), ([{", ".join("[" + ", ".join("'" + y + "'" for y in xs) + "]" for xs in CLAIMED)}])[doc_id % {len(CLAIMED)} + 1]) AS ls FROM documents),
+l AS (SELECT doc_id, i AS n, ls[i] AS line FROM x, range(1, 100000) r(i) WHERE i <= len(ls)), k AS (SELECT *, regexp_matches(line, '<!--\\s*claim-scan:\\s*ignore-start\\s*-->') AS st, regexp_matches(line, '<!--\\s*claim-scan:\\s*ignore-end\\s*-->') AS en, regexp_matches(line, '<!--\\s*claim-scan:\\s*ignore-next-line\\s*-->') AS nx FROM l),
+o AS (SELECT *, coalesce(last_value(CASE WHEN st THEN true WHEN en THEN false END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), false) AS open_, lower(string_agg(line, ' ') OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN 5 PRECEDING AND 5 FOLLOWING)) AS around FROM k),
+q AS (SELECT *, NOT open_ AND NOT st AND NOT en AS rd FROM o), p AS (SELECT *, coalesce(lag(rd AND nx) OVER (PARTITION BY doc_id ORDER BY n), false) AS bf FROM q),
+c AS (SELECT doc_id, n, around, trim(unnest(list_concat({_patterns()}))) AS claim FROM p WHERE rd AND NOT nx), h(product, phrase, val) AS (VALUES ('widget-pro', 'beats 40%', '40%'), ('indexer', 'best accuracy', '0.82 accuracy')),
+j AS (SELECT doc_id, EXISTS (SELECT 1 FROM h WHERE (contains(lower(claim), val) OR contains(val, lower(claim)) OR len(list_intersect([t FOR t IN string_split_regex(lower(claim), '\\s+') IF regexp_matches(t, '\\d')], [t FOR t IN string_split(val, ' ') IF regexp_matches(t, '\\d')])) > 0) AND (contains(around, product) OR contains(around, split_part(product, '-', 1)) OR contains(around, phrase))) AS ok FROM c),
+s AS (SELECT doc_id, count(*) AS detected, count(*) FILTER (NOT ok) AS unapproved FROM j GROUP BY 1), g AS (SELECT doc_id, count(*) AS ignored FROM p WHERE bf GROUP BY 1)
+SELECT doc_id, coalesce(detected, 0) + coalesce(ignored, 0) AS detected, coalesce(ignored, 0) AS ignored, coalesce(unapproved, 0) AS unapproved, coalesce(unapproved, 0) = 0 AS ok FROM documents LEFT JOIN s USING (doc_id) LEFT JOIN g USING (doc_id)"""
+)
+def claim_scan_by_file(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claims in the lines of documents, and how many no headline backs."""
+    lines_ = claimed_lines(spark, sf_dir)
+    heads = spark.createDataFrame(HEADLINES, "product string, claim string, value string")
+    return claim_scan.by_file(claim_scan.judged(claim_scan.found(lines_, "doc_id", "n", "line"), heads, "doc_id", "n"), lines_, "doc_id")
