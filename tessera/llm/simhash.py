@@ -97,7 +97,8 @@ def links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
     left = signed.where(F.col("bit") == 0).select(F.col("id").alias("a"), F.col("fp").alias("fa"), "variant", "rest")
     right = signed.where(plain | (F.col("bit") == 1)).select(F.col("id").alias("b"), F.col("fp").alias("fb"), "variant", "rest")
     near = F.bit_count(F.col("fa").bitwiseXOR(F.col("fb"))) <= radius
-    pairs = left.join(right, ["variant", "rest"]).where(near & (~plain | (F.col("a") < F.col("b"))))
+    # a node has some 66 signatures, which Spark's estimate of the sides' sizes does not know: it would broadcast them
+    pairs = left.hint("merge").join(right, ["variant", "rest"]).where(near & (~plain | (F.col("a") < F.col("b"))))
     return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 

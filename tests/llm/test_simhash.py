@@ -64,6 +64,14 @@ def test_links_find_every_pair_within_the_radius_once(spark, radius):
     assert sorted((r.a, r.b) for r in got) == sorted(expected)
 
 
+def test_links_broadcast_no_signatures(spark):
+    nodes = spark.range(5000).select("id", F.xxhash64("id").alias("fp")).groupBy("fp").agg(F.min("id").alias("id"))
+    got = simhash.links(nodes)
+    assert got.count() == 0 and got.collect() == []
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_components_of_chains_stars_and_none(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(200, 201), (201, 202), (200, 202)]
     got = {r.id: r.root for r in simhash.components(spark.createDataFrame(edges, "a bigint, b bigint")).collect()}
