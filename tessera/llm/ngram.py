@@ -9,8 +9,8 @@ The filter is cut into segments by the upper bits of the keys, one for about SEG
 is as many pages of PAGE_BITS bits as its levels need, so that no page is more than half full: every n-gram is
 entered, and the filter grows with the corpus. Tasks count a slice of the texts and send one packed row for each segment; what is
 gathered for a segment is bounded by its share of the n-grams. A filter of up to BROADCAST bytes is sent
-to all tasks. A larger one stays dealt out by segment: the distinct words and word pairs of the texts are brought
-to their segment, looked up there, and joined back to the texts (see score_apart).
+to all tasks. A larger one stays dealt out by segment: slices of the texts send their distinct words and word pairs
+to the segments once, which count them, look them up and answer the slice (see score_apart).
 
 score = sum of log10(WEIGHT c(v w) / c(v) + (1 - WEIGHT) (c(w) + 0.1) / (N + 0.1 (V + 1))), with counts as the filter has them.
 base_score uses exact counts: those of the HOT most frequent words are broadcast (a bounded table), the rarer words
@@ -27,7 +27,8 @@ from collections.abc import Callable
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import checkpointed, crc_mod, map_texts, slices, words
@@ -41,6 +42,8 @@ SEGMENT_CHARS = 1 << 21
 LEAST_BITS = 8
 #: Most bytes of a filter that is broadcast.
 BROADCAST = 96 << 20
+#: Characters of training text for a byte of the filter, nearly: beyond BROADCAST times as many it is not built in one piece.
+CHARS_A_BYTE = 8
 WEIGHT = 0.3
 PRIOR = 0.1
 #: Most words in the table of exact counts that is broadcast.
@@ -49,6 +52,8 @@ END = np.int64(-2)
 CACHE = 200_000
 #: Characters counted or scored at once.
 SLICE = 2_000_000
+#: Characters of a slice that asks the segments.
+APART = 6_000_000
 #: Keys probed at a time.
 BLOCK = 1 << 15
 DEPTH = 64
@@ -183,15 +188,13 @@ def segment_of(keys: np.ndarray, segments: int) -> np.ndarray:
     return (keys.view(np.uint64) >> np.uint64(65 - segments.bit_length())).astype(np.int64)
 
 
-def segment_column(segments: int) -> Column:
-    return F.shiftrightunsigned("key", 65 - segments.bit_length())
+def training(docs: DataFrame) -> DataFrame:
+    return docs.where(crc_mod("doc_id", HELD_OUT[0]) != HELD_OUT[1]).select("text")
 
 
-def count_grams(docs: DataFrame) -> tuple[DataFrame, int]:
-    """A row for each segment that has n-grams: seg, keys and counts of its words (packed 64-bit numbers) and the bits of the filter; and the number of segments. Checkpointed."""
-    train = docs.where(crc_mod("doc_id", HELD_OUT[0]) != HELD_OUT[1]).select("text")
-    chars = train.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    segments = 1 << max(LEAST_BITS, (chars // SEGMENT_CHARS).bit_length())
+def count_grams(docs: DataFrame, segments: int) -> DataFrame:
+    """A row for each segment that has n-grams: seg, keys and counts of its words (packed 64-bit numbers) and the bits of the filter. Checkpointed."""
+    train = training(docs)
 
     def pieces(batches):
         keys_of = hasher()
@@ -215,7 +218,7 @@ def count_grams(docs: DataFrame) -> tuple[DataFrame, int]:
         return pa.table({"seg": group.column("seg").slice(0, 1), "keys": pa.array([key[word].tobytes()], pa.binary()), "counts": pa.array([n[word].tobytes()], pa.binary()), "bits": pa.array([bits], pa.binary())})
 
     spread = train.mapInArrow(pieces, "seg bigint, keys binary, counts binary")
-    return checkpointed(spread.groupBy("seg").applyInArrow(summed, "seg bigint, keys binary, counts binary, bits binary")), segments
+    return checkpointed(spread.groupBy("seg").applyInArrow(summed, "seg bigint, keys binary, counts binary, bits binary"))
 
 
 def unpacked(built: DataFrame) -> DataFrame:
@@ -229,20 +232,20 @@ def unpacked(built: DataFrame) -> DataFrame:
     return built.select("keys", "counts").mapInArrow(rows, "key bigint, n bigint")
 
 
-def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
-    """The model (filter by segment, totals, exact counts of frequent words), the table (key, n) of all words' counts and that of the segments (seg, bits). A filter too large to broadcast is None in the model."""
-    built, n_segments = count_grams(docs)
-    counts, segments = checkpointed(unpacked(built)), built.select("seg", "bits")
-    bits, pages = None, np.zeros(0, np.int64)
-    held_bytes = segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0
-    if held_bytes <= BROADCAST:
-        pages = np.zeros(n_segments, np.int64)
-        for r in segments.select("seg", F.octet_length("bits").alias("n")).collect():  # a number for each segment: at most one for a page of BROADCAST
-            pages[r.seg] = r.n * 8 // PAGE_BITS
-        ends = np.cumsum(pages) * (PAGE_BITS // 8)
-        bits = bytearray(int(ends[-1]))
-        for r in segments.toLocalIterator():
-            bits[ends[r.seg] - len(r.bits) : ends[r.seg]] = r.bits
+def fit(docs: DataFrame, n_segments: int) -> tuple[dict, DataFrame] | None:
+    """The model (filter by segment, totals, exact counts of frequent words) and the table (key, n) of all words' counts; None if the filter is too large to broadcast."""
+    built = count_grams(docs, n_segments)
+    segments = built.select("seg", "bits")
+    if (segments.agg(F.sum(F.octet_length("bits"))).first()[0] or 0) > BROADCAST:
+        return None
+    counts = checkpointed(unpacked(built))
+    pages = np.zeros(n_segments, np.int64)
+    for r in segments.select("seg", F.octet_length("bits").alias("n")).collect():  # a number for each segment: at most one for a page of BROADCAST
+        pages[r.seg] = r.n * 8 // PAGE_BITS
+    ends = np.cumsum(pages) * (PAGE_BITS // 8)
+    bits = bytearray(int(ends[-1]))
+    for r in segments.toLocalIterator():
+        bits[ends[r.seg] - len(r.bits) : ends[r.seg]] = r.bits
     # Words by eighths of powers of two of their counts: some hundred rows say how many words are as frequent.
     scale = F.floor(F.log2("n") * 8)
     by_scale = counts.groupBy(scale.alias("s")).agg(F.count(F.lit(1)).alias("w"), F.sum("n").alias("t")).collect()
@@ -255,8 +258,8 @@ def fit(docs: DataFrame) -> tuple[dict, DataFrame, DataFrame]:
         least = r.s
     hot = counts.where(scale >= least).toPandas()
     order = np.argsort(hot["key"].to_numpy())
-    model = {"bits": bits, "pages": pages, "segments": np.array([n_segments]), "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
-    return model, counts, segments
+    model = {"bits": bits, "pages": pages, "total": np.array([total]), "distinct": np.array([distinct]), "keys": hot["key"].to_numpy()[order].astype(np.int64), "counts": hot["n"].to_numpy()[order].astype(np.int64)}
+    return model, counts
 
 
 def log_probabilities(model: dict, units: np.ndarray, at: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -267,48 +270,134 @@ def log_probabilities(model: dict, units: np.ndarray, at: np.ndarray, starts: np
     pairs, of = np.unique(pair_keys(units[before], units[at]), return_inverse=True)
     both = MEANING[look_up(model["bits"], model["pages"], pairs)][of]
     norm = max(1e-300, float(model["total"][0]) + PRIOR * (float(model["distinct"][0]) + 1))
+    return blended(count, both, before, at, norm)
+
+
+def blended(count: np.ndarray, both: np.ndarray, before: np.ndarray, at: np.ndarray, norm: float) -> np.ndarray:
+    """log10 probability of each token. count: of the distinct tokens; both: of each token's pair; before, at: the distinct token before a token, and its own."""
     p = (1 - WEIGHT) * (count[at] + PRIOR) / norm + WEIGHT * both / np.maximum(np.maximum(count[before], both), 1)
     return np.log10(np.minimum(p, 1))
 
 
-def score_apart(texts: DataFrame, segments: DataFrame, n_segments: int, norm: float) -> DataFrame:
-    """text_hash, score of every text, copies once, by a filter that stays dealt out by segment."""
+def packed(numbers: np.ndarray) -> bytes:
+    """Differences of 64-bit numbers, their highest bytes last together, which compress well where the numbers are sorted."""
+    return np.diff(numbers.view(np.uint64), prepend=np.uint64(0)).view(np.uint8).reshape(-1, 8).T.tobytes()
 
-    def pieces(batches):
-        keys_of = hasher()
+
+def unpack(held: bytes) -> np.ndarray:
+    return np.cumsum(np.ascontiguousarray(np.frombuffer(held, np.uint8).reshape(8, -1).T).view(np.uint64).ravel(), dtype=np.uint64)
+
+
+def squeezed(numbers: np.ndarray) -> bytes:
+    """Numbers with their bytes sorted by place, compressed."""
+    return pa.compress(np.ascontiguousarray(numbers.view(np.uint8).reshape(-1, numbers.itemsize).T).tobytes(), codec="zstd", asbytes=True)
+
+
+def unsqueeze(held: bytes, n: int, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    whole = np.frombuffer(pa.decompress(held, decompressed_size=size * n, codec="zstd", asbytes=True), np.uint8)
+    return np.ascontiguousarray(whole.reshape(size, n).T).view(kind).ravel()
+
+
+def asked_keys(units: np.ndarray, at: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of a slice: its distinct keys (sorted, unsigned; words are even), where in them each token's pair stands, the token before each one (of units), and the first token of each text. units: distinct tokens, sorted as unsigned; the end is the last."""
+    starts = np.cumsum(lengths) - lengths
+    left = np.concatenate([[0], at[:-1]])
+    left[starts] = len(units) - 1
+    pairs, of = np.unique(pair_keys(units.view(np.int64)[left], units.view(np.int64)[at]).view(np.uint64), return_inverse=True)
+    keys = np.sort(np.concatenate([units, pairs]))
+    return keys, np.searchsorted(keys, pairs)[of], left, starts
+
+
+def score_apart(docs: DataFrame, segments: int) -> DataFrame:
+    """The columns of score_documents by a filter that stays dealt out by segment.
+
+    Slices of the texts are written down as numbers of their words. A slice sends its keys, and how often they stand in training texts, to the segments once; a segment
+    adds up, fills its part of the filter and answers each slice with the keys' levels and the words' counts. So each distinct key of a slice travels there and back once.
+    """
+
+    def cut(batches):
+        keys_of, part, n = hasher(), TaskContext.get().partitionId(), 0
         for batch in batches:
-            for some, texts in slices(batch, "text", SLICE):
+            for some, texts in slices(batch, "text", APART):
                 tokens = [keys_of(t) for t in texts]
-                right = np.concatenate(tokens)
-                left = np.concatenate([before(t) for t in tokens])
-                row = np.repeat(some.column("text_hash").to_numpy(), [len(t) for t in tokens])
-                yield pa.RecordBatch.from_pydict({"text_hash": pa.array(row), "v": pa.array(left), "w": pa.array(right), "pair": pa.array(pair_keys(left, right))})
-
-    def read(keys: pa.Table, held: pa.Table) -> pa.Table:
-        key = keys.column("key").to_numpy()
-        bits = b"".join(held.column("bits").to_pylist()) if len(key) else b""
-        level = _look_up(np.frombuffer(bits, np.uint8), key.view(np.uint64), page_of(key, len(bits) * 8 // PAGE_BITS) * PAGE_BITS) if bits else np.zeros(len(key), np.int64)
-        return pa.table({"key": pa.array(key, pa.int64()), "c": pa.array(MEANING[level])})
-
-    # texts that repeat a pair list it once, with how often
-    hashed = texts.select("text", F.xxhash64("text").alias("text_hash"))
-    copies = hashed.groupBy("text_hash").agg(F.count(F.lit(1)).alias("copies"))
-    tokens = hashed.mapInArrow(pieces, "text_hash bigint, v bigint, w bigint, pair bigint").groupBy("text_hash", "v", "w", "pair").agg(F.count(F.lit(1)).alias("times"))
-    distinct = checkpointed(tokens.select("v", "w", "pair").distinct())
-    asked = distinct.select(F.col("pair").alias("key")).union(distinct.select("v")).union(distinct.select("w")).distinct().withColumn("seg", segment_column(n_segments))
-    found = checkpointed(asked.groupBy("seg").cogroup(segments.groupBy("seg")).applyInArrow(read, "key bigint, c double"))
-    known = distinct
-    for name in ("v", "w", "pair"):
-        known = known.join(found.select(F.col("key").alias(name), F.col("c").alias(f"c_{name}")), name)
-    p = (1 - WEIGHT) * (F.col("c_w") + PRIOR) / max(1e-300, norm) + WEIGHT * F.col("c_pair") / F.greatest("c_v", "c_pair", F.lit(1.0))
-    logs = known.select("v", "w", F.log10(F.least(p, F.lit(1.0))).alias("log"))
-    total = tokens.join(logs, ["v", "w"]).groupBy("text_hash").agg(F.sum(F.col("times") * F.col("log")).alias("total"))
-    return total.join(copies, "text_hash").select("text_hash", (F.col("total") / F.col("copies")).alias("score"))
+                units, at = np.unique(np.concatenate(tokens).view(np.uint64), return_inverse=True)
+                held = [squeezed(np.diff(units, prepend=np.uint64(0))), squeezed(at.astype(np.uint32))]
+                one = {"slice": [(part << 32) + n], "ids": [some.column("doc_id")], "held": [some.column("held_out")], "lengths": [[len(t) for t in tokens]], "n_units": [len(units)], "units": [held[0]], "at": [held[1]]}
+                yield pa.RecordBatch.from_pydict({k: pa.array(v, t) for (k, v), t in zip(one.items(), kinds, strict=True)})
+                n += 1
+
+    kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.int64(), pa.binary(), pa.binary()]
+
+    def read(row: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        lengths = np.array(row["lengths"], np.int64)
+        units = np.cumsum(unsqueeze(row["units"], row["n_units"], np.uint64), dtype=np.uint64)
+        return units, unsqueeze(row["at"], int(lengths.sum()), np.uint32).astype(np.int64), lengths
+
+    def ask(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                units, at, lengths = read(row)
+                keys, pair, _, _ = asked_keys(units, at, lengths)
+                learnt = np.repeat(~np.array(row["held"], bool), lengths)
+                n = (np.bincount(np.searchsorted(keys, units)[at], weights=learnt, minlength=len(keys)) + np.bincount(pair, weights=learnt, minlength=len(keys))).astype(np.uint32)
+                seg, first = np.unique(segment_of(keys, segments), return_index=True)
+                yield pa.RecordBatch.from_pydict({
+                    "seg": pa.array(seg), "slice": pa.array(np.full(len(seg), row["slice"])),
+                    "keys": pa.array([packed(x) for x in np.split(keys, first[1:])], pa.binary()), "counts": pa.array([x.tobytes() for x in np.split(n, first[1:])], pa.binary()),
+                })
+
+    def answer(group: pa.Table) -> pa.Table:
+        sent = [unpack(x) for x in group.column("keys").to_pylist()]
+        key, of = np.unique(np.concatenate(sent), return_inverse=True)
+        n = np.bincount(of, weights=np.frombuffer(b"".join(group.column("counts").to_pylist()), np.uint32), minlength=len(key)).astype(np.int64)
+        word, known = (key & np.uint64(1)) == 0, n > 0
+        level = np.zeros(len(key), np.uint8)
+        if known.any():
+            bits = fill(key[known].view(np.int64), n[known])
+            pages = len(bits) * 8 // PAGE_BITS
+            level = _look_up(np.frombuffer(bits, np.uint8), key, page_of(key, pages) * PAGE_BITS).astype(np.uint8)
+        each = np.split(of, np.cumsum([len(x) for x in sent])[:-1])
+        seg, rows = group.column("seg")[0].as_py(), len(sent) + 1
+        return pa.table({
+            "seg": pa.array([seg] * rows, pa.int64()), "slice": pa.array([*group.column("slice").to_pylist(), None], pa.int64()),
+            "n_keys": pa.array([*map(len, sent), 0], pa.int64()), "n_words": pa.array([*(int(word[x].sum()) for x in each), 0], pa.int64()),
+            "levels": pa.array([*(squeezed(level[x]) for x in each), b""], pa.binary()), "counts": pa.array([*(squeezed(n[x[word[x]]]) for x in each), b""], pa.binary()),
+            "tokens": pa.array([0] * len(sent) + [int(n[word].sum())], pa.int64()), "words": pa.array([0] * len(sent) + [int((word & known).sum())], pa.int64()),
+        })
+
+    base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
+    cuts = checkpointed(base.mapInArrow(cut, "slice bigint, ids array<bigint>, held array<boolean>, lengths array<bigint>, n_units bigint, units binary, at binary"))
+    sent = cuts.mapInArrow(ask, "seg bigint, slice bigint, keys binary, counts binary")
+    answers = checkpointed(sent.groupBy("seg").applyInArrow(answer, "seg bigint, slice bigint, n_keys bigint, n_words bigint, levels binary, counts binary, tokens bigint, words bigint"))
+    total, distinct = (int(x or 0) for x in answers.where(F.col("slice").isNull()).agg(F.sum("tokens"), F.sum("words")).first())
+    norm = max(1e-300, total + PRIOR * (distinct + 1))
+
+    def score(held: pa.Table, got: pa.Table) -> pa.Table:
+        (row,) = held.to_pylist()
+        units, at, lengths = read(row)
+        keys, pair, left, starts = asked_keys(units, at, lengths)
+        got = got.sort_by("seg")
+        joined = lambda name, size, kind: np.concatenate([unsqueeze(x, n, kind) for x, n in zip(got.column(name).to_pylist(), got.column(size).to_pylist(), strict=True)])
+        count, exact = MEANING[joined("levels", "n_keys", np.uint8)], joined("counts", "n_words", np.int64)
+        logs = blended(count[np.searchsorted(keys, units)], count[pair], left, at, norm)
+        add = lambda x: np.add.reduceat(x, starts)
+        own = [row["ids"], row["held"], lengths, add((exact > 0).astype(np.int64)[at]), add(np.log10(exact + PRIOR)[at]) - lengths * np.log10(norm), add(logs)]
+        return pa.table(dict(zip(("doc_id", "held_out", "n_tokens", "n_known", "base_score", "score"), (pa.array(x, t) for x, t in zip(own, (pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64()), strict=True)), strict=True)))
+
+    answers = answers.where(F.col("slice").isNotNull()).drop("tokens", "words")
+    out = cuts.groupBy("slice").cogroup(answers.groupBy("slice")).applyInArrow(score, "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(total).cast("bigint").alias("train_tokens"), "base_score", "score")
 
 
 def score_documents(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for every row of docs."""
-    model, counts, segments = fit(docs)
+    chars = training(docs).agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    segments = 1 << max(LEAST_BITS, (chars // SEGMENT_CHARS).bit_length())
+    fitted = fit(docs, segments) if chars <= BROADCAST * CHARS_A_BYTE else None
+    if fitted is None:
+        return score_apart(docs, segments)
+    model, counts = fitted
     shared = docs.sparkSession.sparkContext.broadcast(model)
     total, norm = int(model["total"][0]), float(model["total"][0]) + PRIOR * (float(model["distinct"][0]) + 1)
 
@@ -320,7 +409,7 @@ def score_documents(docs: DataFrame) -> DataFrame:
             n = np.array([len(t) for t in tokens], np.int64)
             starts = np.cumsum(n) - n
             units, at = np.unique(np.concatenate(tokens), return_inverse=True)
-            score = np.zeros(len(n)) if m["bits"] is None else np.add.reduceat(log_probabilities(m, units, at, starts), starts)
+            score = np.add.reduceat(log_probabilities(m, units, at, starts), starts)
             # exact counts of the words in the table; the others are listed once a text
             place = np.minimum(np.searchsorted(m["keys"], units), max(0, len(m["keys"]) - 1))
             hot = m["keys"][place] == units if len(m["keys"]) else np.zeros(len(units), bool)
@@ -332,20 +421,18 @@ def score_documents(docs: DataFrame) -> DataFrame:
             pair, times = np.unique(owner * len(units) + at[rare], return_counts=True)
             ends = np.searchsorted(pair, np.arange(len(n) + 1) * len(units)).astype(np.int32)
             cold = pa.StructArray.from_arrays([pa.array(units[pair % len(units)]), pa.array(times.astype(np.int32))], ["key", "times"])
-            return [batch.column("doc_id"), batch.column("held_out"), batch.column("text_hash"), n, known, base, score, pa.ListArray.from_arrays(pa.array(ends), cold)]
+            return [batch.column("doc_id"), batch.column("held_out"), n, known, base, score, pa.ListArray.from_arrays(pa.array(ends), cold)]
 
         return rows
 
-    base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"), F.xxhash64("text").alias("text_hash"))
-    scored = map_texts(base, "text", "doc_id bigint, held_out boolean, text_hash bigint, n_tokens bigint, hot_known bigint, hot_base double, score double, cold array<struct<key: bigint, times: int>>", make, SLICE)
+    base = docs.select("doc_id", "text", (crc_mod("doc_id", HELD_OUT[0]) == HELD_OUT[1]).alias("held_out"))
+    scored = map_texts(base, "text", "doc_id bigint, held_out boolean, n_tokens bigint, hot_known bigint, hot_base double, score double, cold array<struct<key: bigint, times: int>>", make, SLICE)
     scored = checkpointed(scored).withColumn("row", F.monotonically_increasing_id())  # the files of the checkpoint fix the order
 
     rare = scored.select("row", F.inline("cold")).join(counts, "key", "left")
     n = F.coalesce("n", F.lit(0))
     rare = rare.groupBy("row").agg(F.sum(F.when(n > 0, F.col("times")).otherwise(0)).alias("known"), F.sum(F.col("times") * F.log10(n + F.lit(PRIOR))).alias("part"))
     out = scored.drop("cold").join(rare, "row", "left")
-    if model["bits"] is None:
-        out = out.drop("score").join(score_apart(docs.select("text"), segments, int(model["segments"][0]), norm), "text_hash")
     return out.select(
         "doc_id", "held_out", "n_tokens",
         (F.col("hot_known") + F.coalesce("known", F.lit(0))).alias("n_known"),

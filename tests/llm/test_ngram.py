@@ -90,3 +90,16 @@ def test_scores_do_not_depend_on_where_the_filter_is(spark, monkeypatch):
     monkeypatch.setattr(ngram, "BROADCAST", 0)
     apart = sorted((str(r.doc_id), round(r.score, 6)) for r in ngram.score_documents(docs).collect())
     assert sent == apart and len(sent) == len(rows)
+
+
+def test_the_dealt_out_form_writes_rows_of_slices_not_of_tokens(spark, monkeypatch):
+    rng, written, write = np.random.default_rng(5), [], ngram.checkpointed
+    rows = [(i, " ".join(f"w{x}" for x in rng.integers(0, 4000, 3000)), "", "", 0) for i in range(30)]
+    docs = data.docs(spark, rows).coalesce(1)
+    columns = lambda r: (r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6), round(r.score, 6))
+    sent = sorted(columns(r) for r in ngram.score_documents(docs).collect())
+    monkeypatch.setattr(ngram, "BROADCAST", 0)
+    monkeypatch.setattr(ngram, "APART", 200_000)
+    monkeypatch.setattr(ngram, "checkpointed", lambda df: written.append(write(df)) or written[-1])
+    assert sorted(columns(r) for r in ngram.score_documents(docs).collect()) == sent
+    assert sum(df.count() for df in written) < 10_000
