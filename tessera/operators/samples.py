@@ -48,12 +48,11 @@ def without_leaks(rows: DataFrame, threshold: float, test: float, seed: str = "s
     Rows whose distinct items have Jaccard `threshold` or more are linked, and the components of the links are the clusters, named by their smallest id, so no link crosses a
     split. A cluster is in test if the draw of its name is below `test`.
     """
-    kept = rows.where(F.size("items") > 0)
-    placed = checkpointed(texts.classes(kept))
-    reps = checkpointed(placed.groupBy("items").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")))
-    links = texts.similar_sets(reps.select(F.col("class").alias("id"), "items"), threshold)
+    placed = texts.signed(rows).where(F.size("h") > 0)
+    reps = checkpointed(placed.groupBy("key").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("n")))
+    links = texts.similar_signed(texts.first_sets(placed, reps), threshold)
     of = graph.components(links.select(F.col("a").alias("src"), F.col("b").alias("dst")))
-    named = reps.join(of, reps["class"] == of["node"], "left").select("items", "n", F.coalesce("component", "class").alias("cluster"))
+    named = reps.join(of, reps["class"] == of["node"], "left").select("key", "n", F.coalesce("component", "class").alias("cluster"))
     sizes = named.groupBy("cluster").agg(F.sum("n").alias("size"))
-    out = placed.join(named.select("items", "cluster"), "items").join(sizes, "cluster")
+    out = placed.select("id", "key").join(named.select("key", "cluster"), "key").join(sizes, "cluster")
     return out.select("id", "cluster", "size", F.when(noise.draw(seed, F.col("cluster")) < test, "test").otherwise("train").alias("split"))
