@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -77,7 +78,9 @@ def cosine_neighbourhoods(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many vectors lie within a cosine of 0.3 of each of the query set, and the best one."""
     v = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), F.col("embedding").alias("v"))
     asked = v.where(F.col("doc_id") % 50 == 0).select(F.col("doc_id").alias("query_id"), F.col("v").alias("q"))
-    return ranking.dense(v, asked).groupBy("query_id").agg(F.count_if(F.round("score", 9) >= 0.3).alias("near"), F.round(F.max("score"), 6).alias("top"))
+    counted = lambda scores, held, docs, ids: (ids[held.any(0)], ((np.round(scores, 9) >= 0.3) & held).sum(0)[held.any(0)], np.where(held, scores, 0.0).max(0)[held.any(0)])
+    rows = ranking.dense_blocks(v, asked, "query_id bigint, near bigint, top double", counted)
+    return rows.groupBy("query_id").agg(F.sum("near").alias("near"), F.round(F.max("top"), 6).alias("top"))
 
 
 @query("SELECT source, count(*) FILTER (contains(lower(text), 'casino')) = 0 AS absent FROM documents GROUP BY source")
