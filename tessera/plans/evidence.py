@@ -12,11 +12,14 @@ from pyspark.sql import functions as F
 from ..functions.text import tokens
 from ..operators import evidence as ev
 from ..operators import facets, intent, ranking
-from ..operators.sizes import checkpointed
+from ..operators.sizes import checkpointed, small_side
 from ..sources.tables import table
 from .catalog import query
 
 
+FACETS = ["repo", "project", "operation", "symbol", "evidence_type"]
+
+
 def _long_tokens(text: str):
     return F.array_sort(F.array_distinct(F.filter(tokens(text), lambda t: F.length(t) >= 14)))
 
@@ -28,11 +31,12 @@ def _size_class(text: str):
 def memories(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as memories."""
     labels = table(spark, sf_dir, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"), F.max("toxic").alias("toxic"))
-    docs = table(spark, sf_dir, "documents").join(labels, "doc_id", "left")
+    of_text = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", _size_class("text").alias("operation"), _long_tokens("text").alias("symbol"))
+    docs = of_text.join(labels, "doc_id", "left")  # no text travels
     bucket = F.when(F.col("toxic") == 1, "blocked").when(F.col("quality") == 0, "historical").when(F.col("quality") == 1, "current")
     kinds = F.when(F.col("quality") == 1, F.array(F.lit("test"))).when(F.col("quality") == 0, F.array(F.lit("agent_inference"))).otherwise(F.array().cast("array<string>"))
     day = F.format_string("2024-01-%02d", (F.col("doc_id") % 28 + 1).cast("int"))
-    return docs.select("doc_id", F.col("source").alias("repo"), F.col("lang").alias("project"), _size_class("text").alias("operation"), _long_tokens("text").alias("symbol"), bucket.alias("bucket"), kinds.alias("evidence_type"), day.alias("valid_time"))
+    return docs.select("doc_id", F.col("source").alias("repo"), F.col("lang").alias("project"), "operation", "symbol", bucket.alias("bucket"), kinds.alias("evidence_type"), day.alias("valid_time"))
 
 
 def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,10 +47,16 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return q.select(F.col("item_id").alias("query_id"), F.when(is_english, "en").alias("project"), F.lit("short").alias("operation"), _long_tokens("text").alias("symbol"), F.array(F.lit("test")).alias("evidence_type"), goal.alias("intent"), F.lit("2024-01-15").alias("valid_time"))
 
 
+def tops(m: DataFrame, q: DataFrame, qf: DataFrame, k: int, *conditions: str) -> DataFrame:
+    """The first k documents of each query by all facets, for each condition of `facets.CONDITIONS` named."""
+    docs = facets.listed(m, "doc_id", FACETS, "bucket", "valid_time")
+    return facets.tops(docs, qf, q.select("query_id", "intent", "valid_time"), {"all": tuple(FACETS)}, k, conditions).drop("mode")
+
+
 def _facets(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     m, q = memories(spark, sf_dir), questions(spark, sf_dir)
     m, q = checkpointed(m), checkpointed(q)
-    return m, q, facets.unpivot(m, "doc_id", ["repo", "project", "operation", "symbol", "evidence_type"]), facets.unpivot(q, "query_id", ["project", "operation", "symbol", "evidence_type"])
+    return m, q, facets.unpivot(m, "doc_id", FACETS), facets.unpivot(q, "query_id", ["project", "operation", "symbol", "evidence_type"])
 
 
 MEMORIES = """
@@ -101,7 +111,8 @@ we AS (SELECT query_id, doc_id, sum(CASE polarity WHEN 'support' THEN w * s WHEN
 def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Twenty facet candidates of each query with what the sources of evidence look at."""
     m, q, df, qf = _facets(spark, sf_dir)
-    top = ranking.ranked(facets.candidates(df, qf), 20)
+    top = checkpointed(tops(m, q, qf, 20, "index").drop("condition"))
+    df = df.join(small_side(top.select("doc_id").distinct()), "doc_id", "left_semi")
     pairs = top.join(q.select("query_id", "intent", F.col("symbol").alias("asked")), "query_id").join(m.select("doc_id", "symbol", "bucket", F.col("valid_time").alias("valid"), F.col("evidence_type").alias("kinds")), "doc_id")
     pairs = facets.conflicts(pairs, df, qf)
     least = F.least(F.size("asked"), F.size("symbol"))
@@ -115,24 +126,22 @@ def evidence_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {MEMORIES} SELECT query_id, doc_id, score, rank FROM car WHERE rank <= 10")
 def facet_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, _, df, qf = _facets(spark, sf_dir)
-    return ranking.ranked(facets.candidates(df, qf), 10)
+    m, q, _, qf = _facets(spark, sf_dir)
+    return tops(m, q, qf, 10, "index").drop("condition")
 
 
 @query(f"WITH {MEETING} SELECT query_id, doc_id, score, rank FROM mpr WHERE rank <= 10")
 def meetpoint_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    m, q, df, qf = _facets(spark, sf_dir)
-    scored = facets.meeting_point(df, qf, m, q.select("query_id", "intent", "valid_time"))
-    return ranking.ranked(scored, 10)
+    m, q, _, qf = _facets(spark, sf_dir)
+    return tops(m, q, qf, 10, "meeting_point").drop("condition")
 
 
 @query(f"WITH {MEETING}, u AS (SELECT 'index' AS condition, query_id, doc_id, rank FROM car UNION ALL SELECT 'meeting_point', query_id, doc_id, rank FROM mpr) SELECT condition, count(DISTINCT query_id) AS n_queries, round(avg(CASE WHEN bucket IN ('historical', 'blocked') THEN 1.0 ELSE 0.0 END), 6) AS stale_share, round(avg(CASE WHEN coalesce(conflicts, 0) > 0 THEN 1.0 ELSE 0.0 END), 6) AS conflict_share FROM u JOIN m USING (doc_id) LEFT JOIN cf USING (query_id, doc_id) WHERE rank <= 5 GROUP BY condition")
 def facet_ladder_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How often the first five candidates are stale or out of scope, by facet index and by meeting point."""
     m, q, df, qf = _facets(spark, sf_dir)
-    by_index = ranking.ranked(facets.candidates(df, qf), 5)
-    by_point = ranking.ranked(facets.meeting_point(df, qf, m, q.select("query_id", "intent", "valid_time")), 5)
-    rows = by_index.select(F.lit("index").alias("condition"), "query_id", "doc_id").unionByName(by_point.select(F.lit("meeting_point").alias("condition"), "query_id", "doc_id"))
+    rows = checkpointed(tops(m, q, qf, 5, "index", "meeting_point").select("condition", "query_id", "doc_id"))
+    df = df.join(small_side(rows.select("doc_id").distinct()), "doc_id", "left_semi")
     rows = facets.conflicts(rows.join(m.select("doc_id", "bucket"), "doc_id"), df, qf)
     share = lambda c: F.round(F.avg(F.when(c, 1.0).otherwise(0.0)), 6)
     return rows.groupBy("condition").agg(F.count_distinct("query_id").alias("n_queries"), share(F.col("bucket").isin("historical", "blocked")).alias("stale_share"), share(F.coalesce("conflicts", F.lit(0)) > 0).alias("conflict_share"))

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import facets, intent, ladders, ranking
-from ..operators.sizes import checkpointed
 from ..sources.tables import table
 from . import evidence, retrieval
 from .catalog import many, query
@@ -34,13 +33,12 @@ all_{mode} AS (SELECT '{mode}' AS mode, * FROM (SELECT 'bm25' AS condition, quer
 @query(f"WITH {FIVE},{evidence.MEETING},\n{_mode_sql()}, u AS ({' UNION ALL '.join(f'SELECT * FROM all_{m}' for m in MODES)}) SELECT mode, condition, count(*) AS shown, round(avg(CASE WHEN bucket IN ('historical', 'blocked') THEN 1.0 ELSE 0.0 END), 6) AS stale_share FROM u JOIN m USING (doc_id) WHERE rank <= 5 GROUP BY ALL")
 def facet_ladder(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Six conditions in three views of the facets: how often the first five are stale."""
-    m, q, df, qf = evidence._facets(spark, sf_dir)
+    m, q, _, qf = evidence._facets(spark, sf_dir)
     lexical, counts = retrieval.both_rankings(spark, sf_dir, 50)
     plain = ladders.ladder({"bm25": lambda: lexical.where("rank <= 5"), "cosine": lambda: counts.where("rank <= 5"), "rrf": lambda: ranking.ranked(ranking.fuse(lexical, counts), 5)})
     plain = plain.crossJoin(F.broadcast(spark.createDataFrame([(x,) for x in MODES], "mode string")))  # no view of the facets changes them
-    scored = facets.scores_by_view(checkpointed(df), checkpointed(qf), m, q.select("query_id", "intent", "valid_time"), MODES)
-    order = Window.partitionBy("mode", "condition", "query_id").orderBy(F.desc(F.round("score", 9)), "doc_id")
-    ranked = scored.withColumn("rank", F.row_number().over(order).cast("bigint")).where("rank <= 5").drop("score")
+    docs = facets.listed(m, "doc_id", evidence.FACETS, "bucket", "valid_time")
+    ranked = facets.tops(docs, qf, q.select("query_id", "intent", "valid_time"), MODES, 5).drop("score")
     rows = plain.unionByName(ranked).join(m.select("doc_id", "bucket"), "doc_id")
     return rows.groupBy("mode", "condition").agg(many().alias("shown"), F.round(F.avg(F.when(F.col("bucket").isin("historical", "blocked"), 1.0).otherwise(0.0)), 6).alias("stale_share"))
 
