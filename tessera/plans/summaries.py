@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions import measures
 from ..operators import lists, summaries
-from ..operators.sizes import small_side
+from ..operators.sizes import checkpointed, small_side
 from ..sources.tables import table
 from .catalog import many, query
 
+#: Pairs of a query and a part that a partition counts, about.
+MOST_MET = 1 << 21
+
 
 @query("SELECT o_orderstatus AS condition, round(avg(o_totalprice) FILTER (o_orderpriority = '1-URGENT'), 6) AS price__urgent, round(avg(o_totalprice) FILTER (o_orderpriority = '5-LOW'), 6) AS price__low FROM orders GROUP BY 1")
 def family_means(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,11 +158,14 @@ def missed_by_both(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("WITH q AS (SELECT o_custkey AS q, array_agg(DISTINCT l_suppkey) AS v FROM orders JOIN lineitem ON l_orderkey = o_orderkey WHERE o_custkey % 50 = 0 GROUP BY 1), m AS (SELECT l_partkey AS m, array_agg(DISTINCT l_suppkey) AS v FROM lineitem GROUP BY 1), s AS (SELECT q, m, len(list_intersect(q.v, m.v)) AS score FROM q, m), r AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, m) AS rank FROM s WHERE score > 0) SELECT q, m, score, rank FROM r WHERE rank <= 3")
 def file_context_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that share the most suppliers with the customers of the query set (ids divisible by 50): values meet by a join."""
+    """Parts that share the most suppliers with the customers of the query set (ids divisible by 50): values meet by a join. As many partitions by query as the pairs need, so that none counts more than about MOST_MET of them."""
     li = table(spark, sf_dir, "lineitem")
     asked = table(spark, sf_dir, "orders").where("o_custkey % 50 = 0").select(F.col("o_custkey").alias("q"), F.col("o_orderkey").alias("l_orderkey")).join(li, "l_orderkey").select("q", "l_suppkey").distinct()
     held = li.select(F.col("l_partkey").alias("m"), "l_suppkey").distinct()
-    met = held.join(small_side(asked), "l_suppkey").groupBy("q", "m").agg(many().alias("score"))
+    held, asked = checkpointed(held), checkpointed(asked)
+    each = lambda side, name: side.groupBy("l_suppkey").agg(many().alias(name))
+    pairs = each(held, "a").join(each(asked, "b"), "l_suppkey").agg(F.coalesce(F.sum(F.col("a") * F.col("b")), F.lit(0))).first()[0]
+    met = held.join(small_side(asked), "l_suppkey").select("q", "m").repartition(1 + pairs // MOST_MET, "q").groupBy("q", "m").agg(many().alias("score"))
     return met.withColumn("rank", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "m")).cast("bigint")).where("rank <= 3")
 
 
